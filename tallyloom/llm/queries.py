@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.bpe_transducer import encode_documents
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.packing import pack
 from tallyloom.llm.tables import read
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +17,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 OP6_SQL = rf"""
 with t as (
   select doc_id, length(coalesce(text, '')) as n_chars,
@@ -31,6 +45,8 @@ window w as (partition by text_sha256 order by n_chars desc, doc_id asc)
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES = {
