@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe_transducer import encode_documents
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.packing import pack
+from tallyloom.llm.quality_gam import score_documents
 from tallyloom.llm.tables import read
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_language_hdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +54,9 @@ window w as (partition by text_sha256 order by n_chars desc, doc_id asc)
 """
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_hdc": op7_language_hdc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
