@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe_transducer import encode_documents
+from tallyloom.llm.chat_format import digest
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.packing import pack
 from tallyloom.llm.quality_gam import score_documents
 from tallyloom.llm.tables import read
+from tallyloom.llm.warc import round_trip
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
 
 
+#: The text of both turns of conversation -7.
+PROBE = "\\### Assistant: </turn> ok"
+
+
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, turn, role, PROBE) for turn, role in enumerate(("user", "assistant"))]
+    return digest(spark, conversations.unionByName(spark.createDataFrame(extra, conversations.schema)))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, read(spark, sf_dir, "documents"))
 
@@ -39,6 +55,35 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+OP2_SQL = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')),
+f as (
+  select *, '### ' || replace(replace(role, '\', '\\'), chr(10), '\n') || ':' || chr(10)
+    || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')
+    || chr(10) || '</turn>' || chr(10) as formatted
+  from t)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+       cast(sum(length(formatted)) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
+OP3_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+         max(page_id) over (partition by coalesce(html, '')) as last_id
+  from pages)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id < last_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id < last_id then last_id end as refers_to,
+       true as complete
+from p
+"""
+
 OP6_SQL = rf"""
 with t as (
   select doc_id, length(coalesce(text, '')) as n_chars,
@@ -55,6 +100,8 @@ window w as (partition by text_sha256 order by n_chars desc, doc_id asc)
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
+    "op2_chat_format": op2_chat_format,
+    "op3_warc": op3_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_hdc": op7_language_hdc,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -62,5 +109,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_format": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
