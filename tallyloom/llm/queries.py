@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe_transducer import encode_documents
 from tallyloom.llm.chat_format import digest
+from tallyloom.llm.embedding_lsh import near_duplicates
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.packing import pack
@@ -43,6 +44,10 @@ def op7_language_hdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,12 +103,30 @@ from t
 window w as (partition by text_sha256 order by n_chars desc, doc_id asc)
 """
 
+OP8_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings),
+links as (
+  select a.vec_id as a, b.vec_id as b
+  from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (
+  select vec_id, vec_id from v
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from reach group by a),
+n as (select a as vec_id, count(*) as n_links from links group by a)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept
+from c left join n using (vec_id)
+"""
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_hdc": op7_language_hdc,
+    "op8_embedding_lsh": op8_embedding_lsh,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -112,4 +135,5 @@ ORACLES = {
     "op2_chat_format": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_embedding_lsh": OP8_SQL,
 }
