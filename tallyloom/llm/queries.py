@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.bpe_transducer import encode_documents
 from tallyloom.llm.chat_format import digest
-from tallyloom.llm.embedding_lsh import near_duplicates
+from tallyloom.llm.embedding_lsh import near_duplicates as near_vectors
 from tallyloom.llm.exact_dedup import exact_dedup
+from tallyloom.llm.hyperminhash import near_duplicates as near_texts
 from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.packing import pack
 from tallyloom.llm.quality_gam import score_documents
@@ -36,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(spark, read(spark, sf_dir, "documents"), words=2)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, read(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op7_language_hdc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read(spark, sf_dir, "embeddings"))
+    return near_vectors(spark, read(spark, sf_dir, "embeddings"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +94,33 @@ select page_id, payload_bytes, payload_digest,
 from p
 """
 
+OP5_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
+  from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+         else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from w),
+u as (select s, min(doc_id) as rep, len(s) as n from (select doc_id, list_sort(s) as s from s where len(s) > 0) group by s),
+x as (select rep, n, unnest(s) as g from u),
+pairs as (
+  select a.rep as a, b.rep as b, count(*) as shared
+  from x a join x b on a.g = b.g and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n
+  having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (
+  select rep, rep from u
+  union
+  select r.a, l.b from reach r join both_ways l on r.b = l.a),
+c as (select a as rep, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(len(s.s), 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) as kept
+from documents d join s using (doc_id)
+left join u on u.s = list_sort(s.s) left join c using (rep)
+"""
+
 OP6_SQL = rf"""
 with t as (
   select doc_id, length(coalesce(text, '')) as n_chars,
@@ -124,6 +156,7 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
+    "op5_hyperminhash": op5_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_hdc": op7_language_hdc,
     "op8_embedding_lsh": op8_embedding_lsh,
@@ -134,6 +167,7 @@ QUERIES = {
 ORACLES = {
     "op2_chat_format": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op5_hyperminhash": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_embedding_lsh": OP8_SQL,
 }
