@@ -10,8 +10,9 @@ from tallyloom.llm.embedding_lsh import near_duplicates as near_vectors
 from tallyloom.llm.exact_dedup import exact_dedup
 from tallyloom.llm.hyperminhash import near_duplicates as near_texts
 from tallyloom.llm.language_hdc import identify
+from tallyloom.llm.language_model import score_documents as score_likelihood
 from tallyloom.llm.packing import pack
-from tallyloom.llm.quality_gam import score_documents
+from tallyloom.llm.quality_gam import score_documents as score_quality
 from tallyloom.llm.tables import read
 from tallyloom.llm.warc import round_trip
 
@@ -24,7 +25,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return score_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op4_gru_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_likelihood(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts(spark, read(spark, sf_dir, "documents"), words=2)
 
@@ -156,6 +161,7 @@ QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
+    "op4_gru_language_model": op4_gru_language_model,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_hdc": op7_language_hdc,
