@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyloom.llm.scratch import Scratch, shuffle_partitions
+from tallyloom.llm.scratch import Scratch
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: A Bloom table never exceeds this many bits (64 MB), whatever the input.
@@ -39,9 +40,8 @@ _HASHED = "doc_id long, n_chars long, text_sha256 string"
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        digests = [hashlib.sha256((t or "").encode().translate(None, WHITE)).hexdigest() for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(digests, pa.string())],
+            [batch.column("doc_id"), pa.array([len(t or "") for t in texts], pa.int64()), _digests(batch)],
             ["doc_id", "n_chars", "text_sha256"],
         )
 
@@ -97,7 +97,10 @@ def _merge_blocks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
 
 def repeated_positions(hashed: DataFrame, bits: int) -> np.ndarray:
     """The bit table of positions that more than one row takes (at most MAX_BITS bits)."""
-    parts = hashed.select("text_sha256").mapInArrow(_partial_tables(bits), "block long, once binary, again binary")
+    return _collected(hashed.select("text_sha256").mapInArrow(_partial_tables(bits), "block long, once binary, again binary"), bits)
+
+
+def _collected(parts: DataFrame, bits: int) -> np.ndarray:
     merged = parts.groupBy("block").applyInArrow(_merge_blocks, "block long, again binary")
     table = np.zeros(bits // 8, np.uint8)
     width = BLOCK_BITS // 8
@@ -117,6 +120,65 @@ def _mark(shared, bits: int):
     return mark
 
 
+def _fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front until no column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _digests(batch: pa.RecordBatch) -> pa.Array:
+    texts = batch.column("text").to_pylist()
+    return pa.array([hashlib.sha256((t or "").encode().translate(None, WHITE)).hexdigest() for t in texts], pa.string())
+
+
+def _partial_of_texts(bits: int):
+    build = _partial_tables(bits)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return build(pa.RecordBatch.from_arrays([_digests(b)], ["text_sha256"]) for b in batches)
+
+    return of
+
+
+def _branch(shared, bits: int, repeated: bool, names: list[str]):
+    """Rows whose hash may repeat, with digest and length; or those whose hash can't."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            digests = _digests(batch)
+            pos = _positions(digests, bits)
+            hit = (table[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1
+            if repeated:
+                n = pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64())
+                batch = pa.RecordBatch.from_arrays([*batch.columns, digests, n], [*batch.schema.names, *names])
+            yield batch.filter(pa.array(hit.astype(bool) == repeated))
+
+    return pick
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The input's rows and columns, one of each group of equal texts.
+
+    Rows that can't repeat never shuffle; of the others each task keeps its best
+    per digest before the shuffle, so a group of any size sends a row a task.
+    """
+    bits = bloom_bits(docs.count())
+    parts = docs.select("text").mapInArrow(_partial_of_texts(bits), "block long, once binary, again binary")
+    shared = spark.sparkContext.broadcast(_collected(parts, bits))
+    digest, length = _fresh_names(docs.columns, "digest", "length")
+    kinds = StructType([*docs.schema.fields, StructField(digest, StringType()), StructField(length, LongType())])
+    through = docs.mapInArrow(_branch(shared, bits, False, []), docs.schema)
+    maybe = docs.mapInArrow(_branch(shared, bits, True, [digest, length]), kinds)
+    order = F.struct(F.col(length), F.col("doc_id").isNotNull(), -F.col("doc_id"))
+    best = maybe.groupBy(digest).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row")).select("row.*")
+    return through.unionByName(best)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 

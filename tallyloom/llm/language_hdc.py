@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +156,23 @@ def _predict(profiles: dict[str, np.ndarray]):
     return predict
 
 
+def _known_rows(profiles: dict[str, np.ndarray]):
+    predict = _predict(profiles)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (found,) = predict([batch.select(["text"])])
+            yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
+
+    return keep
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The input's rows and columns, without texts that have no language."""
+    profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
+    return docs.mapInArrow(_known_rows(profiles), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 

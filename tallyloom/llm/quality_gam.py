@@ -194,6 +194,20 @@ def _score_rows(model: Model):
     return score
 
 
+def _good_rows(model: Model):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([describe(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return keep
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The input's rows and columns, where the score reaches THRESHOLD."""
+    return docs.mapInArrow(_good_rows(fit(spark, docs, labels)), docs.schema)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % modulus
