@@ -2,5 +2,612 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.functions import numbers as num
+from tallyloom.functions import text as txt
+from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring
+from tallyloom.plans import analogues as an
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, day: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any.
+
+    A column of days leaves as ISO text on both sides, so that results compare
+    whatever type a client gives to dates.
+    """
+
+    def add(f):
+        QUERIES[f.__name__] = f if day is None else wraps(f)(lambda spark, sf: f(spark, sf).withColumn(day, F.col(day).cast("string")))
+        if sql is not None:
+            ORACLES[f.__name__] = sql if day is None else f"select * replace (cast({day} as varchar) as {day}) from ({sql})"
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _fitting(spark, sf):
+    return offers.comparable_units(an.offers(spark, sf), an.items(spark, sf))
+
+
+def _kept(spark, sf):
+    return offers.keep_plausible(_fitting(spark, sf))
+
+
+def _best(spark, sf):
+    return offers.cheapest(_kept(spark, sf), ["chain", "item"], an.ORDER, [*an.ORDER, "chain", "item", "price", "need_qty"])
+
+
+def _scored(spark, sf):
+    return scoring.labelled(forecast.targets(an.panel(spark, sf), "identity"))
+
+
+# Offers and baskets.
+
+
+@query(f"""with {an.OFFERS_SQL}
+select chain, round(sum(price * need_qty), 6) as total, count(*) as items_found from best group by chain""")
+def a3_basket_total_by_chain(spark, sf):
+    return _round(offers.ranked(offers.baskets(_best(spark, sf), ["chain"])), "total")
+
+
+@query("""select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey
+where n_regionkey = 1 and (n_name = 'NATION_1' or c_acctbal between 1000 and 5000 or c_mktsegment in ('BUILDING', 'MACHINERY'))""")
+def f1_area_filter(spark, sf):
+    # The predicate of the area filter over a customer's nation (locality) and balance (coordinate).
+    nation = an.table(spark, sf, "nation").where("n_regionkey = 1").select("n_nationkey", "n_name")
+    rows = an.table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    wide = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+    place = F.when(F.col("n_name") == "NATION_1", " Rosario ").when(wide, "Funes").otherwise("elsewhere")
+    lat = F.when(F.col("c_acctbal").between(1000, 5000), "-32,9").otherwise("0")
+    return rows.where(offers.in_area(F.lit(" AR-S "), place, lat, F.lit("-60,7"), wide=True)).select("c_custkey", "n_name")
+
+
+@query("""select s_suppkey, cast(s_nationkey as varchar) as chain from supplier
+where cast(s_nationkey as varchar) not in ('23') and cast(s_nationkey as varchar) in ('2','9','10','11','12','13','15','16')""")
+def f2_f3_chain_lists(spark, sf):
+    rows = an.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("chain"))
+    return offers.allowed_chains(offers.retail_only(rows))
+
+
+@query(f"""with {an.OFFERS_SQL},
+mixed as (select o.*, m.median_price from (
+    select item, case when l_linenumber = 7 then -price else price end as price, unit_name, unit from offer join item_dim using (item) where unit_name = unit) o
+  left join (select item, median(low) as median_price from (
+    select item, chain, min(price) as low from fit where l_linenumber <> 7 group by item, chain) group by item) m using (item))
+select item, case when not price > 0 then 'no price' when price < median_price * 0.15 or price > median_price * 6.5 then 'outlier' else 'kept' end as verdict,
+  count(*) as n, round(min(median_price), 6) as median_price
+from mixed group by 1, 2""")
+def f8_outlier_split(spark, sf):
+    rows = _fitting(spark, sf).withColumn("price", F.when(F.col("l_linenumber") == 7, -F.col("price")).otherwise(F.col("price")))
+    out = offers.judged(rows).groupBy("item", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("median_price").alias("median_price"))
+    return _round(out, "median_price")
+
+
+@query(f"""with {an.OFFERS_SQL} select item, round(median_price, 6) as median_price from med""")
+def a1_median_of_chain_minima(spark, sf):
+    return _round(offers.reference_prices(_fitting(spark, sf)), "median_price")
+
+
+@query("""select l_orderkey, l_linenumber, l_suppkey from lineitem where exists (
+  select 1 from supplier where s_suppkey = l_suppkey and s_acctbal > 5000)""")
+def j2_branch_semijoin(spark, sf):
+    chosen = an.table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return offers.at_selected_branches(an.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), chosen, ["l_suppkey"])
+
+
+@query("""select s_suppkey, coalesce(label, cast(s_nationkey as varchar)) as label
+from supplier left join (select n_nationkey, n_name as label from nation where n_regionkey < 2) on s_nationkey = n_nationkey""")
+def j4_label_default(spark, sf):
+    labels = an.table(spark, sf, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("label"))
+    return offers.with_label(an.table(spark, sf, "supplier"), labels, "s_nationkey", "label").select("s_suppkey", "label")
+
+
+@query(f"""with {an.OFFERS_SQL}
+select item_dim.item, c.chain, round(price, 6) as price
+from item_dim cross join (select distinct chain from best) c left join best on best.item = item_dim.item and best.chain = c.chain""")
+def j6_item_chain_grid(spark, sf):
+    best = _best(spark, sf)
+    return _round(offers.grid(best, an.items(spark, sf), best.select("chain").distinct()), "price")
+
+
+@query(f"""with {an.OFFERS_SQL}
+select chain, item, round(price, 6) as price, l_orderkey, l_linenumber, l_partkey, l_suppkey from best""")
+def a2_cheapest_offer(spark, sf):
+    return _round(_best(spark, sf), "price").select("chain", "item", "price", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(f"""with {an.OFFERS_SQL},
+levels as (select zone, chain, item, min(price) as price, min(need_qty) as need_qty from kept group by grouping sets ((zone, chain, item), (chain, item)))
+select coalesce(zone, 'all') as zone, chain, round(sum(price * need_qty), 6) as total, count(*) as items_found from levels group by 1, 2""")
+def a4_zone_baskets(spark, sf):
+    return _round(offers.zone_baskets(_kept(spark, sf), an.ORDER), "total")
+
+
+@query("""select coalesce(zone, 'all') as zone, count(*) as branches from (
+  select case when n_regionkey = 0 then 'core' else 'wide' end as zone from supplier join nation on s_nationkey = n_nationkey where s_nationkey <> 23)
+group by grouping sets ((zone), ())""")
+def a5_branch_counts(spark, sf):
+    nation = an.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.when(F.col("n_regionkey") == 0, "core").otherwise("wide").alias("zone"))
+    rows = an.table(spark, sf, "supplier").join(F.broadcast(nation), "s_nationkey").withColumn("chain", F.col("s_nationkey").cast("string"))
+    return offers.branch_counts(offers.retail_only(rows))
+
+
+@query(f"""with {an.OFFERS_SQL}
+select item, chain, round(price, 6) as price from (select *, row_number() over (partition by item order by price, chain) as k from best) where k = 1""")
+def a6_cheapest_chain(spark, sf):
+    return _round(offers.cheapest_chain(_best(spark, sf)), "price")
+
+
+@query("""select l_orderkey, l_linenumber, cast(sum(copies) as bigint) as n_rows, count(*) as n_variants, count(*) > 1 as identity_conflict from (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, count(*) as copies from lineitem group by all) group by 1, 2""")
+def a7_identity_quarantine(spark, sf):
+    return offers.identities(an.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+# Joins over time and between collections.
+
+
+@query("""with c as (select p_brand as item, cast(l_shipdate as date) as d, s_nationkey as chain, min(l_extendedprice) as price
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by all)
+select a.item, a.d, a.chain, a.price, min(b.price) as competitor_price
+from c a left join c b on a.item = b.item and a.d = b.d and a.chain <> b.chain group by a.item, a.d, a.chain, a.price""", day="d")
+def j7_competitor_min(spark, sf):
+    part = an.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
+    supplier = an.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("chain"))
+    lines = an.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("d"), F.col("l_extendedprice").alias("price"))
+    return covariates.competitor_min(lines.join(part, "l_partkey").join(supplier, "l_suppkey"))
+
+
+@query("""with m as (select date_trunc('month', o_orderdate)::date as month, round(avg(o_totalprice), 4) as v from orders group by 1),
+known as (select (last_day(month) + 60)::date as known_on, v from m),
+days as (select distinct cast(l_shipdate as date) as d from lineitem)
+select days.d, known.v as index_value from days asof left join known on days.d >= known.known_on""", day="d")
+def j8_asof_published_index(spark, sf):
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    index = an.table(spark, sf, "orders").groupBy(month.alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    days = an.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    return covariates.as_of(days, covariates.published(index))
+
+
+@query(f"""with {an.PANEL_SQL}
+select d, round(sum(abs(weekly - actual) - abs(drift5 - actual)), 6) as delta, count(*) as n from target group by d""", day="d")
+def j10_paired_targets(spark, sf):
+    t = forecast.targets(an.panel(spark, sf))
+    return _round(scoring.paired(t, t, "drift5", "weekly"), "delta")
+
+
+@query("""with p as (select distinct cast(o_orderdate as date) as d from orders)
+select cast(unnest(generate_series((select min(d) from p), (select max(d) from p), interval 1 day)) as date) as d except select d from p""", day="d")
+def j13_gap_dates(spark, sf):
+    return audit.missing_days(an.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")))
+
+
+@query("""with a as (select l_orderkey, l_linenumber, min(l_extendedprice) as price from lineitem where l_partkey % 3 <> 0 group by 1, 2),
+b as (select l_orderkey, l_linenumber, max(l_extendedprice) as price from lineitem where l_partkey % 3 <> 1 group by 1, 2)
+select l_orderkey, l_linenumber, a.price as a, b.price as b,
+  case when b.price is null then 'only_local' when a.price is null then 'only_archive' when a.price = b.price then 'same_price' else 'changed' end as status
+from a full outer join b using (l_orderkey, l_linenumber)""")
+def j14_overlap_compare(spark, sf):
+    key = ["l_orderkey", "l_linenumber"]
+    lines = an.table(spark, sf, "lineitem").select(*key, "l_partkey", "l_extendedprice")
+    a = lines.where("l_partkey % 3 <> 0").groupBy(*key).agg(F.min("l_extendedprice").alias("price"))
+    b = lines.where("l_partkey % 3 <> 1").groupBy(*key).agg(F.max("l_extendedprice").alias("price"))
+    return audit.overlap(a, b, key, "price")
+
+
+@query("""select d, id, first_seen, has_warnings from (
+  select cast(o_orderdate as date) as d, o_orderkey as id, o_orderpriority as first_seen, o_orderstatus = 'F' as has_warnings,
+    row_number() over (partition by cast(o_orderdate as date) order by o_orderstatus = 'F', o_orderpriority, o_orderkey) as r
+  from orders where o_custkey % 2 = 0) where r = 1""", day="d")
+def s11_revision_choice(spark, sf):
+    entries = an.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("first_seen"), (F.col("o_orderstatus") == "F").alias("has_warnings"), F.when(F.col("o_custkey") % 2 == 0, "link").alias("link"))
+    return audit.best_revision(entries)
+
+
+@query("""select l_orderkey as d, count(*) as revisions, bool_and(l_quantity > 2) as all_tried, bool_and(l_returnflag <> 'A') as all_mismatch,
+  bool_and(l_quantity > 2) and bool_and(l_returnflag <> 'A') as rejected from lineitem group by 1""")
+def s12_revision_verdict(spark, sf):
+    rows = an.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("d"), (F.col("l_quantity") > 2).alias("tried"), (F.col("l_returnflag") != "A").alias("mismatch"))
+    return audit.revision_verdict(rows)
+
+
+@query("""with days as (select cast(unnest(generate_series(date '1995-01-01', date '1996-12-31', interval 1 day)) as date) as d),
+have as (select distinct cast(o_orderdate as date) as d from orders where o_orderstatus = 'P'),
+link as (select distinct cast(l_shipdate as date) as d from lineitem where l_linenumber = 1)
+select d, case when d in (select d from have) then 'existing' when d not in (select d from link) then 'unavailable' else 'to do' end as state from days""", day="d")
+def t5_work_list(spark, sf):
+    have = an.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("d"))
+    link = an.table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.to_date("l_shipdate").alias("d"))
+    return audit.work_list(audit.day_range(spark, "1995-01-01", "1996-12-31"), have, link)
+
+
+# Scores.
+
+
+@query(f"""with {an.PANEL_SQL}
+select identity as "group", count(*) as n, cast(sum(case when pred_dir = real_dir then 1 else 0 end) as bigint) as hits,
+  round(avg(case when pred_dir = real_dir then 1.0 else 0.0 end), 6) as hit_rate,
+  round(avg(case when real_dir = 'estable' then 1.0 else 0.0 end), 6) as persistence_rate from scored group by 1""")
+def a8_hit_rate_by_group(spark, sf):
+    return _round(scoring.hit_rates(_scored(spark, sf).withColumnRenamed("identity", "group"), ["group"]), "hit_rate", "persistence_rate")
+
+
+@query(f"""with {an.PANEL_SQL}
+select series, round(avg(abs(drift5 - actual)), 6) as mae, round(avg(abs(drift5 - actual) / abs(actual) * 100), 4) as mape from scored group by 1""")
+def a9_mae_mape(spark, sf):
+    return _round(_round(scoring.errors(_scored(spark, sf), "drift5", ["series"]), "mae"), "mape", digits=4)
+
+
+_NAIVE_SQL = f"""{an.PANEL_SQL},
+hist as (select series, d, p as actual, list(p) filter (p is not null) over (partition by series order by d rows between 60 preceding and 1 preceding) as h from panel),
+nb as (
+  select *, len(h) as n, h[len(h)] as last,
+    list_transform(range(greatest(len(h) - 4, 1), len(h)), lambda i: h[i + 1] - h[i]) as four,
+    list_transform(range(greatest(len(h) - 6, 1), len(h)), lambda i: h[i + 1] - h[i]) as six
+  from hist where len(h) >= 1),
+mids as (
+  select *, case when n = 1 then last when n >= 3 then last + list_avg(four) else last end as mid,
+    case when n >= 4 then list_stddev_pop(six) else last * 0.03 end as spread from nb),
+band as (
+  select series, d, actual, n, mid, case when n = 1 then last * 0.97 else mid - 1.28 * spread end as low,
+    case when n = 1 then last * 1.03 else mid + 1.28 * spread end as high from mids)"""
+
+
+@query(f"""with {_NAIVE_SQL}
+select series, d, n, round(mid, 4) as mid, round(low, 4) as low, round(high, 4) as high from band""", day="d")
+def w7_naive_band(spark, sf):
+    rows = forecast.naive_band(an.panel(spark, sf)).drop("actual").withColumn("n", F.col("n").cast("long"))
+    return _round(rows, "mid", "low", "high", digits=4)
+
+
+@query(f"""with {_NAIVE_SQL}
+select round(avg(abs(actual - mid)), 6) as mae, round(avg(abs((actual - mid) / case when actual = 0 then 1.0 else actual end)) * 100, 4) as mape,
+  round(sqrt(avg((actual - mid) * (actual - mid))), 6) as rmse, round(avg(case when actual between low and high then 1.0 else 0.0 end), 6) as coverage,
+  count(*) as n from band where actual is not null and mid is not null""")
+def a10_metrics_coverage(spark, sf):
+    return _round(_round(scoring.interval_metrics(forecast.naive_band(an.panel(spark, sf))), "mae", "rmse", "coverage"), "mape", digits=4)
+
+
+_CLASS_SQL = f"""{an.PANEL_SQL},
+cls as (select unnest(['sube', 'baja', 'estable']) as class),
+t as (
+  select class, count(*) filter (pred_dir = class) as predicted, count(*) filter (real_dir = class) as actual,
+    count(*) filter (pred_dir = class and real_dir = class) as hits from cls cross join scored group by class)"""
+
+
+@query(f"""with {_CLASS_SQL},
+r as (select *, case when predicted > 0 then hits * 100.0 / predicted else 0 end as p, case when actual > 0 then hits * 100.0 / actual else 0 end as q from t)
+select class, predicted, actual, hits, round(p, 6) as precision, round(q, 6) as recall, round(case when p + q > 0 then 2 * p * q / (p + q) else 0 end, 6) as f1 from r""")
+def a11_class_stats(spark, sf):
+    return _round(scoring.class_stats(_scored(spark, sf)), "precision", "recall", "f1")
+
+
+@query(f"""with {_CLASS_SQL}
+select class, predicted, actual, hits, round(hits * 100.0 / nullif(predicted, 0), 6) as precision, round(hits * 100.0 / nullif(actual, 0), 6) as recall,
+  round(2.0 * hits / nullif(predicted + actual, 0), 6) as f1 from t""")
+def a12_class_stats_null(spark, sf):
+    return _round(scoring.class_stats(_scored(spark, sf), undefined_is_zero=False), "precision", "recall", "f1")
+
+
+@query(f"""with {an.PANEL_SQL}
+select count(*) as n, round(avg(abs(drift5 - actual)), 6) as mae, round(avg(case when pred_dir = real_dir then 1.0 else 0.0 end) * 100, 6) as direction_accuracy_pct,
+  round((1 - avg(abs(drift5 - actual)) / nullif(avg(abs(last - actual)), 0)) * 100, 4) as mae_skill_pct from scored""")
+def a14_mae_skill(spark, sf):
+    return _round(_round(scoring.skill(_scored(spark, sf), "drift5"), "mae", "direction_accuracy_pct"), "mae_skill_pct", digits=4)
+
+
+@query(f"""with {an.PANEL_SQL}
+select count(*) as moves, count(*) filter (identity <> identity_before) as identity_changes,
+  round(count(*) filter (identity <> identity_before) * 100.0 / nullif(count(*), 0), 6) as rate_pct from scored where real_dir <> 'estable'""")
+def a15_assortment_rate(spark, sf):
+    return _round(scoring.assortment_rate(_scored(spark, sf)), "rate_pct")
+
+
+def _config_metrics(spark, sf):
+    """Metrics per series and context length, as configurations."""
+    p = an.panel(spark, sf)
+    return [(name, scoring.interval_metrics(forecast.naive_band(p, days), ["series"]).withColumn("config", F.lit(name))) for name, days in (("long", 60), ("short", 7))]
+
+
+_CONFIG_SQL = f"""{an.PANEL_SQL},
+hist as (
+  select series, d, p as actual, config, case config when 'long' then h60 else h7 end as h from (
+    select series, d, p, list(p) filter (p is not null) over (partition by series order by d rows between 60 preceding and 1 preceding) as h60,
+      list(p) filter (p is not null) over (partition by series order by d rows between 7 preceding and 1 preceding) as h7 from panel)
+  cross join (select unnest(['long', 'short']) as config)),
+nb as (
+  select *, len(h) as n, h[len(h)] as last,
+    list_transform(range(greatest(len(h) - 4, 1), len(h)), lambda i: h[i + 1] - h[i]) as four,
+    list_transform(range(greatest(len(h) - 6, 1), len(h)), lambda i: h[i + 1] - h[i]) as six
+  from hist where len(h) >= 1),
+mids as (
+  select *, case when n = 1 then last when n >= 3 then last + list_avg(four) else last end as mid,
+    case when n >= 4 then list_stddev_pop(six) else last * 0.03 end as spread from nb),
+band as (
+  select series, config, actual, mid, case when n = 1 then last * 0.97 else mid - 1.28 * spread end as low,
+    case when n = 1 then last * 1.03 else mid + 1.28 * spread end as high from mids),
+per as (
+  select series, config, avg(abs(actual - mid)) as mae, avg(abs((actual - mid) / case when actual = 0 then 1.0 else actual end)) * 100 as mape,
+    sqrt(avg((actual - mid) * (actual - mid))) as rmse, avg(case when actual between low and high then 1.0 else 0.0 end) as coverage, count(*) as n
+  from band where actual is not null and mid is not null group by series, config)"""
+
+
+@query(f"""with {_CONFIG_SQL}
+select config, round(avg(mae), 6) as mae, round(avg(mape), 4) as mape, round(avg(rmse), 6) as rmse, round(avg(coverage), 6) as coverage, cast(sum(n) as bigint) as n from per group by config""")
+def a17_macro_average(spark, sf):
+    (_, a), (_, b) = _config_metrics(spark, sf)
+    return _round(_round(scoring.macro(a.unionByName(b), ["config"]), "mae", "rmse", "coverage"), "mape", digits=4)
+
+
+@query(f"""with {_CONFIG_SQL}
+select series % 10 as bucket, round(avg(mae) filter (config = 'long'), 6) as long, round(avg(mae) filter (config = 'short'), 6) as short from per group by 1""")
+def a18_pivot_mae(spark, sf):
+    (_, a), (_, b) = _config_metrics(spark, sf)
+    rows = a.unionByName(b).withColumn("bucket", F.col("series") % 10)
+    return _round(scoring.pivoted(rows, "bucket", "config", ["long", "short"]), "long", "short")
+
+
+@query(f"""with {an.PANEL_SQL}, daily as (select d, count(p) as cells from panel group by d)
+select min(cells) as min_cells, max(cells) as max_cells, cast(sum(cells) as bigint) as cells, count(*) as days from daily""")
+def a19_audit_counters(spark, sf):
+    return audit.cell_counters(an.panel(spark, sf), value="p")
+
+
+_RULES = [
+    {"id": "ring", "keywords": ["ring", "small ring"], "negatives": ["old "]},
+    {"id": "gear", "keywords": ["gear", "hot gear"], "required": [["hot"], ["red", "gear"], ["small"]]},
+    {"id": "widget", "keywords": ["widget"], "negatives": ["blue"]},
+    {"id": "bolt", "keywords": ["bolt", "blue bolt"]},
+    {"id": "cold", "keywords": ["cold", "small"]},
+]
+
+_CLASS_OF = """case
+    when p_name like '%small ring%' and p_name not like '%old %' then 'ring'
+    when p_name like '%blue bolt%' then 'bolt'
+    when p_name like '%hot gear%' then 'gear'
+    when p_name like '%widget%' and p_name not like '%blue%' then 'widget'
+    when p_name like '%small%' then 'cold'
+    when regexp_matches(p_name, '\\bring\\b') and p_name not like '%old %' then 'ring'
+    when regexp_matches(p_name, '\\bgear\\b') and (p_name like '%hot%' or (p_name like '%red%' and p_name like '%gear%') or p_name like '%small%') then 'gear'
+    when regexp_matches(p_name, '\\bbolt\\b') then 'bolt'
+    when regexp_matches(p_name, '\\bcold\\b') then 'cold' end"""
+
+
+@query(f"select p_partkey, {_CLASS_OF} as class from part")
+def m9_keyword_classifier(spark, sf):
+    return an.table(spark, sf, "part").select("p_partkey", txt.keyword_class(txt.normalize_text(F.col("p_name")), _RULES).alias("class"))
+
+
+@query(f"""with n as (select p_partkey, p_type as old, coalesce({_CLASS_OF}, '') as k from part),
+m as (select old, case when k = '' then null when p_partkey % 5 = 0 then old else k end as new from n)
+select old, new, count(*) as n, case when new is null then 'dropped' when new = old then 'unchanged' else 'changed' end as outcome from m group by 1, 2, 4""")
+def a20_rematch_diagnostics(spark, sf):
+    part = an.table(spark, sf, "part")
+    before = part.select("p_partkey", F.col("p_type").alias("item"))
+    found = txt.keyword_class(txt.normalize_text(F.col("p_name")), _RULES)
+    after = part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.when(found.isNotNull(), F.col("p_type"))).otherwise(found).alias("item"))
+    return audit.rematch(before, after, ["p_partkey"])
+
+
+@query(f"""with {an.PANEL_SQL}
+select pred_dir, count(*) as n, count(*) filter (pred_dir = real_dir) as hits from scored group by 1""")
+def a22_prediction_distribution(spark, sf):
+    return scoring.prediction_distribution(_scored(spark, sf))
+
+
+@query()
+def a16_bootstrap(spark, sf):
+    t = forecast.targets(an.panel(spark, sf))
+    return scoring.bootstrap_frame(scoring.paired(t, t, "drift5", "weekly"))
+
+
+# Panel and forecasts.
+
+
+@query(f"with {an.PANEL_SQL} select series, d, p, pf, observed from panel", day="d")
+def w1_ffill_limit2(spark, sf):
+    return an.panel(spark, sf).select("series", "d", "p", "pf", "observed")
+
+
+@query(f"""with {an.PANEL_SQL}
+select series, d, seg, n, observed and coalesce(lag(observed) over (partition by series order by d), false) as eligible from panel""", day="d")
+def w3_contiguous_segment(spark, sf):
+    return panel.eligible(an.panel(spark, sf)).select("series", "d", "seg", "n", "eligible")
+
+
+@query(f"with {an.PANEL_SQL} select series, d, round(last, 6) as last, round(actual, 6) as actual, round(drift5, 6) as drift5, history from target", day="d")
+def w5_drift5_forecast(spark, sf):
+    return _round(forecast.targets(an.panel(spark, sf)).select("series", "d", "last", "actual", "drift5", "history"), "last", "actual", "drift5")
+
+
+@query(f"""with {an.PANEL_SQL},
+v as (select *, stddev_samp(diff) over (partition by series, seg order by d rows between 5 preceding and current row) as vol from state)
+select series, d as as_of, case when abs(drift / abs(pf) * 100) < 0.8 then 'estable' when drift > 0 then 'sube' else 'baja' end as dir,
+  round(drift / abs(pf) * 100, 4) as delta_pct, round(pf + drift, 4) as pred, pf as last,
+  case when vol > abs(pf) * 0.08 then 'baja' when abs(drift) > vol * 0.5 then 'alta' else 'media' end as conf
+from v where d = (select max(d) from v) and n >= 4 and pf <> 0""", day="as_of")
+def w6_confidence(spark, sf):
+    return _round(forecast.next_day(an.panel(spark, sf)), "delta_pct", "pred", digits=4)
+
+
+@query(f"with {an.PANEL_SQL} select series, d, persistence, weekly, actual from target", day="d")
+def w9_weekly_persistence(spark, sf):
+    return forecast.targets(an.panel(spark, sf)).select("series", "d", "persistence", "weekly", "actual")
+
+
+@query(f"""with {an.PANEL_SQL},
+w as (
+  select series, d, lag(pf) over (partition by series order by d) as last, lag(n) over (partition by series order by d) as history,
+    list(p) over (partition by series order by d rows between current row and 6 following) as week from panel),
+f as (select *, list_filter(list_transform(week, lambda x: (x - last) / abs(last) * 100), lambda c: abs(c) >= 0.8) as moves
+  from w where len(week) = 7 and len(list_filter(week, lambda x: x is not null)) = 7 and last is not null and last <> 0)
+select series, d, history, last, case when len(moves) = 0 then 'estable' when moves[1] > 0 then 'sube' else 'baja' end as weekly_move from f""", day="d")
+def w11_weekly_first_move(spark, sf):
+    return forecast.first_weekly_move(an.panel(spark, sf))
+
+
+@query("""with t as (select cast(o_orderdate as date) as d, sum(o_totalprice) as total from orders group by 1),
+l as (select *, case when total > 0 and lag(total) over (order by d) > 0 then ln(total) - ln(lag(total) over (order by d)) end as r from t)
+select d, round(case when count(r) over w >= 3 then stddev_samp(r) over w end, 6) as volatility from l window w as (order by d rows between 6 preceding and current row)""", day="d")
+def w13_rolling_volatility(spark, sf):
+    return _round(covariates.rolling_volatility(an.daily_orders(spark, sf), "total").select("d", "volatility"), "volatility")
+
+
+@query(f"""with {an.PANEL_SQL}, c as (select series % 10 as grp, d, avg(pf) as value from panel group by 1, 2)
+select grp, d, round(case when count(value) over w >= 7 then stddev_samp(value) over w / avg(value) over w end, 6) as cv
+from c window w as (partition by grp order by d rows between 13 preceding and current row)""", day="d")
+def w14_rolling_cv(spark, sf):
+    daily = an.panel(spark, sf).groupBy((F.col("series") % 10).alias("grp"), "d").agg(F.avg("pf").alias("value"))
+    return _round(covariates.rolling_cv(daily, "value", "grp").select("grp", "d", "cv"), "cv")
+
+
+@query(f"""with {an.PANEL_SQL},
+r0 as (select *, pf / lag(pf) over s - 1 as r from panel window s as (partition by series, seg order by d)),
+f as (
+  select *, least(greatest(r, -0.5), 0.5) as r1,
+    least(greatest(avg(r) over (s rows between 2 preceding and current row), -0.5), 0.5) as r3,
+    least(greatest(avg(r) over (s rows between 6 preceding and current row), -0.5), 0.5) as r7,
+    least(greatest(avg(r) over (s rows between 27 preceding and current row), -0.5), 0.5) as r28,
+    least(stddev_pop(r) over (s rows between 6 preceding and current row), 0.5) as std7,
+    least(greatest(min(pf) over (s rows between 27 preceding and current row) / pf - 1, -0.5), 0.5) as low28,
+    least(greatest(max(pf) over (s rows between 27 preceding and current row) / pf - 1, -0.5), 0.5) as high28,
+    least(coalesce(n - last_value(case when abs(r) >= 0.008 then n end ignore nulls) over (s rows unbounded preceding), n - 1), 28) / 28.0 as move_age
+  from r0 window s as (partition by series, seg order by d)),
+e as (
+  select series, d, observed and coalesce(lag(observed) over w, false) as eligible, p / lag(pf) over w - 1 as target_return, lag(n) over w as history,
+    lag(r1) over w as r1, lag(r3) over w as r3, lag(r7) over w as r7, lag(r28) over w as r28, lag(std7) over w as std7,
+    lag(low28) over w as low28, lag(high28) over w as high28, lag(move_age) over w as move_age
+  from f window w as (partition by series order by d))
+select series, d, round(r1, 6) as r1, round(r3, 6) as r3, round(r7, 6) as r7, round(r28, 6) as r28, round(std7, 6) as std7, round(low28, 6) as low28,
+  round(high28, 6) as high28, round(move_age, 6) as move_age, round(target_return, 6) as target_return, isodow(d) - 1 as weekday
+from e where eligible and history >= 4""", day="d")
+def w15_features(spark, sf):
+    rows = features.examples(an.panel(spark, sf)).withColumn("weekday", F.weekday("d").cast("long"))
+    return _round(rows.select("series", "d", *features.NUMERIC, "target_return", "weekday"), *features.NUMERIC, "target_return")
+
+
+@query(f"""with {an.PANEL_SQL}
+select series, d, coalesce(last_value(p ignore nulls) over (partition by series order by d rows unbounded preceding), 100.0) as causal,
+  coalesce(last_value(p ignore nulls) over (partition by series order by d rows unbounded preceding),
+    first_value(p ignore nulls) over (partition by series order by d rows between current row and unbounded following), 100.0) as looking_ahead from panel""", day="d")
+def w20_fill_defaults(spark, sf):
+    return an.panel(spark, sf).select("series", "d", panel.fill_defaults("p", 100.0).alias("causal"), panel.fill_defaults("p", 100.0, True).alias("looking_ahead"))
+
+
+@query(day="d")
+def x1_ridge_returns(spark, sf):
+    rows = features.examples(an.panel(spark, sf)).where("r28 is not null")
+    rows, chains = features.one_hot(rows.withColumn("chain", F.col("series") % 5), "chain", [str(i) for i in range(5)])
+    return features.walk_forward_ridge(rows, 8, [*features.NUMERIC, *features.DAYS, *chains])
+
+
+@query(f"""with {an.PANEL_SQL} select series, d, cast(null as double) as external, true as failed from target""", day="d")
+def x2_external_model(spark, sf):
+    p = an.panel(spark, sf).withColumn("h", panel.context())
+    rows = forecast.targets(an.panel(spark, sf)).select("series", "d").join(p.select("series", "d", "h"), ["series", "d"])
+    return features.external_forecasts(rows)
+
+
+# Scalars.
+
+_TEXTS = """case p_partkey % 7 when 0 then ' ' || p_size || ',' || (p_partkey % 10) || ' ' when 1 then '-' || p_size when 2 then p_size || '.5'
+  when 3 then p_size || 'kg' when 4 then '0' when 5 then '' else p_size || '.000,' || p_size end"""
+
+
+@query(f"""with t as (select p_partkey, {_TEXTS} as s from part), u as (select *, replace(trim(s), ',', '.') as c from t)
+select p_partkey, case when regexp_full_match(c, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') and try_cast(c as double) > 0 then try_cast(c as double) end as number from u""")
+def m1_positive_number(spark, sf):
+    return an.table(spark, sf, "part").select("p_partkey", num.positive_number(F.expr(_TEXTS)).alias("number"))
+
+
+_UNITS = """case p_partkey % 6 when 0 then ' gr. ' when 1 then 'Kg' when 2 then 'cm3' when 3 then 'docena' when 4 then 'LTS..' else 'caja' end"""
+_SCALE = """case p_partkey % 6 when 0 then 0.001::double when 1 then 1.0::double when 2 then 0.001::double when 3 then 12.0::double when 4 then 1.0::double end"""
+
+
+@query(f"""select p_partkey, round(p_size * {_SCALE}, 9) as amount,
+  case p_partkey % 6 when 0 then 'kg' when 1 then 'kg' when 2 then 'L' when 3 then 'u' when 4 then 'L' else '?' end as base from part""")
+def m4_base_quantity(spark, sf):
+    unit = F.expr(_UNITS)
+    return _round(an.table(spark, sf, "part").select("p_partkey", num.base_quantity(F.col("p_size"), unit).alias("amount"), num.unit_base(unit).alias("base")), "amount", digits=9)
+
+
+@query(f"select p_partkey, round(p_retailprice / (p_size * {_SCALE}), 6) as unit_price from part")
+def m5_price_per_unit(spark, sf):
+    return _round(an.table(spark, sf, "part").select("p_partkey", num.price_per_unit(F.col("p_retailprice"), F.col("p_size"), F.expr(_UNITS)).alias("unit_price")), "unit_price")
+
+
+_DESCRIPTIONS = """case p_partkey % 6 when 0 then p_name || ' X ' || p_size || ' GR' when 1 then p_name || ' ' || p_size || ' x 125 g' when 2 then '75 G X ' || p_size || ' UN ' || p_name
+  when 3 then p_name || ' PAQ-' || p_size || '-gr. ' || p_size || ' g' when 4 then p_name || ' ' || p_size || ' kg 7 kg' else p_name || ' ' || p_size || ' ml' end"""
+
+
+@query("""select p_partkey, round(case p_partkey % 6 when 0 then p_size * 0.001 when 1 then p_size * 0.125 when 2 then p_size * 0.075
+  when 3 then p_size * 0.001 when 4 then case when p_size = 7 then 7.0 end end, 9)::double as amount from part""")
+def m6_description_quantity(spark, sf):
+    rows = an.table(spark, sf, "part").select("p_partkey", txt.description_quantity(F.expr(_DESCRIPTIONS), F.lit("kg")).alias("amount"))
+    return _round(rows, "amount", digits=9)
+
+
+@query("select doc_id, md5(strip_accents(lower(text))) as digest from documents")
+def m8_normalize_text(spark, sf):
+    return an.table(spark, sf, "documents").select("doc_id", F.md5(txt.normalize_text(F.col("text"))).alias("digest"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, '$' || replace(replace(replace(format('{:,.2f}', l_extendedprice), ',', '#'), '.', ','), '#', '.') as shown,
+  strftime(l_shipdate, '%d/%m/%Y') as day from lineitem""")
+def m12_es_number_format(spark, sf):
+    return an.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("$"), num.local_number(F.col("l_extendedprice"), 2)).alias("shown"), F.date_format("l_shipdate", "dd/MM/yyyy").alias("day"))
+
+
+@query("""select page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as safe from pages""")
+def m13_html_escape(spark, sf):
+    return an.table(spark, sf, "pages").select("page_id", txt.html_escape(F.col("url")).alias("safe"))
+
+
+# Presentation.
+
+
+@query(f"""with {an.OFFERS_SQL}, b as (select item, chain, price, count(*) over (partition by item) as k, min(price) over (partition by item) as low from best)
+select item, chain, round(price, 6) as price, k > 1 and price = low as best from b""")
+def v2_best_highlight(spark, sf):
+    cells = _best(spark, sf).select("item", "chain", "price", present.comparable(F.col("price"), F.lit("kg"), F.lit("kg")).alias("comparable"))
+    return _round(present.highlighted(cells).select("item", "chain", "price", "best"), "price")
+
+
+@query(f"""with {an.PANEL_SQL},
+f as (select series, d, pf as last, pf + drift as pred, drift / abs(pf) * 100 as delta_pct, n from state where d = (select max(d) from state) and n >= 4 and pf <> 0),
+c as (select series, d, case when series % 3 = 0 then p + 1 else p end as price from panel where d = (select max(d) from panel) and p is not null)
+select c.series, c.price, coalesce(abs(last - price) <= 0.011 and pred > 0, false) as shown,
+  case when abs(last - price) <= 0.011 and pred > 0 then case when abs(delta_pct) < 0.8 then 'estable' when delta_pct > 0 then 'sube' else 'baja' end end as shown_dir
+from c left join f using (series)""")
+def v4_forecast_gate(spark, sf):
+    p = an.panel(spark, sf)
+    end = p.agg(F.max("d").alias("end"))
+    last = p.where("p is not null").join(F.broadcast(end), F.col("d") == F.col("end"))
+    cells = last.select("series", F.when(F.col("series") % 3 == 0, F.col("p") + 1).otherwise(F.col("p")).alias("price"))
+    return present.with_forecast(cells, forecast.next_day(p), ["series"]).select("series", "price", "shown", "shown_dir")
+
+
+@query(f"""with {an.PANEL_SQL}, m as (select series, round(avg(abs(drift5 - actual)), 6) as mae from scored group by 1)
+(select series, mae, 'low' as "end" from m order by mae, series limit 10) union all (select series, mae, 'high' as "end" from m order by mae desc, series limit 5)""")
+def o3_top_bottom_k(spark, sf):
+    m = _round(scoring.errors(_scored(spark, sf), "drift5", ["series"]).select("series", "mae"), "mae")
+    return present.top_and_bottom(m, "mae", ["series"])
+
+
+@query(f"""with {an.ITEMS_SQL}, o as (select item, unit, coalesce(list_position(['u', 'kg'], unit), 3) as place from item_dim)
+select item, unit, cast(place as int) as place from o""")
+def o2_group_order(spark, sf):
+    rows = present.in_group_order(an.items(spark, sf), "unit", ["u", "kg"]).select("item", "unit", F.col("place").cast("int").alias("place"))
+    return rows.orderBy("place", "item")
