@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1, drawn from its code point, so no
 alphabet is fixed beforehand.  A run of three letters (word ends count as one
 letter) becomes the product of its letters' vectors, the first rolled twice and
-the second once; a text is the sum of its runs, a language the sum of its texts.
+the second once; a text is the sum of its runs, a language the sum of its texts,
+each text's runs scaled to a whole of equal size.
 The language whose sum has the largest cosine with the text's is the prediction
 and that cosine, at least 0, its score.
 
@@ -33,6 +34,9 @@ SEED = 20260
 #: Runs of letters whose vectors a worker remembers (4 KB each).
 MAX_RUNS = 16_000
 SLICE = 128
+#: A text's runs count in shares of 2**SHARE_BITS, so that one long text doesn't make the
+#: profile; shorter texts than LEAST_RUNS count for less.
+SHARE_BITS, LEAST_RUNS = 20, 100
 UNKNOWN = "und"
 _SPACE = 32
 
@@ -98,8 +102,9 @@ def _partial_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         gathered: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if len((found := runs_of(text))[0]):
-                gathered.setdefault(lang, []).append(found)
+            codes, counts = runs_of(text)
+            if len(codes):
+                gathered.setdefault(lang, []).append((codes, (counts << SHARE_BITS) // max(int(counts.sum()), LEAST_RUNS)))
         for lang, parts in gathered.items():
             codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([n for _, n in parts]))
