@@ -21,9 +21,9 @@ def highlighted(cells: DataFrame, item: str = "item", price: str = "price") -> D
     ``cells`` has one row per item and chain, a few million at most; the lowest
     and the number are aggregated and joined, not windowed, so they combine early.
     """
-    best = cells.where("comparable").groupBy(item).agg(F.min(price).alias("low"), F.count(F.lit(1)).alias("k"))
+    best = cells.where("comparable").groupBy(item).agg(F.min(price).alias("_lowest"), F.count(F.lit(1)).alias("_priced"))
     out = cells.join(best, item, "left")
-    return out.withColumn("best", F.coalesce(F.col("comparable") & (F.col("k") > 1) & (F.col(price) == F.col("low")), F.lit(False))).drop("low", "k")
+    return out.withColumn("best", F.coalesce(F.col("comparable") & (F.col("_priced") > 1) & (F.col(price) == F.col("_lowest")), F.lit(False))).drop("_lowest", "_priced")
 
 
 def with_forecast(cells: DataFrame, forecasts: DataFrame, key: Sequence[str]) -> DataFrame:

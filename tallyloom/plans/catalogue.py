@@ -266,7 +266,7 @@ band as (
 
 
 @query(f"""with {_NAIVE_SQL}
-select series, d, n, round(mid, 4) as mid, round(low, 4) as low, round(high, 4) as high from band""", day="d")
+select series, d, n, round(mid, 4) + 0.0 as mid, round(low, 4) + 0.0 as low, round(high, 4) + 0.0 as high from band""", day="d")
 def w7_naive_band(spark, sf):
     rows = forecast.naive_band(an.panel(spark, sf)).drop("actual").withColumn("n", F.col("n").cast("long"))
     return _round(rows, "mid", "low", "high", digits=4)
