@@ -92,8 +92,8 @@ def walk_forward_ridge(rows: DataFrame, test_days: int, columns: list[str]) -> D
         w, b = solve_ridge(m)
         fitted.append((day, w.tolist(), b))
     spark = rows.sparkSession
-    weights = F.broadcast(spark.createDataFrame(fitted, "d date, w array<double>, b double"))
-    r = F.aggregate(F.zip_with("w", F.array(*columns), lambda a, x: a * x), F.col("b"), lambda s, x: s + x)
+    weights = F.broadcast(spark.createDataFrame(fitted, "d date, _weights array<double>, _bias double"))
+    r = F.aggregate(F.zip_with("_weights", F.array(*columns), lambda a, x: a * x), F.col("_bias"), lambda s, x: s + x)
     return rows.join(weights, "d").select("series", "d", "last", "actual", (F.col("last") * (1 + _clip(r, CLIP))).alias("ridge"))
 
 
