@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import ship_code
+
 #: Lines that aren't records: footers and their mis-decoded forms.
 FOOTERS = ("Ultima", "Última", "Ã")
 MEMBERS = ("comercio.csv", "sucursales.csv", "productos.csv")
@@ -160,6 +162,7 @@ def archive_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     One task opens one archive; everything after is a DataFrame plan.  An inner
     ZIP that can't be read is passed over; a TAR whose tail is corrupt fails.
     """
+    ship_code(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_archive_rows, _LINES)
 
