@@ -15,9 +15,11 @@ from tallyloom.llm import exact_dedup, hyperminhash, language_hdc, quality_gam
 from tallyloom.llm.packing import pack
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.tables import read
+from tallyloom.session import ship_code
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return language_hdc.keep_known(docs)
 
 
@@ -26,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return exact_dedup.keep_one(spark, docs)
 
 

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.session import ship_code
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or one of our own if unset."""
@@ -51,6 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
         self._kept = f"{self.base}-kept"
