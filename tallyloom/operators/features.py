@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.forecast import MIN_HISTORY, MOVE
 from tallyloom.operators.panel import eligible, series_window
+from tallyloom.session import ship_code
 
 NUMERIC = ("r1", "r3", "r7", "r28", "std7", "low28", "high28", "move_age")
 DAYS = tuple(f"dow{i}" for i in range(7))
@@ -48,19 +52,32 @@ def examples(panel: DataFrame) -> DataFrame:
     return rows.withColumns(days).withColumn("target_return", F.col("actual") / F.col("last") - 1).drop("eligible")
 
 
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and day, the products of all columns (the first is 1) with each other, row after row."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        days = batch.column("d").cast(pa.int32()).to_numpy()
+        x = np.column_stack([np.ones(len(days)), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])])
+        usable = np.isfinite(x).all(axis=1)
+        for day in np.unique(days[usable]).tolist():
+            own = x[usable & (days == day)]
+            sums[day] = sums.get(day, 0) + own.T @ own
+    for day, m in sums.items():
+        k = m.size
+        yield pa.RecordBatch.from_arrays([pa.array([day] * k, pa.int32()).cast(pa.date32()), pa.array(range(k), pa.int32()), pa.array(m.ravel())], ["d", "k", "v"])
+
+
 def _moments(rows: DataFrame, columns: list[str], target: str) -> tuple[list, np.ndarray]:
-    """Days, and per day the number, sums and cross products of the columns and the target: one aggregation."""
+    """Days, and per day the matrix of sums and cross products of 1, the columns and the target.
+
+    A task sends one small matrix a day; the driver gets one a day.
+    """
+    ship_code(rows.sparkSession)
     x = [*columns, target]
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
-    cross = [F.sum(F.col(a) * F.col(b)).alias(f"c{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j]
-    days = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), *sums, *cross).orderBy("d").collect()  # one row a day
-    k = len(x)
-    out = np.zeros((len(days), k + 1, k + 1))
-    for m, r in zip(out, days, strict=True):
-        m[0, 0] = r["n"]
-        m[0, 1:] = m[1:, 0] = [r[f"s{i}"] for i in range(k)]
-        m[1:, 1:] = [[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-    return [r["d"] for r in days], out
+    parts = rows.select("d", *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x))).mapInArrow(_partial_moments, "d date, k int, v double")
+    days = parts.groupBy("d", "k").agg(F.sum("v").alias("v")).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("m")).orderBy("d").collect()
+    size = len(x) + 1
+    return [r["d"] for r in days], np.array([[c["v"] for c in r["m"]] for r in days]).reshape(-1, size, size)
 
 
 def solve_ridge(moments: np.ndarray, alpha: float = ALPHA) -> tuple[np.ndarray, float]:
@@ -103,6 +120,7 @@ def external_forecasts(contexts: DataFrame, predict=None) -> DataFrame:
     Equal contexts are asked once; without a model, or where it fails, the
     forecast is null and counted, never replaced.
     """
+    ship_code(contexts.sparkSession)
     if predict is None:
         return contexts.select("series", "d", F.lit(None).cast("double").alias("external"), F.lit(True).alias("failed"))
 
