@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from tallyloom.llm.scratch import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers, and the text it splits at a time.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CHUNK_CHARS = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,11 +75,17 @@ class WordEncoder:
             begin = end
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a worker, whose memory of words outlives a task."""
+    return WordEncoder(path)
+
+
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     """Rows of pieces, each with its task and its rank there among equal lengths."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, task = _encoder(path), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         close = np.array([end_id], "<u4").tobytes()
         for batch in batches:
