@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from tallyloom.llm.scratch import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other at most, and none that hangs holds others."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    roles = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return roles.where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -26,8 +29,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     oriented = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = scratch.table(oriented, "edges")
-    state = _state(now)
-    while state[0]:
+    while not _is_stars(now):
         # Large star: the larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
@@ -38,7 +40,4 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = scratch.table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        before, state = state, _state(now)
-        if before == state:
-            break
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
