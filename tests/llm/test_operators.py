@@ -478,7 +478,7 @@ def test_language_model_of_nothing(spark):
 def test_network_gradients_and_state():
     rng = np.random.default_rng(1)
     flat = gru.fresh(np.ones(gru.HEAD + gru.TAIL)).astype(np.float64)
-    texts = [np.append(rng.integers(1, 300, 9), 0), np.append(rng.integers(1, 4100, 9), 0)]
+    texts = [np.append(rng.integers(1, 300, 9), 0), np.append(rng.integers(1, gru.HEAD + gru.TAIL, 9), 0)]
     before = gru.score(flat, texts, 0)
     # Scores don't depend on what else is in the batch, nor on where windows end.
     assert gru.score(flat, texts[:1], 0)[0] == pytest.approx(before[0])
@@ -488,6 +488,12 @@ def test_network_gradients_and_state():
     assert gru.score(trainer.flat, texts, 0).sum() > before.sum() + 1
 
 
+def test_network_trains_on_windows_without_frequent_words():
+    trainer = gru.Trainer(gru.fresh(np.ones(gru.HEAD + gru.TAIL)))
+    trainer.train([np.full(40, gru.HEAD + 3)], 0, 2)
+    assert trainer.seen == 40 and np.isfinite(trainer.flat).all()
+
+
 def test_network_probabilities_sum_to_one():
     p = gru.unpack(gru.fresh(np.arange(gru.HEAD + gru.TAIL)))
     state = np.full((1, gru.HIDDEN), 0.3, np.float32)
