@@ -475,6 +475,17 @@ def test_language_model_of_nothing(spark):
     assert only["n_tokens"] == 1 and only["train_tokens"] == 0 and not only["held_out"]
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "WARM_UP", 0)
+    docs = documents(spark, [(i, f"word{i} word{i} word{i}") for i in range(60)]).select("doc_id", "text")
+    with Scratch(spark, "taught") as scratch:
+        v = language_model.vocabulary(language_model.count_words(scratch, docs))
+        flat = language_model.learn(spark, docs, spark.sparkContext.broadcast(v), 60)
+    # The vector of a word moves only where a text with that word has trained the network.
+    moved = gru.unpack(flat)["inputs"] != gru.unpack(gru.fresh(v.symbol_counts()))["inputs"]
+    assert v.heads == 61 and moved[: v.heads].any(axis=1).all()
+
+
 def test_network_gradients_and_state():
     rng = np.random.default_rng(1)
     flat = gru.fresh(np.ones(gru.HEAD + gru.TAIL)).astype(np.float64)
