@@ -41,16 +41,11 @@ UNKNOWN = "und"
 _SPACE = 32
 
 
-def _is_letter(points: np.ndarray) -> np.ndarray:
-    kinds = ts.KINDS[points]
-    return (kinds == ts.LOWER) | (kinds == ts.UPPER) | ((kinds == ts.OTHER) & (points >= 0x3000))
-
-
 def runs_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of three letters in a text, as 63-bit codes, and their counts."""
     empty = np.empty(0, np.int64)
     points = ts.code_points((text or "").lower()).astype(np.int64)
-    letter = _is_letter(points)
+    letter = ts.LETTERS[points]
     if not letter.any():
         return empty, empty
     points[~letter] = _SPACE

@@ -31,7 +31,13 @@ def _kinds() -> np.ndarray:
     return table
 
 
+def _letters() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(cp))[0] == "L" for cp in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 KINDS = _kinds()
+#: Whether a code point is a letter, for all of Unicode.
+LETTERS = _letters()
 
 
 def code_points(text: str) -> np.ndarray:

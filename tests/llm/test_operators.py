@@ -398,6 +398,17 @@ def test_language_of_held_out_texts(spark):
     assert "score" in kept.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["lang_pred"] != "und"}
 
 
+def test_language_of_texts_without_letters_beyond_the_basic_alphabets(spark):
+    blank = ["😀😀 🎉", "。！", "\ufffd\ufffd", "０１２", "\ue000\uf8ff", "𝟘𝟙 \U000f0000"]
+    rows = language_rows() + [(2000 + i, t, None) for i, t in enumerate(blank)] + [(2100, "漢字かな", None)]
+    got = {r["doc_id"]: r for r in language_hdc.identify(spark, documents(spark, rows)).collect()}
+    assert all((got[2000 + i]["lang_pred"], got[2000 + i]["score"]) == ("und", 0.0) for i in range(len(blank)))
+    assert got[2100]["lang_pred"] != "und"
+    assert {r["doc_id"] for r in language_hdc.keep_known(documents(spark, rows)).where("doc_id >= 2000").collect()} == {2100}
+    # Nor do such characters enter the runs of a text.
+    assert all((x == y).all() for x, y in zip(language_hdc.runs_of("añb😀。cd\ufffd"), language_hdc.runs_of("añb cd "), strict=True))
+
+
 def test_language_bundle_matches_brute_force():
     runs = language_hdc.Runs()
     codes, counts = language_hdc.runs_of("Añb ab")
