@@ -161,14 +161,20 @@ def _known_rows(profiles: dict[str, np.ndarray]):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (found,) = predict([batch.select(["text"])])
-            yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
+            if profiles:
+                (found,) = predict([batch.select(["text"])])
+                yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
+            else:
+                yield batch.filter(pa.array([len(runs_of(t)[0]) > 0 for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return keep
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The input's rows and columns, without texts that have no language."""
+    """The input's rows and columns, without texts that have no language.
+
+    If no language could be learned, only texts without a letter go.
+    """
     profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
     return docs.mapInArrow(_known_rows(profiles), docs.schema)
 

@@ -426,6 +426,11 @@ def test_language_without_teachers(spark):
     assert language_hdc.identify(spark, documents(spark, [])).count() == 0
 
 
+def test_language_stage_without_teachers_keeps_texts_with_letters(spark):
+    rows = [(1, "some text", None), (2, None, None), (3, "漢字", None), (4, "12 !!", None), (5, "", None), (None, "é", None)]
+    assert {r["doc_id"] for r in language_hdc.keep_known(documents(spark, rows)).collect()} == {1, 3, None}
+
+
 # Quality.
 
 
