@@ -82,8 +82,8 @@ class Scratch:
             if folder.split(":", 1)[-1].lstrip("/").startswith(self.base.split(":", 1)[-1].lstrip("/")):
                 delete(self.spark, folder)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self._kept}/result"
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        path = f"{self._kept}/{name}"
         df.write.parquet(path)
         atexit.register(_delete_at_exit, self.spark, self._kept)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -129,6 +129,15 @@ def test_near_duplicates_match_brute_force(spark, k):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i} and "score" in kept.columns
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    a, b, c, d, e, f = (prose(s, 60) for s in range(50, 56))
+    rows = [(3, b + " end"), (5, a), (5, b), (7, c), (7, c + " end"), (8, d), (8, d), (None, e), (9, e), (None, f), (None, f), (5, None), (None, None), (11, "")]
+    kept = hyperminhash.keep_one(spark, documents(spark, rows))
+    texts = Counter((r["doc_id"], r["text"].removesuffix(" end") if r["text"] else r["text"]) for r in kept.collect())
+    assert kept.columns == documents(spark, rows).columns
+    assert texts == Counter([(3, b), (5, a), (7, c), (8, d), (9, e), (None, f), (5, None), (None, None), (11, "")])
+
+
 def test_near_duplicates_find_links_that_miss_the_leader(spark):
     # A chain of texts, each near the next only: most pairs of a band's group don't link.
     words = prose(9, 100).split()
