@@ -3,31 +3,36 @@
 Symbols are HEAD frequent words, then TAIL classes of all others.  The output is
 a softmax over classes and, for a frequent word, one over its class of CLASS
 words.  Training is by back-propagation through windows of WINDOW steps with the
-state carried from window to window, and Adagrad steps; scoring carries the
-state through a whole text.
+state carried from window to window through a whole text, and Adagrad steps;
+scoring carries the state through a whole text too.
+
+Arrays hold units in rows and texts in columns: a gate is then a block of rows,
+and every operation runs over long contiguous rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-HIDDEN, HEAD, CLASS, TAIL = 24, 2048, 32, 32
-CLASSES = HEAD // CLASS + TAIL
-WINDOW, LANES, RATE = 16, 128, 0.08
-#: Training begins a state anew after so many symbols of one text, so that a long text fills several lanes.
-STRETCH = 512
-#: Texts scored together end at so many symbols; of these, so many of like length run side by side.
-BATCH_SYMBOLS, SIDE_BY_SIDE = 4_000_000, 1024
-#: Steps between evaluations of the output: so many, or as many as make about FEW rows.
-SCORE_WINDOW, FEW = 16, 1024
+HIDDEN, HEAD, CLASS, TAIL = 24, 2048, 64, 32
+WORD_CLASSES = HEAD // CLASS
+CLASSES = WORD_CLASSES + TAIL
+WINDOW, LANES, RATE = 16, 256, 0.08
+#: Steps laid out at a time while training.
+LAID = 256
+#: Texts of like length that are scored side by side, and symbols evaluated at a time.
+SIDE_BY_SIDE, EVALUATED = 1024, 16_384
+#: Logits below this need no shift before the exponential in single precision.
+SAFE = 60.0
 
 
 def _shapes() -> dict[str, tuple[int, ...]]:
     return {
-        "inputs": (HEAD + TAIL, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "recur_bias": (3 * HIDDEN,),
-        "class_out": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word_out": (HEAD, HIDDEN), "word_bias": (HEAD,),
+        "inputs": (3 * HIDDEN, HEAD + TAIL), "recur": (3 * HIDDEN, HIDDEN), "recur_bias": (3 * HIDDEN, 1),
+        "class_out": (CLASSES, HIDDEN), "class_bias": (CLASSES, 1), "word_out": (HEAD, HIDDEN), "word_bias": (HEAD, 1),
     }
 
 
@@ -54,74 +59,92 @@ def fresh(symbol_counts: np.ndarray, seed: int = 7) -> np.ndarray:
     p["class_out"][:] = rng.normal(0, 0.05, p["class_out"].shape)
     counts = symbol_counts.astype(np.float64) + 0.01
     head = counts[:HEAD].reshape(-1, CLASS)
-    p["word_bias"][:] = np.log(head / head.sum(axis=1, keepdims=True)).ravel()
+    p["word_bias"][:, 0] = np.log(head / head.sum(axis=1, keepdims=True)).ravel()
     classes = np.concatenate((head.sum(axis=1), counts[HEAD:]))
-    p["class_bias"][:] = np.log(classes / classes.sum())
+    p["class_bias"][:, 0] = np.log(classes / classes.sum())
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-
-
-def _step(p: dict[str, np.ndarray], h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, tuple]:
-    x = p["inputs"][symbols]
-    a = h @ p["recur"] + p["recur_bias"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = a[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * inner)
-    return n + z * (h - n), (h, z, r, inner, n)
-
-
 def class_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < HEAD, symbols // CLASS, symbols - HEAD + HEAD // CLASS)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
-def _log_picked(x: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Log-softmax of one column per row; ``x`` is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    out = x[np.arange(len(x)), picked].astype(np.float64)
-    np.exp(x, out=x)
-    return out - np.log(x.sum(axis=1))
-
-
-def _by_class(classes: np.ndarray, head: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of each class of frequent words."""
-    rows = np.flatnonzero(head)
-    if not len(rows):
-        return
-    order = rows[np.argsort(classes[rows], kind="stable")]
-    present, starts = np.unique(classes[order], return_index=True)
-    for c, i, j in zip(present.tolist(), starts, [*starts[1:], len(order)], strict=True):
-        yield c, order[i:j]
+    return np.where(symbols < HEAD, symbols // CLASS, symbols - (HEAD - WORD_CLASSES))
+
+
+def _is_safe(p: dict[str, np.ndarray], kind: str) -> bool:
+    """Whether no logit can leave the safe range; states lie between -1 and 1."""
+    return float((np.abs(p[f"{kind}_out"]).sum(axis=1) + np.abs(p[f"{kind}_bias"][:, 0])).max()) < SAFE
+
+
+def _exp(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """In place, the exponentials by column; returns what was taken off each column's logits."""
+    shift = np.zeros(logits.shape[1], logits.dtype) if safe else logits.max(axis=0)
+    if not safe:
+        logits -= shift
+    np.exp(logits, out=logits)
+    return shift
+
+
+def _words_by_class(symbols: np.ndarray, classes: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[slice, slice]]]:
+    """Columns of frequent words ordered by class; for each class its rows of words and its part of the order."""
+    at = np.flatnonzero(use)
+    order = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
+    bounds = np.searchsorted(classes[order], np.arange(WORD_CLASSES + 1)).tolist()
+    return order, ((slice(c * CLASS, (c + 1) * CLASS), slice(i, j)) for c, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)) if i < j)
+
+
+class _Steps:
+    """The network over a block of steps, keeping what back-propagation needs."""
+
+    def __init__(self, p: dict[str, np.ndarray], symbols: np.ndarray):
+        steps, width = symbols.shape
+        self.p, self.shape, size = p, symbols.shape, (HIDDEN, steps, width)
+        self.given = p["inputs"].take(symbols.ravel(), axis=1).reshape(3 * HIDDEN, steps, width)
+        self.given[: 2 * HIDDEN] += p["recur_bias"][: 2 * HIDDEN, :, None]
+        self.gates = np.empty((2 * HIDDEN, steps, width), p["recur"].dtype)
+        self.before, self.inner, self.new, self.states = (np.empty(size, p["recur"].dtype) for _ in range(4))
+
+    def run(self, t: int, h: np.ndarray) -> np.ndarray:
+        """Step t of the first columns, from their state; returns their next state."""
+        n, p = h.shape[1], self.p
+        a = p["recur"] @ h
+        gates = self.given[: 2 * HIDDEN, t, :n] + a[: 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        inner = a[2 * HIDDEN :]
+        inner += p["recur_bias"][2 * HIDDEN :]
+        new = gates[HIDDEN:] * inner
+        new += self.given[2 * HIDDEN :, t, :n]
+        np.tanh(new, out=new)
+        state = h - new
+        state *= gates[:HIDDEN]
+        state += new
+        for held, now in ((self.before, h), (self.gates, gates), (self.inner, inner), (self.new, new), (self.states, state)):
+            held[:, t, :n] = now
+        return state
 
 
 def log_probabilities(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log of each target symbol's probability (of a tail symbol, of its class)."""
+    """Natural log of each target symbol's probability (of a tail symbol, of its class); states by column."""
     classes = class_of(targets)
-    out = _log_picked(states @ p["class_out"] + p["class_bias"], classes)
-    if len(targets) <= FEW:  # one product for all classes
-        rows = np.flatnonzero(targets < HEAD)
-        own = classes[rows]
-        inner = np.einsum("nch,nh->nc", p["word_out"].reshape(-1, CLASS, HIDDEN)[own], states[rows])
-        out[rows] += _log_picked(inner + p["word_bias"].reshape(-1, CLASS)[own], targets[rows] % CLASS)
-        return out
-    for c, rows in _by_class(classes, targets < HEAD):
-        words = slice(c * CLASS, (c + 1) * CLASS)
-        out[rows] += _log_picked(states[rows] @ p["word_out"][words].T + p["word_bias"][words], targets[rows] - c * CLASS)
+    logits = p["class_out"] @ states
+    logits += p["class_bias"]
+    out = logits[classes, np.arange(len(targets))].astype(np.float64)
+    out -= _exp(logits, _is_safe(p, "class"))
+    out -= np.log(logits.sum(axis=0))
+    order, parts = _words_by_class(targets, classes, targets < HEAD)
+    own, wanted, found, safe = states.take(order, axis=1), targets[order] % CLASS, np.empty(len(order)), _is_safe(p, "word")
+    for words, at in parts:
+        logits = p["word_out"][words] @ own[:, at]
+        logits += p["word_bias"][words]
+        picked = logits[wanted[at], np.arange(at.stop - at.start)].astype(np.float64)
+        picked -= _exp(logits, safe)
+        found[at] = picked - np.log(logits.sum(axis=0))
+    out[order] += found
     return out
 
 
-def score(flat: np.ndarray, texts: list[np.ndarray], end: int) -> np.ndarray:
+def score(flat: np.ndarray, texts: Sequence[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each text of symbols; every text ends with ``end`` and begins after one."""
     p = unpack(flat)
     out = np.empty(len(texts))
@@ -136,26 +159,23 @@ def _score_group(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) ->
     """Texts of falling length, step by step; those that have ended drop out."""
     lengths = np.array([len(t) for t in texts])
     total = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), p["recur"].dtype)
-    before = np.full(len(texts), end, np.int64)
-    at, longest = 0, int(lengths[0]) if len(lengths) else 0
+    h = np.zeros((HIDDEN, len(texts)), p["recur"].dtype)
+    at, longest = 0, int(lengths[0])
     while at < longest:
         live = int(np.searchsorted(-lengths, -at, side="left"))  # texts longer than `at`
-        steps = min(max(SCORE_WINDOW, FEW // live), longest - at)
-        block = np.zeros((steps, live), np.int64)
+        steps = min(max(WINDOW, EVALUATED // live), longest - at)
+        block = np.full((steps + 1, live), end, np.int16)
         for k in range(live):
-            part = texts[k][at : at + steps]
-            block[: len(part), k] = part
-        running = np.searchsorted(-lengths, -(at + np.arange(steps)), side="left").tolist()
-        states, targets, owners = [], [], []
-        for now, n in zip(block, running, strict=True):
-            h = _step(p, h[:n], before[:n])[0]
-            before = now[:n]
-            states.append(h)
-            targets.append(before)
-            owners.append(np.arange(n))
-        logs = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), logs, len(texts))
+            part = texts[k][max(0, at - 1) : at + steps]
+            begin = 0 if at else 1
+            block[begin : begin + len(part), k] = part
+        running = np.searchsorted(-lengths, -(at + np.arange(steps)), side="left")
+        net = _Steps(p, block[:-1])
+        for t, n in enumerate(running.tolist()):
+            h = net.run(t, h[:, :n])
+        there = np.arange(live) < running[:, None]
+        logs = log_probabilities(p, net.states.reshape(HIDDEN, -1)[:, there.ravel()], block[1:][there])
+        total[:live] += np.bincount(np.nonzero(there)[1], logs, live)
         at += steps
     return total
 
@@ -165,89 +185,127 @@ class Trainer:
 
     def __init__(self, flat: np.ndarray, squares: np.ndarray | None = None, rate: float = RATE):
         self.flat = flat.astype(np.float32).copy()
-        self.squares = np.full(SIZE, 1e-4, np.float32) if squares is None else squares.copy()
-        self.p, self.s, self.rate = unpack(self.flat), unpack(self.squares), rate
+        self.squares = np.full(SIZE, 1e-4, np.float32) if squares is None else squares.astype(np.float32).copy()
+        self.p, self.s, self.rate = unpack(self.flat), unpack(self.squares), np.float32(rate)
         self.seen = 0
 
-    def _update(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        s = self.s[name][rows] + gradient * gradient
-        self.s[name][rows] = s
-        self.p[name][rows] -= self.rate * gradient / np.sqrt(s)
-
-    def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """One update from (steps, lanes) arrays; returns the state to carry on."""
-        p, steps = self.p, len(inputs)
-        kept, states = [], []
+    def _update(self, name: str, gradient: np.ndarray, at=...) -> None:
+        s = gradient * gradient
+        s += self.s[name][at]
+        self.s[name][at] = s
+        np.sqrt(s, out=s)
+        np.divide(gradient, s, out=s)
+        s *= self.rate
+        self.p[name][at] -= s
+
+    def window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray | None, end: int) -> np.ndarray:
+        """One update from (steps, lanes) arrays; returns the states to carry on.
+
+        A lane's state is fresh after every ``end``; where ``live`` is false (None: nowhere) nothing is learned.
+        """
+        p, steps, width = self.p, *inputs.shape
+        starts = inputs == end
+        begins = starts.any(axis=1).tolist()
+        net = _Steps(p, inputs)
         for t in range(steps):
-            h = np.where(begins[t][:, None], np.float32(0), h)
-            h, saved = _step(p, h, inputs[t])
-            kept.append(saved)
-            states.append(h)
-        flat_states = np.concatenate(states)
-        goal, weight = targets.ravel(), live.ravel()
-        count = max(1, int(weight.sum()))
-        classes = class_of(goal)
-        d = _softmax(flat_states @ p["class_out"] + p["class_bias"])
-        d[np.arange(len(goal)), classes] -= 1
-        d *= (weight / count)[:, None]
-        back = d @ p["class_out"].T
-        class_step, class_bias_step = flat_states.T @ d, d.sum(axis=0)
-        for c, rows in _by_class(classes, (goal < HEAD) & (weight > 0)):
-            words = slice(c * CLASS, (c + 1) * CLASS)
-            e = _softmax(flat_states[rows] @ p["word_out"][words].T + p["word_bias"][words])
-            e[np.arange(len(rows)), goal[rows] - c * CLASS] -= 1
-            e /= count
-            back[rows] += e @ p["word_out"][words]
-            self._update("word_out", e.T @ flat_states[rows], words)
-            self._update("word_bias", e.sum(axis=0), words)
-        back = back.reshape(steps, -1, HIDDEN)
-        dh = np.zeros_like(h)
-        d_recur, d_bias = np.zeros_like(p["recur"]), np.zeros_like(p["recur_bias"])
-        d_inputs = np.empty((steps, inputs.shape[1], 3 * HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            before, z, r, inner, n = kept[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            da = np.concatenate((dz, dr, dn * r), axis=1)
-            d_inputs[t] = np.concatenate((dz, dr, dn), axis=1)
-            d_recur += before.T @ da
-            d_bias += da.sum(axis=0)
-            dh = np.where(begins[t][:, None], np.float32(0), dh * z + da @ p["recur"].T)
-        symbols = inputs.ravel()
-        order = np.argsort(symbols, kind="stable")
-        used, starts = np.unique(symbols[order], return_index=True)
-        self._update("inputs", np.add.reduceat(d_inputs.reshape(len(symbols), -1)[order], starts, axis=0), used)
-        for name, g in (("recur", d_recur), ("recur_bias", d_bias), ("class_out", class_step), ("class_bias", class_bias_step)):
-            self._update(name, g)
+            if begins[t]:
+                h = np.where(starts[t], np.float32(0), h)
+            h = net.run(t, h)
+        states, goal = net.states.reshape(HIDDEN, -1), targets.ravel()
+        use = np.ones(len(goal), bool) if live is None else live.ravel()
+        count = int(use.sum())
         self.seen += count
+        back = self._output(states, goal, use, np.float32(1 / count)).reshape(HIDDEN, steps, width)
+        self._recurrent(net, back, inputs, starts, begins)
         return h
 
-    def train(self, texts: Iterable[np.ndarray], end: int, lanes: int = LANES) -> None:
-        """One pass over texts of symbols, each ending with ``end``."""
-        source = (t[i : i + STRETCH] for t in texts for i in range(0, len(t), STRETCH))
-        streams: list[np.ndarray | None] = [None] * lanes
-        at = [0] * lanes
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        while True:
-            inputs, targets = np.full((WINDOW, lanes), end, np.int64), np.full((WINDOW, lanes), end, np.int64)
-            begins, live = np.zeros((WINDOW, lanes), bool), np.zeros((WINDOW, lanes), np.float32)
-            for k in range(lanes):
-                t = 0
-                while t < WINDOW:
-                    if streams[k] is None or at[k] >= len(streams[k]):
-                        streams[k], at[k] = next(source, None), 0
-                        if streams[k] is None:
-                            break
-                    text, i = streams[k], at[k]
-                    n = min(WINDOW - t, len(text) - i)
-                    targets[t : t + n, k] = text[i : i + n]
-                    inputs[t : t + n, k] = text[i - 1 : i + n - 1] if i else np.concatenate(([end], text[: n - 1]))
-                    begins[t, k] = i == 0
-                    live[t : t + n, k] = 1
-                    t, at[k] = t + n, i + n
-            used = np.flatnonzero(live.any(axis=0))
-            if not len(used):
-                return
-            h[used] = self.window(h[used], *(x[:, used] for x in (inputs, targets, begins, live)))
+    def _output(self, states: np.ndarray, goal: np.ndarray, use: np.ndarray, share: np.float32) -> np.ndarray:
+        """Updates the output's weights; returns the gradient of the states."""
+        p, classes, columns = self.p, class_of(goal), np.arange(len(goal))
+        d = p["class_out"] @ states
+        d += p["class_bias"]
+        _exp(d, _is_safe(p, "class"))
+        d *= share / d.sum(axis=0)
+        d[classes, columns] -= share
+        if not use.all():
+            d *= use
+        back = p["class_out"].T @ d
+        order, parts = _words_by_class(goal, classes, use & (goal < HEAD))
+        own, wanted, own_back, safe = states.take(order, axis=1), goal[order] % CLASS, np.empty((HIDDEN, len(order)), np.float32), _is_safe(p, "word")
+        for words, at in parts:
+            weights, mine = p["word_out"][words], own[:, at]
+            e = weights @ mine
+            e += p["word_bias"][words]
+            _exp(e, safe)
+            e *= share / e.sum(axis=0)
+            e[wanted[at], columns[: at.stop - at.start]] -= share
+            own_back[:, at] = weights.T @ e
+            self._update("word_out", e @ mine.T, words)
+            self._update("word_bias", e.sum(axis=1, keepdims=True), words)
+        back[:, order] += own_back
+        self._update("class_out", d @ states.T)
+        self._update("class_bias", d.sum(axis=1, keepdims=True))
+        return back
+
+    def _recurrent(self, net: _Steps, back: np.ndarray, inputs: np.ndarray, starts: np.ndarray, begins: list[bool]) -> None:
+        p, (steps, width) = self.p, inputs.shape
+        z, r = net.gates[:HIDDEN], net.gates[HIDDEN:]
+        closed = 1 - z
+        by_gate = net.before - net.new
+        by_gate *= z
+        by_gate *= closed
+        by_new = 1 - net.new * net.new
+        by_new *= closed
+        by_reset = net.inner * r
+        by_reset *= 1 - r
+        given = np.empty((3 * HIDDEN, steps, width), np.float32)  # gradients of what the inputs gave
+        carried = np.empty((HIDDEN, steps, width), np.float32)  # and of the state's part of the new state
+        dh = np.zeros((HIDDEN, width), np.float32)
+        turned = np.ascontiguousarray(p["recur"].T)
+        for t in range(steps - 1, -1, -1):
+            dh += back[:, t]
+            a = np.empty((3 * HIDDEN, width), np.float32)
+            np.multiply(dh, by_gate[:, t], out=a[:HIDDEN])
+            new = dh * by_new[:, t]
+            np.multiply(new, by_reset[:, t], out=a[HIDDEN : 2 * HIDDEN])
+            np.multiply(new, r[:, t], out=a[2 * HIDDEN :])
+            given[: 2 * HIDDEN, t], given[2 * HIDDEN :, t], carried[:, t] = a[: 2 * HIDDEN], new, a[2 * HIDDEN :]
+            dh *= z[:, t]
+            dh += turned @ a
+            if begins[t]:
+                dh = np.where(starts[t], np.float32(0), dh)
+        flat = given.reshape(3 * HIDDEN, -1)
+        by_state = np.concatenate((flat[: 2 * HIDDEN], carried.reshape(HIDDEN, -1)))
+        symbols = inputs.ravel()
+        order = np.argsort(symbols, kind="stable")
+        found = symbols[order]
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        self._update("inputs", np.add.reduceat(flat.take(order, axis=1), first, axis=1), (slice(None), found[first]))
+        self._update("recur", by_state @ net.before.reshape(HIDDEN, -1).T)
+        self._update("recur_bias", by_state.sum(axis=1, keepdims=True))
+
+    def train(self, texts: Sequence[np.ndarray], end: int, lanes: int = LANES) -> None:
+        """One pass over texts of symbols, each ending with ``end``; every text goes whole to the shortest lane."""
+        if not len(texts):
+            return
+        lanes = min(lanes, len(texts))
+        shortest, laid = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for text in texts:
+            n, k = shortest[0]
+            laid[k].append(text)
+            heapq.heapreplace(shortest, (n + len(text), k))
+        streams = sorted((np.concatenate(x) for x in laid), key=len, reverse=True)
+        lengths = np.array([len(s) for s in streams])
+        h = np.zeros((HIDDEN, lanes), np.float32)
+        for at in range(0, int(lengths[0]), LAID):
+            live = int((lengths > at).sum())
+            block = np.full((LAID + 1, live), end, np.int16)
+            for k in range(live):
+                part = streams[k][max(0, at - 1) : at + LAID]
+                begin = 0 if at else 1
+                block[begin : begin + len(part), k] = part
+            for i in range(0, min(LAID, int(lengths[0]) - at), WINDOW):
+                width = int((lengths > at + i).sum())
+                inputs, targets = (np.ascontiguousarray(block[j : j + WINDOW, :width]) for j in (i, i + 1))
+                there = at + i + np.arange(WINDOW)[:, None] < lengths[:width]
+                h = self.window(h[:, :width], inputs, targets, None if there.all() else there, end)

@@ -4,16 +4,18 @@ Words of all training documents are counted; the counts give the base score, the
 frequent words and suffix classes of the network, and the distribution of other
 words within a suffix class (absolute discounting; what the discount frees goes
 to unseen words).  The network starts from the unigram frequencies, is trained
-once over about WARM_UP documents, and then over all training documents: every
-task trains on its share, and the weights are averaged by the symbols seen.
+once by one task on about WARM_TOKENS tokens, and then on all training documents
+in groups of about GROUP_TOKENS: each group moves the weights, and the moves are
+averaged by the symbols seen.  A text is never cut, and its state never dropped.
 
-The words that any task must know (at most DICTIONARY) are broadcast.  Rarer
+Texts are split into words twice, to count and to store their symbols; training
+and scoring read the stored symbols.  The words that any task must know (at most DICTIONARY) are broadcast.  Rarer
 words of a document leave as rows, and meet the table of counts in a join.
 
 Defined cases: a null text counts as empty: it has one token, its end; without
 training documents the counts are 0 and the network stays as it began; a null id
-is neither held out nor learned from; repeated rows are rows of their own; an
-empty table gives an empty result.
+is neither held out nor learned from; repeated rows are rows of their own, learned
+from as often as they occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import gru
-from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.scratch import Scratch, shuffle_partitions
 
 DICTIONARY = 131_072
-WARM_UP = 2_000
+#: Tokens, on average, that one task learns from first, and that a group holds afterwards.
+WARM_TOKENS, GROUP_TOKENS = 1_000_000, 2_000_000
+#: Few lanes make many steps, which is what a fresh network needs.
+WARM_LANES = 32
+#: Texts over so many symbols enter their lanes first.
+LONG = 2048
+#: Bytes of stored symbols that a task scores together.
+HELD_BYTES = 8_000_000
 DISCOUNT = 0.6
 #: Distinct words a task counts before it hands them on.
 HELD_WORDS = 200_000
@@ -134,97 +143,138 @@ def vocabulary(counts: DataFrame, dictionary: int = DICTIONARY) -> Vocabulary:
     return Vocabulary(words, numbers, heads, suffixes, mass, types, total, distinct, least)
 
 
-def _symbol_rows(shared):
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PREPARED = "row long, doc_id long, n_tokens long, known long, base double, inner double, symbols binary, rare array<struct<word: binary, tail: int, n: int>>"
+
+
+def _prepare_rows(shared):
+    """Per document: its symbols, all that the broadcast vocabulary can tell, and its rarer words."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        log_counts, log_mass = np.log10(v.counts + 0.1), np.log10(np.maximum(v.mass, 1e-9))
+        inner = np.log10(np.maximum(v.counts - DISCOUNT, 1e-9))
+        log_mass[v.mass <= 0] = 0
         for batch in batches:
-            rows = [v.symbols(words_of(t))[0].astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["symbols"])
+            columns: list[list] = [[] for _ in range(5)]
+            rare: list[Counter] = []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                symbols, index = v.symbols(words)
+                known, tail = index[index >= 0], symbols >= gru.HEAD
+                within = inner[index[tail & (index >= 0)]].sum() - log_mass[symbols[tail] - gru.HEAD].sum()
+                rare.append(Counter(words[i] for i in np.flatnonzero(index < 0).tolist()))
+                for c, x in zip(columns, (len(words), int((v.counts[known] > 0).sum()), float(log_counts[known].sum()), float(within), symbols.astype("<i2").tobytes()), strict=True):
+                    c.append(x)
+            words = [w for r in rare for w in r]
+            listed = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([v.suffixes.get(w[-2:], 0) for w in words], pa.int32()), pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "tail", "n"])
+            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made, pa.ListArray.from_arrays(offsets, listed)], ["row", "doc_id", "n_tokens", "known", "base", "inner", "symbols", "rare"])
+
+    return prepare
+
 
-    return symbols
+def _texts(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i2") for x in column.to_pylist()]
+
+
+def _warm_rows(shared):
+    """One task's weights, and the squares of its gradients, after all its texts."""
+
+    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        trainer = gru.Trainer(gru.fresh(v.symbol_counts()))
+        trainer.train([t for b in batches for t in _texts(b.column("symbols"))], v.end, WARM_LANES)
+        yield pa.RecordBatch.from_arrays([pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([trainer.squares.tobytes()], pa.binary())], ["flat", "squares"])
+
+    return warm
 
 
 def _train_rows(shared, weights):
-    """Per task: its weights after its share of the texts, times the symbols seen, in slices."""
+    """Per group of texts: how far it moves the weights, times the symbols seen, in slices."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (flat, squares) = shared.value, weights.value
+    def moved(group: int, texts: list[np.ndarray]) -> pa.RecordBatch:
+        flat, squares = weights.value
         trainer = gru.Trainer(flat, squares)
-        trainer.train((v.symbols(words_of(t.as_py()))[0] for b in batches for t in b.column("text")), v.end)
-        if trainer.seen:
-            moved = (trainer.flat.astype(np.float64) - flat) * trainer.seen
-            at = list(range(0, gru.SIZE, SLICE))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([moved[i : i + SLICE].astype("<f8").tobytes() for i in at], pa.binary()), pa.array([trainer.seen] * len(at), pa.int64())], ["at", "moved", "seen"])
+        # The longest first, so that no lane is left alone with one.
+        trainer.train(sorted(texts, key=lambda t: -max(len(t), LONG)), shared.value.end)
+        way = (trainer.flat - flat) * np.float32(trainer.seen)
+        at = range(0, gru.SIZE, SLICE)
+        columns = [pa.array(list(at), pa.int32()), pa.array([group] * len(at), pa.int64()), pa.array([way[i : i + SLICE].tobytes() for i in at], pa.binary()), pa.array([trainer.seen] * len(at), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["at", "part", "moved", "seen"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts = None, []
+        for batch in batches:
+            for group, text in zip(batch.column("part").to_pylist(), _texts(batch.column("symbols")), strict=True):
+                if group != now and texts:
+                    yield moved(now, texts)
+                    texts = []
+                now = group
+                texts.append(text)
+        if texts:
+            yield moved(now, texts)
 
     return train
 
 
 def _mean_slices(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = None, 0
-    for batch in batches:
-        for moved, n in zip(batch.column("moved").to_pylist(), batch.column("seen").to_pylist(), strict=True):
-            x = np.frombuffer(moved, "<f8")
-            total = x.copy() if total is None else total + x
-            seen += n
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / seen).tobytes()], pa.binary())], ["at", "moved"])
-
-
-def learn(spark: SparkSession, taught: DataFrame, shared, n_docs: int) -> np.ndarray:
-    """The network's weights: unigram start, warm-up, then every training document."""
-    v = shared.value
-    flat = gru.fresh(v.symbol_counts())
-    part = min(1 << 20, -(-WARM_UP * (1 << 20) // max(1, n_docs)))
-    some = taught.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) < part).select("text")
-    texts = sorted(bytes(r[0]) for r in some.mapInArrow(_symbol_rows(shared), "symbols binary").collect())  # about WARM_UP documents
-    np.random.default_rng(5).shuffle(texts)
-    warm = gru.Trainer(flat)
-    warm.train((np.frombuffer(t, "<i4") for t in texts), v.end, 32)
-    weights = spark.sparkContext.broadcast((warm.flat, warm.squares))
-    rows = taught.select("text").mapInArrow(_train_rows(shared, weights), "at int, moved binary, seen long")
-    flat = warm.flat.astype(np.float64)
-    for r in rows.groupBy("at").applyInArrow(_mean_slices, "at int, moved binary").collect():  # one model's weights
-        flat[r["at"] : r["at"] + SLICE] += np.frombuffer(bytes(r["moved"]), "<f8")
+    rows = sorted((p, m, n) for b in batches for p, m, n in zip(*(b.column(c).to_pylist() for c in ("part", "moved", "seen")), strict=True))
+    total = np.zeros(len(rows[0][1]) // 4)
+    for _, way, _ in rows:  # in the order of the groups, however they were dealt
+        total += np.frombuffer(way, np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / sum(n for _, _, n in rows)).tobytes()], pa.binary())], ["at", "moved"])
+
+
+def learn(spark: SparkSession, taught: DataFrame, shared, n_tokens: int) -> np.ndarray:
+    """The network's weights: unigram start, warm-up, then every training document.
+
+    ``taught`` has doc_id and symbols.  Which texts form the warm-up and which a
+    group, and their order, follow from hashes of their ids, so the weights
+    don't depend on how rows are dealt.
+    """
+    rank = F.xxhash64(F.lit(17), "doc_id").alias("rank")
+    rows = taught.select("doc_id", "symbols", rank)
+    share = min(1 << 20, -(-WARM_TOKENS * (1 << 20) // max(1, n_tokens)))
+    some = rows.where(F.pmod("rank", F.lit(1 << 20)) < share).repartition(1).sortWithinPartitions("rank", "doc_id", "symbols")
+    found = some.select("symbols").mapInArrow(_warm_rows(shared), "flat binary, squares binary").first()  # two vectors of weights
+    if found is None:
+        return gru.fresh(shared.value.symbol_counts())
+    start, squares = (np.frombuffer(bytes(x), np.float32) for x in found)
+    weights = spark.sparkContext.broadcast((start, squares))
+    groups = max(1, -(-n_tokens // GROUP_TOKENS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(18), "doc_id"), F.lit(groups)))
+    rows = rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "rank", "doc_id", "symbols")
+    moves = rows.select("part", "symbols").mapInArrow(_train_rows(shared, weights), "at int, part long, moved binary, seen long")
+    flat = start.astype(np.float64)
+    for r in moves.groupBy("at").applyInArrow(_mean_slices, "at int, moved binary").collect():  # one model's weights
+        flat[r["at"] : r["at"] + SLICE] += np.frombuffer(bytes(r["moved"]), np.float64)
     return flat.astype(np.float32)
 
 
-_LN10 = float(np.log(10))
-_PARTS = "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<struct<word: binary, tail: int, n: int>>"
+_SCORED = "row long, doc_id long, n_tokens long, known long, base double, model double"
 
 
 def _score_rows(shared, weights):
-    """Per document, all that the broadcast vocabulary can tell; its rarer words go along."""
+    """Per prepared document, the log10 probability of its symbols and of the words inside their classes."""
 
-    def scored(held: list[tuple]) -> pa.RecordBatch:
-        v, flat = shared.value, weights.value
-        log_counts, log_mass = np.log10(v.counts + 0.1), np.log10(np.maximum(v.mass, 1e-9))
-        inner = np.log10(np.maximum(v.counts - DISCOUNT, 1e-9))
-        logs = gru.score(flat, [h[2] for h in held], v.end) / _LN10
-        cols: list[list] = [[] for _ in range(6)]
-        for (row, doc_id, symbols, index, _), log in zip(held, logs.tolist(), strict=True):
-            known = index[index >= 0]
-            tail = symbols >= gru.HEAD
-            model = log + inner[index[tail & (index >= 0)]].sum() - log_mass[symbols[tail] - gru.HEAD][v.mass[symbols[tail] - gru.HEAD] > 0].sum()
-            for c, x in zip(cols, (row, doc_id, len(symbols), int((v.counts[known] > 0).sum()), float(log_counts[known].sum()), float(model)), strict=True):
-                c.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        words = [w for h in held for w in h[4]]
-        numbers = [n for h in held for n in h[4].values()]
-        rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([v.suffixes.get(w[-2:], 0) for w in words], pa.int32()), pa.array(numbers, pa.int32())], ["word", "tail", "n"])
-        offsets = pa.array(np.cumsum([0, *(len(h[4]) for h in held)]), pa.int32())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(offsets, rare)], ["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
+    def scored(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        logs = gru.score(weights.value, _texts(rows.column("symbols")), shared.value.end) / np.log(10)
+        model = pa.array(logs + rows.column("inner").to_numpy(zero_copy_only=False))
+        names = ["row", "doc_id", "n_tokens", "known", "base"]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), model], [*names, "model"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, held, size = shared.value, [], 0
+        held, size = [], 0
         for batch in batches:
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = words_of(text.as_py())
-                symbols, index = v.symbols(words)
-                rare = Counter(words[i] for i in np.flatnonzero(index < 0).tolist())
-                held.append((row, doc_id, symbols, index, rare))
-                size += len(words)
-                if size >= gru.BATCH_SYMBOLS:
-                    yield scored(held)
-                    held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("symbols").nbytes
+            if size >= HELD_BYTES:
+                yield scored(held)
+                held, size = [], 0
         if held:
             yield scored(held)
 
@@ -238,22 +288,22 @@ def remainder(doc_id: Column) -> Column:
 def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     with Scratch(spark, "language_model") as scratch:
-        taught = docs.where(remainder(F.col("doc_id")) != 0).select("doc_id", "text")
+        taught = docs.where(remainder(F.col("doc_id")) != 0).select("text")
         counts = count_words(scratch, taught)
         v = vocabulary(counts)
         shared = spark.sparkContext.broadcast(v)
-        n_docs = int(v.counts[v.end])
-        weights = spark.sparkContext.broadcast(learn(spark, taught, shared, n_docs))
         numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-        parts = scratch.table(numbered.mapInArrow(_score_rows(shared, weights), _PARTS), "parts")
-        rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tail", "r.n")
+        prepared = scratch.table(numbered.mapInArrow(_prepare_rows(shared), _PREPARED), "prepared")
+        weights = spark.sparkContext.broadcast(learn(spark, prepared.where(remainder(F.col("doc_id")) != 0), shared, v.total))
+        parts = prepared.drop("rare").mapInArrow(_score_rows(shared, weights), _SCORED)
+        rare = prepared.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tail", "r.n")
         met = rare.join(counts.where(F.col("c") < v.least), "word", "left")
         c = F.coalesce("c", F.lit(0))
         unseen = F.array(*(F.lit(float(np.log10(DISCOUNT * t) if t else 0.0)) for t in v.types))
         inner = F.when(c > 0, F.log10(F.greatest(c - DISCOUNT, F.lit(1e-9)))).otherwise(F.element_at(unseen, F.col("tail") + 1))
         sums = met.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10(c + 0.1)).alias("more_base"), F.sum(F.col("n") * inner).alias("more_model"))
         whole = float(np.log10(v.total + 0.1 * (v.distinct + 1)))
-        out = parts.drop("rare").join(sums, "row", "left")
+        out = parts.join(sums, "row", "left")
         held = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
         out = out.select(
             "doc_id",
