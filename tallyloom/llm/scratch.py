@@ -3,7 +3,8 @@
 Every intermediate that cuts a lineage is written below the folder that the
 cluster names in ``spark.checkpoint.dir``; all executors and the driver reach
 it, so a lost executor costs its running tasks only.  Where the setting is
-absent (tests, a laptop) a temporary folder is made and set once.
+absent a temporary folder is made and set once, but only if the executors run on
+this machine; on a cluster that would be a folder of its own on every machine.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     set_before = sc._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
     sc.setCheckpointDir(own)
     return own
@@ -73,7 +76,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -84,7 +87,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
         path = f"{self._kept}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         atexit.register(_delete_at_exit, self.spark, self._kept)
         return self.spark.read.schema(df.schema).parquet(path)
 
