@@ -7,8 +7,9 @@ its configurations are a node of the token trie, the token before it, and the
 output still held back.  Determinised, a state is the set of live configurations;
 what all of them agree on is emitted at once, and since a guess dies as soon as
 its token can neither end nor go on, the lookahead is bounded by the token
-lengths.  States and arcs are made when first met and remembered up to a limit;
-beyond it the memory starts anew, with the same results.
+lengths.  States and arcs are made when first met and remembered up to a limit,
+which holds inside a piece too; beyond it the memory starts anew from the state
+reached, with the same results.
 
 Decoding runs an incremental UTF-8 state machine over token bytes, composed to
 one arc per token, and hands text out as soon as it is complete.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from pyspark.sql import DataFrame
 
 MAX_STATES = 200_000
 MAX_PAIRS = 500_000
-MAX_PIECES = 700_000
+#: Pieces remembered, and the longest of them in characters; longer ones run through the machine each time.
+MAX_PIECES, LONGEST_PIECE = 700_000, 64
+MAX_DECODER_ARCS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -121,13 +125,23 @@ class Transducer:
             self._ends[node] = token
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, keep: tuple | None = None) -> int:
+        """Start the memory anew with the first state and, if given, the one reached; returns the latter's number."""
         # A configuration: (trie node, token before it or -1, output held back).
-        start = ((0, -1, ()),)
-        self._states = {start: 0}
-        self._configs: list[tuple] = [start]
+        self._states: dict[tuple, int] = {}
+        self._configs: list[tuple] = []
+        self._final: list[tuple[int, ...] | None] = []
         self._arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
-        self._final: list[tuple[int, ...] | None] = [()]
+        start = self._state(((0, -1, ()),))
+        return start if keep is None else self._state(keep)
+
+    def _state(self, config: tuple) -> int:
+        number = self._states.get(config)
+        if number is None:
+            number = self._states[config] = len(self._configs)
+            self._configs.append(config)
+            self._final.append(config[-1][2] if config[-1][0] == 0 else None)
+        return number
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the arc: advance every configuration, drop the dead, emit what all agree on."""
@@ -151,12 +165,9 @@ class Transducer:
             common += 1
         emitted = first[:common]
         config = tuple((n, b, h[common:]) for n, b, h in live)
-        target = self._states.get(config)
-        if target is None:
-            target = self._states[config] = len(self._configs)
-            self._configs.append(config)
-            self._final.append(config[-1][2] if config[-1][0] == 0 else None)
-        made = self._arcs[state << 8 | byte] = (target, emitted)
+        if len(self._configs) >= MAX_STATES and config not in self._states:
+            return self._forget(config), emitted  # the state it came from is gone, and so is the arc
+        made = self._arcs[state << 8 | byte] = (self._state(config), emitted)
         return made
 
     def encode(self, piece: bytes) -> list[int]:
@@ -164,12 +175,10 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None and not self.rules.alone(whole):
             return [whole]
-        if len(self._configs) > MAX_STATES:
-            self._forget()
         out: list[int] = []
-        state, arcs = 0, self._arcs
+        state = 0
         for byte in piece:
-            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
+            arc = self._arcs.get(state << 8 | byte) or self._arc(state, byte)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
@@ -198,11 +207,16 @@ class Encoder:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             pass
-        if len(known) > MAX_PIECES:
-            known.clear()
-        for p in set(pieces).difference(known):
-            known[p] = np.array(run(p.encode()), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        out = []
+        for p in pieces:
+            if (ids := known.get(p)) is None:
+                ids = np.array(run(p.encode()), "<u4").tobytes()
+                if len(p) <= LONGEST_PIECE:
+                    if len(known) >= MAX_PIECES:
+                        known.clear()
+                    known[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def _utf8_machine() -> list[list[int]]:
@@ -252,6 +266,8 @@ class StreamDecoder:
                 begin = at + 1
             state = 0 if to == 8 else to
             at += 1
+        if len(self._arcs) >= MAX_DECODER_ARCS:
+            self._arcs.clear()
         made = self._arcs[held, token] = (data[begin:], "".join(text))
         return made
 
@@ -272,10 +288,16 @@ class StreamDecoder:
 _ROWS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+@lru_cache(maxsize=1)
+def _machines(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
+    """One pair a worker, whose memory outlives a task."""
+    encoder = Encoder(load_ranks(path), pattern)
+    return encoder, StreamDecoder(encoder.transducer.rules.tokens)
+
+
 def _encode_rows(path: str, pattern: str, with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path), pattern)
-        decoder = StreamDecoder(encoder.transducer.rules.tokens)
+        encoder, decoder = _machines(path, pattern)
         for batch in batches:
             n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
