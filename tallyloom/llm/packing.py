@@ -6,8 +6,10 @@ combination for the rest, and the combination is removed.  Only lengths matter
 to it, so the plan is made from the histogram of lengths (at most ``capacity``
 rows, however large the input): a combination that is the fullest stays the
 fullest while its lengths last, so it is applied as many times as they do.
-Pieces then find their place by rank among the pieces of equal length; ranks
-come from per-task counters and one prefix sum, never from one task a length.
+Pieces then find their place by rank among the pieces of equal length.  Ranks
+come from per-task counters and one prefix sum, never from one task a length;
+the sums meet the pieces by task and length in a merge join, so no table of them
+is ever sent to all tasks.
 
 Defined cases: a null text counts as empty and gives one piece holding only the
 end id; only documents longer than a sequence are cut; repeated rows are packed
@@ -184,11 +186,12 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     kinds = PIECES + ", ids binary" * with_ids
     with Scratch(spark, "pack") as scratch:
         cut = docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), PIECES + ", task long, rank long" + ", ids binary" * with_ids)
-        pieces = scratch.table(cut, "pieces")
+        pieces = scratch.keep(cut, "pieces")
         counts = scratch.table(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
         histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
         shared = spark.sparkContext.broadcast(_places(plan_bins(histogram, capacity)))
         before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
         first = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("first"))
-        ranked = pieces.join(first, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
-        return scratch.keep(ranked.select(*names, "rank").mapInArrow(_place(shared, names), kinds + ", sequence_id long, offset long"))
+        first = scratch.keep(first, "first")
+        ranked = pieces.join(first.hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("first"))
+        return ranked.select(*names, "rank").mapInArrow(_place(shared, names), kinds + ", sequence_id long, offset long")
