@@ -1,11 +1,14 @@
 """Exact deduplication behind a two-pass Bloom filter.
 
-Pass one hashes every normalised text and marks, in two bit tables of fixed
-size, the positions seen once and the positions seen again.  Pass two looks
-every hash up in the second table: a hash whose position was seen only once
-cannot repeat, so its row passes straight through; only the rest shuffle, and
-an exact grouping of full SHA-256 digests decides about them.  A false positive
-therefore costs a shuffled row and never a wrong result.
+Pass one hashes every normalised text and marks HASHES positions of a bit table;
+tasks send positions, four bytes each, and the blocks of the table are merged
+apart, keeping those positions that more than one row takes.  Pass two looks
+every hash up: one with a position that no other row takes cannot repeat, so its
+row passes straight through; only the rest shuffle, and an exact grouping of full
+SHA-256 digests decides about them.  A false positive therefore costs a shuffled
+row and never a wrong result.  Up to some 30 million rows the table has 16 bits a
+row and about one unrepeated row in 400 shuffles; as the table ends at MAX_BITS,
+that share rises beyond, and past some 500 million rows most rows shuffle.
 
 Defined cases: a null text counts as empty; texts without any other character
 than white space are equal to the empty text; ties on length go to the smallest
@@ -28,11 +31,13 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tallyloom.llm.scratch import Scratch
 
 WHITE = b" \t\n\x0b\x0c\r"
+#: Positions of a hash in the table.
+HASHES = 4
 #: A Bloom table never exceeds this many bits (64 MB), whatever the input.
 MAX_BITS = 1 << 29
-BITS_PER_ROW = 16
-#: Bits of one block of the table, the unit in which partial tables merge.
-BLOCK_BITS = 1 << 16
+LEAST_BITS, BITS_PER_ROW = 1 << 16, 16
+#: Most bits of one block of the table, the unit in which positions are gathered and merged.
+BLOCK_BITS = 1 << 22
 
 _HASHED = "doc_id long, n_chars long, text_sha256 string"
 
@@ -48,62 +53,79 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bloom_bits(n_rows: int) -> int:
     """Table size: a power of two near 16 bits a row, at most MAX_BITS."""
-    bits = BLOCK_BITS
+    bits = LEAST_BITS
     while bits < BITS_PER_ROW * n_rows and bits < MAX_BITS:
         bits *= 2
     return bits
 
 
+def block_bits(bits: int) -> int:
+    return min(bits // 16, BLOCK_BITS)
+
+
 def _positions(digests: pa.Array, bits: int) -> np.ndarray:
-    joined = "".join(x[:16] for x in digests.to_pylist())
-    return np.frombuffer(bytes.fromhex(joined), ">u8").astype(np.uint64) & np.uint64(bits - 1)
+    """A row of HASHES positions per digest, each from eight bytes of its own."""
+    joined = "".join(x[: 16 * HASHES] for x in digests.to_pylist())
+    return np.frombuffer(bytes.fromhex(joined), ">u8").astype(np.int64).reshape(-1, HASHES) & (bits - 1)
 
 
-def _partial_tables(bits: int):
-    """Per task, the blocks of its two bit tables that hold any bit."""
+def _marks(bits: int):
+    """Positions that rows take, by block of the table: all of them, and those that are taken twice here."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(bits // 8, np.uint8)
-        again = np.zeros(bits // 8, np.uint8)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = block_bits(bits)
         for batch in batches:
-            pos, seen = np.unique(_positions(batch.column("text_sha256"), bits), return_counts=True)
-            byte, bit = (pos >> np.uint64(3)).astype(np.int64), (1 << (pos & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
-            repeated = (seen > 1) | ((once[byte] & bit) != 0)
-            np.bitwise_or.at(again, byte[repeated], bit[repeated])
-            np.bitwise_or.at(once, byte, bit)
-        blocks_once, blocks_again = (t.reshape(-1, BLOCK_BITS // 8) for t in (once, again))
-        used = np.flatnonzero(blocks_once.any(axis=1))
-        for part in np.array_split(used, max(1, len(used) // 256)):
-            if len(part):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int64()), pa.array([blocks_once[i].tobytes() for i in part], pa.binary()), pa.array([blocks_again[i].tobytes() for i in part], pa.binary())],
-                    ["block", "once", "again"],
-                )
-
-    return build
-
-
-def _merge_blocks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once = np.zeros(BLOCK_BITS // 8, np.uint8)
-    again = np.zeros(BLOCK_BITS // 8, np.uint8)
-    for batch in batches:
-        for a, b in zip(batch.column("once").to_pylist(), batch.column("again").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            again |= b | (once & a)
-            once |= a
-    if again.any():
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([again.tobytes()], pa.binary())], ["block", "again"])
+            pos, taken = np.unique(_positions(batch.column("text_sha256"), bits), return_counts=True)
+            if not len(pos):
+                continue
+            cuts = np.flatnonzero(np.diff(pos // size)) + 1
+            once = np.split((pos % size).astype("<u4"), cuts)
+            twice = [p[t > 1] for p, t in zip(once, np.split(taken, cuts), strict=True)]
+            blocks = pos[np.concatenate(([0], cuts))] // size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array([p.tobytes() for p in once], pa.binary()), pa.array([p.tobytes() for p in twice], pa.binary())],
+                ["block", "once", "again"],
+            )
+
+    return mark
+
+
+def _merge_blocks(bits: int):
+    """Of one block, the bit table of positions that more than one row takes."""
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, again = (np.zeros(block_bits(bits), bool) for _ in range(2))
+        for batch in batches:
+            for a, b in zip(batch.column("once"), batch.column("again"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
+                again[a[once[a]]] = True
+                again[b] = True
+                once[a] = True
+        if again.any():
+            table = np.packbits(again, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([table], pa.binary())], ["block", "again"])
+
+    return merge
+
+
+def _is_marked(table: np.ndarray, digests: pa.Array, bits: int) -> np.ndarray:
+    """Whether all positions of a digest are taken more than once."""
+    pos = _positions(digests, bits)
+    return ((table[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+_MARKS = "block long, once binary, again binary"
 
 
 def repeated_positions(hashed: DataFrame, bits: int) -> np.ndarray:
     """The bit table of positions that more than one row takes (at most MAX_BITS bits)."""
-    return _collected(hashed.select("text_sha256").mapInArrow(_partial_tables(bits), "block long, once binary, again binary"), bits)
+    return _collected(hashed.select("text_sha256").mapInArrow(_marks(bits), _MARKS), bits)
 
 
-def _collected(parts: DataFrame, bits: int) -> np.ndarray:
-    merged = parts.groupBy("block").applyInArrow(_merge_blocks, "block long, again binary")
+def _collected(marks: DataFrame, bits: int) -> np.ndarray:
+    merged = marks.groupBy("block").applyInArrow(_merge_blocks(bits), "block long, again binary")
     table = np.zeros(bits // 8, np.uint8)
-    width = BLOCK_BITS // 8
+    width = block_bits(bits) // 8
     for row in merged.toLocalIterator():  # one row a block of the fixed-size table
         table[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(bytes(row["again"]), np.uint8)
     return table
@@ -113,9 +135,7 @@ def _mark(shared, bits: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            pos = _positions(batch.column("text_sha256"), bits)
-            hit = (table[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1
-            yield batch.append_column("maybe", pa.array(hit.astype(bool)))
+            yield batch.append_column("maybe", pa.array(_is_marked(table, batch.column("text_sha256"), bits)))
 
     return mark
 
@@ -135,11 +155,11 @@ def _digests(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([hashlib.sha256((t or "").encode().translate(None, WHITE)).hexdigest() for t in texts], pa.string())
 
 
-def _partial_of_texts(bits: int):
-    build = _partial_tables(bits)
+def _marks_of_texts(bits: int):
+    mark = _marks(bits)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return build(pa.RecordBatch.from_arrays([_digests(b)], ["text_sha256"]) for b in batches)
+        return mark(pa.RecordBatch.from_arrays([_digests(b)], ["text_sha256"]) for b in batches)
 
     return of
 
@@ -151,12 +171,11 @@ def _branch(shared, bits: int, repeated: bool, names: list[str]):
         table = shared.value
         for batch in batches:
             digests = _digests(batch)
-            pos = _positions(digests, bits)
-            hit = (table[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1
+            hit = _is_marked(table, digests, bits)
             if repeated:
                 n = pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64())
                 batch = pa.RecordBatch.from_arrays([*batch.columns, digests, n], [*batch.schema.names, *names])
-            yield batch.filter(pa.array(hit.astype(bool) == repeated))
+            yield batch.filter(pa.array(hit == repeated))
 
     return pick
 
@@ -168,8 +187,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     per digest before the shuffle, so a group of any size sends a row a task.
     """
     bits = bloom_bits(docs.count())
-    parts = docs.select("text").mapInArrow(_partial_of_texts(bits), "block long, once binary, again binary")
-    shared = spark.sparkContext.broadcast(_collected(parts, bits))
+    shared = spark.sparkContext.broadcast(_collected(docs.select("text").mapInArrow(_marks_of_texts(bits), _MARKS), bits))
     digest, length = _fresh_names(docs.columns, "digest", "length")
     kinds = StructType([*docs.schema.fields, StructField(digest, StringType()), StructField(length, LongType())])
     through = docs.mapInArrow(_branch(shared, bits, False, []), docs.schema)
