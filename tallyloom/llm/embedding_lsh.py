@@ -1,12 +1,18 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosines.
 
-Vectors are normalised; in each of TABLES tables, WIDTH-wide steps along
-PROJECTIONS random directions name a bucket.  At cosine 0.98 two vectors meet in
-one table with probability 0.26, so they miss all 40 in about 7 of a million
-cases.  Within a bucket every pair's cosine is computed exactly, in blocks of
+Vectors are normalised; in each of a number of tables, WIDTH-wide steps along
+random directions name a bucket.  Each direction keeps two vectors at cosine 0.98
+together with probability NEAR, and two unrelated ones with probability FAR.  The
+number of directions follows the number of vectors, so that a vector's chance
+company in a bucket stays the same however many there are, and the number of
+tables follows the directions, so that a pair at cosine 0.98 misses all of them
+in about MISS cases.  The tables so grow as the vectors to the power 0.12.
+
+Within a bucket every pair's cosine is computed exactly, in blocks of
 at most about BLOCK rows a side that go to tasks of their own; a pair counts in
 the first table where it meets.  No pair leaves its task: what leaves it is each
-vector's number of links and the root of its local component.
+vector's number of links and the root of its local component.  Vectors travel in
+single precision where that is exact, with the buckets of earlier tables only.
 
 Equal vectors are represented once, with their number.
 
@@ -20,6 +26,7 @@ component's id; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +38,12 @@ from tallyloom.llm.components import components
 from tallyloom.llm.scratch import Scratch, shuffle_partitions
 
 THRESHOLD = 0.98
-TABLES, PROJECTIONS, WIDTH = 40, 12, 1.5
+WIDTH, NEAR, FAR, MISS = 1.5, 0.8936, 0.387, 7e-6
+#: So many directions for so many vectors, one more for each 1 / FAR times as many.
+DIRECTIONS, VECTORS = 12, 50_000
 BLOCK = 512
+#: Bytes of rows that a task holds at a time, besides those of one group.
+HELD_BYTES = 8_000_000
 SEED = 41
 
 
@@ -43,6 +54,23 @@ def _vector(values: list | None) -> np.ndarray | None:
     return x if np.isfinite(x).all() and x.any() else None
 
 
+def shape_for(n: int) -> tuple[int, int]:
+    """Numbers of tables and of directions a table for n different vectors."""
+    directions = max(6, math.ceil(DIRECTIONS + math.log(max(n, 1) / VECTORS) / -math.log(FAR)))
+    return math.ceil(math.log(MISS) / math.log1p(-(NEAR**directions))), directions
+
+
+def _stored(x: np.ndarray) -> bytes:
+    """A vector in single precision where that is exact; the first byte says which."""
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return b"s" + single.tobytes() if (single == x).all() else b"d" + x.astype("<f8").tobytes()
+
+
+def _loaded(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if data[:1] == b"s" else "<f8", offset=1).astype(np.float64)
+
+
 def _valid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the key of its vector, null where it can't link."""
     for batch in batches:
@@ -50,7 +78,7 @@ def _valid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, values in zip(batch.column("label").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
             x = None if label is None else _vector(values)
             keys.append(None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
-            vectors.append(None if x is None else x.tobytes())
+            vectors.append(None if x is None else _stored(x))
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.string()), pa.array(vectors, pa.binary())], ["vec_id", "label", "key", "vector"])
 
 
@@ -61,7 +89,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _normalised(vectors: list[bytes]) -> np.ndarray:
-    x = np.array([np.frombuffer(v, np.float64) for v in vectors])
+    x = np.array([_loaded(v) for v in vectors])
     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares in range
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -69,7 +97,8 @@ def _normalised(vectors: list[bytes]) -> np.ndarray:
 class Tables:
     """Random directions and shifts by length of vector."""
 
-    def __init__(self):
+    def __init__(self, tables: int, directions: int):
+        self.tables, self.directions = tables, directions
         self._made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def buckets(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -77,26 +106,32 @@ class Tables:
         n, d = x.shape
         if d not in self._made:
             rng = np.random.default_rng([SEED, d])
-            self._made[d] = rng.standard_normal((d, TABLES * PROJECTIONS)), rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
+            size = self.tables * self.directions
+            self._made[d] = rng.standard_normal((d, size)), rng.uniform(0, WIDTH, size)
         directions, shifts = self._made[d]
-        steps = np.floor((x @ directions + shifts) / WIDTH).astype(np.int64).astype(np.uint64).reshape(n, TABLES, PROJECTIONS)
-        h = _mix(labels.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None] + _mix(np.arange(1, TABLES + 1, dtype=np.uint64))
-        for j in range(PROJECTIONS):
+        steps = np.floor((x @ directions + shifts) / WIDTH).astype(np.int64).astype(np.uint64).reshape(n, self.tables, self.directions)
+        h = _mix(labels.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None] + _mix(np.arange(1, self.tables + 1, dtype=np.uint64))
+        for j in range(self.directions):
             h = _mix(h * np.uint64(0xD1342543DE82EF95) + steps[:, :, j])
         return h.astype(np.int64)
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = Tables()
-    for batch in batches:
-        vectors = batch.column("vector").to_pylist()
-        labels = batch.column("label").to_numpy(zero_copy_only=False)
-        out: list = [None] * len(vectors)
-        for size in sorted({len(v) for v in vectors}):
-            rows = [i for i, v in enumerate(vectors) if len(v) == size]
-            for i, b in zip(rows, tables.buckets(_normalised([vectors[i] for i in rows]), labels[rows]), strict=True):
-                out[i] = b.tolist()
-        yield batch.append_column("buckets", pa.array(out, pa.list_(pa.int64())))
+def _bucket_rows(shape: tuple[int, int]):
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(*shape)
+        for batch in batches:
+            vectors = batch.column("vector").to_pylist()
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            out: list = [None] * len(vectors)
+            for size in sorted({(v[:1], len(v)) for v in vectors}):
+                rows = [i for i, v in enumerate(vectors) if (v[:1], len(v)) == size]
+                for i, b in zip(rows, tables.buckets(_normalised([vectors[i] for i in rows]), labels[rows]), strict=True):
+                    out[i] = b
+            flat = np.concatenate(out) if out else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * shape[0], pa.int32()), pa.array(flat, pa.int64()))
+            yield batch.append_column("buckets", lists)
+
+    return bucket
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,8 +146,8 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _links_of_group(table: int, nodes: np.ndarray, sides: np.ndarray, two: bool, mult: np.ndarray, x: np.ndarray, buckets: np.ndarray):
-    """Nodes with links in this group, their numbers of links, and local roots."""
+def _links_of_group(table: int, nodes: np.ndarray, sides: np.ndarray, two: bool, mult: np.ndarray, x: np.ndarray, earlier: np.ndarray):
+    """Nodes with links in this group, their numbers of links, and local roots; ``earlier`` has the buckets of the tables before."""
     cosines = x @ x.T
     a, b = np.nonzero(np.triu(cosines >= THRESHOLD, 1))
     if two:
@@ -122,7 +157,7 @@ def _links_of_group(table: int, nodes: np.ndarray, sides: np.ndarray, two: bool,
         new = np.ones(len(a), bool)
         for at in range(0, len(a), 100_000):
             part = slice(at, at + 100_000)
-            new[part] = ~(buckets[a[part], :table] == buckets[b[part], :table]).any(axis=1)
+            new[part] = ~(earlier[a[part]] == earlier[b[part]]).any(axis=1)
         a, b = a[new], b[new]
     if not len(a):
         return None
@@ -143,14 +178,16 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not last:
             bounds.pop()
         nodes, mult, table, side = (rows.column(c).to_numpy() for c in ("node", "mult", "table", "block"))
-        vectors, buckets = rows.column("vector"), rows.column("buckets")
+        vectors, lists = rows.column("vector"), rows.column("earlier").combine_chunks()
+        flat = lists.flatten().to_numpy()
+        starts = np.concatenate(([0], np.cumsum(table)))
         found = []
         for i, j in zip(bounds, bounds[1:], strict=False):
             if j - i < 2:
                 continue
             x = _normalised(vectors[i:j].to_pylist())
-            b = np.array(buckets[i:j].to_pylist())
-            if (got := _links_of_group(int(table[i]), nodes[i:j], side[i:j], bool(keys[1][i] != keys[2][i]), mult[i:j], x, b)) is not None:
+            earlier = flat[starts[i] : starts[j]].reshape(j - i, int(table[i]))
+            if (got := _links_of_group(int(table[i]), nodes[i:j], side[i:j], bool(keys[1][i] != keys[2][i]), mult[i:j], x, earlier)) is not None:
                 found.append(got)
         return found, None if last else rows.slice(bounds[-1])
 
@@ -160,7 +197,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= 8192:
+        if sum(b.nbytes for b in held) >= HELD_BYTES:
             found, rest = groups(pa.Table.from_batches(held), False)
             held = rest.to_batches()
             yield batch_of(found)
@@ -177,7 +214,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         able = rows.where("key is not null")
         reps = able.groupBy("label", "key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("vector").alias("vector"))
         reps = reps.withColumn("node", F.monotonically_increasing_id())
-        reps = scratch.table(reps.mapInArrow(_bucket_rows, "label long, key string, vec_id long, mult long, vector binary, node long, buckets array<long>"), "reps")
+        reps = scratch.table(reps, "different")
+        shape = shape_for(reps.count())
+        reps = scratch.table(reps.mapInArrow(_bucket_rows(shape), "label long, key string, vec_id long, mult long, vector binary, node long, buckets array<long>"), "reps")
         spread = reps.select("node", F.posexplode("buckets").alias("table", "bucket"))
         shared = scratch.table(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
         members = scratch.table(spread.join(shared, "bucket"), "members")
@@ -185,6 +224,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         dealt = members.withColumn("block", F.pmod(F.hash("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select("bucket", "table", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         full = dealt.join(reps.select("node", "mult", "vector", "buckets"), "node")
+        full = full.withColumn("earlier", F.slice("buckets", 1, F.col("table"))).drop("buckets")
         full = full.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
         found = scratch.table(full.mapInArrow(_compare_blocks, "node long, links long, root long"), "found")
         roots = components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
