@@ -19,7 +19,7 @@ out nor learned from; repeated rows get equal results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ SLICE = 128
 #: profile; shorter texts than LEAST_RUNS count for less.
 SHARE_BITS, LEAST_RUNS = 20, 100
 UNKNOWN = "und"
+#: A text of at least JUDGED_RUNS runs whose best cosine is below LEAST_COSINE is in no learned language.
+LEAST_COSINE, JUDGED_RUNS = 0.2, 100
 _SPACE = 32
 
 
@@ -51,7 +53,8 @@ def runs_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     points[~letter] = _SPACE
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of several white characters stays
-    points = np.concatenate(([_SPACE], points[keep], [_SPACE]))
+    points = points[keep]
+    points = np.concatenate(([_SPACE], points if letter[-1] else points[:-1], [_SPACE]))
     return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_counts=True)
 
 
@@ -131,52 +134,68 @@ def learn_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     return dict(sorted(profiles.items()))
 
 
-def _predict(profiles: dict[str, np.ndarray]):
-    names = list(profiles)
-    matrix = np.array([v / max(np.linalg.norm(v.astype(float)), 1e-9) for v in profiles.values()]).reshape(-1, DIMENSIONS)
+class Judge:
+    """The nearest language of a text, its cosine and the text's number of runs."""
+
+    def __init__(self, profiles: dict[str, np.ndarray]):
+        self.names, self._runs = list(profiles), Runs()
+        self._matrix = np.array([v / max(np.linalg.norm(v.astype(float)), 1e-9) for v in profiles.values()]).reshape(-1, DIMENSIONS)
+
+    def __call__(self, text: str | None) -> tuple[str, float, int]:
+        codes, counts = runs_of(text)
+        size = int(counts.sum())
+        if not size or not self.names:
+            return UNKNOWN, 0.0, size
+        vector = self._runs.bundle(codes, counts)
+        cosines = self._matrix @ vector / max(np.linalg.norm(vector), 1e-9)
+        best = int(np.argmax(cosines))
+        return self.names[best], float(min(max(cosines[best], 0.0), 1.0)), size
 
+
+def _predict(profiles: dict[str, np.ndarray]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs()
+        judge = Judge(profiles)
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                codes, counts = runs_of(text)
-                if not len(codes) or not names:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                vector = runs.bundle(codes, counts)
-                cosines = matrix @ vector / max(np.linalg.norm(vector), 1e-9)
-                best = int(np.argmax(cosines))
-                langs.append(names[best])
-                scores.append(float(min(max(cosines[best], 0.0), 1.0)))
+            found = [judge(t) for t in batch.column("text").to_pylist()]
+            langs, scores = [f[0] for f in found], [f[1] for f in found]
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return predict
 
 
-def _known_rows(profiles: dict[str, np.ndarray]):
-    predict = _predict(profiles)
+def _known_rows(profiles: dict[str, np.ndarray], languages: frozenset[str] | None):
+    def stays(lang: str, score: float, size: int) -> bool:
+        if not profiles:
+            return size > 0
+        return lang != UNKNOWN and (languages is None or lang in languages) and (size < JUDGED_RUNS or score >= LEAST_COSINE)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(profiles)
         for batch in batches:
-            if profiles:
-                (found,) = predict([batch.select(["text"])])
-                yield batch.filter(pc.not_equal(found.column("lang_pred"), UNKNOWN))
-            else:
-                yield batch.filter(pa.array([len(runs_of(t)[0]) > 0 for t in batch.column("text").to_pylist()], pa.bool_()))
+            found = [judge(t) for t in batch.column("text").to_pylist()]
+            at = batch.schema.get_field_index("lang")
+            if at >= 0 and pa.types.is_string(batch.schema.field(at).type):
+                given = pc.fill_null(pc.equal(batch.column(at), ""), True)
+                named = pa.array([f[0] if f[0] != UNKNOWN else None for f in found], pa.string())
+                batch = batch.set_column(at, batch.schema.field(at), pc.if_else(given, pc.coalesce(named, batch.column(at)), batch.column(at)))
+            yield batch.filter(pa.array([stays(*f) for f in found], pa.bool_()))
 
     return keep
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The input's rows and columns, without texts that have no language.
+def keep_known(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """The input's rows and columns, without texts in no learned language, or in none of ``languages`` if given.
 
-    If no language could be learned, only texts without a letter go.
+    A text goes if it has no letter, if the nearest language isn't wanted, or if
+    it has at least JUDGED_RUNS runs and its cosine with the nearest language is
+    below LEAST_COSINE; shorter texts scatter too widely to be judged by it.
+    Where ``lang`` is null or empty, the prediction takes its place.  If no
+    language could be learned, only texts without a letter go.
     """
     profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
-    return docs.mapInArrow(_known_rows(profiles), docs.schema)
+    wanted = None if languages is None else frozenset(languages)
+    return docs.mapInArrow(_known_rows(profiles, wanted), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
