@@ -38,8 +38,8 @@ REVISIT_BYTES = 1000
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
 RECORDS_PER_FILE = 20_000
-#: Decompressed text the parser takes at a time.
-READ_BYTES = 1 << 20
+#: Decompressed text the parser takes at a time, and compressed bytes it gives the engine.
+READ_BYTES, FEED_BYTES = 1 << 20, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("5f0c7a1e-6f3b-4a52-9f6e-3f1f6f1d2a77")
 
@@ -144,48 +144,57 @@ def write_archives(spark: SparkSession, scratch: Scratch, pages: DataFrame, path
 
 
 def _inflated(content: bytes, name: str) -> Iterator[bytes]:
+    """The content in parts of at most READ_BYTES; a gzip file may have any number of members."""
     if not name.endswith(".gz"):
         yield content
         return
-    view, engine = memoryview(content), zlib.decompressobj(31)
-    while len(view) or engine.unconsumed_tail:
-        data = engine.decompress(engine.unconsumed_tail or view[:READ_BYTES], READ_BYTES)
-        if not engine.unconsumed_tail:
-            rest, view = engine.unused_data, view[READ_BYTES:]
-            if engine.eof:
-                view = memoryview(bytes(rest) + bytes(view)) if len(rest) or len(view) else view
-                engine = zlib.decompressobj(31)
+    view, at, engine = memoryview(content), 0, zlib.decompressobj(31)
+    while at < len(view) or engine.unconsumed_tail:
+        given = engine.unconsumed_tail
+        if not given:
+            given = view[at : at + FEED_BYTES]
+            at += len(given)
+        data = engine.decompress(given, READ_BYTES)
+        if engine.eof:  # the next member begins inside what was given
+            at -= len(engine.unused_data)
+            engine = zlib.decompressobj(31)
         if data:
             yield data
 
 
 def parse_records(content: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record, by Content-Length."""
-    source, held = _inflated(content, name), b""
+    source, held, at = _inflated(content, name), b"", 0
+
+    def more() -> bool:
+        """Drop what has been read and take the next part."""
+        nonlocal held, at
+        part = next(source, None)
+        if part is not None:
+            held, at = held[at:] + part, 0
+        return part is not None
+
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            more = next(source, None)
-            if more is None:
-                if held.strip():
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if held[at:].strip():
                     raise ValueError("the archive ends inside a record's header")
                 return
-            held += more
-        first, *lines = held[:end].decode().split("\r\n")
+        first, *lines = held[at:end].decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no record begins with {first[:40]!r}")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        need = end + 4 + int(fields["content-length"])
-        if len(held) < need + 4:
-            parts = [held]
-            have = len(held)
-            while have < need + 4 and (more := next(source, None)) is not None:
-                parts.append(more)
-                have += len(more)
-            held = b"".join(parts)
-        if len(held) < need:
+        size, at = int(fields["content-length"]), end + 4
+        if len(held) - at < size + 4:
+            parts, have = [held[at:]], len(held) - at
+            while have < size + 4 and (part := next(source, None)) is not None:
+                parts.append(part)
+                have += len(part)
+            held, at = b"".join(parts), 0
+        if len(held) - at < size:
             raise ValueError("the archive ends inside a record's block")
-        yield fields, held[end + 4 : need]
-        held = held[need + 4 :]
+        yield fields, held[at : at + size]
+        at += size + 4
 
 
 class Dechunker:
