@@ -10,8 +10,8 @@ Learning runs on the driver over at most ``MAX_LABELLED`` labelled rows, those
 of smallest hash of their id: a documented bound.  Scoring covers every row.
 
 Defined cases: a null text counts as empty and is scored like it; a document
-with several labels gives several training rows; without any label every score
-is 0.5; null ids are scored and never held out; labels without a document or
+with several labels gives a training row for each, and of rows that repeat an id
+the smallest text teaches; without any label every score is 0.5; null ids are scored and never held out; labels without a document or
 without a quality are passed over; repeated rows get equal scores.
 """
 
@@ -216,8 +216,9 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from labelled rows that are not held out."""
     usable = labels.where("quality is not null").where(remainder(F.col("doc_id"), 4) != 2)
-    chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
+    chosen = usable.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most max_labelled rows
     seen = rows.mapInArrow(_describe_rows, "quality int, x array<double>").collect()
     pairs = sorted((tuple(r["x"]), r["quality"]) for r in seen)
     x = np.array([p[0] for p in pairs]).reshape(-1, len(FEATURES))
