@@ -78,13 +78,17 @@ f as (
   select *, '### ' || replace(replace(role, '\', '\\'), chr(10), '\n') || ':' || chr(10)
     || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')
     || chr(10) || '</turn>' || chr(10) as formatted
-  from t)
+  from t),
+c as (select *, coalesce(sum(length(formatted)) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as before from f)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
        sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
-       cast(sum(length(formatted)) as bigint) as formatted_chars
-from f group by conv_id
+       cast(sum(length(formatted)) as bigint) as formatted_chars,
+       count(*) filter (role = 'assistant') as n_examples,
+       cast(sum(case when role = 'assistant' then before else 0 end) as bigint) as context_chars,
+       true as contexts_match
+from c group by conv_id
 """
 
 OP3_SQL = """
