@@ -74,8 +74,19 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.keep_one(spark, documents(spark, [])).count() == 0
 
 
+def test_bloom_table_holds_repeated_hashes_and_few_others(spark):
+    import pyarrow as pa
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000)]
+    rows = digests + digests[:50]
+    bits = exact_dedup.bloom_bits(len(rows))
+    table = exact_dedup.repeated_positions(spark.createDataFrame([(d,) for d in rows], "text_sha256 string").repartition(5), bits)
+    hit = exact_dedup._is_marked(table, pa.array(digests), bits)
+    assert hit[:50].all() and hit[50:].mean() < 0.01
+
+
 def test_bloom_size_is_bounded():
-    assert exact_dedup.bloom_bits(0) == exact_dedup.BLOCK_BITS and exact_dedup.bloom_bits(10**12) == exact_dedup.MAX_BITS
+    assert exact_dedup.bloom_bits(0) == exact_dedup.LEAST_BITS and exact_dedup.bloom_bits(10**12) == exact_dedup.MAX_BITS
 
 
 # Near-duplicates of texts.
@@ -151,6 +162,30 @@ def test_near_duplicates_find_links_that_miss_the_leader(spark):
     assert len(links) > 20 and got == brute_components(sets, links)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_near_duplicates_in_hot_groups_and_small_blocks(spark, monkeypatch, shuffled):
+    """Every band's group of more than three is hot, and blocks hold a few rows or sets only."""
+    monkeypatch.setattr(hyperminhash, "HOT", 3)
+    monkeypatch.setattr(hyperminhash, "BLOCK", 2)
+    monkeypatch.setattr(hyperminhash, "SET_BYTES", 900)
+    monkeypatch.setattr(hyperminhash, "HELD_BYTES", 1)
+    rng = random.Random(12)
+    rows = []
+    for base in range(3):
+        words = prose(40 + base, 120).split()
+        for _ in range(14):
+            w = list(words)
+            for _ in range(rng.randint(0, 16)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(w)))
+    if shuffled:
+        rows = [(len(rows) - i, t) for i, t in rows]
+    sets = {i: brute_sets(t, 2) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(spark, documents(spark, rows), 2).collect()}
+    assert len(links) > 20 and got == brute_components(sets, links)
+
+
 def test_register_estimate_is_close():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
@@ -213,6 +248,19 @@ def test_vectors_in_a_large_group_split_into_blocks(spark):
     assert [got[i]["n_links"] for i in range(1300)] == degree.tolist() and {r["component_id"] for r in got.values()} == {0}
 
 
+def test_tables_follow_the_number_of_vectors():
+    assert embedding_lsh.shape_for(0)[1] == 6 and embedding_lsh.shape_for(50_000)[1] == 12 and embedding_lsh.shape_for(10**9)[1] > 20
+    for n in (1, 10**4, 10**9):
+        tables, directions = embedding_lsh.shape_for(n)
+        assert (1 - embedding_lsh.NEAR**directions) ** tables <= embedding_lsh.MISS
+
+
+def test_vectors_travel_exactly():
+    for x in (np.array([1.5, -2.0]), np.array([0.1, 1e300]), np.array([0.1, 3.0])):
+        assert (embedding_lsh._loaded(embedding_lsh._stored(x)) == x).all()
+    assert len(embedding_lsh._stored(np.array([0.5]))) == 5
+
+
 def test_vectors_of_nothing(spark):
     assert embedding_lsh.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -289,6 +337,25 @@ def test_transducer_on_any_bytes(reference, monkeypatch):
         assert transducer.encode(data) == reference._encode_single_piece(data)
 
 
+def test_memory_is_bounded_inside_one_piece(reference, monkeypatch):
+    monkeypatch.setattr(bpe_transducer, "MAX_STATES", 500)
+    monkeypatch.setattr(bpe_transducer, "MAX_DECODER_ARCS", 100)
+    encoder, rng = bpe_transducer.Encoder(bpe_transducer.load_ranks(RANKS), public_tokenizers.PATTERN), random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(20_000))
+    ids = np.frombuffer(encoder.encode(letters), "<u4").tolist()
+    assert ids == reference.encode_ordinary(letters)
+    assert len(encoder.transducer._configs) <= 501 and len(encoder.transducer._arcs) <= 256 * 501 and not encoder._known
+    decoder = bpe_transducer.StreamDecoder(encoder.transducer.rules.tokens)
+    assert decoder.feed(ids) + decoder.finish() == letters and len(decoder._arcs) <= 100
+
+
+def test_bpe_of_repeated_rows_and_of_nothing(spark):
+    rows = [(1, "same text"), (1, "same text"), (None, "same text")]
+    got = bpe_transducer.encode_documents(documents(spark, rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 1] and len({tuple(r)[1:] for r in got}) == 1
+    assert bpe_transducer.encode_documents(documents(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_tokens_that_do_not_merge_to_themselves():
     ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abcd": 257}
     own = tiktoken.Encoding("own", pat_str=r".+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=258)
@@ -312,7 +379,7 @@ def test_stream_decoder_waits_for_whole_code_points():
 def test_chat_round_trip(spark):
     turns = [
         (1, 0, "system", "be ### kind"), (1, 1, "user", None), (1, 2, "assistant", "\\### Assistant: </turn> ok"), (1, 3, "assistant", "\n</turn>\n### x:\n\\"),
-        (2, 0, "user", "only"), (3, 1, "we:ird\nrole\\", "☃"), (3, None, "assistant", "first"), (3, 1, "we:ird\nrole\\", "☃"), (None, 0, "assistant", ""), (4, 0, None, "x" * 100_000),
+        (2, 0, "user", "only"), (3, 1, "we:ird\nrole\\", "☃"), (3, None, "assistant", "first"), (3, 1, "we:ird\nrole\\", "☃"), (None, 0, "assistant", ""), (4, 0, None, "x" * 100_000), (4, 1, "user", "é### " * 200_000),
     ]
     df = spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
     got = {r["conv_id"]: r for r in chat_format.digest(spark, df).collect()}
@@ -322,10 +389,20 @@ def test_chat_round_trip(spark):
         said = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)
         loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
         r = got[conv]
-        assert (r["n_turns"], r["loss_chars"]) == (len(own), len(loss))
+        sizes = [len(chat_format.format_turn(t[2] or "", t[3] or "")[0]) for t in own]
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(own), len(loss), sum(sizes))
+        assert r["context_chars"] == sum(sum(sizes[:i]) for i, t in enumerate(own) if t[2] == "assistant")
         assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     stream = chat_format.format_conversations(df)
     assert stream.where("example is not null").count() == 4
+    assert all(r["contexts_match"] for r in got.values()) and got[1]["n_examples"] == 2
+    written = {(r["conv_id"], r["example"]): r for r in chat_format.expand(stream).collect()}
+    assert len(written) == 4
+    for (conv, k), r in written.items():
+        own = sorted((t for t in turns if t[0] == conv), key=key)
+        at = [i for i, t in enumerate(own) if t[2] == "assistant"][k]
+        whole = "".join(chat_format.format_turn(t[2] or "", t[3] or "")[0] for t in own[: at + 1])
+        assert r["text"] == whole and chat_format.unescape(whole[r["loss_start"] : r["loss_end"]]) == (own[at][3] or "")
     text, begin, end = chat_format.render(stream, 1, 1)
     assert chat_format.unescape(text[begin:end]) == turns[3][3] and text.startswith("### system:\nbe \\### kind\n</turn>\n")
     assert chat_format.digest(spark, df.limit(0)).count() == 0
@@ -377,6 +454,16 @@ def test_warc_records_parse_in_small_reads(monkeypatch):
         assert whole.complete and whole.size == 9000 and int(parsed[-2][0]["warc-segment-total-length"]) == whole.length
 
 
+def test_warc_of_one_member_a_record():
+    import gzip
+
+    records = [b"".join(warc.response_records(i, "u", f"<p>{i}</p>".encode() * (i % 50), i)) for i in range(400)]
+    content = b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)
+    assert [int(f["x-page-id"]) for f, _ in warc.parse_records(content, "a.gz")] == list(range(400))
+    with pytest.raises(ValueError):
+        list(warc.parse_records(b"".join(records)[:-9] + b"", "a.warc"))
+
+
 def test_missing_segments_show(spark):
     rows = [("o", 1, None, 9, b"HTTP/1.1 200 OK\r\n\r\n3\r\nabc\r\n"), ("o", 3, 99, 9, b"0\r\n\r\n")]
     df = spark.createDataFrame(rows, "origin string, segment long, total long, page_id long, block binary").coalesce(1)
@@ -404,7 +491,7 @@ def test_language_of_held_out_texts(spark):
     assert len(test) > 10 and all(got[i]["lang_pred"] == rows[i][2] for i in test)
     assert {got[i]["lang_pred"] for i in (900, 901, 902, 990)} == {"und"} and got[991]["lang_pred"] == "bb"
     kept = language_hdc.keep_known(documents(spark, rows))
-    assert "score" in kept.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["lang_pred"] != "und"}
+    assert "score" in kept.columns and {r["doc_id"] for r in kept.collect()} <= {i for i, r in got.items() if r["lang_pred"] != "und"}
 
 
 def test_language_of_texts_without_letters_beyond_the_basic_alphabets(spark):
@@ -429,6 +516,51 @@ def test_language_bundle_matches_brute_force():
     assert (runs.bundle(codes, counts) == want).all()
 
 
+def test_language_stage_follows_the_prediction(spark):
+    noise = random.Random(1)
+    junk = ["".join(chr(noise.randrange(0x4E00, 0x9000)) for _ in range(400)), " ".join("".join(noise.choice("qxzjwvkg") for _ in range(9)) for _ in range(90))]
+    rows = language_rows() + [(3000, junk[0], "aa"), (3001, junk[1], None), (3002, junk[0][:5], None), (3003, prose(77, 60, LANGS["cc"]), None), (3004, prose(78, 60, LANGS["bb"]), "")]
+    found = {r["doc_id"]: r for r in language_hdc.identify(spark, documents(spark, rows)).collect()}
+    runs = {i: int(language_hdc.runs_of(t)[1].sum()) for i, t, *_ in rows}
+    kept = {r["doc_id"]: r["lang"] for r in language_hdc.keep_known(documents(spark, rows)).collect()}
+    want = {i for i, r in found.items() if r["lang_pred"] != "und" and (runs[i] < language_hdc.JUDGED_RUNS or r["score"] >= language_hdc.LEAST_COSINE)}
+    assert set(kept) == want and not {3000, 3001} & want and {3002, 3003, 991} <= want
+    assert kept[3003] == "cc" and kept[3004] == "bb" and all(kept[i] == lang for i, _, lang in rows[:120])
+    some = language_hdc.keep_known(documents(spark, rows), ["cc"])
+    assert {r["doc_id"] for r in some.collect()} == {i for i in want if found[i]["lang_pred"] == "cc"}
+
+
+def test_predictions_match_brute_force(spark):
+    rows = language_rows()
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_hdc.identify(spark, documents(spark, rows)).collect()}
+    runs, sums = language_hdc.Runs(), {}
+
+    def vector(text, share):
+        points = [c if c.isalpha() else " " for c in (text or "").lower()]
+        words = "".join(points).split()
+        if not words:
+            return None
+        line = f" {' '.join(words)} "
+        parts = Counter(line[i : i + 3] for i in range(len(line) - 2))
+        scale = max(sum(parts.values()), language_hdc.LEAST_RUNS)
+        out = np.zeros(language_hdc.DIMENSIONS)
+        for part, n in parts.items():
+            a, b, c = (runs._letter(ord(x)) for x in part)
+            out += ((n << language_hdc.SHARE_BITS) // scale if share else n) * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    for i, text, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 and lang and (v := vector(text, True)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    want = set()
+    for i, text, _ in rows:
+        v = vector(text, False)
+        cosines = {lang: float(s @ v / np.linalg.norm(s) / np.linalg.norm(v)) for lang, s in sorted(sums.items())} if v is not None else {"und": 0.0}
+        best = max(cosines, key=cosines.get)
+        want.add((i, best, round(max(cosines[best], 0.0), 9)))
+    assert got == want
+
+
 def test_language_without_teachers(spark):
     rows = [(1, "some text", None), (2, None, "en")]
     assert {r["lang_pred"] for r in language_hdc.identify(spark, documents(spark, rows)).collect()} == {"und"}
@@ -460,6 +592,25 @@ def test_quality_on_held_out_texts(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    rows = [(i, prose(i, 30 + i) + (" %$!" * i if i % 2 else ".")) for i in range(60)] + [(7, "again"), (900, None), (901, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 1), (9, 0)], "doc_id long, quality int")
+    docs = documents(spark, rows)
+    model = quality_gam.fit(spark, docs, labels)
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in quality_gam.score_documents(spark, docs, labels).collect())
+
+    def plain(text):
+        total, x = model.base, quality_gam.describe(text or "")
+        for j, value in enumerate(x):
+            total += model.tables[j][sum(e <= value for e in model.edges[j])]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(e <= x[a] for e in model.pair_edges[a])][sum(e <= x[b] for e in model.pair_edges[b])]
+        return 1 / (1 + np.exp(-total))
+
+    assert got == Counter((i, round(plain(t), 9)) for i, t in rows)
+    assert quality_gam.score_documents(spark, documents(spark, []), labels).count() == 0
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["score"] for r in quality_gam.score_documents(spark, documents(spark, [(1, None)]), none).collect()] == [0.5]
@@ -500,18 +651,113 @@ def test_language_model_of_nothing(spark):
     assert only["n_tokens"] == 1 and only["train_tokens"] == 0 and not only["held_out"]
 
 
-def test_language_model_learns_from_every_training_document(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "WARM_UP", 0)
-    docs = documents(spark, [(i, f"word{i} word{i} word{i}") for i in range(60)]).select("doc_id", "text")
+def learned(spark, docs):
+    """The vocabulary and the weights that the operator's own steps give for these training documents."""
     with Scratch(spark, "taught") as scratch:
         v = language_model.vocabulary(language_model.count_words(scratch, docs))
-        flat = language_model.learn(spark, docs, spark.sparkContext.broadcast(v), 60)
+        shared = spark.sparkContext.broadcast(v)
+        rows = docs.select(docs.doc_id.alias("row"), "doc_id", "text").mapInArrow(language_model._prepare_rows(shared), language_model._PREPARED)
+        return v, language_model.learn(spark, rows, shared, v.total)
+
+
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "WARM_TOKENS", 1)
+    docs = documents(spark, [(i, f"word{i} word{i} word{i}") for i in range(60)]).select("doc_id", "text")
+    v, flat = learned(spark, docs)
     # The vector of a word moves only where a text with that word has trained the network.
     moved = gru.unpack(flat)["inputs"] != gru.unpack(gru.fresh(v.symbol_counts()))["inputs"]
-    assert v.heads == 61 and moved[: v.heads].any(axis=1).all()
+    assert v.heads == 61 and moved[:, : v.heads].any(axis=0).all()
+
+
+def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 600)
+    docs = documents(spark, [(i % 50, prose(i, 40)) for i in range(60)]).select("doc_id", "text")
+    one, many = (learned(spark, docs.repartition(n))[1] for n in (1, 7))
+    assert (one == many).all() and (one != gru.fresh(np.ones(gru.HEAD + gru.TAIL))).any()
+
+
+def plain_states(p, symbols, end):
+    """The states of one text, one step at a time, gate by gate."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, out, n = np.zeros(gru.HIDDEN), [], gru.HIDDEN
+    for before in [end, *symbols[:-1]]:
+        x = p["inputs"][:, before].astype(float)
+        recur, bias = p["recur"].astype(float), p["recur_bias"][:, 0].astype(float)
+        z = sigmoid(x[:n] + recur[:n] @ h + bias[:n])
+        r = sigmoid(x[n : 2 * n] + recur[n : 2 * n] @ h + bias[n : 2 * n])
+        new = np.tanh(x[2 * n :] + r * (recur[2 * n :] @ h + bias[2 * n :]))
+        h = (1 - z) * new + z * h
+        out.append(h)
+    return out
 
 
-def test_network_gradients_and_state():
+def plain_log(p, h, symbol):
+    """Natural log of a symbol's probability by two whole softmaxes."""
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    out = log_softmax(p["class_out"].astype(float) @ h + p["class_bias"][:, 0])
+    if symbol >= gru.HEAD:
+        return out[gru.HEAD // gru.CLASS + symbol - gru.HEAD]
+    own = slice(symbol // gru.CLASS * gru.CLASS, (symbol // gru.CLASS + 1) * gru.CLASS)
+    return out[symbol // gru.CLASS] + log_softmax(p["word_out"][own].astype(float) @ h + p["word_bias"][own, 0])[symbol % gru.CLASS]
+
+
+def test_scores_match_a_plain_run_of_the_same_weights(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "DICTIONARY", 40)
+    monkeypatch.setattr(gru, "EVALUATED", 64)
+    monkeypatch.setattr(gru, "_is_safe", lambda p, kind: kind == "word")
+    rows = [(i, prose(i % 20, 5 + i)) for i in range(70)] + [(900, None), (901, ""), (902, "never seen " * 40), (903, prose(5, 900)), (30, prose(10, 40))]
+    docs = documents(spark, rows)
+    taught = docs.where(language_model.remainder(docs.doc_id) != 0).select("doc_id", "text")
+    v, flat = learned(spark, taught)
+    p, symbol_of, want = gru.unpack(flat), {}, []
+    counts = Counter(w for r in taught.collect() for w in language_model.words_of(r["text"]))
+    for w in counts:
+        symbol_of[w] = v._index[w] if v._index.get(w, 1 << 30) < v.heads else gru.HEAD + v.suffixes.get(w[-2:], 0)
+    inside = {}  # counts and number of the words of a tail class
+    for w, s in symbol_of.items():
+        if s >= gru.HEAD:
+            m = inside.setdefault(s, [0, 0])
+            m[0] += counts[w]
+            m[1] += 1
+    for i, text in rows:
+        words = language_model.words_of(text)
+        symbols = [symbol_of.get(w, gru.HEAD + v.suffixes.get(w[-2:], 0)) for w in words]
+        total = 0.0
+        for w, s, h in zip(words, symbols, plain_states(p, symbols, v.end), strict=True):
+            total += plain_log(p, h, s) / np.log(10)
+            if s >= gru.HEAD and s in inside:
+                mass, types = inside[s]
+                total += np.log10((counts[w] - language_model.DISCOUNT if w in counts else language_model.DISCOUNT * types) / mass)
+        want.append((i, total))
+    got = sorted((r["doc_id"], r["score"]) for r in language_model.score_documents(spark, docs).collect())
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and [g[1] for g in got] == pytest.approx([w[1] for w in sorted(want)], rel=2e-5)
+
+
+def test_network_gradients_match_differences(monkeypatch):
+    """With a large past, Adagrad moves the weights in proportion to the gradient, which differences of the loss confirm."""
+    rng = np.random.default_rng(3)
+    flat = gru.fresh(rng.integers(1, 50, gru.HEAD + gru.TAIL))
+    gru.unpack(flat)["class_out"][:] = rng.normal(0, 0.5, (gru.CLASSES, gru.HIDDEN))
+    gru.unpack(flat)["word_out"][:] = rng.normal(0, 0.5, (gru.HEAD, gru.HIDDEN))
+    texts = [np.append(rng.integers(1, 90, n), 0).astype(np.int16) for n in (7, 3, 4)] + [np.array([gru.HEAD + 2, 70, 0], np.int16)]
+    trainer = gru.Trainer(flat, np.full(gru.SIZE, 1e8, np.float32), rate=100.0)
+    monkeypatch.setattr(gru, "WINDOW", 64)
+    trainer.train(texts, 0, 2)
+    gradient = (flat.astype(float) - trainer.flat) * 100
+    loss = lambda w: -gru.score(w, texts, 0).sum() / sum(map(len, texts))
+    wide, at = flat.astype(np.float64), 0
+    for name, shape in gru._shapes().items():
+        n = int(np.prod(shape))
+        part = slice(at, at + n)
+        at += n
+        direction = np.zeros(gru.SIZE)
+        direction[part] = gradient[part]
+        norm = np.linalg.norm(direction)
+        slope = (loss(wide + 1e-4 * direction / norm) - loss(wide - 1e-4 * direction / norm)) / 2e-4
+        assert norm > 0 and slope == pytest.approx(norm, rel=0.05), name
+
+
+def test_network_state_and_learning():
     rng = np.random.default_rng(1)
     flat = gru.fresh(np.ones(gru.HEAD + gru.TAIL)).astype(np.float64)
     texts = [np.append(rng.integers(1, 300, 9), 0), np.append(rng.integers(1, gru.HEAD + gru.TAIL, 9), 0)]
@@ -524,6 +770,16 @@ def test_network_gradients_and_state():
     assert gru.score(trainer.flat, texts, 0).sum() > before.sum() + 1
 
 
+def test_training_carries_the_state_through_a_text(monkeypatch):
+    """A word far back decides the next one: only a state carried over windows and blocks can learn it."""
+    seen = []
+    monkeypatch.setattr(gru.Trainer, "window", lambda self, h, inputs, targets, live, end: (seen.append((h.copy(), inputs.copy())), h + 1)[1])
+    text = np.append(np.arange(1, 1200) % 60 + 1, 0).astype(np.int16)
+    gru.Trainer(gru.fresh(np.ones(gru.HEAD + gru.TAIL))).train([text, text[-3:]], 0, 2)
+    assert np.concatenate([x[:, 0] for _, x in seen])[: len(text)].tolist() == [0, *text[:-1].tolist()]
+    assert [h[0, 0] for h, _ in seen] == list(range(len(seen)))
+
+
 def test_network_trains_on_windows_without_frequent_words():
     trainer = gru.Trainer(gru.fresh(np.ones(gru.HEAD + gru.TAIL)))
     trainer.train([np.full(40, gru.HEAD + 3)], 0, 2)
@@ -532,9 +788,9 @@ def test_network_trains_on_windows_without_frequent_words():
 
 def test_network_probabilities_sum_to_one():
     p = gru.unpack(gru.fresh(np.arange(gru.HEAD + gru.TAIL)))
-    state = np.full((1, gru.HIDDEN), 0.3, np.float32)
+    state = np.full((gru.HIDDEN, 1), 0.3, np.float32)
     every = np.arange(gru.HEAD + gru.TAIL)
-    assert np.exp(gru.log_probabilities(p, np.repeat(state, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(gru.log_probabilities(p, np.repeat(state, len(every), 1), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_scratch_follows_the_named_folder(spark):
