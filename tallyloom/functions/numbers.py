@@ -19,6 +19,15 @@ UNITS = (
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: What counts as white space around a value.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end; ``trim`` alone takes spaces only."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def unit_aliases() -> dict[str, tuple[str, float]]:
     return {alias: (base, scale) for base, scale, names in UNITS for alias in names.split()}
 
@@ -30,14 +39,14 @@ def _lookup(key: Column, values: dict[str, object]) -> Column:
 
 def positive_number(value: Column) -> Column:
     """A finite number above 0, with a decimal comma or point; null for anything else."""
-    text = F.replace(F.trim(value.cast("string")), F.lit(","), F.lit("."))
+    text = F.replace(stripped(value.cast("string")), F.lit(","), F.lit("."))
     number = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
     return F.when((number > 0) & (number < float("inf")), number)
 
 
 def unit_key(unit: Column) -> Column:
     """Upper-case unit name without surrounding blanks or trailing dots."""
-    return F.regexp_replace(F.upper(F.trim(F.coalesce(unit, F.lit("")))), r"\.+$", "")
+    return F.regexp_replace(F.upper(stripped(F.coalesce(unit, F.lit("")))), r"\.+$", "")
 
 
 def unit_base(unit: Column) -> Column:
@@ -71,8 +80,8 @@ def local_number(value: Column, digits: int = 0) -> Column:
     return F.when(finite, F.translate(F.format_number(value, digits), ",.", ".,")).otherwise(F.lit("—"))
 
 
-def money(value: Column) -> Column:
-    return F.concat(F.lit("$"), local_number(value))
+def money(value: Column, digits: int = 0) -> Column:
+    return F.concat(F.lit("$"), local_number(value, digits))
 
 
 def relative_change(now: Column, before: Column) -> Column:

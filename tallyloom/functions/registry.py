@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tallyloom.functions.numbers import WHITE
+
 SQL_FUNCTIONS = {
-    "tl_positive_number": "CREATE OR REPLACE TEMPORARY FUNCTION tl_positive_number(v STRING) RETURNS DOUBLE RETURN CASE WHEN replace(trim(v), ',', '.') RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' AND try_cast(replace(trim(v), ',', '.') AS DOUBLE) > 0 AND try_cast(replace(trim(v), ',', '.') AS DOUBLE) < double('Infinity') THEN try_cast(replace(trim(v), ',', '.') AS DOUBLE) END",
+    "tl_positive_number": f"CREATE OR REPLACE TEMPORARY FUNCTION tl_positive_number(v STRING) RETURNS DOUBLE RETURN CASE WHEN replace(btrim(v, '{WHITE}'), ',', '.') RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' AND try_cast(replace(btrim(v, '{WHITE}'), ',', '.') AS DOUBLE) > 0 AND try_cast(replace(btrim(v, '{WHITE}'), ',', '.') AS DOUBLE) < double('Infinity') THEN try_cast(replace(btrim(v, '{WHITE}'), ',', '.') AS DOUBLE) END",
     "tl_direction": "CREATE OR REPLACE TEMPORARY FUNCTION tl_direction(c DOUBLE, t DOUBLE) RETURNS STRING RETURN CASE WHEN c IS NULL THEN NULL WHEN abs(c) < t THEN 'stable' WHEN c > 0 THEN 'up' ELSE 'down' END",
 }
 

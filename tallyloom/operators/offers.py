@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.numbers import positive_number
+from tallyloom.functions.numbers import positive_number, stripped
 from tallyloom.operators.basket_catalogue import CHAINS, NOT_RETAIL
 
 LOW, HIGH = 0.15, 6.5
@@ -19,17 +19,17 @@ LOW, HIGH = 0.15, 6.5
 
 def in_area(province: Column, locality: Column, lat: Column, lon: Column, wide: bool = False) -> Column:
     """Whether a branch lies in the area; the wide one adds suburbs and a box of coordinates."""
-    place = F.upper(F.trim(F.coalesce(locality, F.lit(""))))
+    place = F.upper(stripped(F.coalesce(locality, F.lit(""))))
     inside = place == "ROSARIO"
     if wide:
-        number = lambda c: F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
+        number = lambda c: F.replace(stripped(c.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
         box = number(lat).between(-33.1, -32.7) & number(lon).between(-61.0, -60.4)
         inside = inside | place.isin("FUNES", "FISHERTON", "FISHERTON ROSARIO") | F.coalesce(box, F.lit(False))
-    return (F.trim(F.coalesce(province, F.lit(""))) == "AR-S") & inside
+    return (stripped(F.coalesce(province, F.lit(""))) == "AR-S") & inside
 
 
 def zone_of(locality: Column) -> Column:
-    return F.when(F.lower(F.trim(F.coalesce(locality, F.lit("")))) == "rosario", "rosario").otherwise("gran")
+    return F.when(F.lower(stripped(F.coalesce(locality, F.lit("")))) == "rosario", "rosario").otherwise("gran")
 
 
 def retail_only(df: DataFrame, chain: str = "chain", excluded: Sequence[str] = NOT_RETAIL) -> DataFrame:
@@ -45,6 +45,13 @@ def with_label(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFr
     return df.join(labels, key, "left").withColumn(label, F.coalesce(F.col(label), F.col(key).cast("string")))
 
 
+def chain_labels(chains: DataFrame) -> DataFrame:
+    """A label per chain: the name of its first banner in text order."""
+    named = chains.where("id_comercio is not null and id_bandera is not null and comercio_bandera_nombre <> ''")
+    first = F.min(F.struct("id_bandera", "comercio_bandera_nombre"))["comercio_bandera_nombre"]
+    return named.groupBy(F.col("id_comercio").alias("chain")).agg(first.alias("label"))
+
+
 def comparable_units(offers: DataFrame, items: DataFrame) -> DataFrame:
     """Offers whose unit is the item's and whose price is sane, with the item's need."""
     return offers.join(F.broadcast(items), "item").where((F.col("unit_name") == F.col("unit")) & (F.col("price") > 0))
@@ -145,15 +152,18 @@ def quarantine(rows: DataFrame, key: Sequence[str], content: Sequence[str], pric
     )
 
 
-def first_variant(branches: DataFrame, products: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Products of selected branches: an inner join that broadcasts when Spark measures the branches small."""
-    return products.join(branches, list(key))
-
-
 def at_selected_branches(products: DataFrame, branches: DataFrame, key: Sequence[str]) -> DataFrame:
     return products.join(branches.select(*key).distinct(), list(key), "left_semi")
 
 
-def with_price(rows: DataFrame, column: str) -> DataFrame:
+def with_price(rows: DataFrame, column: str, name: str = "price") -> DataFrame:
     """Rows whose price is a finite number above 0."""
-    return rows.withColumn("price", positive_number(F.col(column))).where("price is not null")
+    return rows.withColumn(name, positive_number(F.col(column))).where(F.col(name).isNotNull())
+
+
+OTHER = "Otro"
+
+
+def with_category(rows: DataFrame, items: DataFrame, key: str = "item") -> DataFrame:
+    """Rows with the category of their item, OTHER where the item has none."""
+    return rows.join(F.broadcast(items.select(key, "category")), key, "left").withColumn("category", F.coalesce("category", F.lit(OTHER)))

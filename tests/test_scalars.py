@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import numbers as num
 from tallyloom.functions import registry
 from tallyloom.functions import text as txt
-from tallyloom.operators.basket_catalogue import rules
+from tallyloom.operators.basket_catalogue import load_exclusions, rules
 
 
 def values(spark, texts, expression, kind="string"):
@@ -50,10 +50,22 @@ def test_normalize_text_follows_nfd(spark):
     assert values(spark, texts, txt.normalize_text) == expected
 
 
-def test_keyword_class(spark):
-    texts = ["LECHE ENTERA 1 L", "dulce de leche 400 g", "Arroz largo fino", "galleta de arroz", "Pan Lactal blanco", "papas fritas", "PAPA NEGRA kg", "azúcar común", "jugo de manzana", "Manteca 200", None, "purelado tomate", "cafe instantáneo"]
-    found = values(spark, texts, lambda c: txt.keyword_class(txt.normalize_text(c), rules()))
-    assert found == ["leche_entera", None, "arroz", None, "pan_lactal", None, "papa", "azucar", None, "manteca", None, None, "cafe"]
+def test_keyword_class(spark, tmp_path):
+    (tmp_path / "out.json").write_text('{"leche_entera": ["dulce de leche", "Gato"], "arroz": ["galleta"], "papa": ["fritas"], "manzana": ["jugo"], "azucar": ["powerade"], "manteca": ["manteca de cacao"]}')
+    out = load_exclusions(str(tmp_path / "out.json"))
+    texts = ["LECHE ENTERA 1 L", "dulce de leche 400 g", "Arroz largo fino", "galleta de arroz", "Pan Lactal blanco", "papas fritas", "PAPA NEGRA kg", "azúcar común", "jugo de manzana", "Manteca 200", None, "purelado tomate", "cafe instantáneo", "LECHE ENTERA GATO 1 L", "AZUCAR POWERADE", "MANTECA DE CACAO"]
+    found = values(spark, texts, lambda c: txt.keyword_class(txt.normalize_text(c), rules(out)))
+    assert found == ["leche_entera", None, "arroz", None, "pan_lactal", None, "papa", "azucar", None, "manteca", None, None, "cafe", None, None, None]
+    # Without a deployment's exclusions a mention is enough.
+    assert values(spark, texts[1:2], lambda c: txt.keyword_class(txt.normalize_text(c), rules())) == ["leche_entera"]
+    (tmp_path / "bad.json").write_text('{"nothing": ["x"]}')
+    with pytest.raises(ValueError, match="unknown"):
+        load_exclusions(str(tmp_path / "bad.json"))
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    assert values(spark, ["\t12,5\n", "\u00a07\r", "1 2"], num.positive_number) == [12.5, 7.0, None]
+    assert values(spark, ["\tkg", "\nLTS.. "], num.unit_base) == ["kg", "L"]
 
 
 def test_longest_keyword_and_first_item_win(spark):
