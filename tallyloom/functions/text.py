@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,16 +53,21 @@ def digits_match(code: Column, prefixes: Sequence[str]) -> Column:
     return found
 
 
-def _size_pattern() -> str:
-    names = sorted(unit_aliases(), key=len, reverse=True)
-    units = "|".join(n.replace("/", "\\/") for n in names)
-    before = r"(?:(?<![0-9.,])([0-9]+)\s*[X×]\s*)?"
-    size = rf"(?<![0-9.,])([0-9]+(?:[.,][0-9]+)?)\s*({units})(?![A-Z0-9])"
-    after = r"(?=(\s*[X×]\s*([0-9]+)\s*(?:UNI|UNIDADES|UN|UDS|UD|U)\b)?)"
-    return before + size + after
+# How a description prints a size, with a pack's count before or
+# after it, and an egg carton.  UNITS stands for the names of all known units.
+BEFORE = r"(?:(?<![0-9.,])([0-9]+)\s*[X×]\s*)?"
+AMOUNT = r"(?<![0-9.,])([0-9]+(?:[.,][0-9]+)?)\s*(UNITS)(?![A-Z0-9])"
+AFTER = r"(?=(\s*[X×]\s*([0-9]+)\s*(?:UNI|UNIDADES|UN|UDS|UD|U)\b)?)"
+CARTON = r"\bHUEVO.*\bX\s*([0-9]+)\s*C\s*T\s*$"
+TOLERANCE = 1e-6
 
+SIZE = BEFORE + AMOUNT.replace("UNITS", "|".join(sorted(unit_aliases(), key=len, reverse=True))) + AFTER
+_BEGIN, _END = "\x01", "\x02"
 
-SIZE = _size_pattern()
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def description_quantity(description: Column, expected_unit: Column) -> Column:
@@ -71,28 +76,44 @@ def description_quantity(description: Column, expected_unit: Column) -> Column:
     Packs (``3 X 125 G``, ``75 G X 3 UN``) multiply; all sizes printed must
     agree; a count both before and after a size is ambiguous, one of zero void;
     egg cartons (``HUEVO ... X 30 C T``) count as units.
+
+    One pass of the pattern writes the parts of every size between marks; they
+    are split off, looked up and folded from there.
     """
     desc = strip_marks(F.upper(F.coalesce(description, F.lit(""))), COMPATIBLE)
-    desc = F.regexp_replace(desc, r"(?<=[0-9])-(?=[A-Z])", " ")
-    parts = [F.regexp_extract_all(desc, F.lit(SIZE), F.lit(i)) for i in (1, 2, 3, 5)]
+    desc = F.regexp_replace(desc, r"(?<=[0-9])-(?=[A-Z])|[\x01\x02]", " ")
+    return bound(F.struct(desc.alias("desc"), expected_unit.alias("unit")), lambda x: _quantity(x["desc"], x["unit"]))
+
+
+def _quantity(desc: Column, expected_unit: Column) -> Column:
+    marked = F.split(F.regexp_replace(desc, SIZE, f"{_BEGIN}$1|$2|$3|$5{_END}"), _BEGIN)
     scales = F.create_map(*[F.lit(x) for a, (b, s) in unit_aliases().items() for x in (a, f"{b} {s!r}")])
-    sizes = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("before", "amount", "unit", "after"), strict=True)]), lambda m: _size(m, scales))
-    fitting = F.filter(sizes, lambda s: (s["base"] == expected_unit) & (s["amount"] > 0))
+    sizes = F.transform(F.slice(marked, 2, F.size(marked)), lambda m: bound(F.split(F.substring_index(m, _END, 1), r"\|", -1), lambda parts: _size(parts, scales)))
     counted = expected_unit != "u"
-    void = F.exists(fitting, lambda s: s["before"].isNotNull() & s["after"].isNotNull()) | (counted & F.exists(fitting, lambda s: F.coalesce(s["before"], s["after"]) <= 0))
-    amounts = F.transform(fitting, lambda s: s["amount"] * F.when(counted, F.coalesce(s["before"], s["after"], F.lit(1.0))).otherwise(F.lit(1.0)))
-    carton = F.regexp_extract(desc, r"\bHUEVO.*\bX\s*([0-9]+)\s*C\s*T\s*$", 1)
-    carton = F.when((expected_unit == "u") & (carton != ""), carton.try_cast("double"))
-    first = F.try_element_at(amounts, F.lit(1))
-    same = F.forall(amounts, lambda a: F.abs(a - first) <= 1e-6 * F.greatest(F.abs(a), F.abs(first)))
-    return F.when(void, F.lit(None)).when(F.size(amounts) == 0, carton).when(same, first)
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(False).alias("void"), F.lit(True).alias("same"))
+
+    def fold(state: Column, s: Column) -> Column:
+        times = F.coalesce(s["before"], s["after"])
+        amount = s["amount"] * F.when(counted, F.coalesce(times, F.lit(1.0))).otherwise(1.0)
+        first = F.coalesce(state["first"], amount)
+        void = state["void"] | (s["before"].isNotNull() & s["after"].isNotNull()) | F.coalesce(counted & (times <= 0), F.lit(False))
+        same = state["same"] & (F.abs(amount - first) <= TOLERANCE * F.greatest(F.abs(amount), F.abs(first)))
+        fits = F.coalesce((s["base"] == expected_unit) & (s["amount"] > 0), F.lit(False))
+        return F.when(fits, F.struct(first.alias("first"), void.alias("void"), same.alias("same"))).otherwise(state)
+
+    def finish(state: Column) -> Column:
+        carton = F.regexp_extract(desc, CARTON, 1)
+        carton = F.when((expected_unit == "u") & (carton != ""), carton.try_cast("double"))
+        return F.when(state["void"], F.lit(None)).when(state["first"].isNull(), carton).when(state["same"], state["first"])
+
+    return F.aggregate(sizes, start, fold, finish)
 
 
-def _size(match: Column, scales: Column) -> Column:
-    unit = F.split(F.try_element_at(scales, match["unit"]), " ")
+def _size(parts: Column, scales: Column) -> Column:
+    unit = F.split(F.try_element_at(scales, parts[2]), " ")
     count = lambda c: F.when(c != "", c.try_cast("double"))
-    amount = F.replace(match["amount"], F.lit(","), F.lit(".")).try_cast("double") * unit[1].cast("double")
-    return F.struct(unit[0].alias("base"), amount.alias("amount"), count(match["before"]).alias("before"), count(match["after"]).alias("after"))
+    amount = F.replace(parts[1], F.lit(","), F.lit(".")).try_cast("double") * unit[1].cast("double")
+    return F.struct(unit[0].alias("base"), amount.alias("amount"), count(parts[0]).alias("before"), count(parts[3]).alias("after"))
 
 
 def keyword_class(normalized: Column, items: Sequence[dict]) -> Column:
@@ -104,7 +125,7 @@ def keyword_class(normalized: Column, items: Sequence[dict]) -> Column:
     inside its branch, after its keywords, so most texts never reach them.
     """
     # The text is bound once, so that its normalisation isn't evaluated for every keyword.
-    return F.element_at(F.transform(F.array(normalized), lambda text: _classify(text, items)), 1)
+    return bound(normalized, lambda text: _classify(text, items))
 
 
 def _classify(text: Column, items: Sequence[dict]) -> Column:

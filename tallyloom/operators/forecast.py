@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import direction
+from tallyloom.functions.text import bound
 from tallyloom.operators.panel import WEEK, eligible, series_window
 
 MOVE_PCT, MOVE = 0.8, 0.008
@@ -89,11 +90,11 @@ def naive_band(panel: DataFrame, days: int = 60) -> DataFrame:
     n, last = F.size(h), F.try_element_at(h, F.lit(-1))
     diffs = lambda k: F.expr(f"transform(sequence(1, least({k}, size(h) - 1)), i -> element_at(h, -i) - element_at(h, -i - 1))")
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    four, six = diffs(4), diffs(6)
-    drift = F.when(n >= 3, mean(four)).otherwise(F.lit(0.0))
-    deviation = F.sqrt(F.aggregate(six, F.lit(0.0), lambda s, x: s + (x - mean(six)) * (x - mean(six))) / F.size(six))
-    spread = F.when(n >= 4, deviation).otherwise(last * 0.03)
-    mid = F.when(n == 1, last).otherwise(last + drift)
-    low = F.when(n == 1, last * 0.97).otherwise(mid - spread * 1.28)
-    high = F.when(n == 1, last * 1.03).otherwise(mid + spread * 1.28)
-    return out.where(n >= 1).select("series", "d", F.col("p").alias("actual"), n.alias("n"), mid.alias("mid"), low.alias("low"), high.alias("high"))
+    off = lambda a: bound(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)))
+    drift = F.when(n >= 3, bound(diffs(4), mean)).otherwise(F.lit(0.0))
+    spread = F.when(n >= 4, bound(diffs(6), off)).otherwise(last * 0.03)
+    out = out.where(n >= 1).select("series", "d", F.col("p").alias("actual"), n.alias("n"), last.alias("last"), (last + drift).alias("mid"), spread.alias("spread"))
+    one = F.col("n") == 1
+    low = F.when(one, F.col("last") * 0.97).otherwise(F.col("mid") - F.col("spread") * 1.28)
+    high = F.when(one, F.col("last") * 1.03).otherwise(F.col("mid") + F.col("spread") * 1.28)
+    return out.select("series", "d", "actual", "n", F.when(one, F.col("last")).otherwise(F.col("mid")).alias("mid"), low.alias("low"), high.alias("high"))
