@@ -34,10 +34,19 @@ def work_list(days: DataFrame, present: DataFrame, linked: DataFrame) -> DataFra
     return days.join(have, "d", "left").join(link, "d", "left").select("d", state.alias("state"))
 
 
+def revision_order() -> Column:
+    """What revisions are tried by: without warnings first, then first seen, then smallest id."""
+    return F.struct(F.coalesce(F.col("has_warnings"), F.lit(False)).alias("w"), F.coalesce("first_seen", F.lit("")).alias("s"), F.col("id").alias("i"))
+
+
+def linked(entries: DataFrame) -> DataFrame:
+    return entries.where("link is not null and link <> ''")
+
+
 def best_revision(entries: DataFrame, by: str = "d") -> DataFrame:
-    """Of the entries with a link: without warnings first, then first seen, then smallest id."""
-    key = F.struct(F.coalesce(F.col("has_warnings"), F.lit(False)).alias("w"), F.coalesce("first_seen", F.lit("")).alias("s"), F.col("id").alias("i"))
-    return entries.where("link is not null and link <> ''").groupBy(by).agg(F.min(key).alias("k")).select(by, F.col("k.i").alias("id"), F.col("k.s").alias("first_seen"), F.col("k.w").alias("has_warnings"))
+    """The entry with a link that is tried first."""
+    best = linked(entries).groupBy(by).agg(F.min(revision_order()).alias("k"))
+    return best.select(by, F.col("k.i").alias("id"), F.col("k.s").alias("first_seen"), F.col("k.w").alias("has_warnings"))
 
 
 def latest_attempts(attempts: DataFrame, by: str, order: str) -> DataFrame:
@@ -72,6 +81,22 @@ def cell_counters(cells: DataFrame, day: str = "d", value: str = "price") -> Dat
     return daily.agg(F.min("cells").alias("min_cells"), F.max("cells").alias("max_cells"), F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("days"))
 
 
+def import_counters(days: DataFrame) -> DataFrame:
+    """Days, compressed bytes, observations and conflicts of the imported days, by importer version."""
+    done = days.where("status = 'imported'")
+    return done.groupBy("import_version").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("compressed_bytes").alias("bytes"), F.sum("observations").alias("observations"), F.sum("conflicts").alias("conflicts"),
+    )
+
+
+def inconsistent_cells(cells: DataFrame, tolerance: float = 0.011) -> DataFrame:
+    """Cells whose price isn't finite and above 0, or isn't their list price by their quantity."""
+    price, expected = F.col("price"), F.try_divide(F.col("price_lista"), F.col("normalized_quantity"))
+    sane = (price > 0) & (price < float("inf"))
+    off = F.coalesce(F.abs(price - expected) > tolerance, F.lit(False))
+    return cells.where("price is not null").where(~sane | off)
+
+
 def single_version(rows: DataFrame, column: str) -> Column:
     """Fails unless a column has exactly one value."""
     return F.assert_true(F.count_distinct(column) == 1, F.lit(f"{column} must have one value"))
@@ -84,11 +109,11 @@ def rematch(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFram
     return both.groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"), F.min(change).alias("outcome"))
 
 
-def archive_dates(names: DataFrame, column: str, expected: str) -> DataFrame:
+def archive_dates(names: DataFrame, column: str, expected: str, by: Sequence[str] = ()) -> DataFrame:
     """The dates in archive member names, and whether they are just the expected one."""
-    found = F.array_sort(F.collect_set("x"))
-    days = names.select(F.explode(F.regexp_extract_all(column, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))).alias("x"))
-    return days.agg(found.alias("dates")).withColumn("valid", F.col("dates") == F.array(F.lit(expected)))
+    found = names.select(*by, F.explode_outer(F.regexp_extract_all(column, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))).alias("x"))
+    days = found.groupBy(*by).agg(F.array_sort(F.collect_set("x")).alias("dates"))
+    return days.withColumn("valid", F.col("dates") == F.array(F.lit(expected)))
 
 
 def with_known_source(rows: DataFrame, index: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +65,14 @@ def classified(spark: SparkSession, rows: DataFrame, exclusions: dict | None = N
     return rows.join(found, "descripcion").join(F.broadcast(dimension), "item")
 
 
-def observations(spark: SparkSession, lines: DataFrame, wide: bool = True, chains: Sequence[str] | None = None, exclusions: dict | None = None) -> DataFrame:
-    """Offers of basket items at branches of the area, with verified prices per unit."""
-    branches = area_branches(lines, wide, chains).drop("sucursales_provincia", "sucursales_latitud", "sucursales_longitud")
-    rows = feed.selected_products(lines, branches, PRODUCT_COLUMNS).where(num.positive_number(F.col("productos_precio_lista")).isNotNull())
+def observations(spark: SparkSession, archives: str | Sequence[str], branches: DataFrame, exclusions: dict | None = None) -> DataFrame:
+    """Offers of basket items at the given branches, with verified prices per unit."""
+    branches = branches.drop("sucursales_provincia", "sucursales_latitud", "sucursales_longitud")
+    rows = offers.with_price(feed.selected_products(spark, archives, branches, PRODUCT_COLUMNS), "productos_precio_lista", "price_lista")
     rows = rows.select(
         F.col("id_comercio").alias("chain_id"), F.col("id_bandera").alias("bandera_id"), F.col("id_sucursal").alias("branch_id"),
-        F.trim(F.coalesce("id_producto", F.lit(""))).alias("product_id"), F.coalesce("productos_descripcion", F.lit("")).alias("descripcion"),
-        F.coalesce("productos_marca", F.lit("")).alias("marca"), num.positive_number(F.col("productos_precio_lista")).alias("price_lista"),
+        num.stripped(F.coalesce("id_producto", F.lit(""))).alias("product_id"), F.coalesce("productos_descripcion", F.lit("")).alias("descripcion"),
+        F.coalesce("productos_marca", F.lit("")).alias("marca"), "price_lista",
         F.coalesce(num.positive_number(F.col("productos_cantidad_presentacion")), F.lit(0.0)).alias("cantidad_presentacion"),
         F.coalesce("productos_unidad_medida_presentacion", F.lit("")).alias("unidad_presentacion"),
         offers.zone_of(F.col("sucursales_localidad")).alias("zone"),
@@ -88,7 +89,7 @@ def quarantined(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, chains: Sequence[str] = CHAINS, drop_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cheapest offers and zone baskets of a day's observations.
+    """Cheapest offers by zone ('all': the whole area), chain and item; and the baskets of each zone.
 
     Outliers are judged over all chains and zones, before either is narrowed.
     Re-zoning leaves outliers in (``drop_outliers=False``).
@@ -96,30 +97,65 @@ def summary(rows: DataFrame, chains: Sequence[str] = CHAINS, drop_outliers: bool
     rows = rows.withColumn("chain", F.col("chain_id"))
     kept = offers.keep_plausible(rows) if drop_outliers else rows.where(F.col("price") > 0)
     kept = offers.allowed_chains(kept.where(F.col("unit_name") == F.col("unit")), "chain", chains)
-    best = offers.cheapest(kept, ["chain", "item"], list(ORDER), [*ORDER, "chain", "item", "price", "need_qty", "descripcion", "marca"])
-    return best, offers.zone_baskets(kept, list(ORDER))
-
-
-def run_day(spark: SparkSession, archives: str, date: str, raw_path: str, snapshot_path: str, chains: Sequence[str] | None = None) -> None:
-    """A day's archives to raw observations (rejects included) and its snapshot."""
-    lines = feed.archive_lines(spark, archives)
-    rows = quarantined(observations(spark, lines, chains=chains)).withColumn("date", F.lit(date))
-    sinks.write_observations(rows, raw_path)
-    rebuild_day(spark, raw_path, date, snapshot_path)
+    columns = dict.fromkeys([*ORDER, "zone", "chain", "item", "need_qty", *sinks.CELL])
+    by_zone = offers.cheapest(kept, ["zone", "chain", "item"], list(ORDER), list(columns))
+    whole = offers.cheapest(by_zone.drop("zone"), ["chain", "item"], list(ORDER)).withColumn("zone", F.lit("all"))
+    best = by_zone.unionByName(whole)
+    return best, offers.baskets(best, ["zone", "chain"])
+
+
+def checked_dates(spark: SparkSession, scanned: DataFrame, date: str) -> None:
+    """Fails unless the members of every TAR name this day and no other; daily ZIPs carry no day."""
+    tars = scanned.where((F.col("kind") == feed.NAME) & F.col("archive").rlike(r"\.tar(\.zst)?$"))
+    wrong = [r for r in audit.archive_dates(tars, "line", date, ["archive"]).where("not valid").collect()]  # one row an archive
+    if wrong:
+        raise ValueError(f"{wrong[0]['archive']}: expected {date}, found {wrong[0]['dates']}")
+
+
+def run_day(spark: SparkSession, archives: str | Sequence[str], date: str, raw_path: str, snapshot_path: str, chains: Sequence[str] | None = None, exclusions: dict | None = None, source: dict | None = None) -> dict[str, int]:
+    """A day's archives to raw observations (rejects included) and its snapshot; returns the counts of the manifest."""
+    scanned = feed.scan(spark, archives).persist(StorageLevel.DISK_ONLY)
+    try:
+        checked_dates(spark, scanned, date)
+        branches = area_branches(scanned, chains=chains).persist(StorageLevel.DISK_ONLY)
+        rows = quarantined(observations(spark, archives, branches, exclusions)).withColumn("date", F.lit(date))
+        sinks.write_observations(rows, raw_path)
+        stored = raw_day(spark, raw_path, date)
+        counts = stored.agg(F.count(F.lit(1)).alias("observations"), F.coalesce(F.sum("duplicate_rows"), F.lit(0)).alias("duplicate_rows"), F.count_if("identity_conflict").alias("conflicts")).first().asDict()
+        if not counts["observations"]:
+            raise ValueError("no basket observations; nothing is published")
+        labels = offers.chain_labels(feed.parsed(scanned, "comercio.csv", ["id_comercio", "id_bandera", "comercio_bandera_nombre"]))
+        write_summary(stored, branches, labels, date, snapshot_path, source=source)
+        return counts | {"branches": branches.count()}
+    finally:
+        scanned.unpersist()
 
 
 def raw_day(spark: SparkSession, raw_path: str, date: str) -> DataFrame:
     return spark.read.parquet(raw_path).where(F.col("date").cast("string") == date)
 
 
-def rebuild_day(spark: SparkSession, raw_path: str, date: str, snapshot_path: str, rematch: bool = False, drop_outliers: bool = True) -> None:
-    """A snapshot from stored observations, which stay as they are; ``rematch`` classifies and prices anew."""
+def write_summary(rows: DataFrame, branches: DataFrame, labels: DataFrame, date: str, snapshot_path: str, drop_outliers: bool = True, source: dict | None = None) -> None:
+    best, totals = summary(rows, drop_outliers=drop_outliers)
+    spark = rows.sparkSession
+    counted = offers.branch_counts(branches.withColumn("zone", offers.zone_of(F.col("sucursales_localidad"))))
+    cells = best.join(F.broadcast(items(spark).select("ord", F.col("item_id").alias("item"))), "item")
+    made = sinks.snapshot_rows(cells, totals, counted, labels, date, VERSION, source)
+    sinks.write_snapshot(made, f"{snapshot_path}/date={date}")
+
+
+def rebuild_day(spark: SparkSession, raw_path: str, date: str, snapshot_path: str, rematch: bool = False, drop_outliers: bool = True, exclusions: dict | None = None) -> None:
+    """A snapshot from stored observations, which stay as they are; ``rematch`` classifies and prices anew.
+
+    Its branches are those with observations, its chains' labels their ids.
+    """
     rows = raw_day(spark, raw_path, date)
     if rematch:
         derived = ["item", "unit", "need_qty", "normalized_quantity", "price", "unit_name", "price_basis", "price_normalization_version"]
-        rows = verified_contents(classified(spark, rows.drop(*derived))).where("price is not null")
-    best, totals = summary(rows, drop_outliers=drop_outliers)
-    sinks.write_snapshot(sinks.snapshot_rows(best, totals, date, VERSION), f"{snapshot_path}/date={date}")
+        rows = verified_contents(classified(spark, rows.drop(*derived), exclusions)).where("price is not null")
+    branches = rows.select("chain_id", "bandera_id", "branch_id", F.when(F.col("zone") == "rosario", "rosario").alias("sucursales_localidad")).distinct()
+    labels = rows.select(F.col("chain_id").alias("chain"), F.col("chain_id").alias("label")).distinct()
+    write_summary(rows, branches, labels, date, snapshot_path, drop_outliers)
 
 
 def price_panel(best: DataFrame) -> DataFrame:

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import tarfile
 import tempfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
+from itertools import islice
+from typing import IO
+from urllib.parse import urlparse
+from urllib.request import url2pathname
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.numbers import stripped
 from tallyloom.session import ship_code
 
-#: Lines that aren't records: footers and their mis-decoded forms.
+# Beginnings of lines that aren't records (footers and their
+# mis-decoded forms), the files of a shop, the columns that name a branch, the
+# columns a product file must have, and the longest record.
 FOOTERS = ("Ultima", "Última", "Ã")
 MEMBERS = ("comercio.csv", "sucursales.csv", "productos.csv")
 IDENTITY = ("id_comercio", "id_bandera", "id_sucursal")
+NEEDED = ("id_producto", "productos_precio_lista")
 MAX_RECORD = 16 * 1024 * 1024
-SPOOL = 8 * 1024 * 1024
-
-_LINES = "archive string, member string, kind string, header string, line string"
+#: Bytes of an inner archive kept in memory, and of a product file read at a time.
+SPOOL, CHUNK = 8 * 1024 * 1024, 4 * 1024 * 1024
+#: What ``scan`` calls the rows that hold a member's path.
+NAME = "name"
 
 
 def feed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -32,7 +42,7 @@ def feed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.regexp_replace(F.col(column), "^﻿", "")
-    kept = F.trim(text) != ""
+    kept = stripped(text) != ""
     for f in FOOTERS:
         kept = kept & ~text.startswith(f)
     return lines.withColumn(column, text).where(kept)
@@ -57,7 +67,7 @@ def checked_header(header: str) -> list[str]:
     names = [h.strip() for h in header.lstrip("﻿").strip().split("|")]
     if tuple(names[:3]) != IDENTITY:
         raise ValueError(f"unexpected identity columns: {names[:3]}")
-    if not {"id_producto", "productos_precio_lista"} <= set(names):
+    if not set(NEEDED) <= set(names):
         raise ValueError("required product columns are missing")
     return names
 
@@ -74,8 +84,8 @@ def member_kinds(names: Sequence[str]) -> dict[str, str]:
     return found
 
 
-def _records(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:
-    """(header, line) of every record of a feed stream; the stream is read line by line."""
+def _records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
+    """(header, line) of every record of a small feed file."""
     header = None
     while raw := stream.readline(MAX_RECORD + 1):
         if len(raw) > MAX_RECORD:
@@ -89,98 +99,169 @@ def _records(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:
             yield header, line
 
 
-def _inner_zip(stream: io.BufferedIOBase) -> Iterator[tuple[str, str, str]]:
-    """(kind, header, line) of an inner ZIP; large ones spill to the task's temporary folder."""
+def _products(stream: IO[bytes], keys: frozenset[bytes], columns: Sequence[str]) -> Iterator[list[str | None]]:
+    """The branch and the named columns of the records whose branch is among ``keys``.
+
+    Whole lines are looked at as bytes; only those of wanted branches are
+    decoded and parsed.
+    """
+    names, held = None, b""
+    while True:
+        part = stream.read(CHUNK)
+        held += part
+        end = held.rfind(b"\n") + 1 if part else len(held)
+        if not end and len(held) > MAX_RECORD:
+            raise ValueError("a record exceeds 16 MiB")
+        for raw in held[:end].split(b"\n"):
+            if names is None:
+                line = raw.decode("utf-8-sig", errors="replace").strip()
+                if line and not line.startswith(FOOTERS):
+                    names = checked_header(line)
+                    at = [names.index(c) if c in names else None for c in (*IDENTITY, *columns)]
+                continue
+            stop = raw.find(b"|", raw.find(b"|", raw.find(b"|") + 1) + 1)
+            if raw[:stop] in keys:
+                values = next(csv.reader([raw.decode("utf-8", errors="replace").rstrip("\r")], delimiter="|"))
+                yield [None if i is None or i >= len(values) else values[i] for i in at]
+        held = held[end:]
+        if not part:
+            return
+
+
+def _inner_files(stream: IO[bytes], kinds: Collection[str]) -> Iterator[tuple[str, IO[bytes]]]:
+    """The wanted files of an inner ZIP; large ones spill to the task's temporary folder."""
     with tempfile.SpooledTemporaryFile(max_size=SPOOL) as spool:
         while chunk := stream.read(1 << 20):
             spool.write(chunk)
         spool.seek(0)
         with zipfile.ZipFile(spool) as inner:
             for kind, name in member_kinds(inner.namelist()).items():
-                with inner.open(name) as f:
-                    for header, line in _records(f):
-                        yield kind, header, line
+                if kind in kinds:
+                    with inner.open(name) as f:
+                        yield kind, f
 
 
-def _zip_lines(content: bytes) -> Iterator[tuple[str, str, str, str]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as outer:
+def _zip_files(file: IO[bytes], kinds: Collection[str], wanted: Collection[str] | None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
+    with zipfile.ZipFile(file) as outer:
         for name in outer.namelist():
-            if name.endswith(".zip"):
+            yield name, NAME, None
+            if name.endswith(".zip") and (wanted is None or name in wanted):
                 try:
                     with outer.open(name) as f:
-                        for kind, header, line in _inner_zip(f):
-                            yield name, kind, header, line
+                        for kind, stream in _inner_files(f, kinds):
+                            yield name, kind, stream
                 except zipfile.BadZipFile:
                     continue
 
 
-def _tar_stream(content: bytes, path: str):
-    if not path.endswith(".zst"):
-        return io.BytesIO(content)
-    import zstandard
-
-    return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-
-
-def _tar_lines(content: bytes, path: str) -> Iterator[tuple[str, str, str, str]]:
-    stream = _tar_stream(content, path)
-    with tarfile.open(fileobj=stream, mode="r|") as archive:
+def _tar_files(file: IO[bytes], kinds: Collection[str], wanted: Collection[str] | None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
+    with tarfile.open(fileobj=file, mode="r|") as archive:
         for member in archive:
             if not member.isfile():
                 continue
-            base = member.name.rsplit("/", 1)[-1]
-            f = archive.extractfile(member)
-            if base in MEMBERS:
-                for header, line in _records(f):
-                    yield member.name.rsplit("/", 1)[0], base, header, line
-            elif base.lower().endswith(".zip"):
-                for kind, header, line in _inner_zip(f):
-                    yield member.name, kind, header, line
-    while stream.read(1 << 20):  # the frames after the end mark are checked too
+            yield member.name, NAME, None
+            folder, _, base = member.name.rpartition("/")
+            if base in kinds and (wanted is None or folder in wanted):
+                yield folder, base, archive.extractfile(member)
+            elif base.lower().endswith(".zip") and (wanted is None or member.name in wanted):
+                for kind, stream in _inner_files(archive.extractfile(member), kinds):
+                    yield member.name, kind, stream
+    while file.read(1 << 20):  # what follows the end mark is checked too
         pass
 
 
-def _archive_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["archive", "member", "kind", "header", "line"]
+def is_tar(path: str) -> bool:
+    return re.search(r"\.tar(\.zst)?$", path) is not None
+
+
+def _files(path: str, content: bytes | None, kinds: Collection[str], wanted: Collection[str] | None = None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
+    """(member, kind, stream) of an archive, and (path, NAME, None) of each of its members."""
+    with io.BytesIO(content) if content is not None else open(url2pathname(urlparse(path).path), "rb") as file:
+        if not is_tar(path):
+            yield from _zip_files(file, kinds, wanted)
+        elif path.endswith(".zst"):
+            import zstandard
+
+            yield from _tar_files(zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True), kinds, wanted)
+        else:
+            yield from _tar_files(file, kinds, wanted)
+
+
+def _archives(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Paths of archives, with their content only where a task can't open them itself.
+
+    Files of a mounted folder are read as streams; of other stores Spark hands
+    the whole archive to the task (its limit is 2 GB an archive).
+    """
+    ship_code(spark)
+    found = spark.read.format("binaryFile").load(path)
+    mounted = all(urlparse(p).scheme in ("", "file") for p in found.inputFiles())
+    return found.select("path", (F.lit(None).cast("binary") if mounted else F.col("content")).alias("content"))
+
+
+def _batches(rows: Iterator[Sequence], names: Sequence[str], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], list(names))
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            data = content.as_py()
-            lines = _tar_lines(data, path) if re.search(r"\.tar(\.zst)?$", path) else _zip_lines(data)
-            rows: list[tuple] = []
-            for found in lines:
-                rows.append((path, *found))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
-
-
-def archive_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Records of all archives (ZIP of ZIPs, TAR, TAR with Zstandard) under a path.
-
-    One task opens one archive; everything after is a DataFrame plan.  An inner
-    ZIP that can't be read is passed over; a TAR whose tail is corrupt fails.
+            yield path, content.as_py()
+
+
+SCAN = ("archive", "member", "kind", "header", "line")
+
+
+def scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """What archives (ZIP of ZIPs, TAR, TAR with Zstandard) hold beside their products.
+
+    One row per record of the files of chains and branches, and one per member
+    with its path (kind NAME).  Product files aren't opened.  An inner ZIP that
+    can't be read is passed over in a ZIP; a TAR whose tail is corrupt fails.
     """
-    ship_code(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_archive_rows, _LINES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequence]:
+        for path, content in _opened(batches):
+            for member, kind, stream in _files(path, content, MEMBERS[:2]):
+                if stream is None:
+                    yield path, member, NAME, None, member
+                else:
+                    for header, line in _records(stream):
+                        yield path, member, kind, header, line
+
+    return _archives(spark, path).mapInArrow(lambda batches: _batches(rows(batches), SCAN), ", ".join(f"{c} string" for c in SCAN))
 
 
 def parsed(lines: DataFrame, kind: str, columns: Sequence[str]) -> DataFrame:
     """Records of one kind with the named columns, found by each file's own header."""
     of_kind = lines.where(F.col("kind") == kind)
-    names = F.transform(F.split("header", r"\|"), F.trim)
+    names = F.transform(F.split("header", r"\|"), stripped)
     values = F.split("line", r"\|", -1)
     field = lambda c: F.get(values, F.array_position(names, c).cast("int") - 1)
     return of_kind.select("archive", "member", *(field(c).alias(c) for c in columns))
 
 
-def selected_products(lines: DataFrame, branches: DataFrame, columns: Sequence[str]) -> DataFrame:
+def selected_products(spark: SparkSession, path: str | Sequence[str], branches: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Product records of chosen branches of the same archive member, with the branch's columns.
 
-    Spark broadcasts the branches when it measures them small; a member without
-    any contributes no key and so no row.
+    The branches' keys (the shops of one area, a few hundred a day) go to the
+    tasks that open the archives, so only lines of those branches leave them,
+    parsed; members without any aren't opened at all.
     """
-    products = parsed(lines, "productos.csv", [*IDENTITY, *columns])
-    return products.join(branches, ["archive", "member", *IDENTITY])
+    wanted: dict[str, dict[str, set[bytes]]] = {}
+    for r in branches.select("archive", "member", *IDENTITY).distinct().toLocalIterator():
+        wanted.setdefault(r["archive"], {}).setdefault(r["member"], set()).add("|".join(r[c] or "" for c in IDENTITY).encode())
+    shared = spark.sparkContext.broadcast({a: {m: frozenset(k) for m, k in ms.items()} for a, ms in wanted.items()})
+    names = ("archive", "member", *IDENTITY, *columns)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequence]:
+        for path, content in _opened(batches):
+            members = shared.value.get(path, {})
+            for member, _, stream in _files(path, content, MEMBERS[2:], members):
+                if stream is not None:
+                    for values in _products(stream, members[member], columns):
+                        yield path, member, *values
+
+    found = _archives(spark, path).mapInArrow(lambda batches: _batches(rows(batches), names), ", ".join(f"{c} string" for c in names))
+    return found.join(branches, ["archive", "member", *IDENTITY])

@@ -64,16 +64,10 @@ def is_safe_name(name: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name)) and ".." not in name
 
 
-def revision_order(entries: Iterable[dict]) -> list[dict]:
-    """Entries with a link: without warnings first, then first seen, then smallest id."""
-    linked = [e for e in entries if e.get("link")]
-    return sorted(linked, key=lambda e: (bool(e.get("warnings")), e.get("firstSeenAt") or "", e["id"]))
-
-
 def first_valid(entries: Iterable[dict], load: Callable[[dict], object]) -> tuple[object | None, list[dict]]:
-    """Try revisions in order until one validates; the rejected ones come back with their errors."""
+    """Try revisions, in the order given (``audit.revision_order``), until one validates; the rejected ones come back with their errors."""
     rejected = []
-    for entry in revision_order(entries):
+    for entry in entries:
         try:
             return load(entry), rejected
         except ValueError as e:

@@ -3,8 +3,10 @@
 import datetime as dt
 import io
 import json
+import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.plans import daily
@@ -29,6 +31,8 @@ def archive(path):
             inner = io.BytesIO()
             with zipfile.ZipFile(inner, "w") as z:
                 z.writestr("sucursales.csv", BRANCHES.format(c=chain))
+                if chain == "10":
+                    z.writestr("comercio.csv", "id_comercio|id_bandera|comercio_razon_social|comercio_bandera_nombre\n10|1|SA|Diez\n")
                 z.writestr("productos.csv", HEAD + "\n".join("|".join((chain, "1", *r)).format(a=a, b=b) for r in ROWS) + "\n")
             outer.writestr(f"{chain}.zip", inner.getvalue())
 
@@ -36,26 +40,46 @@ def archive(path):
 def test_day(spark, tmp_path):
     archive(tmp_path / "a.zip")
     raw, snap = str(tmp_path / "raw"), str(tmp_path / "snap")
-    rows = daily.observations(spark, feed.archive_lines(spark, str(tmp_path / "a.zip")))
+    path = str(tmp_path / "a.zip")
+    rows = daily.observations(spark, path, daily.area_branches(feed.scan(spark, path)))
     got = {(r["chain_id"], r["branch_id"], r["product_id"], r["price_lista"]): (r["item"], r["price"], r["price_basis"]) for r in rows.collect()}
     assert got["10", "01", "p2", 50.0] == ("leche_entera", 50.0, "description") and got["10", "01", "p1", 100.0] == ("arroz", 100.0, "presentation")
     assert got["10", "01", "p3", 9.0] == ("huevo", None, "unverified") and not any(k[0] == "23" or k[1] == "03" or k[2] in ("p4", "p6") for k in got)
-    daily.run_day(spark, str(tmp_path / "a.zip"), "2024-05-01", raw, snap)
+    counts = daily.run_day(spark, path, "2024-05-01", raw, snap, source={"revision": 7})
+    assert counts == {"observations": 10, "duplicate_rows": 2, "conflicts": 2, "branches": 4}
     stored = {(r["chain_id"], r["product_id"], r["branch_id"]): r for r in daily.raw_day(spark, raw, "2024-05-01").collect()}
     butter = stored["10", "p5", "01"]
     assert butter["price"] is None and butter["identity_conflict"] and len(butter["source_variants"]) == 2
     made = json.loads(spark.read.text(f"{snap}/date=2024-05-01").first()["value"])
-    totals = {h["chain"]: h["total"] for h in made["hero"]}
+    totals = {h["chain_id"]: h["total"] for h in made["hero"]}
     # The 5000 of chain 12 is an outlier; rice needs 1 kg and milk 1 litre.
-    assert totals == {"10": 140.0, "12": 160.0} and [h["chain"] for h in made["hero"]] == ["10", "12"]
+    assert totals == {"10": 140.0, "12": 160.0} and [(h["chain_id"], h["chain_label"]) for h in made["hero"]] == [("10", "Diez"), ("12", "12")]
+    assert made["branches_count"] == 4 and {z: v["branches_count"] for z, v in made["zones"].items()} == {"rosario": 2, "gran": 2}
+    rice = next(r for r in made["table"] if r["item"] == "arroz")
+    shown = json.loads(rice["prices"])
+    assert rice["cheapest_chain"] == "10" and shown["10"]["price"] == 90.0 and shown["10"]["branch_id"] == "02" and shown["12"]["price_basis"] == "presentation"
+    assert {h["chain_id"]: h["total"] for h in made["zones"]["gran"]["hero"]} == {"10": 90.0}
+    assert json.loads(made["source"]) == {"revision": 7} and made["chains"][0] == {"id": "10", "label": "Diez"}
     before = sorted(map(str, daily.raw_day(spark, raw, "2024-05-01").collect()))
     for options in ({"rematch": True}, {"drop_outliers": False}):
         daily.rebuild_day(spark, raw, "2024-05-01", str(tmp_path / "again"), **options)
         again = json.loads(spark.read.text(f"{tmp_path}/again/date=2024-05-01").first()["value"])
-        assert {h["chain"]: h["total"] for h in again["hero"]} == totals
+        assert {h["chain_id"]: h["total"] for h in again["hero"]} == totals
     assert sorted(map(str, daily.raw_day(spark, raw, "2024-05-01").collect())) == before
 
 
+def test_day_of_another_date_is_refused(spark, tmp_path):
+    with tarfile.open(tmp_path / "d.tar", "w") as t:
+        for name, text in (("2024-05-02/shop/sucursales.csv", BRANCHES.format(c="10")), ("2024-05-02/shop/productos.csv", HEAD + "10|1|01|p1|Arroz|1|KG|m|5\n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text.encode())
+            t.addfile(info, io.BytesIO(text.encode()))
+    path, raw, snap = str(tmp_path / "d.tar"), str(tmp_path / "raw"), str(tmp_path / "snap")
+    with pytest.raises(ValueError, match="expected 2024-05-01, found .*2024-05-02"):
+        daily.run_day(spark, path, "2024-05-01", raw, snap)
+    assert daily.run_day(spark, path, "2024-05-02", raw, snap)["observations"] == 1
+
+
 def test_backtest_summary(spark):
     rows = [(str(dt.date(2024, 1, 1) + dt.timedelta(days=i)), "arroz", c, 100.0 + 10 * ((i * k) % 3), f"d{i // 4}", "m") for i in range(25) for k, c in enumerate(("10", "12"), 1)]
     best = spark.createDataFrame(rows, "date string, item string, chain string, price double, descripcion string, marca string")

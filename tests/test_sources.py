@@ -45,11 +45,37 @@ def write_tar(path):
 @pytest.mark.parametrize("name", ["day.zip", "day.tar", "day.tar.zst"])
 def test_archives_give_the_products_of_selected_branches(spark, tmp_path, name):
     (write_zip if name.endswith(".zip") else write_tar)(tmp_path / name)
-    lines = feed.archive_lines(spark, str(tmp_path / name))
+    path = str(tmp_path / name)
+    lines = feed.scan(spark, path)
     branches = feed.parsed(lines, "sucursales.csv", [*feed.IDENTITY, "sucursales_localidad"]).where(F.lower("sucursales_localidad") == "rosario")
-    got = feed.selected_products(lines, branches, ["id_producto", "productos_precio_lista"]).collect()
-    assert {(r["id_sucursal"], r["id_producto"], r["productos_precio_lista"]) for r in got} == {("095", "p1", "100,5")}
+    got = feed.selected_products(spark, path, branches, ["id_producto", "productos_precio_lista", "productos_marca"]).collect()
+    assert {(r["id_sucursal"], r["id_producto"], r["productos_precio_lista"], r["productos_marca"]) for r in got} == {("095", "p1", "100,5", None)}
     assert len(got) == (1 if name.endswith(".zip") else 2)
+    names = {r["line"] for r in lines.where("kind = 'name'").collect()}
+    assert names == ({"a.zip", "broken.zip"} if name.endswith(".zip") else {"2024-01-01/shop/productos.csv", "2024-01-01/shop/sucursales.csv", "2024-01-01/other.zip"})
+    none = feed.selected_products(spark, path, branches.limit(0), ["id_producto"])
+    assert none.count() == 0
+
+
+def test_archives_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    write_zip(tmp_path / "day.zip")
+    monkeypatch.setattr(feed, "urlparse", lambda p: type("U", (), {"scheme": "store", "path": ""}))
+    assert feed.scan(spark, str(tmp_path / "day.zip")).where("kind = 'sucursales.csv'").count() == 2
+
+
+def test_products_are_read_in_chunks(monkeypatch):
+    head, keys = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista", frozenset([b"1|1|2"])
+    lines = ["", "Ultima x", head, "1|1|2|a|5", '1|1|2|"q|uoted"|6', "1|1|22|b|7", "1|1|2|c", "1|1|2|ñ|8|more"]
+    data = "\r\n".join(lines).encode("utf-8-sig")
+    want = [["1", "1", "2", "a", "5"], ["1", "1", "2", "q|uoted", "6"], ["1", "1", "2", "c", None], ["1", "1", "2", "ñ", "8"]]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(feed, "CHUNK", size)
+        assert list(feed._products(io.BytesIO(data), keys, feed.NEEDED)) == want
+    monkeypatch.setattr(feed, "MAX_RECORD", 40)
+    with pytest.raises(ValueError, match="exceeds"):
+        list(feed._products(io.BytesIO(data + b"x" * (1 << 21)), keys, feed.NEEDED))
+    with pytest.raises(ValueError, match="identity"):
+        list(feed._products(io.BytesIO(b"a|b|c|d\n1|1|2|x"), keys, feed.NEEDED))
 
 
 def test_plain_feed(spark, tmp_path):
@@ -70,7 +96,7 @@ def test_corrupt_tail_fails(spark, tmp_path):
     data = (tmp_path / "day.tar.zst").read_bytes()
     (tmp_path / "day.tar.zst").write_bytes(data[:-20] + b"\0" * 20)
     with pytest.raises(Exception, match="(?i)zst|decompress|corrupt|truncat|read|end"):
-        feed.archive_lines(spark, str(tmp_path / "day.tar.zst")).count()
+        feed.scan(spark, str(tmp_path / "day.tar.zst")).count()
 
 
 def test_snapshots_take_the_day_from_field_or_name(spark, tmp_path):
@@ -109,7 +135,7 @@ def test_download_retries_and_checks_length(tmp_path):
 
 
 def test_revisions_fall_back_in_order():
-    entries = [{"id": 1, "link": "a", "firstSeenAt": "2", "warnings": []}, {"id": 2, "link": "b", "firstSeenAt": "1", "warnings": ["w"]}, {"id": 3, "link": None}]
+    entries = [{"id": 1, "link": "a"}, {"id": 2, "link": "b"}]
 
     def load(e):
         if e["id"] == 1:
