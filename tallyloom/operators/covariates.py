@@ -50,7 +50,11 @@ def gap(blue: Column, official: Column) -> Column:
 
 
 def rolling_volatility(daily: DataFrame, value: str, rows: int = 7, least: int = 3, order: str = "d", by: tuple[str, ...] = ()) -> DataFrame:
-    """Sample deviation of log-returns over the last rows, where enough of them exist."""
+    """Sample deviation of log-returns over the last rows, where enough of them exist.
+
+    Without ``by`` the frame is one published series with one row a day, which
+    one task sorts: some ten thousand rows in thirty years.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     frame = w.rowsBetween(-(rows - 1), 0)
     before = F.lag(value).over(w)
@@ -71,6 +75,29 @@ def last_per_day(rows: DataFrame, day: str, value: str, order: str) -> DataFrame
     return rows.groupBy(day, "source").agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("m")).select(day, "source", F.col("m.v").alias(value))
 
 
-def scaled_block(competitor: Column, index: Column) -> dict[str, Column]:
-    """The covariates as the external model takes them."""
-    return {"index_scaled": (index - 100) / 10, "competitor_scaled": competitor / 1000}
+# The configurations of covariates that are compared.
+CONFIGURATIONS = ("price_only", "plus_fx", "plus_fx_ipim", "plus_fx_competitor")
+
+
+def configured(rows: DataFrame, days: int = 60) -> DataFrame:
+    """Every row once per configuration, with the covariates that it gives a model.
+
+    ``rows`` has series, d, fx_gap, fx_volatility, index_value, competitor; the
+    scales bring them near one.  Where the competitor has nothing but zeros or
+    nulls in the context before a day, its configuration falls back to the
+    currency alone, which ``dropped`` says.
+    """
+    before = Window.partitionBy("series").orderBy("d").rowsBetween(-days, -1)
+    silent = F.coalesce(F.max(F.abs(F.col("competitor"))).over(before), F.lit(0.0)) == 0
+    held = rows.withColumn("silent", silent)
+    none = F.lit(None).cast("double")
+    fx = (F.col("fx_gap"), F.col("fx_volatility"))
+    given = {
+        "price_only": (none, none, none, none, F.lit(False)),
+        "plus_fx": (*fx, none, none, F.lit(False)),
+        "plus_fx_ipim": (*fx, (F.col("index_value") - 100) / 10, none, F.lit(False)),
+        "plus_fx_competitor": (*fx, none, F.when(~F.col("silent"), F.col("competitor") / 1000), F.col("silent")),
+    }
+    names = ("fx_gap", "fx_volatility", "index_scaled", "competitor_scaled", "dropped")
+    made = F.array(*(F.struct(F.lit(c).alias("config"), *(x.alias(n) for x, n in zip(given[c], names, strict=True))) for c in CONFIGURATIONS))
+    return held.select("series", "d", F.explode(made).alias("c")).select("series", "d", "c.*")

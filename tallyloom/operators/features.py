@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,19 +99,24 @@ def one_hot(rows: DataFrame, column: str, levels: list[str]) -> tuple[DataFrame,
     return rows.withColumns({n: (F.col(column).cast("string") == str(v)).cast("double") for n, v in zip(names, levels, strict=True)}), names
 
 
-def walk_forward_ridge(rows: DataFrame, test_days: int, columns: list[str]) -> DataFrame:
-    """For each of the last days, a ridge fitted on strictly earlier days; predicted prices of that day's targets."""
+def walk_forward_ridge(rows: DataFrame, test_days: int | tuple[str, str], columns: list[str]) -> DataFrame:
+    """For each test day, a ridge fitted on strictly earlier days; predicted prices of that day's targets.
+
+    ``test_days`` is the number of last days, or the first and the last day of a window.
+    """
     rows = rows.withColumn("clipped", _clip(F.col("target_return"), CLIP))
     days, moments = _moments(rows, columns, "clipped")
     before = np.cumsum(moments, axis=0) - moments
     fitted = []
-    for day, m in list(zip(days, before, strict=True))[-test_days:]:
+    pairs = list(zip(days, before, strict=True))
+    chosen = pairs[-test_days:] if isinstance(test_days, int) else [p for p in pairs if test_days[0] <= p[0].isoformat() <= test_days[1]]
+    for day, m in chosen:
         w, b = solve_ridge(m)
-        fitted.append((day, w.tolist(), b))
+        fitted.append((day, w.tolist(), b, int(m[0, 0])))
     spark = rows.sparkSession
-    weights = F.broadcast(spark.createDataFrame(fitted, "d date, _weights array<double>, _bias double"))
+    weights = F.broadcast(spark.createDataFrame(fitted, "d date, _weights array<double>, _bias double, training_examples long"))
     r = F.aggregate(F.zip_with("_weights", F.array(*columns), lambda a, x: a * x), F.col("_bias"), lambda s, x: s + x)
-    return rows.join(weights, "d").select("series", "d", "last", "actual", (F.col("last") * (1 + _clip(r, CLIP))).alias("ridge"))
+    return rows.join(weights, "d").select("series", "d", "last", "actual", (F.col("last") * (1 + _clip(r, CLIP))).alias("ridge"), "training_examples")
 
 
 def external_forecasts(contexts: DataFrame, predict=None) -> DataFrame:
@@ -124,17 +129,34 @@ def external_forecasts(contexts: DataFrame, predict=None) -> DataFrame:
     if predict is None:
         return contexts.select("series", "d", F.lit(None).cast("double").alias("external"), F.lit(True).alias("failed"))
 
-    import pandas as pd
-
-    def ask(batches):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = []
-            for h in batch["h"]:
+            for h in batch.column("h").to_pylist():
                 try:
-                    values.append(float(predict(list(h))))
+                    values.append(one_price(predict(h)))
                 except Exception:  # a model's own failure is data here
                     values.append(None)
-            yield pd.DataFrame({"h": batch["h"], "external": values})
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(values, pa.float64())], ["h", "external"])
 
-    asked = contexts.select("h").distinct().mapInPandas(ask, "h array<double>, external double")
+    asked = contexts.select("h").distinct().mapInArrow(ask, "h array<double>, external double")
     return contexts.join(asked, "h", "left").select("series", "d", "external", F.col("external").isNull().alias("failed"))
+
+
+def one_price(output: object) -> float:
+    """The first price in whatever a model returns: a number, nested lists, an array, or an object that has a ``forecast``."""
+    prices = np.ravel(np.asarray(getattr(output, "forecast", output), float))
+    if not prices.size or not np.isfinite(prices[0]) or prices[0] <= 0:
+        raise ValueError("the model gave no price")
+    return float(prices[0])
+
+
+def with_fallback(forecasts: DataFrame, naive: DataFrame) -> DataFrame:
+    """A model's forecasts (series, d, external) with the naive one (series, d, mid) where it has none, which ``fallback`` says."""
+    both = forecasts.select("series", "d", "external").join(naive.select("series", "d", "mid"), ["series", "d"], "left")
+    return both.select("series", "d", F.coalesce("external", "mid").alias("forecast"), F.col("external").isNull().alias("fallback"))
+
+
+def fallback_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Forecasts per group, and how many of them fell back or lost a covariate."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("fallback").alias("fallbacks"), F.count_if("dropped").alias("covariates_dropped"))

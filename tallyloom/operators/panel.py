@@ -33,6 +33,14 @@ def filled(panel: DataFrame, days: int = FILL_DAYS, source: str = "p", target: s
     return panel.withColumn(target, F.last(source, ignorenulls=True).over(series_window().rowsBetween(-days, 0)))
 
 
+def filled_between(rows: DataFrame, start: str, end: str, days: int = FX_FILL_DAYS) -> DataFrame:
+    """Published values of a span, each carried over at most ``days`` days; none from before the span is carried in."""
+    inside = rows.where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    span = rows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("d"))
+    spine = rows.select("series").distinct().crossJoin(F.broadcast(span))  # one row a day
+    return filled(spine.join(inside.select("series", "d", "p"), ["series", "d"], "left"), days)
+
+
 def segmented(panel: DataFrame) -> DataFrame:
     """Number the contiguous segments of filled values, and positions within (``n``)."""
     running = series_window().rowsBetween(Window.unboundedPreceding, 0)

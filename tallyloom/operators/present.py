@@ -45,9 +45,9 @@ def accepted_forecasts(forecasts: DataFrame, date: str, version: str, wide: bool
     return forecasts.where(good & (F.col("item_as_of") == F.lit(date)))
 
 
-def visible_zones(totals: DataFrame) -> DataFrame:
+def visible_zones(zones: DataFrame, totals: DataFrame) -> DataFrame:
     """Zones with at least one basket."""
-    return totals.groupBy("zone").agg(F.count(F.lit(1)).alias("k")).where("k > 0").select("zone")
+    return zones.join(totals.select("zone").distinct(), "zone", "left_semi")
 
 
 def in_group_order(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
@@ -69,6 +69,19 @@ def top_and_bottom(rows: DataFrame, by: str, tie: Sequence[str], top: int = 10,
     return low.unionByName(high)
 
 
+def rejected_sample(rows: DataFrame, order: Sequence[str], size: int = 15) -> DataFrame:
+    """The first rejected rows, for a reader to look at."""
+    return rows.orderBy(*order).limit(size)
+
+
+def example_series(panel: DataFrame, categories: DataFrame, category: str) -> DataFrame:
+    """One series to show: of the category, that with the most observed values (the first in order wins ties); else the first of all."""
+    counted = panel.groupBy("series").agg(F.count("p").alias("observations")).join(categories, "series", "left")
+    inside = F.coalesce(F.col("category") == category, F.lit(False))
+    key = F.struct((~inside).alias("outside"), F.when(inside, -F.col("observations")).otherwise(0).alias("few"), F.col("series"))
+    return counted.agg(F.min(key).alias("k")).where("k is not null").select("k.series")
+
+
 def superseded(evaluations: DataFrame) -> DataFrame:
     """Accuracy is withheld from evaluations that a later one replaces."""
     return evaluations.withColumn("mae_shown", F.when(~F.coalesce("superseded", F.lit(False)), F.col("mae")))

@@ -93,10 +93,18 @@ def test_paired_refuses_changed_targets(spark):
         scoring.paired(a, a.withColumn("actual", F.lit(3.0)), "f", "f").collect()
 
 
-def test_bootstrap_is_repeatable():
-    totals = [(1.0, 2), (-3.0, 4), (0.5, 1)]
-    assert scoring.bootstrap(totals) == scoring.bootstrap(totals)
-    assert scoring.bootstrap(totals)["mae_delta"] == pytest.approx(-1.5 / 7) and scoring.bootstrap([]) == {"n": 0}
+def test_bootstrap_matches_resampling_day_by_day(spark):
+    days = [(1.0, 2), (-3.0, 4), (0.5, 1), (2.0, 3)]
+    rng, means = np.random.default_rng(20260909), []
+    for drawn in rng.integers(0, len(days), size=(2000, len(days))):
+        own = [days[i] for i in drawn]
+        means.append(sum(x for x, _ in own) / sum(n for _, n in own))
+    frame = spark.createDataFrame([(START + dt.timedelta(days=i), *x) for i, x in enumerate(days)], "d date, delta double, n long")
+    r = scoring.bootstrap_frame(frame).first()
+    assert (r["n"], r["days"]) == (10, 4) and r["mae_delta"] == pytest.approx(0.05)
+    assert (r["low"], r["high"]) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)))
+    none = scoring.bootstrap_frame(frame.limit(0)).first()
+    assert none[:] == (0, None, None, None, 0)
 
 
 def test_competitor_of_the_cheapest_is_the_second(spark):
