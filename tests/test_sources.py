@@ -155,6 +155,32 @@ def test_stream_replaces_days(spark, tmp_path):
     assert [r["price"] for r in spark.read.parquet(target).collect()] == [2.0]
 
 
+def test_json_is_asked_again_and_caches_age(tmp_path):
+    replies = [OSError("down"), io.BytesIO(b'{"a": 1}')]
+
+    def opener(_):
+        r = replies.pop(0)
+        if isinstance(r, OSError):
+            raise r
+        return r
+
+    assert fetch.get_json("u", wait_s=0, opener=opener) == {"a": 1}
+    with pytest.raises(OSError):
+        fetch.get_json("u", attempts=1, opener=lambda _: (_ for _ in ()).throw(OSError("down")))
+    assert not fetch.is_fresh(str(tmp_path / "c"), 60)
+    (tmp_path / "c").write_text("x")
+    assert fetch.is_fresh(str(tmp_path / "c"), 60) and not fetch.is_fresh(str(tmp_path / "c"), -1)
+
+
+def test_stream_of_window_minima(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [("2024-01-01 01:00:00", "a", 3.0), ("2024-01-01 05:00:00", "a", 2.0), ("2024-01-02 05:00:00", "a", 1.0), ("2024-01-09 00:00:00", "b", 9.0)]
+    spark.createDataFrame(rows, "t string, k string, v double").selectExpr("cast(t as timestamp) as t", "k", "v").write.parquet(source)
+    stream = ingest.windowed_minimum(ingest.observation_stream(spark, source, "t timestamp, k string, v double"), "t", ["k"], "v")
+    stream.writeStream.format("memory").queryName("lows").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(str(r["start"])[:10], r["k"], r["low"]) for r in spark.table("lows").collect()} == {("2024-01-01", "a", 2.0), ("2024-01-02", "a", 1.0), ("2024-01-09", "b", 9.0)}
+
+
 def test_page_escapes_and_dashes(spark):
     cells = spark.createDataFrame([("G<", "a&b", "1", "$5", True)], "item_group string, item string, chain string, shown string, best boolean")
     html = report.page("t", cells, ["1", "2"], ["G<"])
