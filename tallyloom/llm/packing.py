@@ -19,6 +19,7 @@ as rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from tallyloom.llm.scratch import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers, and the text it splits at a time.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 CHUNK_CHARS = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,15 +46,48 @@ class WordEncoder:
 
     The tokenizer drops white space and its pre-tokens never cross it, so a text
     has the ids of its words one after another; a bounded memory of words spares
-    the tokenizer the frequent ones.
+    the tokenizer the frequent ones.  Where the tokenizer lowers letters and
+    parts them from the marks that follow, a word's marks and case don't make
+    it a new one.
     """
 
+    #: Marks at a word's end; an apostrophe isn't one, as it may open a suffix.
+    MARKS = b".,;:!?)]}\"-*|%$#@_&"
+    _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
+        self._parts_marks = self._parts_them()
+        self._pack = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+    def _parts_them(self) -> bool:
+        """Whether letters are lowered and parted from following marks, which stay one piece."""
+        own, marks = self._tokenizer, self.MARKS.decode()
+        lowers = own.normalizer is not None and own.normalizer.normalize_str("AZé") == "azé"
+        pieces = own.pre_tokenizer.pre_tokenize_str if own.pre_tokenizer is not None else None
+        return lowers and pieces is not None and all([at for _, at in pieces(x + marks)] == [(0, 1), (1, 1 + len(marks))] for x in "az09")
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without its case and the marks that end it, and those marks."""
+        if not self._parts_marks or b"'" in word:
+            return word, b""
+        low = word.lower()  # A to Z only
+        core = low.rstrip(self.MARKS)
+        return (core, low[len(core) :]) if core and core[-1] in self._ENDS else (low, b"")
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, parts = self._known, list(map(self._parts, words))
+        new = list({p for pair in parts for p in pair if p and p not in known})
+        encoded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        for w, e in zip(new, encoded, strict=True):
+            ids = e.ids
+            known[w] = self._pack[len(ids)](*ids) if len(ids) < len(self._pack) else np.array(ids, "<u4").tobytes()
+        for w, (core, marks) in zip(words, parts, strict=True):
+            known[w] = known[core] + known[marks] if marks else known[core]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -69,9 +103,7 @@ class WordEncoder:
             if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
                 new = list(set().union(*words))
-            encoded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, encoded, strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
             for ws in words:
                 yield b"".join(map(known.__getitem__, ws))
             begin = end

@@ -291,6 +291,18 @@ def test_packing_places_every_id(spark):
     assert packing.pack(spark, documents(spark, []), WORDS).count() == 0
 
 
+def test_word_encoder_matches_the_tokenizer(monkeypatch):
+    encoder, tokenizer, rng = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS), random.Random(2)
+    assert encoder._parts_marks
+    ends = ["", ".", ",", "...", "%%%", "$$$", "'s", "'s.", ").", "»", "-", "–", "_x", "é.", "İ.", "9;", "'", "\"'", "´.", "#@!", "&&&", "?!)"]
+    letters = [*"abcXYZ019'.-_é", "ß", "İ", "I\u0307", "ﬁ", "漢", "½", "e\u0301", "K", "𝄞", "\u200d", "'re", "'LL"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 5))) + rng.choice(ends) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, 6000, 30)] + [None, "", "A" * 40 + "." * 40]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 500)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_fullest_combination_matches_brute_force():
     rng = random.Random(6)
     for _ in range(60):
