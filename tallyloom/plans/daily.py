@@ -170,17 +170,33 @@ def checked_versions(rows: DataFrame, column: str = "price_normalization_version
     return rows.agg(audit.single_version(rows, column).alias("checked"))
 
 
-def backtest(price: DataFrame) -> dict:
-    """Walk-forward scores of the drift forecast: one small dictionary."""
+def backtest(price: DataFrame, categories: DataFrame | None = None) -> dict:
+    """Walk-forward scores of the drift forecast: one small dictionary.
+
+    ``categories`` (series, category) adds the rates of each category; a series
+    without one counts as OTHER.
+    """
     scored = scoring.labelled(forecast.targets(price, "identity"))
     weekly = forecast.first_weekly_move(price).select("series", "d", "weekly_move")
     pairs = scored.select("series", "d", "pred_dir").join(weekly, ["series", "d"]).withColumnRenamed("weekly_move", "real_dir")
     one = lambda df: df.first().asDict()
     classes = lambda df: {r["class"]: r.asDict() for r in scoring.class_stats(df).collect()}
+    grouped = {}
+    if categories is not None:
+        named = scored.join(categories, "series", "left").withColumn("category", F.coalesce("category", F.lit(offers.OTHER)))
+        grouped = {r["category"]: {k: v for k, v in r.asDict().items() if k != "category"} for r in scoring.hit_rates(named, ["category"]).collect()}
     return {
+        "categories": grouped,
         "rates": one(scoring.hit_rates(scored)), "errors": one(scoring.errors(scored, "drift5")), "persistence": one(scoring.errors(scored, "persistence")),
         "daily": classes(scored), "weekly": classes(pairs), "assortment": one(scoring.assortment_rate(scored)),
         "distribution": {r["pred_dir"]: r["n"] for r in scoring.prediction_distribution(scored).collect()},
     }
 
 
+def write_backtest(price: DataFrame, path: str, categories: DataFrame | None = None) -> dict:
+    """The backtest's summary as a JSON file."""
+    spark = price.sparkSession
+    span = price.agg(F.min("d").cast("string").alias("first"), F.max("d").cast("string").alias("last"), F.count_distinct("series").alias("series")).first().asDict()
+    made = {**span, "price_normalization_version": VERSION, **backtest(price, categories)}
+    sinks.publish_json(spark, made, path)
+    return made

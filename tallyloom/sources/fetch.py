@@ -8,7 +8,7 @@ import os
 import re
 import time
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from datetime import date
 from pathlib import Path
 
@@ -60,6 +60,33 @@ def is_fresh(path: str, max_age_s: float) -> bool:
     return p.exists() and time.time() - p.stat().st_mtime < max_age_s
 
 
+def cached(url: str, path: str, max_age_s: float, opener: Callable = urllib.request.urlopen, attempts: int = 3, wait_s: float = 1.0) -> bool:
+    """Keep a copy of a document at ``path``, fetched anew when older than ``max_age_s``; returns whether it is that fresh.
+
+    Where the source can't be had, an old copy serves on; without any copy the
+    error goes on.
+    """
+    if is_fresh(path, max_age_s):
+        return True
+    try:
+        download(url, path, attempts, wait_s, opener)
+        return True
+    except OSError:
+        if not Path(path).exists():
+            raise
+        return False
+
+
+def daily_archive(day: str, folder: str, resources: Mapping[str, str], opener: Callable = urllib.request.urlopen, wait_s: float = 1.0) -> str:
+    """Path of a day's archive: one already in the folder that names the day, the last in text order, else that of the weekday's resource."""
+    own = sorted(str(p) for p in Path(folder).glob(f"*{day}*") if re.search(r"\.(zip|tar|tar\.zst)$", p.name))
+    if own:
+        return own[-1]
+    path = str(Path(folder) / f"{day}.zip")
+    download(resources[weekday_name(day)], path, opener=opener, wait_s=wait_s)
+    return path
+
+
 def is_safe_name(name: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name)) and ".." not in name
 

@@ -19,6 +19,12 @@ def read_snapshots(spark: SparkSession, path: str | Sequence[str], schema: str |
     return rows.withColumn("date", F.coalesce(field, F.when(named != "", named)))
 
 
+def digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """SHA-256 and size of every file under a path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def newest(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(F.max_by(F.struct(*snapshots.columns), "date").alias("r")).select("r.*")
 

@@ -82,12 +82,16 @@ def test_day_of_another_date_is_refused(spark, tmp_path):
     assert daily.run_day(spark, path, "2024-05-02", raw, snap)["observations"] == 1
 
 
-def test_backtest_summary(spark):
+def test_backtest_summary(spark, tmp_path):
     rows = [(str(dt.date(2024, 1, 1) + dt.timedelta(days=i)), "arroz", c, 100.0 + 10 * ((i * k) % 3), f"d{i // 4}", "m") for i in range(25) for k, c in enumerate(("10", "12"), 1)]
     best = spark.createDataFrame(rows, "date string, item string, chain string, price double, descripcion string, marca string")
     made = daily.backtest(daily.price_panel(best))
     assert made["rates"]["n"] == sum(made["distribution"].values()) > 30
     assert set(made["daily"]) == {"sube", "baja", "estable"} and made["assortment"]["moves"] > 0
+    names = spark.createDataFrame([("arroz__10", "Almacén")], "series string, category string")
+    written = daily.write_backtest(daily.price_panel(best), str(tmp_path / "backtest.json"), names)
+    assert json.loads((tmp_path / "backtest.json").read_text(encoding="utf-8")) == written and written["series"] == 2
+    assert set(written["categories"]) == {"Almacén", "Otro"} and sum(c["n"] for c in written["categories"].values()) == made["rates"]["n"]
     assert daily.checked_versions(best.withColumn("price_normalization_version", F.lit("v"))).count() == 1
 
 

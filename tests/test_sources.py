@@ -1,6 +1,7 @@
 """Readers over archives built here, fetching with a fake opener, and the stream."""
 
 import gzip
+import hashlib
 import io
 import json
 import tarfile
@@ -186,3 +187,43 @@ def test_page_escapes_and_dashes(spark):
     html = report.page("t", cells, ["1", "2"], ["G<"])
     assert "a&amp;b" in html and "G&lt;" in html and "—" in html and 'class="best"' in html
     assert report.markdown_table(cells).startswith("| item_group |")
+
+
+def test_page_ranks_baskets_of_equal_coverage_only(spark):
+    cells = spark.createDataFrame([("G", "a", "1", "$5", True, "sube"), ("G", "a", "2", "$6", False, None)], "item_group string, item string, chain string, shown string, best boolean, shown_dir string")
+    totals = spark.createDataFrame([("1", "Uno", 20.0, 3), ("2", "Dos", 10.0, 3)], "chain string, label string, total double, items_found int")
+    html = report.page("t", cells, ["1", "2"], [], {"all": totals, "gran": totals.limit(0)})
+    assert html.index("Dos: $10") < html.index("Uno: $20") and "gran" not in html and "$5 ▲" in html and "$6<" in html
+    uneven = report.hero(totals.withColumn("items_found", F.col("chain").cast("int")))
+    assert uneven.index("Uno") < uneven.index("Dos") and report.NOT_COMPARABLE in uneven
+
+
+def test_files_have_digests(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc")
+    row = snapshots.digests(spark, str(tmp_path)).first()
+    assert row["sha256"] == hashlib.sha256(b"abc").hexdigest() and row["bytes"] == 3
+
+
+def test_old_copies_serve_when_the_source_is_away(tmp_path):
+    path = str(tmp_path / "c")
+
+    class Body(io.BytesIO):
+        headers = None
+
+    away = lambda _: (_ for _ in ()).throw(OSError("down"))
+    with pytest.raises(OSError):
+        fetch.cached("u", path, 60, away, 1, 0)
+    assert fetch.cached("u", path, 60, lambda _: Body(b"1"), 1, 0) and fetch.cached("u", path, 60, away, 1, 0)
+    assert not fetch.cached("u", path, -1, away, 1, 0) and (tmp_path / "c").read_bytes() == b"1"
+
+
+def test_a_local_archive_comes_before_the_weekday_s_resource(tmp_path):
+    class Body(io.BytesIO):
+        headers = None
+
+    asked = []
+    opener = lambda url: (asked.append(url), Body(b"zip"))[1]
+    resources = {"lunes": "u/monday", "martes": "u/tuesday"}
+    assert fetch.daily_archive("2024-01-01", str(tmp_path), resources, opener).endswith("2024-01-01.zip") and asked == ["u/monday"]
+    (tmp_path / "x-2024-01-02.tar.zst").write_bytes(b"")
+    assert fetch.daily_archive("2024-01-02", str(tmp_path), resources, opener).endswith("x-2024-01-02.tar.zst") and asked == ["u/monday"]
