@@ -758,10 +758,10 @@ def s13_last_per_day(spark, sf):
     return covariates.last_per_day(rows, "d", "value_sell", "k")
 
 
-@query("""select l_orderkey, l_linenumber, round((l_extendedprice - l_quantity) / nullif(l_quantity, 0), 6) as gap, round(l_extendedprice / nullif(l_quantity, 0) - 1, 6) as change from lineitem""")
+@query("""select l_orderkey, l_linenumber, round((l_extendedprice - l_quantity) / nullif(l_quantity, 0), 9) as gap, round(l_extendedprice / nullif(l_quantity, 0) - 1, 9) as change from lineitem""")
 def m15_gap(spark, sf):
     blue, official = F.col("l_extendedprice"), F.col("l_quantity")
-    return _round(an.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", covariates.gap(blue, official).alias("gap"), num.relative_change(blue, official).alias("change")), "gap", "change")
+    return _round(an.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", covariates.gap(blue, official).alias("gap"), num.relative_change(blue, official).alias("change")), "gap", "change", digits=9)
 
 
 @query("""with m as (select last_day(cast(o_orderdate as date)) as month_end from orders)
