@@ -5,15 +5,48 @@ neighbours of a node on its smallest neighbour, then the smaller ones, until
 each component is a star around its smallest node.  Minima are combined before
 they shuffle, and the joins read stored tables on both sides, so that adaptive
 execution can split the partition of a node with very many neighbours.
+
+The steps shrink the graph; as soon as at most LAST_EDGES edges are left (some
+megabytes, and counted), one task finishes them, which saves the last rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.scratch import Scratch
 
+LAST_EDGES = 500_000
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row reachable over the pairs, by row."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        # A root that hangs on a smaller one takes all of its own along.
+        np.minimum.at(root, before, root)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if ends:
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+        hangs = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hangs]), pa.array(nodes[root[hangs]])], ["id", "root"])
+
 
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one other at most, and none that hangs holds others."""
@@ -29,7 +62,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     oriented = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = scratch.table(oriented, "edges")
-    while not _is_stars(now):
+    while now.count() > LAST_EDGES:
+        if _is_stars(now):
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
         # Large star: the larger neighbours of u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
@@ -40,4 +75,4 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         least = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = scratch.table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return scratch.table(now.repartition(1).mapInArrow(_finish, "id long, root long"), "roots")  # at most LAST_EDGES rows

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, local_roots
 from tallyloom.llm.scratch import Scratch, shuffle_partitions
 
 THRESHOLD = 0.98
@@ -134,18 +134,6 @@ def _bucket_rows(shape: tuple[int, int]):
     return bucket
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row reachable over the links, by row."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, a, root[b])
-        np.minimum.at(root, b, root[a])
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _links_of_group(table: int, nodes: np.ndarray, sides: np.ndarray, two: bool, mult: np.ndarray, x: np.ndarray, earlier: np.ndarray):
     """Nodes with links in this group, their numbers of links, and local roots; ``earlier`` has the buckets of the tables before."""
     cosines = x @ x.T
@@ -164,7 +152,7 @@ def _links_of_group(table: int, nodes: np.ndarray, sides: np.ndarray, two: bool,
     n = len(nodes)
     links = np.bincount(a, mult[b], n) + np.bincount(b, mult[a], n)
     own = np.flatnonzero(links)
-    return nodes[own], links[own].astype(np.int64), nodes[_local_roots(n, a, b)[own]]
+    return nodes[own], links[own].astype(np.int64), nodes[local_roots(n, a, b)[own]]
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

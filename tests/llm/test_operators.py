@@ -206,8 +206,10 @@ def test_near_duplicates_of_nothing(spark):
 # Components.
 
 
+@pytest.mark.parametrize("last", [-1, 20, 1000])
 @pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(9, 9), (5, 3), (3, 5), (7, 8), (8, 5)]])
-def test_components(spark, edges):
+def test_components(spark, edges, last, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.components.LAST_EDGES", last)
     with Scratch(spark, "test") as scratch:
         found = {r["id"]: r["root"] for r in components(scratch, spark.createDataFrame(edges, "a long, b long")).collect()}
     want = brute_components({x for e in edges for x in e}, edges)
