@@ -9,8 +9,9 @@ in groups of about GROUP_TOKENS: each group moves the weights, and the moves are
 averaged by the symbols seen.  A text is never cut, and its state never dropped.
 
 Texts are split into words twice, to count and to store their symbols; training
-and scoring read the stored symbols.  The words that any task must know (at most DICTIONARY) are broadcast.  Rarer
-words of a document leave as rows, and meet the table of counts in a join.
+and scoring read the stored symbols.  The words that any task must know (at most
+DICTIONARY) are broadcast.  Rarer words of a document leave as rows, and meet the
+table of counts in a join.
 
 Defined cases: a null text counts as empty: it has one token, its end; without
 training documents the counts are 0 and the network stays as it began; a null id
@@ -205,14 +206,16 @@ def _train_rows(shared, weights):
         return pa.RecordBatch.from_arrays(columns, ["at", "part", "moved", "seen"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts = None, []
+        now, texts, size = None, [], 0
         for batch in batches:
             for group, text in zip(batch.column("part").to_pylist(), _texts(batch.column("symbols")), strict=True):
-                if group != now and texts:
+                # A group that very many equal rows have filled is trained in parts.
+                if texts and (group != now or size >= 2 * GROUP_TOKENS):
                     yield moved(now, texts)
-                    texts = []
+                    texts, size = [], 0
                 now = group
                 texts.append(text)
+                size += len(text)
         if texts:
             yield moved(now, texts)
 
@@ -231,10 +234,10 @@ def learn(spark: SparkSession, taught: DataFrame, shared, n_tokens: int) -> np.n
     """The network's weights: unigram start, warm-up, then every training document.
 
     ``taught`` has doc_id and symbols.  Which texts form the warm-up and which a
-    group, and their order, follow from hashes of their ids, so the weights
+    group, and their order, follow from hashes of ids and symbols, so the weights
     don't depend on how rows are dealt.
     """
-    rank = F.xxhash64(F.lit(17), "doc_id").alias("rank")
+    rank = F.xxhash64(F.lit(17), "doc_id", "symbols").alias("rank")
     rows = taught.select("doc_id", "symbols", rank)
     share = min(1 << 20, -(-WARM_TOKENS * (1 << 20) // max(1, n_tokens)))
     some = rows.where(F.pmod("rank", F.lit(1 << 20)) < share).repartition(1).sortWithinPartitions("rank", "doc_id", "symbols")
@@ -244,7 +247,7 @@ def learn(spark: SparkSession, taught: DataFrame, shared, n_tokens: int) -> np.n
     start, squares = (np.frombuffer(bytes(x), np.float32) for x in found)
     weights = spark.sparkContext.broadcast((start, squares))
     groups = max(1, -(-n_tokens // GROUP_TOKENS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(18), "doc_id"), F.lit(groups)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(18), "doc_id", "symbols"), F.lit(groups)))
     rows = rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "rank", "doc_id", "symbols")
     moves = rows.select("part", "symbols").mapInArrow(_train_rows(shared, weights), "at int, part long, moved binary, seen long")
     flat = start.astype(np.float64)

@@ -817,3 +817,15 @@ def test_scratch_follows_the_named_folder(spark):
         assert base.startswith(checkpoint_root(spark)) and table.count() == 3 and base.split(":")[-1] in table.inputFiles()[0]
     path = jvm.org.apache.hadoop.fs.Path(base)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_scratch_refuses_a_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from tallyloom.llm.scratch import checkpoint_root
+
+    unset = Some(getCheckpointDir=lambda: Some(isDefined=lambda: False))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = Some(getConf=lambda: Some(get=lambda _: None), _jsc=Some(sc=lambda: unset), master=master)
+        with pytest.raises(ValueError, match="share"):
+            checkpoint_root(Some(sparkContext=context, conf=Some(get=lambda *_: None)))
