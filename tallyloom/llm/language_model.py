@@ -242,8 +242,9 @@ def learn(spark: SparkSession, taught: DataFrame, shared, n_tokens: int) -> np.n
     share = min(1 << 20, -(-WARM_TOKENS * (1 << 20) // max(1, n_tokens)))
     some = rows.where(F.pmod("rank", F.lit(1 << 20)) < share).repartition(1).sortWithinPartitions("rank", "doc_id", "symbols")
     found = some.select("symbols").mapInArrow(_warm_rows(shared), "flat binary, squares binary").first()  # two vectors of weights
-    if found is None:
-        return gru.fresh(shared.value.symbol_counts())
+    if found is None:  # no text fell to the warm-up
+        untrained = gru.Trainer(gru.fresh(shared.value.symbol_counts()))
+        found = untrained.flat.tobytes(), untrained.squares.tobytes()
     start, squares = (np.frombuffer(bytes(x), np.float32) for x in found)
     weights = spark.sparkContext.broadcast((start, squares))
     groups = max(1, -(-n_tokens // GROUP_TOKENS))
