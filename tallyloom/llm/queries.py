@@ -13,6 +13,7 @@ from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.language_model import score_documents as score_likelihood
 from tallyloom.llm.packing import pack
 from tallyloom.llm.quality_gam import score_documents as score_quality
+from tallyloom.llm.source_divergence import divergence
 from tallyloom.llm.tables import read
 from tallyloom.llm.warc import round_trip
 
@@ -70,6 +71,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(spark, read(spark, sf_dir, "documents"))
+
+
 OP2_SQL = rf"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -161,6 +166,34 @@ select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = compo
 from c left join n using (vec_id)
 """
 
+OP11_SQL = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+t as (select lang, source, r, unnest(w) as term from d),
+kept as (select lang, term, count(*) as lang_n from t group by lang, term having count(distinct r) >= 30),
+langs as (select lang, count(*) as v, sum(lang_n) as n from kept group by lang),
+occurring as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by lang, source, term),
+sums as (select lang, source, sum(n) as n from c group by lang, source),
+g as (select o.lang, o.source, coalesce(s.n, 0) as n, coalesce(l.v, 0) as v, coalesce(l.n, 0) as lang_n
+  from occurring o left join sums s using (lang, source) left join langs l using (lang)),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+       1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v)::hugeint as p,
+       1 + (1000000000::hugeint * (k.lang_n + 5)) // (g.lang_n + 5 * g.v)::hugeint as q
+  from g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+k as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from k where part = 'pair' or rank <= 50
+"""
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_chat_format": op2_chat_format,
@@ -172,6 +205,7 @@ QUERIES = {
     "op8_embedding_lsh": op8_embedding_lsh,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLES = {
@@ -180,4 +214,5 @@ ORACLES = {
     "op5_hyperminhash": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_embedding_lsh": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
