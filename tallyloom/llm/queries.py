@@ -12,6 +12,7 @@ from tallyloom.llm.hyperminhash import near_duplicates as near_texts
 from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.language_model import score_documents as score_likelihood
 from tallyloom.llm.packing import pack
+from tallyloom.llm.prefix_trie import rebuilt_trie
 from tallyloom.llm.quality_gam import score_documents as score_quality
 from tallyloom.llm.source_divergence import divergence
 from tallyloom.llm.tables import read
@@ -75,6 +76,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(spark, read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(spark, read(spark, sf_dir, "conversations"))
+
+
 OP2_SQL = rf"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -194,6 +199,44 @@ k as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from k where part = 'pair' or rank <= 50
 """
 
+OP13_SQL = r"""
+with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 100 as base,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, step: xor(x >> 1, (x & 1) * 3988292384)))) % 6 as h
+  from (select distinct conv_id from o)),
+r as (
+  select conv_id, pos, role, text from o join c using (conv_id) where pos >= h or conv_id = base
+  union all
+  select c.conv_id, o.pos, o.role, o.text from c join o on o.conv_id = c.base where c.conv_id <> c.base and o.pos < c.h),
+p as (
+  select conv_id, row_number() over w as depth, length(text) as chars, string_agg(sha256(role) || sha256(text), '') over w as path
+  from r window w as (partition by conv_id order by pos)
+  union all select conv_id, 0, 0, '' from c),
+m as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * min(chars) as saved from p group by depth, path),
+k as (
+  select m.*, left(path, 128 * (depth - 1)) as up, (select count(*) from m x where x.depth = m.depth + 1 and left(x.path, length(m.path)) = m.path) as n_children from m),
+below as (
+  select distinct a.depth as depth, a.path as path, b.depth as low_depth, b.path as low
+  from p a join p b on a.conv_id = b.conv_id and b.depth >= a.depth),
+sums as (
+  select below.depth, below.path, sum(case when k.n_children = 0 then 1 else 0 end) as n_leaves, sum(k.saved) as saved_tokens
+  from below join k on k.depth = below.low_depth and k.path = below.low group by below.depth, below.path),
+ends as (
+  select depth, path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256
+  from (select *, max(depth) over (partition by conv_id) as deepest from p) where depth = deepest group by depth, path)
+select k.conv_id, k.depth, parents.conv_id as parent_conv_id, k.n_convs, k.n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from k join sums using (depth, path) left join ends using (depth, path)
+left join m parents on parents.depth = k.depth - 1 and parents.path = k.up
+"""
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_chat_format": op2_chat_format,
@@ -206,6 +249,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_source_divergence": op11_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -215,4 +259,5 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op8_embedding_lsh": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
