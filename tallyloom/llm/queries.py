@@ -12,6 +12,7 @@ from tallyloom.llm.hyperminhash import near_duplicates as near_texts
 from tallyloom.llm.language_hdc import identify
 from tallyloom.llm.language_model import score_documents as score_likelihood
 from tallyloom.llm.packing import pack
+from tallyloom.llm.license_scan import ANCHORS, NEED, SLACK, TEMPLATES, licenses
 from tallyloom.llm.prefix_trie import rebuilt_trie
 from tallyloom.llm.quality_gam import score_documents as score_quality
 from tallyloom.llm.source_divergence import divergence
@@ -76,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(spark, read(spark, sf_dir, "conversations"))
 
@@ -199,6 +204,50 @@ k as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from k where part = 'pair' or rank <= 50
 """
 
+#: Words of the templates (t, label, base, p, word, n words, n needed) and of their key phrases (t, m, place in the template, k, word, n words).
+_TEMPLATE_WORDS = ", ".join(
+    f"({i}, '{t.label}', {t.base}, {p}, '{w}', {len(t.words.split())}, {len({*t.words.split()}) if t.base else NEED})" for i, t in enumerate(TEMPLATES) for p, w in enumerate(t.words.split())
+)
+_PHRASE_WORDS = ", ".join(
+    f"({i}, {m}, {f' {t.words} '.partition(f' {phrase} ')[0].count(' ')}, {0 if t.base else SLACK}, {k}, '{w}', {len(phrase.split())})"
+    for i, t in enumerate(TEMPLATES) for m, phrase in enumerate(t.phrases) for k, w in enumerate(phrase.split())
+)
+
+OP12_SQL = rf"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+tw(t, label, base, p, word, n, needed) as (values {_TEMPLATE_WORDS}),
+mw(t, m, place, slack, k, word, n) as (values {_PHRASE_WORDS}),
+vocabulary as (select distinct word from tw),
+w as (select r, word, pos from (select r, unnest(words) as word, unnest(range(len(words))) as pos from d) join vocabulary using (word)),
+rare as (select word, count(distinct r) as texts from w group by word),
+anchors as (
+  select r, t, word from (select distinct w.r, tw.t, w.word, rare.texts from w join tw using (word) join rare using (word))
+  qualify row_number() over (partition by r, t order by texts, word) <= {ANCHORS}),
+starts as (
+  select w.r, tw.t, w.pos - tw.p as start from anchors a join w on w.r = a.r and w.word = a.word join tw on tw.t = a.t and tw.word = a.word
+  group by w.r, tw.t, w.pos - tw.p having count(distinct w.word) >= min(tw.needed)),
+phrases as (
+  select w.r, mw.t, mw.m, w.pos - mw.k as start, min(mw.place) as place, min(mw.slack) as slack from w join mw using (word)
+  group by w.r, mw.t, mw.m, w.pos - mw.k having count(*) = min(mw.n)),
+proven as (
+  select s.r, s.t, s.start from starts s join phrases f on f.r = s.r and f.t = s.t and f.start between s.start + f.place - f.slack and s.start + f.place + f.slack
+  group by s.r, s.t, s.start having count(distinct f.m) = (select count(distinct m) from mw where mw.t = s.t)),
+shared as (
+  select p.r, p.t, p.start, tw.label, tw.base, count(w.word) / min(tw.n)::double as share
+  from proven p join tw on tw.t = p.t left join w on w.r = p.r and w.pos = p.start + tw.p and w.word = tw.word
+  group by all),
+found as (
+  select r, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+         string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score
+  from shared group by r)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from d left join found using (r)
+"""
+
 OP13_SQL = r"""
 with o as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
@@ -249,6 +298,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_source_divergence": op11_source_divergence,
+    "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -259,5 +309,6 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op8_embedding_lsh": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
