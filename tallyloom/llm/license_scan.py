@@ -28,6 +28,7 @@ memory with the row, as its text is.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -76,95 +77,79 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), "")
 
 
-def _list(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values))
+def _vocabulary(templates: Sequence[Template]) -> Column:
+    return F.array(*map(F.lit, sorted({w for t in templates for w in t.words.split()})))
 
 
 def document_counts(docs: DataFrame, templates: Sequence[Template]) -> dict[str, int]:
     """How many texts hold each word of the templates; bounded by their words."""
-    vocabulary = sorted({w for t in templates for w in t.words.split()})
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _list(vocabulary))).alias("word"))
+    held = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), _vocabulary(templates))).alias("word"))
     return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def index(templates: Sequence[Template], counts: dict[str, int]) -> list[list[tuple[str, list[int]]]]:
-    """Per template, its words with their places, the rarest (highest IDF) first."""
-    made = []
-    for t in templates:
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(t.words.split()):
-            at.setdefault(w, []).append(i)
-        made.append(sorted(at.items(), key=lambda x: (counts.get(x[0], 0), x[0])))
-    return made
-
-
-def _stands(phrase: Sequence[str], at: Column) -> Column:
-    """Whether the words stand in the text from a place on."""
-    found = F.lit(True)
-    for k, w in enumerate(phrase):
-        found = found & F.coalesce(F.get("words", at + k) == w, F.lit(False))
-    return found
+_PLACED = "array<struct<k: int, word: string>>"
+_INDEX = f"array<struct<label: string, base: boolean, needed: int, n: int, words: {_PLACED}, keys: array<string>, ranked: array<struct<word: string, at: array<int>>>, phrases: array<struct<place: int, slack: int, words: {_PLACED}>>>>"
 
 
-def _offset(words: Sequence[str], phrase: Sequence[str]) -> int:
-    return next(i for i in range(len(words)) if list(words[i : i + len(phrase)]) == list(phrase))
+def _placed(words: Sequence[str]) -> list[dict]:
+    return [{"k": k, "word": w} for k, w in enumerate(words)]
 
 
-def _with_phrase(starts: Column, phrase: Sequence[str], offset: int, slack: int) -> Column:
-    """Starts that have the phrase near its place."""
-    near = F.array(*map(F.lit, range(offset - slack, offset + slack + 1)))
-    return F.filter(starts, lambda s: F.exists(near, lambda d: _stands(phrase, s + d)))
-
-
-def matches(template: Template, ranked: Sequence[tuple[str, list[int]]]) -> Column:
-    """The verified places of a template in a text: array of (start, share of the template's words in place).
-
-    Works on the columns ``words``, ``found`` (template words of the text) and
-    ``hits`` (places of the anchors).
-    """
-    words = template.words.split()
-    needed = len({*words}) if template.base else NEED
-    own = anchors(ranked)
-    starts = F.flatten(F.transform(own, lambda a: F.flatten(F.transform(F.filter("hits", lambda h: h["word"] == a["word"]), lambda h: F.transform(a["at"], lambda p: h["i"] - p)))))
-    in_place = lambda s, a: F.exists(a["at"], lambda p: F.coalesce(F.get("words", s + p) == a["word"], F.lit(False)))
-    crossing = F.filter(F.array_distinct(starts), lambda s: F.size(F.filter(own, lambda a: in_place(s, a))) >= needed)
-    proven = crossing
-    for phrase in template.phrases:
-        proven = _with_phrase(proven, phrase.split(), _offset(words, phrase.split()), 0 if template.base else SLACK)
-    template_words = _list(words)
-    share = lambda s: F.size(F.filter(F.transform(template_words, lambda w, p: F.coalesce(F.get("words", s + p) == w, F.lit(False))), lambda x: x)) / F.lit(float(len(words)))
-    return F.transform(proven, lambda s: F.struct(s.alias("start"), share(s).alias("share")))
-
-
-def anchors(ranked: Sequence[tuple[str, list[int]]]) -> Column:
-    """The rarest words of a template that the text has: array of (word, at)."""
-    entries = F.array(*(F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, at)).alias("at")) for w, at in ranked))
-    return F.slice(F.filter(entries, lambda r: F.array_contains("found", r["word"])), 1, ANCHORS)
-
-
-def possible(template: Template) -> Column:
-    """Whether a text has all words of the template's key phrases."""
-    return F.size(F.array_intersect("found", _list(sorted({w for p in template.phrases for w in p.split()})))) == len({w for p in template.phrases for w in p.split()})
+def index(templates: Sequence[Template], counts: dict[str, int]) -> Column:
+    """The templates as one constant: words by place, and each word's places (postings), the rarest (highest IDF) first."""
+    made = []
+    for t in templates:
+        words, at = t.words.split(), {}
+        for i, w in enumerate(words):
+            at.setdefault(w, []).append(i)
+        ranked = sorted(at.items(), key=lambda x: (counts.get(x[0], 0), x[0]))
+        phrases = [p.split() for p in t.phrases]
+        places = [next(i for i in range(len(words)) if words[i : i + len(p)] == p) for p in phrases]
+        made.append({
+            "label": t.label, "base": t.base, "needed": len(at) if t.base else NEED, "n": len(words), "words": _placed(words),
+            "keys": sorted({w for p in phrases for w in p}), "ranked": [{"word": w, "at": p} for w, p in ranked],
+            "phrases": [{"place": i, "slack": 0 if t.base else SLACK, "words": _placed(p)} for i, p in zip(places, phrases, strict=True)],
+        })
+    return F.from_json(F.lit(json.dumps(made)), _INDEX)
+
+
+#: Templates whose key words a text has, each with the rarest of its words that the text has.
+_CANDIDATES = f"""
+transform(
+  filter(templates, t -> size(found) >= size(t.keys) and size(array_intersect(t.keys, found)) = size(t.keys)),
+  t -> named_struct('t', t, 'own', slice(filter(t.ranked, r -> array_contains(found, r.word)), 1, {ANCHORS})))
+"""
+_ANCHORS = "array_distinct(flatten(candidates.own).word)"
+#: Places of these words in the text.  (Columns used twice stay columns of their own and aren't worked out anew for every word.)
+_HITS = """
+case when size(anchors) > 0 then filter(transform(words, (w, i) -> named_struct('word', w, 'i', i)), h -> array_contains(anchors, h.word)) end
+"""
+#: Starts from every word's places and postings; those where enough words meet; those with all key phrases near their places.
+_PLACES = """
+case when size(hits) > 0 then flatten(transform(candidates, c -> transform(
+  filter(
+    filter(
+      array_distinct(flatten(transform(c.own, a -> flatten(transform(filter(hits, h -> h.word = a.word), h -> transform(a.at, p -> h.i - p)))))),
+      s -> size(filter(c.own, a -> exists(a.at, p -> get(words, s + p) <=> a.word))) >= c.t.needed),
+    s -> forall(c.t.phrases, m -> exists(sequence(m.place - m.slack, m.place + m.slack), d -> forall(m.words, x -> get(words, s + d + x.k) <=> x.word)))),
+  s -> named_struct('label', c.t.label, 'base', c.t.base, 'start', s, 'share', size(filter(c.t.words, x -> get(words, s + x.k) <=> x.word)) / c.t.n)))) end
+"""
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
-    """Adds to every row of ``docs`` the ``words`` of its text and, in ``places``, the verified places by template number.
+    """Adds to every row of ``docs`` the ``words`` of its text and the verified ``places``: array of (label, base, start, share).
 
-    Columns of these names are replaced.
+    ``share`` is the part of the template's words that stand in place.  Columns
+    of these names, and of the steps between, are replaced.
     """
-    ranked = index(templates, document_counts(docs, templates))
-    vocabulary = sorted({w for t in templates for w in t.words.split()})
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("words", "found", "looked_up", "hits", "places")]
-    rows = docs.select(*kept, words_of(F.col("text")).alias("words"))
-    rows = rows.select("*", F.array_intersect("words", _list(vocabulary)).alias("found"))
-    none = F.array().cast("array<string>")
-    looked = F.array_distinct(F.flatten(F.array(*(F.when(possible(t), F.transform(anchors(r), lambda a: a["word"])).otherwise(none) for t, r in zip(templates, ranked, strict=True)))))
-    rows = rows.select("*", F.when(F.size("found") >= 2, looked).otherwise(none).alias("looked_up"))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda h: F.array_contains("looked_up", h["word"]))
-    rows = rows.select("*", F.when(F.size("looked_up") > 0, placed).alias("hits"))
-    nothing = F.array().cast("array<struct<start: int, share: double>>")
-    places = F.array(*(F.when(F.col("hits").isNotNull() & possible(t), matches(t, r)).otherwise(nothing) for t, r in zip(templates, ranked, strict=True)))
-    return rows.select("*", F.when(F.col("hits").isNotNull(), places).alias("places")).drop("found", "looked_up", "hits")
+    counts = document_counts(docs, templates)
+    made = ("words", "found", "templates", "candidates", "anchors", "hits", "places")
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), words_of(F.col("text")).alias("words"))
+    rows = rows.select("*", F.array_intersect("words", _vocabulary(templates)).alias("found"), index(templates, counts).alias("templates"))
+    for name, expression in (("candidates", _CANDIDATES), ("anchors", _ANCHORS), ("hits", _HITS), ("places", _PLACES)):
+        rows = rows.select("*", F.expr(expression).alias(name))
+    none = F.array().cast("array<struct<label: string, base: boolean, start: int, share: double>>")
+    return rows.drop(*made[1:-1]).withColumn("places", F.coalesce("places", none))
 
 
 def licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
@@ -174,19 +159,10 @@ def licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> Data
     to the last one's.  ``score`` is the largest share of a found template's
     words that stand in place, so 1 for a base phrase, and 0 without any.
     """
-    rows = scan(docs, templates)
-    of = lambda i: F.get("places", F.lit(i))
-    some = [i for i, t in enumerate(templates) if t.base]
-    base = F.flatten(F.array(*(of(i) for i in some)))
-    labels = lambda only: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(of(i)) > 0, F.lit(t.label)) for i, t in enumerate(templates) if t.base or not only)), lambda x: x.isNotNull()))), ",")
-    shares = F.flatten("places")
+    rows = scan(docs, templates).select("doc_id", "words", "places", F.expr("filter(places, m -> m.base)").alias("base"))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(f"{c}.label"))), ",")
     return rows.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.coalesce(F.size(base), F.lit(0)).cast("long").alias("n_base") if some else F.lit(0).cast("long").alias("n_base"),
-        F.array_min(F.transform(base, lambda m: m["start"])).cast("long").alias("first_word"),
-        F.array_max(F.transform(base, lambda m: m["start"])).cast("long").alias("last_word"),
-        F.coalesce(labels(True), F.lit("")).alias("base_labels"),
-        F.coalesce(labels(False), F.lit("")).alias("labels"),
-        F.coalesce(F.array_max(F.transform(shares, lambda m: m["share"])), F.lit(0.0)).alias("score"),
-    )
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"),
+        labels("base").alias("base_labels"), labels("places").alias("labels"), F.coalesce(F.array_max("places.share"), F.lit(0.0)).alias("score"),
+    )

@@ -115,8 +115,7 @@ def test_odd_texts(spark):
 def test_places_keep_the_row_and_its_columns(spark):
     rows = scan(table(spark, [(1, "x released under the mit license")])).collect()
     assert rows[0]["a.b"] == "d" and rows[0]["score"] == "s" and rows[0]["words"][0] == "x"
-    at = [[(m["start"], m["share"]) for m in p] for p in rows[0]["places"]]
-    assert [p for p in at if p] == [[(1, 1.0)]]
+    assert [tuple(m) for m in rows[0]["places"]] == [("mit", False, 1, 1.0)]
 
 
 def test_plan_holds_no_python_and_no_exchange(spark):
