@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers as num
 from tallyloom.functions import text as txt
+from tallyloom.functions.keywords import keyword_item
 from tallyloom.operators import audit, forecast, offers, panel, scoring, sinks
 from tallyloom.operators.basket_catalogue import CHAINS, items, rules
+from tallyloom.session import ship_code
+from tallyloom.sources import archives as arc
 from tallyloom.sources import feed
 
 VERSION = "package-price-v2"
@@ -42,34 +45,43 @@ def verified_contents(rows: DataFrame) -> DataFrame:
     quantity, alias = F.col("cantidad_presentacion"), F.col("unidad_presentacion")
     stated = num.base_quantity(quantity, alias)
     usable = stated.isNotNull() & (num.unit_base(alias) == F.col("unit")) & ~((F.col("unit") == "u") & (stated == 1))
-    printed = txt.description_quantity(F.col("descripcion"), F.col("unit"))
+    printed = F.col("printed_quantity") if "printed_quantity" in rows.columns else txt.description_quantity(F.col("descripcion"), F.col("unit"))
     conflict = F.coalesce(F.col("identity_conflict"), F.lit(False)) if "identity_conflict" in rows.columns else F.lit(False)
     rows = rows.withColumn("normalized_quantity", F.when(usable, stated).otherwise(printed))
     price = num.positive_number(F.col("price_lista")) / F.col("normalized_quantity")
     good = ~conflict & price.isNotNull() & (price < float("inf")) & (num.round_exact(price, 2) > 0)
     basis = F.when(conflict, "conflicting-source-rows").when(~F.coalesce(good, F.lit(False)), "unverified").when(usable, "presentation").otherwise("description")
-    return (
+    made = (
         rows.withColumn("price_basis", basis)
         .withColumn("price", F.when(good, num.round_exact(price, 2)))
         .withColumn("unit_name", F.when(F.col("price").isNotNull(), F.col("unit")).otherwise("?"))
         .withColumn("normalized_quantity", F.when(F.col("price").isNotNull(), F.col("normalized_quantity")))
         .withColumn("price_normalization_version", F.lit(VERSION))
     )
+    return made.drop("printed_quantity")
 
 
 def classified(spark: SparkSession, rows: DataFrame, exclusions: dict | None = None) -> DataFrame:
-    """Rows of the basket with their item; each distinct description is classified once."""
+    """Rows of the basket with their item, and the contents that the description prints in the item's unit.
+
+    Each distinct description is looked at once, by the automaton of all words;
+    ``rows`` is read twice, so it should be a stored table or a persisted one.
+    """
+    ship_code(spark)
     descriptions = rows.select("descripcion").distinct()
-    found = descriptions.withColumn("item", txt.keyword_class(txt.normalize_text(F.col("descripcion")), rules(exclusions))).where("item is not null")
+    found = descriptions.withColumn("item", keyword_item(txt.normalize_text(F.col("descripcion")), rules(exclusions))).where("item is not null")
     dimension = items(spark).select(F.col("item_id").alias("item"), "unit", "need_qty")
-    return rows.join(found, "descripcion").join(F.broadcast(dimension), "item")
+    known = found.join(F.broadcast(dimension), "item")
+    known = known.withColumn("printed_quantity", txt.description_quantity(F.col("descripcion"), F.col("unit")))
+    # Few rows, but each is worked on for long: without this, adaptive execution gives them all to one task.
+    return rows.join(known, "descripcion").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def observations(spark: SparkSession, archives: str | Sequence[str], branches: DataFrame, exclusions: dict | None = None) -> DataFrame:
-    """Offers of basket items at the given branches, with verified prices per unit."""
+def selected(spark: SparkSession, archives: str | Sequence[str], branches: DataFrame) -> DataFrame:
+    """Priced product records of the given branches: what leaves the archives."""
     branches = branches.drop("sucursales_provincia", "sucursales_latitud", "sucursales_longitud")
-    rows = offers.with_price(feed.selected_products(spark, archives, branches, PRODUCT_COLUMNS), "productos_precio_lista", "price_lista")
-    rows = rows.select(
+    rows = offers.with_price(arc.selected_products(spark, archives, branches, PRODUCT_COLUMNS), "productos_precio_lista", "price_lista")
+    return rows.select(
         F.col("id_comercio").alias("chain_id"), F.col("id_bandera").alias("bandera_id"), F.col("id_sucursal").alias("branch_id"),
         num.stripped(F.coalesce("id_producto", F.lit(""))).alias("product_id"), F.coalesce("productos_descripcion", F.lit("")).alias("descripcion"),
         F.coalesce("productos_marca", F.lit("")).alias("marca"), "price_lista",
@@ -77,7 +89,11 @@ def observations(spark: SparkSession, archives: str | Sequence[str], branches: D
         F.coalesce("productos_unidad_medida_presentacion", F.lit("")).alias("unidad_presentacion"),
         offers.zone_of(F.col("sucursales_localidad")).alias("zone"),
     )
-    return verified_contents(classified(spark, rows, exclusions))
+
+
+def observations(spark: SparkSession, archives: str | Sequence[str], branches: DataFrame, exclusions: dict | None = None) -> DataFrame:
+    """Offers of basket items at the given branches, with verified prices per unit."""
+    return verified_contents(classified(spark, selected(spark, archives, branches), exclusions))
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
@@ -89,7 +105,13 @@ def quarantined(rows: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, chains: Sequence[str] = CHAINS, drop_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cheapest offers by zone ('all': the whole area), chain and item; and the baskets of each zone.
+    """The cheapest offers, and the baskets of each zone."""
+    best = cheapest_offers(rows, chains, drop_outliers)
+    return best, offers.baskets(best, ["zone", "chain"])
+
+
+def cheapest_offers(rows: DataFrame, chains: Sequence[str] = CHAINS, drop_outliers: bool = True) -> DataFrame:
+    """Cheapest offers by zone ('all': the whole area), chain and item.
 
     Outliers are judged over all chains and zones, before either is narrowed.
     Re-zoning leaves outliers in (``drop_outliers=False``).
@@ -100,13 +122,12 @@ def summary(rows: DataFrame, chains: Sequence[str] = CHAINS, drop_outliers: bool
     columns = dict.fromkeys([*ORDER, "zone", "chain", "item", "need_qty", *sinks.CELL])
     by_zone = offers.cheapest(kept, ["zone", "chain", "item"], list(ORDER), list(columns))
     whole = offers.cheapest(by_zone.drop("zone"), ["chain", "item"], list(ORDER)).withColumn("zone", F.lit("all"))
-    best = by_zone.unionByName(whole)
-    return best, offers.baskets(best, ["zone", "chain"])
+    return by_zone.unionByName(whole)
 
 
 def checked_dates(spark: SparkSession, scanned: DataFrame, date: str) -> None:
     """Fails unless the members of every TAR name this day and no other; daily ZIPs carry no day."""
-    tars = scanned.where((F.col("kind") == feed.NAME) & F.col("archive").rlike(r"\.tar(\.zst)?$"))
+    tars = scanned.where((F.col("kind") == arc.NAME) & F.col("archive").rlike(r"\.tar(\.zst)?$"))
     wrong = [r for r in audit.archive_dates(tars, "line", date, ["archive"]).where("not valid").collect()]  # one row an archive
     if wrong:
         raise ValueError(f"{wrong[0]['archive']}: expected {date}, found {wrong[0]['dates']}")
@@ -114,11 +135,18 @@ def checked_dates(spark: SparkSession, scanned: DataFrame, date: str) -> None:
 
 def run_day(spark: SparkSession, archives: str | Sequence[str], date: str, raw_path: str, snapshot_path: str, chains: Sequence[str] | None = None, exclusions: dict | None = None, source: dict | None = None) -> dict[str, int]:
     """A day's archives to raw observations (rejects included) and its snapshot; returns the counts of the manifest."""
-    scanned = feed.scan(spark, archives).persist(StorageLevel.DISK_ONLY)
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return kept[-1]
+
     try:
+        scanned = keep(arc.scan(spark, archives))
         checked_dates(spark, scanned, date)
-        branches = area_branches(scanned, chains=chains).persist(StorageLevel.DISK_ONLY)
-        rows = quarantined(observations(spark, archives, branches, exclusions)).withColumn("date", F.lit(date))
+        branches = keep(area_branches(scanned, chains=chains))
+        offered = keep(selected(spark, archives, branches))  # read twice, but archives are opened once
+        rows = quarantined(verified_contents(classified(spark, offered, exclusions))).withColumn("date", F.lit(date))
         sinks.write_observations(rows, raw_path)
         stored = raw_day(spark, raw_path, date)
         counts = stored.agg(F.count(F.lit(1)).alias("observations"), F.coalesce(F.sum("duplicate_rows"), F.lit(0)).alias("duplicate_rows"), F.count_if("identity_conflict").alias("conflicts")).first().asDict()
@@ -128,7 +156,8 @@ def run_day(spark: SparkSession, archives: str | Sequence[str], date: str, raw_p
         write_summary(stored, branches, labels, date, snapshot_path, source=source)
         return counts | {"branches": branches.count()}
     finally:
-        scanned.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def raw_day(spark: SparkSession, raw_path: str, date: str) -> DataFrame:
@@ -136,12 +165,17 @@ def raw_day(spark: SparkSession, raw_path: str, date: str) -> DataFrame:
 
 
 def write_summary(rows: DataFrame, branches: DataFrame, labels: DataFrame, date: str, snapshot_path: str, drop_outliers: bool = True, source: dict | None = None) -> None:
-    best, totals = summary(rows, drop_outliers=drop_outliers)
     spark = rows.sparkSession
-    counted = offers.branch_counts(branches.withColumn("zone", offers.zone_of(F.col("sucursales_localidad"))))
+    # What a snapshot shows is zones x chains x items, a few hundred rows: in one partition it needs no further exchange.
+    best = cheapest_offers(rows, drop_outliers=drop_outliers).coalesce(1).persist(StorageLevel.DISK_ONLY)
+    totals = offers.baskets(best, ["zone", "chain"])
+    counted = offers.branch_counts(branches.withColumn("zone", offers.zone_of(F.col("sucursales_localidad")))).coalesce(1)
     cells = best.join(F.broadcast(items(spark).select("ord", F.col("item_id").alias("item"))), "item")
-    made = sinks.snapshot_rows(cells, totals, counted, labels, date, VERSION, source)
-    sinks.write_snapshot(made, f"{snapshot_path}/date={date}")
+    made = sinks.snapshot_rows(cells, totals, counted, labels.coalesce(1), date, VERSION, source)
+    try:
+        sinks.write_snapshot(made, f"{snapshot_path}/date={date}")
+    finally:
+        best.unpersist()
 
 
 def rebuild_day(spark: SparkSession, raw_path: str, date: str, snapshot_path: str, rematch: bool = False, drop_outliers: bool = True, exclusions: dict | None = None) -> None:

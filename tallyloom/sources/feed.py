@@ -1,25 +1,17 @@
-"""The price feed: pipe-delimited text, alone or in archives of archives."""
+"""The price feed's text: pipe-delimited records under a header line."""
 
 from __future__ import annotations
 
 import csv
-import io
 import re
-import tarfile
-import tempfile
-import zipfile
-from collections.abc import Collection, Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterator, Mapping, Sequence
 from typing import IO
-from urllib.parse import urlparse
-from urllib.request import url2pathname
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import stripped
-from tallyloom.session import ship_code
 
 # Beginnings of lines that aren't records (footers and their
 # mis-decoded forms), the files of a shop, the columns that name a branch, the
@@ -29,10 +21,8 @@ MEMBERS = ("comercio.csv", "sucursales.csv", "productos.csv")
 IDENTITY = ("id_comercio", "id_bandera", "id_sucursal")
 NEEDED = ("id_producto", "productos_precio_lista")
 MAX_RECORD = 16 * 1024 * 1024
-#: Bytes of an inner archive kept in memory, and of a product file read at a time.
-SPOOL, CHUNK = 8 * 1024 * 1024, 4 * 1024 * 1024
-#: What ``scan`` calls the rows that hold a member's path.
-NAME = "name"
+#: Bytes of a product file looked at together.
+CHUNK = 4 * 1024 * 1024
 
 
 def feed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -49,22 +39,48 @@ def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """A feed file with a header line, all columns text.
+    """Feed files, each under a header of its own, as one table of text columns.
 
-    The header is taken from the file's first record; records are parsed by
-    Spark's CSV parser after a literal filter on the raw lines.
+    A file's first record names its columns, in any order; a column that a file
+    lacks is null there, and the columns of all files are those of the result,
+    in order of first mention by file name.  Fields may be quoted; lines that
+    repeat their file's header are headers too.  Reading begins with one pass
+    for the headers, a row a file; distinct ones, a few schemas, reach the driver.
     """
-    lines = feed_lines(spark, path)
-    header = lines.first()["value"]
-    names = [h.strip() for h in header.split("|")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.where(F.col("value") != header)
-    return rows.select(F.from_csv("value", schema, {"sep": "|", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    lines = clean_lines(lines)
+    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    schemas = headers.groupBy("header").agg(F.min("file").alias("first")).orderBy("first").collect()
+    named = [(r["header"], header_names(r["header"])) for r in schemas]
+    columns = list(dict.fromkeys(n for _, names in named for n in names))
+    if not columns:
+        return spark.createDataFrame([], "value string")
+    width = max(len(names) for _, names in named)
+    record = F.from_csv("value", ", ".join(f"`{i}` string" for i in range(width)), {"sep": "|", "escape": "\"", "mode": "PERMISSIVE"})
+    rows = lines.join(headers, "file").where("value <> header").select("header", record.alias("r"))
+
+    def field(column: str):
+        value = F.lit(None).cast("string")
+        for header, names in named:
+            if column in names:
+                value = F.when(F.col("header") == header, F.col(f"r.`{names.index(column)}`")).otherwise(value)
+        return value.alias(column)
+
+    return rows.select(*map(field, columns))
+
+
+def fields(line: str) -> list[str]:
+    """The fields of a record, quotes resolved."""
+    return next(csv.reader([line], delimiter="|"), [])
+
+
+def header_names(header: str) -> list[str]:
+    return [h.strip() for h in fields(header.lstrip("﻿").strip())]
 
 
 def checked_header(header: str) -> list[str]:
     """Column names of a product file; its identity columns must come first."""
-    names = [h.strip() for h in header.lstrip("﻿").strip().split("|")]
+    names = header_names(header)
     if tuple(names[:3]) != IDENTITY:
         raise ValueError(f"unexpected identity columns: {names[:3]}")
     if not set(NEEDED) <= set(names):
@@ -84,184 +100,87 @@ def member_kinds(names: Sequence[str]) -> dict[str, str]:
     return found
 
 
-def _records(stream: IO[bytes]) -> Iterator[tuple[str, str]]:
-    """(header, line) of every record of a small feed file."""
-    header = None
+def records(stream: IO[bytes]) -> Iterator[tuple[list[str], list[str]]]:
+    """(column names, fields) of every record of a small feed file."""
+    names = None
     while raw := stream.readline(MAX_RECORD + 1):
         if len(raw) > MAX_RECORD:
             raise ValueError("a record exceeds 16 MiB")
         line = raw.decode("utf-8", errors="ignore").lstrip("﻿").rstrip("\r\n")
         if not line.strip() or line.startswith(FOOTERS):
             continue
-        if header is None:
-            header = line
+        if names is None:
+            names = header_names(line)
         else:
-            yield header, line
-
+            yield names, fields(line)
 
-def _products(stream: IO[bytes], keys: frozenset[bytes], columns: Sequence[str]) -> Iterator[list[str | None]]:
-    """The branch and the named columns of the records whose branch is among ``keys``.
 
-    Whole lines are looked at as bytes; only those of wanted branches are
-    decoded and parsed.
+def product_header(stream: IO[bytes]) -> tuple[list[str] | None, int]:
+    """Column names of a product file that is read from its beginning, and where its records begin."""
+    at = 0
+    while raw := stream.readline(MAX_RECORD + 1):
+        if len(raw) > MAX_RECORD:
+            raise ValueError("a record exceeds 16 MiB")
+        at += len(raw)
+        line = raw.decode("utf-8-sig", errors="replace").strip()
+        if line and not line.startswith(FOOTERS):
+            return checked_header(line), at
+    return None, at
+
+
+def by_length(keys: Sequence[str]) -> dict[int, np.ndarray]:
+    """Branch keys, each with its closing bar, by their number of bytes."""
+    found: dict[int, list[bytes]] = {}
+    for k in keys:
+        raw = f"{k}|".encode()
+        found.setdefault(len(raw), []).append(raw)
+    return {n: np.array(sorted(set(k)), f"S{n}") for n, k in found.items()}
+
+
+def lines_of_branches(block: bytes, keys: Mapping[int, np.ndarray] | None) -> list[bytes]:
+    """Lines of a block of whole lines that begin with one of the keys (all, if none are given), found in numpy."""
+    if keys is None:
+        return [line for line in block.split(b"\n") if line.strip()]
+    data = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    starts = np.concatenate((np.zeros(1, np.int64), ends + 1))
+    wanted: list[np.ndarray] = []
+    for length, known in keys.items():
+        fit = starts[starts + length <= len(data)]
+        fit = fit[data[fit + length - 1] == 124]
+        if len(fit):
+            heads = np.ascontiguousarray(data[fit[:, None] + np.arange(length)]).view(f"S{length}").ravel()
+            wanted.append(fit[np.isin(heads, known)])
+    out = []
+    for start in np.sort(np.concatenate(wanted)).tolist() if wanted else ():
+        end = block.find(b"\n", start)
+        out.append(block[start : len(block) if end < 0 else end])
+    return out
+
+
+def products(stream: IO[bytes], names: Sequence[str], keys: Mapping[int, np.ndarray] | None, columns: Sequence[str]) -> Iterator[list[str | None]]:
+    """The branch and the named columns of the records whose branch is among ``keys``, from a stream of whole records.
+
+    Lines are looked at as bytes; only those of wanted branches are decoded and
+    parsed.
     """
-    names, held = None, b""
+    at = [names.index(c) if c in names else None for c in (*IDENTITY, *columns)]
+    held = b""
     while True:
         part = stream.read(CHUNK)
         held += part
         end = held.rfind(b"\n") + 1 if part else len(held)
         if not end and len(held) > MAX_RECORD:
             raise ValueError("a record exceeds 16 MiB")
-        for raw in held[:end].split(b"\n"):
-            if names is None:
-                line = raw.decode("utf-8-sig", errors="replace").strip()
-                if line and not line.startswith(FOOTERS):
-                    names = checked_header(line)
-                    at = [names.index(c) if c in names else None for c in (*IDENTITY, *columns)]
-                continue
-            stop = raw.find(b"|", raw.find(b"|", raw.find(b"|") + 1) + 1)
-            if raw[:stop] in keys:
-                values = next(csv.reader([raw.decode("utf-8", errors="replace").rstrip("\r")], delimiter="|"))
-                yield [None if i is None or i >= len(values) else values[i] for i in at]
+        for raw in lines_of_branches(held[:end], keys):
+            values = fields(raw.decode("utf-8", errors="replace").rstrip("\r"))
+            yield [None if i is None or i >= len(values) else values[i] for i in at]
         held = held[end:]
         if not part:
             return
 
 
-def _inner_files(stream: IO[bytes], kinds: Collection[str]) -> Iterator[tuple[str, IO[bytes]]]:
-    """The wanted files of an inner ZIP; large ones spill to the task's temporary folder."""
-    with tempfile.SpooledTemporaryFile(max_size=SPOOL) as spool:
-        while chunk := stream.read(1 << 20):
-            spool.write(chunk)
-        spool.seek(0)
-        with zipfile.ZipFile(spool) as inner:
-            for kind, name in member_kinds(inner.namelist()).items():
-                if kind in kinds:
-                    with inner.open(name) as f:
-                        yield kind, f
-
-
-def _zip_files(file: IO[bytes], kinds: Collection[str], wanted: Collection[str] | None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
-    with zipfile.ZipFile(file) as outer:
-        for name in outer.namelist():
-            yield name, NAME, None
-            if name.endswith(".zip") and (wanted is None or name in wanted):
-                try:
-                    with outer.open(name) as f:
-                        for kind, stream in _inner_files(f, kinds):
-                            yield name, kind, stream
-                except zipfile.BadZipFile:
-                    continue
-
-
-def _tar_files(file: IO[bytes], kinds: Collection[str], wanted: Collection[str] | None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
-    with tarfile.open(fileobj=file, mode="r|") as archive:
-        for member in archive:
-            if not member.isfile():
-                continue
-            yield member.name, NAME, None
-            folder, _, base = member.name.rpartition("/")
-            if base in kinds and (wanted is None or folder in wanted):
-                yield folder, base, archive.extractfile(member)
-            elif base.lower().endswith(".zip") and (wanted is None or member.name in wanted):
-                for kind, stream in _inner_files(archive.extractfile(member), kinds):
-                    yield member.name, kind, stream
-    while file.read(1 << 20):  # what follows the end mark is checked too
-        pass
-
-
-def is_tar(path: str) -> bool:
-    return re.search(r"\.tar(\.zst)?$", path) is not None
-
-
-def _files(path: str, content: bytes | None, kinds: Collection[str], wanted: Collection[str] | None = None) -> Iterator[tuple[str, str, IO[bytes] | None]]:
-    """(member, kind, stream) of an archive, and (path, NAME, None) of each of its members."""
-    with io.BytesIO(content) if content is not None else open(url2pathname(urlparse(path).path), "rb") as file:
-        if not is_tar(path):
-            yield from _zip_files(file, kinds, wanted)
-        elif path.endswith(".zst"):
-            import zstandard
-
-            yield from _tar_files(zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True), kinds, wanted)
-        else:
-            yield from _tar_files(file, kinds, wanted)
-
-
-def _archives(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Paths of archives, with their content only where a task can't open them itself.
-
-    Files of a mounted folder are read as streams; of other stores Spark hands
-    the whole archive to the task (its limit is 2 GB an archive).
-    """
-    ship_code(spark)
-    found = spark.read.format("binaryFile").load(path)
-    mounted = all(urlparse(p).scheme in ("", "file") for p in found.inputFiles())
-    return found.select("path", (F.lit(None).cast("binary") if mounted else F.col("content")).alias("content"))
-
-
-def _batches(rows: Iterator[Sequence], names: Sequence[str], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    while held := list(islice(rows, size)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], list(names))
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            yield path, content.as_py()
-
-
-SCAN = ("archive", "member", "kind", "header", "line")
-
-
-def scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """What archives (ZIP of ZIPs, TAR, TAR with Zstandard) hold beside their products.
-
-    One row per record of the files of chains and branches, and one per member
-    with its path (kind NAME).  Product files aren't opened.  An inner ZIP that
-    can't be read is passed over in a ZIP; a TAR whose tail is corrupt fails.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequence]:
-        for path, content in _opened(batches):
-            for member, kind, stream in _files(path, content, MEMBERS[:2]):
-                if stream is None:
-                    yield path, member, NAME, None, member
-                else:
-                    for header, line in _records(stream):
-                        yield path, member, kind, header, line
-
-    return _archives(spark, path).mapInArrow(lambda batches: _batches(rows(batches), SCAN), ", ".join(f"{c} string" for c in SCAN))
-
-
-def parsed(lines: DataFrame, kind: str, columns: Sequence[str]) -> DataFrame:
+def parsed(rows: DataFrame, kind: str, columns: Sequence[str]) -> DataFrame:
     """Records of one kind with the named columns, found by each file's own header."""
-    of_kind = lines.where(F.col("kind") == kind)
-    names = F.transform(F.split("header", r"\|"), stripped)
-    values = F.split("line", r"\|", -1)
-    field = lambda c: F.get(values, F.array_position(names, c).cast("int") - 1)
-    return of_kind.select("archive", "member", *(field(c).alias(c) for c in columns))
-
-
-def selected_products(spark: SparkSession, path: str | Sequence[str], branches: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Product records of chosen branches of the same archive member, with the branch's columns.
-
-    The branches' keys (the shops of one area, a few hundred a day) go to the
-    tasks that open the archives, so only lines of those branches leave them,
-    parsed; members without any aren't opened at all.
-    """
-    wanted: dict[str, dict[str, set[bytes]]] = {}
-    for r in branches.select("archive", "member", *IDENTITY).distinct().toLocalIterator():
-        wanted.setdefault(r["archive"], {}).setdefault(r["member"], set()).add("|".join(r[c] or "" for c in IDENTITY).encode())
-    shared = spark.sparkContext.broadcast({a: {m: frozenset(k) for m, k in ms.items()} for a, ms in wanted.items()})
-    names = ("archive", "member", *IDENTITY, *columns)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequence]:
-        for path, content in _opened(batches):
-            members = shared.value.get(path, {})
-            for member, _, stream in _files(path, content, MEMBERS[2:], members):
-                if stream is not None:
-                    for values in _products(stream, members[member], columns):
-                        yield path, member, *values
-
-    found = _archives(spark, path).mapInArrow(lambda batches: _batches(rows(batches), names), ", ".join(f"{c} string" for c in names))
-    return found.join(branches, ["archive", "member", *IDENTITY])
+    field = lambda c: F.get("fields", F.array_position("names", c).cast("int") - 1)
+    return rows.where(F.col("kind") == kind).select("archive", "member", *(field(c).alias(c) for c in columns))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom import __main__ as command
 from tallyloom.operators import audit, panel, sinks
 from tallyloom.plans import backfill, daily, evaluation
-from tallyloom.sources import feed
+from tallyloom.sources import archives
 
 BRANCHES = """id_comercio|id_bandera|id_sucursal|sucursales_nombre|sucursales_localidad|sucursales_provincia|sucursales_latitud|sucursales_longitud
 {c}|1|01|uno|Rosario|AR-S|-32,9|-60,7
@@ -43,7 +43,7 @@ def test_day(spark, tmp_path):
     archive(tmp_path / "a.zip")
     raw, snap = str(tmp_path / "raw"), str(tmp_path / "snap")
     path = str(tmp_path / "a.zip")
-    rows = daily.observations(spark, path, daily.area_branches(feed.scan(spark, path)))
+    rows = daily.observations(spark, path, daily.area_branches(archives.scan(spark, path)))
     got = {(r["chain_id"], r["branch_id"], r["product_id"], r["price_lista"]): (r["item"], r["price"], r["price_basis"]) for r in rows.collect()}
     assert got["10", "01", "p2", 50.0] == ("leche_entera", 50.0, "description") and got["10", "01", "p1", 100.0] == ("arroz", 100.0, "presentation")
     assert got["10", "01", "p3", 9.0] == ("huevo", None, "unverified") and not any(k[0] == "23" or k[1] == "03" or k[2] in ("p4", "p6") for k in got)

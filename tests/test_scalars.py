@@ -1,5 +1,6 @@
 """Scalar expressions against cases worked out by hand."""
 
+import random
 import unicodedata
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import numbers as num
 from tallyloom.functions import registry
 from tallyloom.functions import text as txt
+from tallyloom.functions.keywords import keyword_item
 from tallyloom.operators.basket_catalogue import load_exclusions, rules
 
 
@@ -63,6 +65,28 @@ def test_keyword_class(spark, tmp_path):
         load_exclusions(str(tmp_path / "bad.json"))
 
 
+def test_automaton_equals_the_expression(spark):
+    rng = random.Random(5)
+    terms = ["te", "te ", "mate", "mate cocido", "cafe", "a", "pan", "pan lactal", "ñu", "x_y", "9", "té verde", "ab c"]
+    items = [
+        {"id": f"i{n}", "keywords": rng.sample(terms, rng.randint(1, 4)), "negatives": rng.sample(terms, rng.randint(0, 2)), "required": [rng.sample(terms, rng.randint(1, 2)) for _ in range(rng.randint(0, 2))] or None}
+        for n in range(20)
+    ]
+    pieces = [*terms, " ", " ", "_", "-", "é", "z", "T", "9", "\n", "日", ".", ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) for _ in range(3000)] + [None, "", "te", "mate cocido en saquitos"]
+    many = {"leche_entera": [f"palabra {k}" for k in range(400)] + ["dulce de leche"]}
+    expected = values(spark, texts, lambda c: txt.keyword_class(txt.normalize_text(c), items))
+    assert values(spark, texts, lambda c: keyword_item(txt.normalize_text(c), items)) == expected and len(set(expected)) > 5
+    assert values(spark, ["leche entera", "palabra 399 LECHE entera", "Dulce de Leche"], lambda c: keyword_item(txt.normalize_text(c), rules(many))) == ["leche_entera", None, None]
+    small = spark.createDataFrame([("x",)], "t string").select(keyword_item(F.col("t"), rules(many)).alias("c"))
+    large = spark.createDataFrame([("x",)], "t string").select(keyword_item(F.col("t"), rules({k["id"]: [f"w{i}" for i in range(100)] for k in rules()})).alias("c"))
+    assert len(small._jdf.queryExecution().toString()) == len(large._jdf.queryExecution().toString())
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(txt.normalize_text(F.col("p_name")).alias("t"))
+    named = [{"id": "ring", "keywords": ["ring", "small ring"], "negatives": ["old "]}, {"id": "gear", "keywords": ["gear"], "required": [["hot"], ["red", "gear"]]}, {"id": "blue", "keywords": ["blue"]}]
+    both = part.select(txt.keyword_class(F.col("t"), named).alias("a"), keyword_item(F.col("t"), named).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and {r["a"] for r in both} > {None}
+
+
 def test_white_space_of_any_kind_is_stripped(spark):
     assert values(spark, ["\t12,5\n", "\u00a07\r", "1 2"], num.positive_number) == [12.5, 7.0, None]
     assert values(spark, ["\tkg", "\nLTS.. "], num.unit_base) == ["kg", "L"]

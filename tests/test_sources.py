@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tallyloom.operators import report
-from tallyloom.sources import feed, fetch, snapshots
+from tallyloom.sources import archives, feed, fetch, snapshots
 from tallyloom.streaming import ingest
 
 BRANCHES = "id_comercio|id_bandera|id_sucursal|sucursales_localidad|sucursales_provincia\n010|1|095|Rosario|AR-S\n010|1|096|Otra|AR-S\nUltima actualizacion: x\n"
@@ -47,42 +47,177 @@ def write_tar(path):
 def test_archives_give_the_products_of_selected_branches(spark, tmp_path, name):
     (write_zip if name.endswith(".zip") else write_tar)(tmp_path / name)
     path = str(tmp_path / name)
-    lines = feed.scan(spark, path)
+    lines = archives.scan(spark, path)
     branches = feed.parsed(lines, "sucursales.csv", [*feed.IDENTITY, "sucursales_localidad"]).where(F.lower("sucursales_localidad") == "rosario")
-    got = feed.selected_products(spark, path, branches, ["id_producto", "productos_precio_lista", "productos_marca"]).collect()
+    got = archives.selected_products(spark, path, branches, ["id_producto", "productos_precio_lista", "productos_marca"]).collect()
     assert {(r["id_sucursal"], r["id_producto"], r["productos_precio_lista"], r["productos_marca"]) for r in got} == {("095", "p1", "100,5", None)}
     assert len(got) == (1 if name.endswith(".zip") else 2)
     names = {r["line"] for r in lines.where("kind = 'name'").collect()}
     assert names == ({"a.zip", "broken.zip"} if name.endswith(".zip") else {"2024-01-01/shop/productos.csv", "2024-01-01/shop/sucursales.csv", "2024-01-01/other.zip"})
-    none = feed.selected_products(spark, path, branches.limit(0), ["id_producto"])
+    none = archives.selected_products(spark, path, branches.limit(0), ["id_producto"])
     assert none.count() == 0
 
 
 def test_archives_that_only_spark_can_open(spark, tmp_path, monkeypatch):
     write_zip(tmp_path / "day.zip")
-    monkeypatch.setattr(feed, "urlparse", lambda p: type("U", (), {"scheme": "store", "path": ""}))
-    assert feed.scan(spark, str(tmp_path / "day.zip")).where("kind = 'sucursales.csv'").count() == 2
+    monkeypatch.setattr(archives, "is_mounted", lambda uris: False)
+    path = str(tmp_path / "day.zip")
+    lines = archives.scan(spark, path)
+    assert lines.where("kind = 'sucursales.csv'").count() == 2
+    branches = feed.parsed(lines, "sucursales.csv", [*feed.IDENTITY, "sucursales_localidad"]).where("sucursales_localidad = 'Rosario'")
+    assert [r["id_producto"] for r in archives.selected_products(spark, path, branches, ["id_producto"]).collect()] == ["p1"]
+
+
+HEAD = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista\n"
+
+
+def shops(n, wide):
+    """Product lines of three branches, of very different lengths."""
+    return [f"1|{k % 3}|{k % 7}|p{k}|{'9' * (k * k % wide)}" for k in range(n)]
+
+
+def big_tar(lines, tail=b""):
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as t:
+        for name, text in (("2024-01-01/s/sucursales.csv", BRANCHES), ("2024-01-01/s/productos.csv", "\nUltima x\n" + HEAD + "\n".join(lines)), ("2024-01-01/r/productos.csv", HEAD + "2|1|1|q|1\n" * 500), ("2024-01-01/z.zip", inner_zip())):
+            data = text if isinstance(text, bytes) else text.encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return raw.getvalue() + tail
+
+
+def in_frames(data, size):
+    """Zstandard frames of ``size`` bytes each, with a skippable one between."""
+    c = zstandard.ZstdCompressor(write_checksum=True)
+    return b"\x50\x2a\x4d\x18\x03\0\0\0abc".join(c.compress(data[i : i + size]) for i in range(0, len(data), size))
+
+
+def product_rows(spark, path, keys, monkeypatch=None):
+    branches = spark.createDataFrame([(archives._uris(spark, path)[0], "2024-01-01/s", *k.split("|")) for k in keys], "archive string, member string, id_comercio string, id_bandera string, id_sucursal string")
+    return archives.selected_products(spark, path, branches, ["id_producto", "productos_precio_lista"])
+
+
+@pytest.mark.parametrize("name", ["d.tar", "d.tar.zst", "one.tar.zst"])
+@pytest.mark.parametrize("split", [97, 700, 1 << 20])
+def test_pieces_of_a_product_file_equal_a_single_read(spark, tmp_path, monkeypatch, name, split):
+    lines = shops(400, 50)
+    data, keys = big_tar(lines), ["1|0|0", "1|2|5", "1|1|1"]
+    (tmp_path / name).write_bytes(data if name == "d.tar" else in_frames(data, 1000) if name == "d.tar.zst" else zstandard.compress(data))
+    monkeypatch.setattr(archives, "SPLIT", split)
+    reader = archives.ProductReader([str(tmp_path / name)], ["id_producto", "productos_precio_lista"])
+    reader.members, reader.shops = {"2024-01-01/s"}, set(keys)
+    splits = reader.partitions()
+    pieces = [s for s in splits if s.what == "piece"]
+    size = len("\nUltima x\n" + HEAD + "\n".join(lines))
+    assert [s.what for s in splits] == ["stream"] if name == "one.tar.zst" else len(pieces) == -(-size // split)
+    got = [tuple(r.values()) for s in splits for b in reader.read(s) for r in b.to_pylist()]
+    want = [(*line.split("|")[3:],) for line in lines if line[: line.index("|p")] in keys]
+    assert [r[6:] for r in got] == want
+    assert {tuple(r)[5:] for r in product_rows(spark, str(tmp_path / name), keys).collect()} == set(want)
+
+
+def test_an_inner_archive_is_a_task(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
+        for k in range(12):
+            z.writestr(f"{k}.zip", inner_zip())
+    path = str(tmp_path / "day.zip")
+    found = archives._source(spark, archives._uris(spark, path), "products", ["id_producto"])
+    assert found.rdd.getNumPartitions() == 12 and found.count() == 24
+    two = found.where(F.col("member").isin("3.zip", "4.zip") & (F.col("shop") == "010|1|096"))
+    assert two.rdd.getNumPartitions() == 2 and [(r["member"], r["id_producto"]) for r in two.orderBy("member").collect()] == [("3.zip", "p2"), ("4.zip", "p2")]
+    assert found.where("member = 'none'").count() == 0
+
+
+def test_more_branches_than_are_sent(spark, tmp_path, monkeypatch):
+    (tmp_path / "d.tar").write_bytes(big_tar(shops(100, 9)))
+    few = sorted(map(tuple, product_rows(spark, str(tmp_path / "d.tar"), ["1|0|0", "1|1|1"]).collect()))
+    monkeypatch.setattr(archives, "MAX_KEYS", 1)
+    assert few and sorted(map(tuple, product_rows(spark, str(tmp_path / "d.tar"), ["1|0|0", "1|1|1"]).collect())) == few
+
+
+@pytest.mark.parametrize("where", ["last", "unwanted"])
+def test_damaged_frames_fail(spark, tmp_path, where):
+    data = big_tar(shops(400, 50), tail=b"\0" * 3000)
+    whole = bytearray(in_frames(data, 1000))
+    (tmp_path / "d.tar.zst").write_bytes(whole)
+    path = str(tmp_path / "d.tar.zst")
+    found = archives.layout(path)
+    archives.scan(spark, path).count()
+    unwanted = next(m for m in found.members if m.group.endswith("/r"))
+    frame = found.frames[-1] if where == "last" else next(f for f in found.frames if f.start >= unwanted.at and f.end <= unwanted.at + unwanted.size)
+    whole[frame.at + 14] ^= 0xFF
+    (tmp_path / "d.tar.zst").write_bytes(whole)
+    with pytest.raises(Exception, match="(?i)zst|decompress|corrupt|checksum|ends early"):
+        archives.scan(spark, path).count()
+        product_rows(spark, path, ["1|0|0"]).count()
+    (tmp_path / "d.tar.zst").write_bytes(whole[:-3])
+    with pytest.raises(Exception, match="ends early"):
+        archives.scan(spark, path).count()
+
+
+def test_frames_of_unknown_size_are_one_stream(tmp_path):
+    data = big_tar(shops(50, 9))
+    c = zstandard.ZstdCompressor()
+    (tmp_path / "d.tar.zst").write_bytes(b"".join(c.compressobj().compress(b"") + zstandard.ZstdCompressor(write_content_size=False).compress(data[i : i + 2000]) for i in range(0, len(data), 2000)))
+    assert not archives.layout(str(tmp_path / "d.tar.zst")).entered
+
+
+def test_a_record_without_end_fails_in_a_piece(tmp_path, monkeypatch):
+    (tmp_path / "d.tar").write_bytes(big_tar(["1|1|1|p|" + "x" * 5000]))
+    monkeypatch.setattr(archives, "SPLIT", 600)
+    monkeypatch.setattr(feed, "MAX_RECORD", 1000)
+    reader = archives.ProductReader([str(tmp_path / "d.tar")], [])
+    with pytest.raises(ValueError, match="exceeds"):
+        [b for s in reader.partitions() if s.what == "piece" for b in reader.read(s)]
 
 
 def test_products_are_read_in_chunks(monkeypatch):
-    head, keys = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista", frozenset([b"1|1|2"])
+    head, keys = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista", ["1|1|2"]
     lines = ["", "Ultima x", head, "1|1|2|a|5", '1|1|2|"q|uoted"|6', "1|1|22|b|7", "1|1|2|c", "1|1|2|ñ|8|more"]
     data = "\r\n".join(lines).encode("utf-8-sig")
     want = [["1", "1", "2", "a", "5"], ["1", "1", "2", "q|uoted", "6"], ["1", "1", "2", "c", None], ["1", "1", "2", "ñ", "8"]]
+
+    def read(data):
+        stream = io.BytesIO(data)
+        names, _ = feed.product_header(stream)
+        return list(feed.products(stream, names, feed.by_length(keys), feed.NEEDED))
+
     for size in (1, 7, 1 << 20):
         monkeypatch.setattr(feed, "CHUNK", size)
-        assert list(feed._products(io.BytesIO(data), keys, feed.NEEDED)) == want
+        assert read(data) == want
     monkeypatch.setattr(feed, "MAX_RECORD", 40)
     with pytest.raises(ValueError, match="exceeds"):
-        list(feed._products(io.BytesIO(data + b"x" * (1 << 21)), keys, feed.NEEDED))
+        read(data + b"x" * (1 << 21))
     with pytest.raises(ValueError, match="identity"):
-        list(feed._products(io.BytesIO(b"a|b|c|d\n1|1|2|x"), keys, feed.NEEDED))
+        read(b"a|b|c|d\n1|1|2|x")
 
 
 def test_plain_feed(spark, tmp_path):
     (tmp_path / "p.csv").write_text(PRODUCTS + "Última línea\n", encoding="utf-8")
-    rows = feed.read_feed(spark, str(tmp_path / "p.csv")).collect()
-    assert [r["id_producto"] for r in rows] == ["p1", "p2"] and rows[0]["id_sucursal"] == "095"
+    rows = {r["id_producto"]: r for r in feed.read_feed(spark, str(tmp_path / "p.csv")).collect()}
+    assert set(rows) == {"p1", "p2"} and rows["p1"]["id_sucursal"] == "095"
+
+
+def test_plain_feeds_have_headers_of_their_own(spark, tmp_path):
+    for name, text in (("1", "a|b\n1|2\n"), ("2", "b|a\n3|4\n"), ("3", "\ufeffc|a\n\nUltima x\n5|6|7\n8\nc|a\n"), ("4", ""), ("5", "b|a\n")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = feed.read_feed(spark, str(tmp_path))
+    assert got.columns == ["a", "b", "c"]
+    assert {tuple(r) for r in got.collect()} == {("1", "2", None), ("4", "3", None), ("6", None, "5"), (None, None, "8")} and got.count() == 4
+
+
+def test_fields_may_be_quoted(spark, tmp_path):
+    (tmp_path / "p").write_text('a|"b|c"|d\n"x|y"|2|"q""r"\n', encoding="utf-8")
+    got = feed.read_feed(spark, str(tmp_path / "p"))
+    assert got.columns == ["a", "b|c", "d"] and tuple(got.first()) == ("x|y", "2", 'q"r')
+    with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
+        inner = io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as y:
+            y.writestr("sucursales.csv", 'id_comercio|"id_bandera"|id_sucursal|sucursales_localidad\n1|1|"0|1"|"San ""J"""\n')
+        z.writestr("a.zip", inner.getvalue())
+    row = feed.parsed(archives.scan(spark, str(tmp_path / "day.zip")), "sucursales.csv", ["id_bandera", "id_sucursal", "sucursales_localidad"]).first()
+    assert tuple(row)[2:] == ("1", "0|1", 'San "J"')
 
 
 def test_header_and_member_checks():
@@ -97,7 +232,7 @@ def test_corrupt_tail_fails(spark, tmp_path):
     data = (tmp_path / "day.tar.zst").read_bytes()
     (tmp_path / "day.tar.zst").write_bytes(data[:-20] + b"\0" * 20)
     with pytest.raises(Exception, match="(?i)zst|decompress|corrupt|truncat|read|end"):
-        feed.scan(spark, str(tmp_path / "day.tar.zst")).count()
+        archives.scan(spark, str(tmp_path / "day.tar.zst")).count()
 
 
 def test_snapshots_take_the_day_from_field_or_name(spark, tmp_path):
