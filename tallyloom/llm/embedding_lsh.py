@@ -31,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType
 
 from tallyloom.llm.components import components, local_roots
 from tallyloom.llm.scratch import Scratch, shuffle_partitions
@@ -193,11 +194,21 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch_of(groups(pa.Table.from_batches(held), True)[0])
 
 
+def label_code(vectors: DataFrame) -> Column:
+    """A whole number per label: itself if it is one, else 64 bits of its hash; labels of any type stay apart."""
+    kind, label = vectors.schema["label"].dataType, F.col("label")
+    if isinstance(kind, IntegralType):
+        return label.cast("long")
+    if isinstance(kind, FractionalType):
+        label = label + F.lit(0)  # one zero, not two
+    return F.when(label.isNotNull(), F.xxhash64(label))
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     with Scratch(spark, "embedding_lsh") as scratch:
         n = shuffle_partitions(spark)
-        rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+        rows = vectors.select("vec_id", label_code(vectors).alias("label"), "embedding")
         rows = scratch.table(rows.mapInArrow(_valid_rows, "vec_id long, label long, key string, vector binary"), "rows")
         able = rows.where("key is not null")
         reps = able.groupBy("label", "key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("vector").alias("vector"))

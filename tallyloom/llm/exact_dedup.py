@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField
 
 from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.tables import columns, map_rows
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Positions of a hash in the table.
@@ -189,11 +190,10 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bits = bloom_bits(docs.count())
     shared = spark.sparkContext.broadcast(_collected(docs.select("text").mapInArrow(_marks_of_texts(bits), _MARKS), bits))
     digest, length = _fresh_names(docs.columns, "digest", "length")
-    kinds = StructType([*docs.schema.fields, StructField(digest, StringType()), StructField(length, LongType())])
-    through = docs.mapInArrow(_branch(shared, bits, False, []), docs.schema)
-    maybe = docs.mapInArrow(_branch(shared, bits, True, [digest, length]), kinds)
-    order = F.struct(F.col(length), F.col("doc_id").isNotNull(), -F.col("doc_id"))
-    best = maybe.groupBy(digest).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row")).select("row.*")
+    through = map_rows(docs, _branch(shared, bits, False, []))
+    maybe = map_rows(docs, _branch(shared, bits, True, [digest, length]), [StructField(digest, StringType()), StructField(length, LongType())])
+    order = F.struct(F.col(length), F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"))  # falls as the id grows, without overflow
+    best = maybe.groupBy(digest).agg(F.max_by(F.struct(*columns(docs)), order).alias("row")).select("row.*")
     return through.unionByName(best)
 
 
@@ -211,9 +211,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         single = marked.where(~F.col("maybe"))
         maybe = marked.where("maybe")
         # Longest first, then smallest id: partial maxima are combined before the shuffle.
-        best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg")))
+        best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("falling")))
         groups = maybe.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        groups = scratch.table(groups.select("text_sha256", (-F.col("best.neg")).alias("keep_id"), "group_size").where("group_size > 1"), "groups")
+        groups = scratch.table(groups.select("text_sha256", F.bitwise_not("best.falling").alias("keep_id"), "group_size").where("group_size > 1"), "groups")
         joined = maybe.join(groups, "text_sha256", "left")
         decided = joined.select(
             "doc_id",

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textstats as ts
+from tallyloom.llm.tables import map_rows
 
 DIMENSIONS = 1024
 SEED = 20260
@@ -195,7 +196,7 @@ def keep_known(docs: DataFrame, languages: Sequence[str] | None = None) -> DataF
     """
     profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))))
     wanted = None if languages is None else frozenset(languages)
-    return docs.mapInArrow(_known_rows(profiles, wanted), docs.schema)
+    return map_rows(docs, _known_rows(profiles, wanted))
 
 
 def held_out(doc_id: Column) -> Column:

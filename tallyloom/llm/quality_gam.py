@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textstats as ts
+from tallyloom.llm.tables import map_rows
 
 MAX_LABELLED = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 12, 8
@@ -205,7 +206,7 @@ def _good_rows(model: Model):
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input's rows and columns, where the score reaches THRESHOLD."""
-    return docs.mapInArrow(_good_rows(fit(spark, docs, labels)), docs.schema)
+    return map_rows(docs, _good_rows(fit(spark, docs, labels)))
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

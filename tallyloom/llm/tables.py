@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyloom.session import ship_code
 
@@ -10,3 +15,21 @@ from tallyloom.session import ship_code
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: Sequence[StructField] = ()) -> DataFrame:
+    """``df.mapInArrow`` for tables whose columns have any names (Spark's own looks dots up as fields); ``added`` columns follow the table's."""
+    given, fields = df.columns, [*df.schema.fields, *added]
+    plain = [f"c{i}" for i in range(len(fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in function(pa.RecordBatch.from_arrays(b.columns, given) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, plain)
+
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, fields, strict=True)])
+    return df.toDF(*plain[: len(given)]).mapInArrow(renamed, schema).toDF(*(f.name for f in fields))

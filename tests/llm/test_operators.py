@@ -8,6 +8,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -69,11 +70,26 @@ def test_exact_dedup_stage_keeps_one_row_of_each_group(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x or 0)) == expected
 
 
+def test_exact_dedup_at_the_ends_of_the_ids(spark):
+    rows = [(-(2**63), "a"), (2**63 - 1, " a"), (2**63 - 1, "b"), (-(2**63), "b"), (None, "c"), (-(2**63), "c"), (0, "b")]
+    got = exact_dedup.exact_dedup(spark, documents(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == brute_exact(rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_one(spark, documents(spark, rows)).collect()) == [-(2**63), -(2**63), 2**63 - 1]
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(spark, documents(spark, [])).count() == 0
     assert exact_dedup.keep_one(spark, documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind,labels", [("string", ["a", "b", None]), ("double", [0.0, -0.0, 0.5, 0.25, None]), ("boolean", [True, False, None]), ("decimal(4,2)", ["0.25", "0.50", None])])
+def test_labels_of_any_type_stay_apart(spark, kind, labels):
+    rows = [(i, [1.0, 0.001 * i], labels[i % len(labels)] if not kind.startswith("dec") or labels[i % len(labels)] is None else Decimal(labels[i % len(labels)])) for i in range(20)]
+    got = {r["vec_id"]: r["component_id"] for r in embedding_lsh.near_duplicates(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    for i, _, label in rows:
+        assert got[i] == (i if label is None else min(j for j, _, other in rows if other == label))
+
+
 def test_bloom_table_holds_repeated_hashes_and_few_others(spark):
     import pyarrow as pa
 

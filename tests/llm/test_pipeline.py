@@ -53,8 +53,8 @@ def odd_documents(spark, folder):
     rows += [(200 + i, " ".join(w if rng.random() > 0.01 else "kakaka" for w in rows[i][1].split()), None) for i in range(20)]
     rows += [(300 + i, t, "aa") for i, t in enumerate([None, "", " \n\t", "12 34", "%%% ||| $$$ " * 30, "é" * 4000, say(30_000, "long"), "漢字" * 300])]
     rows += [(None, say(70, "nobody"), None), (1, rows[1][1], "aa"), (1, say(66, "another"), "aa"), (400, rows[2][1].replace(" ", "  "), "aa")]
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, row long, key string, digest string, number long"
-    docs = spark.createDataFrame([(i, t, x, "s", 0 if t is None else len(t), 1.0, True, 7, "k", "d", 3) for i, t, x in rows], kinds)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, row long, key string, digest string, number long, `x.y` string, `b``c` int"
+    docs = spark.createDataFrame([(i, t, x, "s", 0 if t is None else len(t), 1.0, True, 7, "k", "d", 3, "dotted", i) for i, t, x in rows], kinds)
     docs.write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(i % 5 > 0)) for i in range(120)] + [(304, 0), (305, 0), (None, 1), (7, None), (9999, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
