@@ -6,8 +6,9 @@ learned language go, then texts of low quality, then all but one of each group
 of equal texts and of each component of near copies (five-word shingles,
 similarity 0.8); what stays is packed into sequences, with its token ids.
 
-All stages hand on every column they get, whatever its name, and an empty table
-gives an empty result.  Null ids are ids like others, except where a stage
+All stages but the last hand on every column they get, whatever its name; the
+last returns pieces, with the ids of their documents.  An empty table gives an
+empty result.  Null ids are ids like others, except where a stage
 prefers a known one.
 """
 
