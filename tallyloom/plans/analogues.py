@@ -5,11 +5,24 @@ Each frame has its SQL twin, a list of common table expressions.
 
 from __future__ import annotations
 
+import io
+import os
+import shutil
+import tarfile
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from itertools import groupby
+from typing import IO
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers as num
 from tallyloom.operators import panel as pan
+from tallyloom.session import shared_folder, ship_code
+from tallyloom.sources.archives import local_path
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 UNIT_NAMES = ("GRM", "KG", "MLT", "UNI", "DOC")
@@ -57,6 +70,95 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("total"))
 
 
+# Line items as archives of a feed: a chain by supplier, banners by line number, 50 branches by order.
+
+SHOP_HEAD = "id_comercio|id_bandera|id_sucursal|sucursales_localidad\n"
+PRODUCT_HEAD = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista\n"
+FRAME = 1 << 16
+
+
+def feed_archives(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
+    """An archive a chain, written by tasks: a ZIP of its banners' ZIPs (``zip``), or a TAR of their files in Zstandard frames (``tar.zst``)."""
+    ship_code(spark)
+    folder = shared_folder(spark, "archives")
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 4).cast("string").alias("chain"), (F.col("l_linenumber") % 3).cast("string").alias("banner"), (F.col("l_orderkey") % 50).cast("string").alias("branch"),
+        F.concat_ws("|", F.col("l_suppkey") % 4, F.col("l_linenumber") % 3, F.col("l_orderkey") % 50, F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("l_quantity").cast("int")).alias("line"),
+    )
+    target = local_path(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(target, exist_ok=True)
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("chain", "banner", "branch", "line")), strict=True))
+        for chain, of_chain in groupby(rows, lambda r: r[0]):
+            final = f"{target}/{chain}.{kind}"
+            partial = f"{final}.{os.getpid()}.partial"
+            with open(partial, "wb") as file:
+                (_write_zip if kind == "zip" else _write_frames)(file, of_chain)
+            os.replace(partial, final)
+            yield pa.RecordBatch.from_pydict({"path": [final]})
+
+    spread = lines.repartition(4, "chain").sortWithinPartitions("chain", "banner", "branch")
+    return sorted(r["path"] for r in spread.mapInArrow(write, "path string").collect())  # one a chain
+
+
+def _shop_files(of_banner: Iterator[tuple]) -> Iterator[tuple[str, IO[bytes], int]]:
+    """The branch and product files of a banner, the latter in a temporary file."""
+    shops: dict[str, None] = {}
+    with tempfile.TemporaryFile() as products:
+        products.write(PRODUCT_HEAD.encode())
+        for chain, banner, branch, line in of_banner:
+            shops[f"{chain}|{banner}|{branch}|{'Rosario' if int(branch) % 7 == 0 else 'Lejos'}\n"] = None
+            products.write(f"{line}\n".encode())
+        text = (SHOP_HEAD + "".join(shops)).encode()
+        yield "sucursales.csv", io.BytesIO(text), len(text)
+        size = products.tell()
+        products.seek(0)
+        yield "productos.csv", products, size
+
+
+def _write_zip(file: IO[bytes], of_chain: Iterator[tuple]) -> None:
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as outer:
+        for banner, of_banner in groupby(of_chain, lambda r: r[1]):
+            with outer.open(f"{banner}.zip", "w") as member, zipfile.ZipFile(member, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as inner:
+                for name, content, _ in _shop_files(of_banner):
+                    with inner.open(name, "w") as out:
+                        shutil.copyfileobj(content, out)
+
+
+class _Frames(io.RawIOBase):
+    """Writes Zstandard frames of FRAME bytes."""
+
+    def __init__(self, file: IO[bytes]):
+        import zstandard
+
+        self._file, self._held, self._compress = file, bytearray(), zstandard.ZstdCompressor(level=1, write_checksum=True).compress
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._held += data
+        while len(self._held) >= FRAME:
+            self._file.write(self._compress(bytes(self._held[:FRAME])))
+            del self._held[:FRAME]
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._file.write(self._compress(bytes(self._held)))
+        super().close()
+
+
+def _write_frames(file: IO[bytes], of_chain: Iterator[tuple]) -> None:
+    with _Frames(file) as out, tarfile.open(fileobj=out, mode="w|") as archive:
+        for banner, of_banner in groupby(of_chain, lambda r: r[1]):
+            for name, content, size in _shop_files(of_banner):
+                info = tarfile.TarInfo(f"2024-05-01/{banner}/{name}")
+                info.size = size
+                archive.addfile(info, content)
+
+
 ITEMS_SQL = """item_dim as (
   select distinct p_brand as item,
     case cast(substr(p_brand, 7) as int) % 3 when 0 then 'kg' when 1 then 'L' else 'u' end as unit,

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers as num
 from tallyloom.functions import text as txt
+from tallyloom.functions.keywords import keyword_item
 from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring
 from tallyloom.operators.basket_catalogue import rules
 from tallyloom.plans import analogues as an
 from tallyloom.plans import daily, evaluation
-from tallyloom.sources import feed
+from tallyloom.session import shared_folder, ship_code
+from tallyloom.sources import archives, feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -390,6 +392,13 @@ _CLASS_OF = """case
     when regexp_matches(p_name, '\\bcold\\b') then 'cold' end"""
 
 
+@query(f"select p_partkey, {_CLASS_OF} as class from part")
+def m9_keyword_automaton(spark, sf):
+    ship_code(spark)
+    names = an.table(spark, sf, "part").select("p_name").distinct()
+    return an.table(spark, sf, "part").select("p_partkey", "p_name").join(names.select("p_name", keyword_item(txt.normalize_text(F.col("p_name")), _RULES).alias("class")), "p_name").select("p_partkey", "class")
+
+
 @query(f"select p_partkey, {_CLASS_OF} as class from part")
 def m9_keyword_classifier(spark, sf):
     return an.table(spark, sf, "part").select("p_partkey", txt.keyword_class(txt.normalize_text(F.col("p_name")), _RULES).alias("class"))
@@ -688,6 +697,36 @@ def s1_feed_lines(spark, sf):
     return feed.clean_lines(an.table(spark, sf, "part").select("p_partkey", text.alias("value")))
 
 
+@query("""select cast(p_partkey as varchar) as id, p_name || '|"' || p_type as name, case when p_partkey % 2 = 0 then cast(p_size as varchar) end as size from part""")
+def s1_mixed_headers(spark, sf):
+    """Two sets of files whose headers differ in order and number of columns, with bars and quotes in fields."""
+    rows = an.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit('|"'), "p_type").alias("name"), F.col("p_size").alias("size"))
+    folder = shared_folder(spark, "feed")
+    for k, columns in enumerate((["name", "size", "id"], ["id", "name"])):
+        rows.where(F.col("id") % 2 == k).select(columns).write.options(header=True, sep="|", escape='"').csv(f"{folder}/{k}")
+    return feed.read_feed(spark, [f"{folder}/0", f"{folder}/1"]).select("id", "name", "size")
+
+
+def _area_products(spark, paths):
+    shops = feed.parsed(archives.scan(spark, paths), "sucursales.csv", [*feed.IDENTITY, "sucursales_localidad"]).where("sucursales_localidad = 'Rosario'")
+    rows = archives.selected_products(spark, paths, shops, feed.NEEDED)
+    return rows.select(F.col("id_comercio").alias("chain"), F.col("id_bandera").alias("banner"), F.col("id_sucursal").alias("branch"), F.col("id_producto").alias("product"), F.col("productos_precio_lista").alias("price"))
+
+
+_AREA_SQL = """select cast(l_suppkey % 4 as varchar) as chain, cast(l_linenumber % 3 as varchar) as banner, cast(l_orderkey % 50 as varchar) as branch,
+l_orderkey || '-' || l_linenumber as product, cast(cast(l_quantity as int) as varchar) as price from lineitem where l_orderkey % 50 % 7 = 0"""
+
+
+@query(_AREA_SQL)
+def s2_zip_of_zips(spark, sf):
+    return _area_products(spark, an.feed_archives(spark, sf, "zip"))
+
+
+@query(_AREA_SQL)
+def s3_tar_of_frames(spark, sf):
+    return _area_products(spark, an.feed_archives(spark, sf, "tar.zst"))
+
+
 @query("""select d, id, tried from (select cast(o_orderdate as date) as d, o_orderkey as id, o_orderpriority as tried,
   rank() over (partition by cast(o_orderdate as date) order by o_orderpriority desc) as r from orders) where r = 1""", day="d")
 def t6_latest_attempts(spark, sf):
@@ -743,12 +782,12 @@ def f10_w17_recent_of_long_series(spark, sf):
     return panel.last_days(panel.enough_observations(an.panel(spark, sf), 25)).select("series", "d", "p")
 
 
-@query("""with r as (select o_orderpriority as series, cast(o_orderdate as date) as d, max(o_totalprice) as p from orders where o_custkey % 40 = 0 group by 1, 2),
+@query("""with r as (select o_orderpriority as series, cast(o_orderdate as date) as d, max(o_totalprice) as p from orders group by 1, 2),
 days as (select cast(unnest(generate_series(date '1995-03-01', date '1995-12-31', interval 1 day)) as date) as d),
 g as (select s.series, days.d, r.p from (select distinct series from r) s cross join days left join r on r.series = s.series and r.d = days.d)
 select series, d, p, last_value(p ignore nulls) over (partition by series order by d rows between 10 preceding and current row) as pf from g""", day="d")
 def w2_published_fill(spark, sf):
-    rows = an.table(spark, sf, "orders").where("o_custkey % 40 = 0").groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("p"))
+    rows = an.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("p"))
     return panel.filled_between(rows, "1995-03-01", "1995-12-31")
 
 
@@ -857,11 +896,11 @@ def f4_f5_priced_rows(spark, sf):
     return offers.with_price(an.table(spark, sf, "part").select("p_partkey", text.alias("t")), "t").select("p_partkey", "price")
 
 
-@query(f"""with {an.OFFERS_SQL}, t as (select zone, chain, count(*) as items_found from kept where l_linenumber = 7 group by zone, chain),
+@query(f"""with {an.OFFERS_SQL}, t as (select zone, chain, count(*) as items_found from kept group by zone, chain),
 z as (select 'core' as zone union all select 'wide' union all select 'empty')
 select zone, chain, items_found, min(items_found) over (partition by zone) = max(items_found) over (partition by zone) as rankable from t where zone in (select zone from z)""")
 def v3_v6_zones_and_ranks(spark, sf):
-    totals = _kept(spark, sf).where("l_linenumber = 7").groupBy("zone", "chain").agg(F.count(F.lit(1)).alias("items_found"))
+    totals = _kept(spark, sf).groupBy("zone", "chain").agg(F.count(F.lit(1)).alias("items_found"))
     zones = spark.createDataFrame([("core",), ("wide",), ("empty",)], "zone string")
     return totals.join(present.visible_zones(zones, totals), "zone", "left_semi").withColumn("rankable", present.rankable(totals))
 
