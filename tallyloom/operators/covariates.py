@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tallyloom.operators import timeline
+
 PUBLICATION_LAG, STALE_DAYS = 60, 75
 
 
@@ -29,15 +31,17 @@ def published(index: DataFrame, lag_days: int = PUBLICATION_LAG) -> DataFrame:
 
 
 def as_of(days: DataFrame, known: DataFrame) -> DataFrame:
-    """For each day, the last value known by then.
+    """For each day, the last value known by then; ``days`` may have more rows a day, and other columns.
 
-    The index has one row a month: it is collapsed to one row of arrays and sent
-    to every task, which searches it; days never shuffle.
+    Days and values share one order of time, dealt out by range; the last value
+    known before a task's stretch is carried into it.
     """
-    row = known.where("value is not null").agg(F.array_sort(F.collect_list(F.struct("known_on", "value"))).alias("index"))
-    joined = days.crossJoin(F.broadcast(row))
-    found = F.filter("index", lambda x: x["known_on"] <= F.col("d"))
-    return joined.withColumn("index_value", F.try_element_at(found, F.lit(-1))["value"]).drop("index")
+    row = F.struct(*(F.col(f"`{c}`") for c in days.columns))
+    kind = known.schema["value"].dataType.simpleString()
+    line = days.select(F.col("d").alias("t"), F.lit(1).alias("asks"), F.lit(None).cast(kind).alias("index_value"), row.alias("row"))
+    values = known.where("value is not null and known_on is not null").select(F.col("known_on").alias("t"), F.lit(0).alias("asks"), F.col("value").alias("index_value"))
+    filled = timeline.last_known(line.unionByName(values, allowMissingColumns=True), ["t", "asks", "index_value"], "index_value")
+    return filled.where("asks = 1").select("row.*", F.when(F.col("t").isNotNull(), F.col("index_value")).alias("index_value"))
 
 
 def stale(known: DataFrame, end: Column, days: int = STALE_DAYS) -> DataFrame:
@@ -52,15 +56,18 @@ def gap(blue: Column, official: Column) -> Column:
 def rolling_volatility(daily: DataFrame, value: str, rows: int = 7, least: int = 3, order: str = "d", by: tuple[str, ...] = ()) -> DataFrame:
     """Sample deviation of log-returns over the last rows, where enough of them exist.
 
-    Without ``by`` the frame is one published series with one row a day, which
-    one task sorts: some ten thousand rows in thirty years.
+    Without ``by`` the frame is one series: its time line is dealt out by range,
+    with the last rows before each stretch carried in.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    frame = w.rowsBetween(-(rows - 1), 0)
-    before = F.lag(value).over(w)
-    change = F.when((F.col(value) > 0) & (before > 0), F.ln(F.col(value)) - F.ln(before))
-    out = daily.withColumn("log_return", change)
-    return out.withColumn("volatility", F.when(F.count("log_return").over(frame) >= least, F.stddev_samp("log_return").over(frame)))
+
+    def add(held: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.lag(value).over(w)
+        change = F.when((F.col(value) > 0) & (before > 0), F.ln(F.col(value)) - F.ln(before))
+        frame = w.rowsBetween(-(rows - 1), 0)
+        out = held.withColumn("log_return", change)
+        return out.withColumn("volatility", F.when(F.count("log_return").over(frame) >= least, F.stddev_samp("log_return").over(frame)))
+
+    return add(daily, Window.partitionBy(*by).orderBy(order)) if by else timeline.over_last_rows(daily, [order], rows, add)
 
 
 def rolling_cv(daily: DataFrame, value: str, by: str, rows: int = 14, least: int = 7) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import positive_number, stripped
+from tallyloom.operators import timeline
 from tallyloom.operators.basket_catalogue import CHAINS, NOT_RETAIL
 
 LOW, HIGH = 0.15, 6.5
@@ -57,10 +58,17 @@ def comparable_units(offers: DataFrame, items: DataFrame) -> DataFrame:
     return offers.join(F.broadcast(items), "item").where((F.col("unit_name") == F.col("unit")) & (F.col("price") > 0))
 
 
-def reference_prices(offers: DataFrame) -> DataFrame:
-    """Per item, the median over chains of each chain's lowest price."""
+def reference_prices(offers: DataFrame, spread: bool = False) -> DataFrame:
+    """Per item, the median over chains of each chain's lowest price.
+
+    An item has a row a chain here, some dozens, which one task may hold; where
+    "chains" are shops or sellers without number, ``spread`` deals an item's
+    prices out over tasks.
+    """
     sane = offers.where(F.col("price") > 0)
     lowest = sane.groupBy("item", "chain").agg(F.min("price").alias("low"))
+    if spread:
+        return timeline.medians(lowest, ["item"], "low").withColumnRenamed("median", "median_price")
     return lowest.groupBy("item").agg(F.median("low").alias("median_price"))
 
 

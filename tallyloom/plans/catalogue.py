@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import numbers as num
 from tallyloom.functions import text as txt
 from tallyloom.functions.keywords import keyword_item
-from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring
+from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring, timeline
 from tallyloom.operators.basket_catalogue import rules
 from tallyloom.plans import analogues as an
 from tallyloom.plans import daily, evaluation
@@ -176,6 +176,18 @@ def j7_competitor_min(spark, sf):
     return covariates.competitor_min(lines.join(part, "l_partkey").join(supplier, "l_suppkey"))
 
 
+@query("""select case when l_partkey % 10 = 0 then 'p' || l_partkey % 100 else 'hot' end as item, median(price) as median_price
+from (select l_partkey, l_orderkey, min(l_extendedprice) as price from lineitem group by 1, 2) group by 1
+union all select 'flags ' || l_returnflag, median(l_quantity) from lineitem group by l_returnflag""")
+def a1_hot_medians(spark, sf):
+    """Medians of items of which one has nine tenths of all rows, and of groups with few distinct values."""
+    lines = an.table(spark, sf, "lineitem")
+    item = F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit("p"), F.col("l_partkey") % 100)).otherwise("hot")
+    rows = lines.select(item.alias("item"), F.concat_ws("-", "l_partkey", "l_orderkey").alias("chain"), F.col("l_extendedprice").alias("price"))
+    flags = timeline.medians(lines.select(F.concat(F.lit("flags "), "l_returnflag").alias("item"), "l_quantity"), ["item"], "l_quantity")
+    return offers.reference_prices(rows, spread=True).unionByName(flags.withColumnRenamed("median", "median_price"))
+
+
 @query("""with m as (select date_trunc('month', o_orderdate)::date as month, round(avg(o_totalprice), 4) as v from orders group by 1),
 known as (select (last_day(month) + 60)::date as known_on, v from m),
 days as (select distinct cast(l_shipdate as date) as d from lineitem)
