@@ -18,6 +18,7 @@ from tallyloom.plans import analogues as an
 from tallyloom.plans import daily, evaluation
 from tallyloom.session import shared_folder, ship_code
 from tallyloom.sources import archives, feed
+from tallyloom.streaming import attempts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -433,6 +434,18 @@ def a22_prediction_distribution(spark, sf):
     return scoring.prediction_distribution(_scored(spark, sf))
 
 
+@query(f"""with {an.PANEL_SQL}, t as (select d, sum(abs(weekly - actual) - abs(drift5 - actual)) as delta, count(*) as n from target group by d),
+p as (select *, row_number() over (order by d) - 1 as place from t), w as (select count(*) as days from t),
+draws as (select r, ('0x' || substr(md5('{scoring.SEED}:' || r || ':' || i), 1, {scoring.DIGITS}))::bigint % days as place
+  from (select r, unnest(range(days)) as i, days from range({scoring.RESAMPLES}) x(r), w)),
+m as (select r, sum(delta) / sum(n) as mean from draws join p using (place) group by r)
+select (select sum(n) from t)::bigint as n, round((select sum(delta) / sum(n) from t), 6) as mae_delta,
+  round(quantile_cont(mean, {scoring.ENDS[0]}), 6) as low, round(quantile_cont(mean, {scoring.ENDS[1]}), 6) as high, (select days from w) as days from m""")
+def a16_counted_bootstrap(spark, sf):
+    t = forecast.targets(an.panel(spark, sf))
+    return _round(scoring.counted_bootstrap(scoring.paired(t, t, "drift5", "weekly")), "mae_delta", "low", "high")
+
+
 @query()
 def a16_bootstrap(spark, sf):
     t = forecast.targets(an.panel(spark, sf))
@@ -917,6 +930,39 @@ def v3_v6_zones_and_ranks(spark, sf):
     return totals.join(present.visible_zones(zones, totals), "zone", "left_semi").withColumn("rankable", present.rankable(totals))
 
 
+_ATTEMPTS_SQL = """with a as (select cast(o_orderdate as date) as d, case when o_orderkey % 9 > 0 then o_custkey % 4 end as revision,
+  case o_orderstatus when 'F' then 'imported' when 'O' then 'rejected' else 'listed' end as outcome, o_orderkey % 100 as f from orders),
+l as (select d, revision, outcome = 'imported' as taken, f from a where outcome <> 'listed' and revision is not null
+  qualify row_number() over (partition by d, revision order by f desc, outcome = 'imported' desc) = 1),
+g as (select d, count(*) filter (taken) as n, arg_max(revision, f * 10 + revision) filter (taken) as revision, string_agg(revision, ',' order by revision) filter (not taken) as rejected, count(*) as attempts from l group by d)
+select d, case when n > 1 then 'revised' when n = 1 then 'imported' when attempts > 0 then 'failed' else 'to do' end as status, revision, coalesce(rejected, '') as rejected, coalesce(attempts, 0) as attempts
+from (select distinct d from a) left join g using (d)"""
+
+
+def _attempts(spark, sf):
+    outcome = F.when(F.col("o_orderstatus") == "F", attempts.IMPORTED).when(F.col("o_orderstatus") == "O", attempts.REJECTED).otherwise(attempts.LISTED)
+    revision = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey") % 4).cast("long")
+    return an.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), revision.alias("revision"), outcome.alias("outcome"), F.col("o_orderpriority").alias("error"), (F.col("o_orderkey") % 100).cast("long").alias("finished_at"))
+
+
+@query(_ATTEMPTS_SQL, day="d")
+def t5_t6_day_states(spark, sf):
+    return attempts.states(_attempts(spark, sf)).withColumn("rejected", F.array_join("rejected", ","))
+
+
+@query(_ATTEMPTS_SQL, day="d")
+def t5_k6_day_states_streamed(spark, sf):
+    """The same from a stream in four parts, of which every second attempt comes twice."""
+    folder = shared_folder(spark, "attempts")
+    rows = _attempts(spark, sf)
+    for k in range(4):
+        part = F.pmod(F.hash("d", "revision", "finished_at"), F.lit(4))
+        rows.where((part == k) | ((part == (k + 1) % 4) & (F.col("finished_at") % 2 == 0))).write.parquet(f"{folder}/in/part={k}")
+    stream = spark.readStream.schema(attempts.ATTEMPT).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in/part=*")
+    attempts.keep_manifest(attempts.state_updates(stream), f"{folder}/out", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    return attempts.compacted(spark, f"{folder}/out").withColumn("rejected", F.array_join("rejected", ","))
+
+
 @query("""select o_orderkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT' and o_custkey % 2 = 0 and o_custkey % 3 = 0""")
 def v5_accepted_forecasts(spark, sf):
     day = lambda k: F.when(F.col("o_custkey") % k == 0, "2024-01-02").otherwise("2024-01-01")
