@@ -1,9 +1,10 @@
-"""The scalars as temporary SQL functions, for use from ``spark.sql``."""
+"""The scalars as temporary SQL functions, and the table functions, for use from ``spark.sql``."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tallyloom.functions import tables
 from tallyloom.functions.numbers import WHITE
 
 SQL_FUNCTIONS = {
@@ -15,4 +16,4 @@ SQL_FUNCTIONS = {
 def register(spark: SparkSession) -> list[str]:
     for statement in SQL_FUNCTIONS.values():
         spark.sql(statement)
-    return list(SQL_FUNCTIONS)
+    return [*SQL_FUNCTIONS, *tables.register(spark)]

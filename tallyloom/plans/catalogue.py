@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers as num
+from tallyloom.functions import registry
 from tallyloom.functions import text as txt
 from tallyloom.functions.keywords import keyword_item
 from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring, timeline
@@ -930,6 +931,26 @@ def v3_v6_zones_and_ranks(spark, sf):
     return totals.join(present.visible_zones(zones, totals), "zone", "left_semi").withColumn("rankable", present.rankable(totals))
 
 
+@query("""select p_partkey, p_name as name, case when p_partkey % 4 = 0 then null else p_brand || '|' || p_size end as brand, case when p_partkey % 4 = 0 then null else p_type end as kind from part where p_partkey % 7 > 0""")
+def x5_feed_records(spark, sf):
+    """Lines to records by a table function whose columns follow the header."""
+    registry.register(spark)
+    line = F.when(F.col("p_partkey") % 7 == 0, "Ultima linea").when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.format_string('%s|"%s|%s"|%s|more', "p_name", "p_brand", "p_size", "p_type"))
+    an.table(spark, sf, "part").select("p_partkey", line.alias("line")).createOrReplaceTempView("tl_part_lines")
+    return spark.sql("select * from tl_records(table(select p_partkey, line from tl_part_lines), 'name|brand|kind')")
+
+
+@query("""with s as (select p_partkey, unnest([{'nth': 1, 'amount': p_size * 0.001::double, 'unit': 'kg', 'times': case when p_partkey % 3 = 0 then 6.0::double end},
+  {'nth': 2, 'amount': 1.5::double, 'unit': 'L', 'times': null}]) as x from part)
+select p_partkey, x.nth as nth, round(x.amount, 9) as amount, x.unit as unit, x.times as times from s""")
+def x5_printed_sizes(spark, sf):
+    """A row for every size a description prints."""
+    registry.register(spark)
+    text = F.concat(F.lit("caja "), F.when(F.col("p_partkey") % 3 == 0, "6 x ").otherwise(""), F.col("p_size").cast("string"), F.lit(" GR y botella de 1,5 lts"))
+    an.table(spark, sf, "part").select("p_partkey", text.alias("text")).createOrReplaceTempView("tl_part_texts")
+    return _round(spark.sql("select * from tl_sizes(table(select p_partkey, text from tl_part_texts), '*')"), "amount", digits=9)
+
+
 _ATTEMPTS_SQL = """with a as (select cast(o_orderdate as date) as d, case when o_orderkey % 9 > 0 then o_custkey % 4 end as revision,
   case o_orderstatus when 'F' then 'imported' when 'O' then 'rejected' else 'listed' end as outcome, o_orderkey % 100 as f from orders),
 l as (select d, revision, outcome = 'imported' as taken, f from a where outcome <> 'listed' and revision is not null

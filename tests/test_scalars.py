@@ -116,3 +116,18 @@ def test_formats(spark):
 def test_sql_functions(spark):
     registry.register(spark)
     assert spark.sql("select tl_positive_number('1,5'), tl_direction(-1, 0.8)").first()[:] == (1.5, "down")
+
+
+def test_table_functions_follow_their_arguments(spark):
+    assert {"tl_records", "tl_sizes"} <= set(registry.register(spark))
+    spark.createDataFrame([(1, "a|b"), (2, '"x|y"|2|3'), (3, ""), (4, None), (5, "Ultima"), (6, "7"), (7, "\ufeff8|9\r")], "id int, line string").createOrReplaceTempView("lines")
+    got = spark.sql("select * from tl_records(table(select id, line from lines), 'a|b')")
+    assert got.columns == ["id", "a", "b"]
+    assert sorted(map(tuple, got.collect())) == [(2, "x|y", "2"), (6, "7", None), (7, "8", "9")]
+    assert spark.sql("select * from tl_records(table(select line from lines), 'one')").columns == ["one"]
+    for bad in ("select * from tl_records(table(select line from lines), 'a|a')", "select * from tl_records('x', 'a')", "select * from tl_sizes(table(select line from lines), 'mile')"):
+        with pytest.raises(Exception, match="names of its own|must be a table|no such unit"):
+            spark.sql(bad)
+    spark.createDataFrame([("Arroz 3 X 125 GR",), ("Leche 1,5 lt y 500 ml",), ("Huevo",), (None,)], "t string").createOrReplaceTempView("texts")
+    assert sorted(map(tuple, spark.sql("select * from tl_sizes(table(select t, t from texts), '*')").collect())) == [("Arroz 3 X 125 GR", 1, 0.125, "kg", 3.0), ("Leche 1,5 lt y 500 ml", 1, 1.5, "L", None), ("Leche 1,5 lt y 500 ml", 2, 0.5, "L", None)]
+    assert [tuple(r) for r in spark.sql("select * from tl_sizes(table(select t from texts), 'kg')").collect()] == [(1, 0.125, 3.0)]
