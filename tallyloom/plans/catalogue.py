@@ -19,7 +19,7 @@ from tallyloom.plans import analogues as an
 from tallyloom.plans import daily, evaluation
 from tallyloom.session import shared_folder, ship_code
 from tallyloom.sources import archives, feed
-from tallyloom.streaming import attempts
+from tallyloom.streaming import attempts, daily_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -480,6 +480,25 @@ def w1_ffill_limit2(spark, sf):
     return an.panel(spark, sf).select("series", "d", "p", "pf", "observed")
 
 
+@query(f"with {an.PANEL_SQL} select series, d, p, pf, observed, n from panel where pf is not null", day="d")
+def w1_j11_streamed_panel(spark, sf):
+    """The panel from a stream in three batches, each of which leaves a third of its last two days to the next one."""
+    folder = shared_folder(spark, "panel")
+    cells = an.table(spark, sf, "events").where("value > 0").select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("p"), "event_id")
+    first, last = cells.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    third = max(1, ((last - first).days + 1) // 3)
+    age = F.datediff(F.to_date("ts"), F.lit(first))
+    late = (F.col("event_id") % 3 == 0) & (age % third >= third - 2) & (age < 2 * third)
+    dealt = cells.withColumn("part", F.least(F.floor(age / third), F.lit(2)) + F.when(late, 1).otherwise(0)).drop("event_id")
+    closing = spark.createDataFrame([(None, datetime.datetime.combine(last + datetime.timedelta(days=30), datetime.time()), 0.0, 3)], "series long, ts timestamp, p double, part long")
+    for k in range(4):
+        (closing if k == 3 else dealt).where(F.col("part") == k).drop("part").withColumn("series", F.coalesce("series", F.lit(-1))).write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema("series long, ts timestamp, p double").parquet(f"{folder}/in")
+        told = daily_panel.panel_stream(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/marks")
+        told.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(daily_panel.ROWS).parquet(f"{folder}/out").where((F.col("series") >= 0) & (F.col("d") <= F.lit(last))).select("series", "d", "p", "pf", "observed", "n")
+
+
 @query(f"""with {an.PANEL_SQL}
 select series, d, seg, n, observed and coalesce(lag(observed) over (partition by series order by d), false) as eligible from panel""", day="d")
 def w3_contiguous_segment(spark, sf):
