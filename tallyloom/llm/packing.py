@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.tables import parts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -122,7 +124,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         close = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts_of, batches)):
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 ids += close
