@@ -6,6 +6,8 @@ from html import escape
 
 from pyspark.sql import DataFrame
 
+from tallyloom.functions.numbers import money
+
 
 def markdown_table(frame: DataFrame, digits: int = 2) -> str:
     """A Markdown table of a small frame."""
@@ -25,11 +27,11 @@ def hero(totals: DataFrame) -> str:
 
     ``totals`` has chain, label, total, items_found: one row a chain.
     """
-    rows = totals.collect()
+    rows = totals.withColumn("shown", money("total")).collect()
     even = len({r["items_found"] for r in rows}) <= 1
     rows.sort(key=lambda r: (r["total"], r["chain"]) if even else r["chain"])
     notice = "" if even else f'<p class="notice">{NOT_COMPARABLE}</p>'
-    lines = "".join(f"<li>{escape(r['label'])}: ${r['total']:,.0f} ({r['items_found']})</li>" for r in rows)
+    lines = "".join(f"<li>{escape(r['label'])}: {r['shown']} ({r['items_found']})</li>" for r in rows)
     return notice + (f"<ol>{lines}</ol>" if even else f"<ul>{lines}</ul>")
 
 

@@ -9,12 +9,17 @@ so a run that broke off goes on where it stopped.
 from __future__ import annotations
 
 import hashlib
+import http.client
 import os
+import tarfile
 import time
+import urllib.error
 import urllib.request
+import zipfile
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,9 +102,17 @@ def backfill(spark: SparkSession, index: Mapping[str, Sequence[Mapping]], start:
     return sinks.read_manifest(spark, f"{output}/manifest").where(F.col("d").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+#: What makes a revision unusable: no download, a broken archive, a wrong day or header.  Anything else stops the run.
+UNUSABLE = ("BadZipFile", "ReadError", "ZstdError", "ValueError", "EOFError", "zlib.error")
+
+
 def _checked(load: Callable, *args) -> dict:
-    """Whatever makes a revision unusable (no download, a broken archive, a wrong day) lets the next one be tried."""
+    """A revision that can't be used lets the next one be tried; other failures (a full disk, a lost cluster) aren't its fault and go on."""
     try:
         return load(*args)
-    except Exception as e:
+    except (ValueError, zipfile.BadZipFile, tarfile.TarError, urllib.error.URLError, http.client.HTTPException, ConnectionError, TimeoutError) as e:
+        raise ValueError(f"{type(e).__name__}: {str(e)[:500]}") from e
+    except PythonException as e:  # raised while a task read the archive
+        if not any(name in str(e) for name in UNUSABLE):
+            raise
         raise ValueError(f"{type(e).__name__}: {str(e)[:500]}") from e
