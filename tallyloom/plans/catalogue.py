@@ -16,7 +16,7 @@ from tallyloom.functions.keywords import keyword_item
 from tallyloom.operators import audit, covariates, features, forecast, offers, panel, present, scoring, timeline
 from tallyloom.operators.basket_catalogue import rules
 from tallyloom.plans import analogues as an
-from tallyloom.plans import daily, evaluation
+from tallyloom.plans import daily, evaluation, runs
 from tallyloom.session import shared_folder, ship_code
 from tallyloom.sources import archives, feed
 from tallyloom.streaming import attempts, daily_panel
@@ -664,6 +664,17 @@ def m6_description_quantity(spark, sf):
     return _round(rows, "amount", digits=9)
 
 
+_VOLUMES = """case p_partkey % 5 when 0 then p_name || ' ' || p_size || ' ML x 6 UN' when 1 then 'Aceite ' || p_name || ' 1,5 lts' when 2 then 'HUEVO blanco X ' || p_size || ' C T'
+  when 3 then p_name || ' ' || p_size || ' UNI' else p_name || ' ' || p_size || ' g' end"""
+
+
+@query("""select p_partkey, round(case p_partkey % 5 when 0 then p_size * 0.006::double when 1 then 1.5::double end, 9) as litres,
+  case p_partkey % 5 when 0 then 6 when 2 then p_size when 3 then p_size end::double as pieces from part""")
+def m6_litres_and_pieces(spark, sf):
+    quantity = lambda unit: txt.description_quantity(F.expr(_VOLUMES), F.lit(unit))
+    return _round(an.table(spark, sf, "part").select("p_partkey", quantity("L").alias("litres"), quantity("u").alias("pieces")), "litres", digits=9)
+
+
 @query("select doc_id, md5(strip_accents(lower(text))) as digest from documents")
 def m8_normalize_text(spark, sf):
     return an.table(spark, sf, "documents").select("doc_id", F.md5(txt.normalize_text(F.col("text"))).alias("digest"))
@@ -970,6 +981,51 @@ def x5_printed_sizes(spark, sf):
     return _round(spark.sql("select * from tl_sizes(table(select p_partkey, text from tl_part_texts), '*')"), "amount", digits=9)
 
 
+@query("""with o as (select cast(o_orderdate as date) as d, case o_orderkey % 2 when 0 then 'blue' else 'oficial' end as source, o_totalprice as v from orders),
+days as (select distinct d from o),
+span as (select cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from days),
+r as (select d, max(v) filter (source = 'blue') as blue, max(v) filter (source = 'oficial') as oficial from o where day(d) < 12 group by d),
+f as (select d, last_value(blue ignore nulls) over w as blue, last_value(oficial ignore nulls) over w as oficial from span left join r using (d) window w as (order by d rows between 10 preceding and current row)),
+l as (select *, case when blue > 0 and lag(blue) over (order by d) > 0 then ln(blue) - ln(lag(blue) over (order by d)) end as change from f),
+x as (select *, case when count(change) over w >= 3 then stddev_samp(change) over w end as volatility from l window w as (order by d rows between 6 preceding and current row)),
+m as (select (last_day(month) + 60)::date as known_on, v from (select date_trunc('month', d)::date as month, round(avg(v), 4) as v from o group by 1)),
+a as (select days.d, m.v from days asof left join m on days.d >= m.known_on)
+select d, a.v as ipim_index, blue as fx_blue, oficial as fx_oficial, null::double as fx_mep, round((blue - oficial) / oficial, 6) as fx_gap, round(volatility, 6) as fx_volatility from a join x using (d)""", day="d")
+def s13_s14_covariate_table(spark, sf):
+    orders = an.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), F.when(F.col("o_orderkey") % 2 == 0, "Blue").otherwise("Oficial").alias("source"), F.col("o_totalprice").alias("value_sell"))
+    rates = orders.where(F.dayofmonth("d") < 12).groupBy("d", "source").agg(F.max("value_sell").alias("value_sell"))
+    index = orders.groupBy(F.to_date(F.date_trunc("month", "d")).alias("month")).agg(F.round(F.avg("value_sell"), 4).alias("value"))
+    return _round(runs.covariate_table(orders.select("d"), rates, index), "fx_gap", "fx_volatility")
+
+
+_AUDIT_SQL = """with days as (select distinct cast(o_orderdate as date) as d from orders where o_custkey % 3 = 0),
+entry as (select distinct cast(l_shipdate as date) as d, l_linenumber as id from lineitem where l_suppkey % 5 > 0),
+open as (select distinct d from entry where d not in (select d from days)),
+tried as (select cast(l_shipdate as date) as d, l_linenumber as id, bool_and(l_quantity > 3) as mismatch from lineitem where l_partkey % 7 > 0 group by 1, 2),
+v as (select d, bool_and(tried.id is not null and coalesce(mismatch, false)) as rejected from entry join open using (d) left join tried using (d, id) group by d),
+span as (select cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from days)
+select d, case when rejected then 'rejected' else 'unresolved' end as state from v
+union all select d, 'unavailable' from span where d not in (select d from days) and d not in (select d from entry)"""
+
+
+@query(_AUDIT_SQL, day="d")
+def t2_t1_audited_days(spark, sf):
+    """Days without data: rejected, unresolved or unavailable, as the audit tells them."""
+    lines = an.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d"), F.col("l_linenumber").cast("long").alias("id"), "l_suppkey", "l_partkey", "l_quantity")
+    days = an.table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.to_date("o_orderdate").alias("d"), F.lit(None).cast("string").alias("source")).distinct()
+    link = F.when(F.col("l_suppkey") % 5 > 0, "u")
+    entries = lines.select("d", "id", link.alias("link")).distinct()
+    error = F.when(F.col("l_quantity") > 3, "expected x, found y").otherwise("no download")
+    tried = lines.where("l_partkey % 7 > 0").select("d", F.struct(F.col("id").alias("revision"), F.lit("u").alias("url"), error.alias("error")).alias("r"))
+    manifest = tried.groupBy("d").agg(F.collect_set("r").alias("rejected"))
+    none = [F.lit(None).cast(c).alias(n) for n, c in (("status", "string"), ("import_version", "string"), ("compressed_bytes", "long"), ("observations", "long"), ("conflicts", "long"))]
+    cells = days.limit(0).select(F.col("d").cast("string").alias("date"), *(F.lit(None).cast("double").alias(c) for c in ("price", "price_lista", "normalized_quantity")))
+    found = runs.audit_frames(days, cells, entries, manifest.select("*", *none))
+    states = ("rejected", "unresolved", "unavailable")
+    rows = [found[k].select("d", F.lit(k).alias("state")) for k in states]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 _ATTEMPTS_SQL = """with a as (select cast(o_orderdate as date) as d, case when o_orderkey % 9 > 0 then o_custkey % 4 end as revision,
   case o_orderstatus when 'F' then 'imported' when 'O' then 'rejected' else 'listed' end as outcome, o_orderkey % 100 as f from orders),
 l as (select d, revision, outcome = 'imported' as taken, f from a where outcome <> 'listed' and revision is not null
