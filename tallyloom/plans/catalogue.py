@@ -584,11 +584,48 @@ def w20_fill_defaults(spark, sf):
     return an.panel(spark, sf).select("series", "d", panel.fill_defaults("p", 100.0).alias("causal"), panel.fill_defaults("p", 100.0, True).alias("looking_ahead"))
 
 
-@query(day="d")
+_FEATURES = ("r1", "r3", "r7", "r28", "std7", "low28", "high28", "move_age")
+_X1_COLUMNS = ", ".join([*_FEATURES, *(f"(isodow(d) = {i + 1})::int" for i in range(7)), *(f"(series % 5 = {i})::int" for i in range(5))])
+
+
+@query(f"""with recursive {an.PANEL_SQL},
+r0 as (select *, pf / lag(pf) over s - 1 as r from panel window s as (partition by series, seg order by d)),
+f as (
+  select *, least(greatest(r, -0.5), 0.5) as r1, least(greatest(avg(r) over (s rows between 2 preceding and current row), -0.5), 0.5) as r3,
+    least(greatest(avg(r) over (s rows between 6 preceding and current row), -0.5), 0.5) as r7, least(greatest(avg(r) over (s rows between 27 preceding and current row), -0.5), 0.5) as r28,
+    least(stddev_pop(r) over (s rows between 6 preceding and current row), 0.5) as std7,
+    least(greatest(min(pf) over (s rows between 27 preceding and current row) / pf - 1, -0.5), 0.5) as low28,
+    least(greatest(max(pf) over (s rows between 27 preceding and current row) / pf - 1, -0.5), 0.5) as high28,
+    least(coalesce(n - last_value(case when abs(r) >= 0.008 then n end ignore nulls) over (s rows unbounded preceding), n - 1), 28) / 28.0 as move_age
+  from r0 window s as (partition by series, seg order by d)),
+e as (
+  select series, d, observed and coalesce(lag(observed) over w, false) as eligible, p as actual, lag(pf) over w as last, lag(n) over w as history, {", ".join(f"lag({c}) over w as {c}" for c in _FEATURES)}
+  from f window w as (partition by series order by d)),
+x as (
+  select series, d, last, actual, [1.0, {_X1_COLUMNS}]::double[] as v, least(greatest(actual / last - 1, -{features.CLIP}), {features.CLIP})::double as y
+  from e where eligible and history >= 4 and r28 is not null),
+-- Sums and products by day, then over all days before each of the last eight.
+products as (select d, i, j, sum(z[i] * z[j]) as m from (select d, list_append(v, y) as z from x), range(1, 23) a(i), range(1, 23) b(j) group by d, i, j),
+moments as (select d, i, j, sum(m) over (partition by i, j order by d rows between unbounded preceding and 1 preceding) as m from products qualify dense_rank() over (order by d desc) <= 8),
+n as (select d, m as n from moments where i = 1 and j = 1), means as (select d, j, m / n as mean from moments join n using (d) where i = 1),
+spread as (select o.d, o.i, o.j, o.m / n.n - a.mean * b.mean as c from moments o join n using (d) join means a on a.d = o.d and a.j = o.i join means b on b.d = o.d and b.j = o.j where o.i > 1 and o.j > 1),
+scale as (select d, i, case when sqrt(greatest(c, 0)) > 1e-12 then sqrt(greatest(c, 0)) else 1.0 end as s from spread where i = j and i < 22),
+-- The standardised normal equations with the penalty, a row of each with its right side, solved by elimination.
+entry as (select p.d, p.i, p.j, p.c / a.s / coalesce(b.s, 1.0) + case when p.i = p.j then {features.ALPHA} / n.n else 0 end as c
+  from spread p join n using (d) join scale a on a.d = p.d and a.i = p.i left join scale b on b.d = p.d and b.i = p.j where p.i < 22),
+start as (select d, list(line order by i) as m from (select d, i, list(c order by j) as line from entry group by d, i) group by d),
+solve(d, k, m) as (
+  select d, 1, m from start
+  union all
+  select d, k + 1, list_transform(m, lambda line, i: case when i = k then list_transform(line, lambda c: c / m[k][k]) else list_transform(line, lambda c, j: c - line[k] * m[k][j] / m[k][k]) end) from solve where k <= 20),
+weights as (select s.d, list(m[i - 1][21] / scale.s order by i) as w from solve s join scale on scale.d = s.d where s.k = 21 group by s.d),
+bias as (select d, any_value(w) as w, max(mean) filter (j = 22) - sum(case when j between 2 and 21 then w[j - 1] * mean else 0 end) as b from weights join means using (d) group by d),
+r as (select x.*, b + list_sum(list_transform(w, lambda c, i: c * v[i + 1])) as r, n.n from x join bias using (d) join n using (d))
+select series, d, round(last, 6) as last, round(actual, 6) as actual, round(last * (1 + least(greatest(r, -{features.CLIP}), {features.CLIP})), 6) as ridge, n::bigint as training_examples from r""", day="d")
 def x1_ridge_returns(spark, sf):
     rows = features.examples(an.panel(spark, sf)).where("r28 is not null")
     rows, chains = features.one_hot(rows.withColumn("chain", F.col("series") % 5), "chain", [str(i) for i in range(5)])
-    return features.walk_forward_ridge(rows, 8, [*features.NUMERIC, *features.DAYS, *chains])
+    return _round(features.walk_forward_ridge(rows, 8, [*features.NUMERIC, *features.DAYS, *chains]), "last", "actual", "ridge")
 
 
 _EXTERNAL_SQL = f"""{an.PANEL_SQL},
