@@ -585,11 +585,17 @@ def w20_fill_defaults(spark, sf):
 
 
 _FEATURES = ("r1", "r3", "r7", "r28", "std7", "low28", "high28", "move_age")
-_X1_COLUMNS = ", ".join([*_FEATURES, *(f"(isodow(d) = {i + 1})::int" for i in range(7)), *(f"(series % 5 = {i})::int" for i in range(5))])
+_X1_COLUMNS = ", ".join(["{}"] * len(_FEATURES) + [*(f"(isodow(d) = {i + 1})::int" for i in range(7)), *(f"(series % 5 = {i})::int" for i in range(5))])
 
 
-@query(f"""with recursive {an.PANEL_SQL},
-r0 as (select *, pf / lag(pf) over s - 1 as r from panel window s as (partition by series, seg order by d)),
+
+def _ridge_sql(numeric, only: str, days: str) -> str:
+    """Tables up to ``r``: targets of the test days with the return that a ridge on strictly earlier days predicts.
+
+    Test days are told by ``days``, examples by ``only``; ``numeric`` says how
+    the features enter.
+    """
+    return f"""r0 as (select *, pf / lag(pf) over s - 1 as r from panel window s as (partition by series, seg order by d)),
 f as (
   select *, least(greatest(r, -0.5), 0.5) as r1, least(greatest(avg(r) over (s rows between 2 preceding and current row), -0.5), 0.5) as r3,
     least(greatest(avg(r) over (s rows between 6 preceding and current row), -0.5), 0.5) as r7, least(greatest(avg(r) over (s rows between 27 preceding and current row), -0.5), 0.5) as r28,
@@ -602,11 +608,11 @@ e as (
   select series, d, observed and coalesce(lag(observed) over w, false) as eligible, p as actual, lag(pf) over w as last, lag(n) over w as history, {", ".join(f"lag({c}) over w as {c}" for c in _FEATURES)}
   from f window w as (partition by series order by d)),
 x as (
-  select series, d, last, actual, [1.0, {_X1_COLUMNS}]::double[] as v, least(greatest(actual / last - 1, -{features.CLIP}), {features.CLIP})::double as y
-  from e where eligible and history >= 4 and r28 is not null),
+  select series, d, last, actual, [1.0, {_X1_COLUMNS.format(*numeric)}]::double[] as v, least(greatest(actual / last - 1, -{features.CLIP}), {features.CLIP})::double as y
+  from e where eligible and history >= 4 and {only}),
 -- Sums and products by day, then over all days before each of the last eight.
 products as (select d, i, j, sum(z[i] * z[j]) as m from (select d, list_append(v, y) as z from x), range(1, 23) a(i), range(1, 23) b(j) group by d, i, j),
-moments as (select d, i, j, sum(m) over (partition by i, j order by d rows between unbounded preceding and 1 preceding) as m from products qualify dense_rank() over (order by d desc) <= 8),
+moments as (select d, i, j, sum(m) over (partition by i, j order by d rows between unbounded preceding and 1 preceding) as m from products qualify {days}),
 n as (select d, m as n from moments where i = 1 and j = 1), means as (select d, j, m / n as mean from moments join n using (d) where i = 1),
 spread as (select o.d, o.i, o.j, o.m / n.n - a.mean * b.mean as c from moments o join n using (d) join means a on a.d = o.d and a.j = o.i join means b on b.d = o.d and b.j = o.j where o.i > 1 and o.j > 1),
 scale as (select d, i, case when sqrt(greatest(c, 0)) > 1e-12 then sqrt(greatest(c, 0)) else 1.0 end as s from spread where i = j and i < 22),
@@ -620,8 +626,14 @@ solve(d, k, m) as (
   select d, k + 1, list_transform(m, lambda line, i: case when i = k then list_transform(line, lambda c: c / m[k][k]) else list_transform(line, lambda c, j: c - line[k] * m[k][j] / m[k][k]) end) from solve where k <= 20),
 weights as (select s.d, list(m[i - 1][21] / scale.s order by i) as w from solve s join scale on scale.d = s.d where s.k = 21 group by s.d),
 bias as (select d, any_value(w) as w, max(mean) filter (j = 22) - sum(case when j between 2 and 21 then w[j - 1] * mean else 0 end) as b from weights join means using (d) group by d),
-r as (select x.*, b + list_sum(list_transform(w, lambda c, i: c * v[i + 1])) as r, n.n from x join bias using (d) join n using (d))
-select series, d, round(last, 6) as last, round(actual, 6) as actual, round(last * (1 + least(greatest(r, -{features.CLIP}), {features.CLIP})), 6) as ridge, n::bigint as training_examples from r""", day="d")
+r as (select x.*, b + list_sum(list_transform(w, lambda c, i: c * v[i + 1])) as r, n.n from x join bias using (d) join n using (d))"""
+
+
+_RIDGE = f"last * (1 + least(greatest(r, -{features.CLIP}), {features.CLIP}))"
+
+
+@query(f"""with recursive {an.PANEL_SQL}, {_ridge_sql(_FEATURES, "r28 is not null", "dense_rank() over (order by d desc) <= 8")}
+select series, d, round(last, 6) as last, round(actual, 6) as actual, round({_RIDGE}, 6) as ridge, n::bigint as training_examples from r""", day="d")
 def x1_ridge_returns(spark, sf):
     rows = features.examples(an.panel(spark, sf)).where("r28 is not null")
     rows, chains = features.one_hot(rows.withColumn("chain", F.col("series") % 5), "chain", [str(i) for i in range(5)])
@@ -926,16 +938,18 @@ def f9_f11_window_and_cohort(spark, sf):
     return evaluation.of_cohort(chosen, chosen.where("series % 7 = 1")).select("series", "d", "last", "actual")
 
 
-@query(f"""with {an.PANEL_SQL}, w as (select * from scored where d >= (select max(d) from panel) - 7),
-l as (select series, d, last, actual, case when identity <> identity_before then true else false end as description_changed, persistence, drift5, weekly, history from w)
-select series, d, round(last, 6) as last, round(actual, 6) as actual, description_changed, round(persistence, 6) as persistence, round(drift5, 6) as drift5, round(weekly, 6) as weekly,
-  history < 7 as weekly_fallback, least(history, 60) as context_days from l""", day="d")
+@query(f"""with recursive {an.PANEL_SQL}, w as (select * from scored where d >= (select max(d) from panel) - 7),
+{_ridge_sql([f"coalesce({c}, 0)" for c in _FEATURES], "true", "d >= (select max(d) from panel) - 7")},
+l as (select w.series, w.d, w.last, w.actual, case when identity <> identity_before then true else false end as description_changed, persistence, drift5, weekly, w.history, {_RIDGE.replace("last", "r.last", 1)} as ridge, r.n
+  from w left join r on r.series = w.series and r.d = w.d)
+select series, d, round(last, 6) as last, round(actual, 6) as actual, description_changed, round(persistence, 6) as persistence, round(drift5, 6) as drift5, round(weekly, 6) as weekly, round(ridge, 6) as ridge,
+  n::bigint as training_examples, history < 7 as weekly_fallback, least(history, 60) as context_days from l""", day="d")
 def k9_stage_predictions(spark, sf):
     p = an.panel(spark, sf).withColumn("chain", F.col("series") % 5)
     end = p.agg(F.max("d").alias("e")).first()["e"]
     rows = evaluation.predictions(p, (str(end - datetime.timedelta(days=7)), str(end)), {"chain": [str(i) for i in range(5)]})
-    rows = rows.where("ridge > 0").select("series", "d", "last", "actual", "description_changed", "persistence", "drift5", "weekly", "weekly_fallback", "context_days")
-    return _round(rows, "last", "actual", "persistence", "drift5", "weekly")
+    rows = rows.select("series", "d", "last", "actual", "description_changed", "persistence", "drift5", "weekly", "ridge", "training_examples", "weekly_fallback", "context_days")
+    return _round(rows, "last", "actual", "persistence", "drift5", "weekly", "ridge")
 
 
 _BASKET_TEXT = """case p_partkey % 9 when 0 then 'LECHE Entera ' || p_size || ' L' when 1 then 'Azúcar ' || p_name when 2 then 'dulce de leche entera' when 3 then 'Pan Lactal ' || p_size
