@@ -57,7 +57,8 @@ class WordEncoder:
     MARKS = b".,;:!?)]}\"-*|%$#@_&"
     _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int | None = None):
+        self._most = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +103,7 @@ class WordEncoder:
             words = [(t or "").encode().split() for t in texts[begin:end]]
             known = self._known
             new = list(set().union(*words).difference(known))
-            if len(known) + len(new) > CACHED_WORDS:
+            if len(known) + len(new) > (self._most or CACHED_WORDS):
                 known.clear()
                 new = list(set().union(*words))
             self._learn(new)
@@ -112,16 +113,16 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, cached_words: int | None) -> WordEncoder:
     """One encoder a worker, whose memory of words outlives a task."""
-    return WordEncoder(path)
+    return WordEncoder(path, cached_words)
 
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool, cached_words: int | None):
     """Rows of pieces, each with its task and its rank there among equal lengths."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(path), TaskContext.get().partitionId()
+        encoder, task = _encoder(path, cached_words), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         close = np.array([end_id], "<u4").tobytes()
         for batch in chain.from_iterable(map(parts_of, batches)):
@@ -214,12 +215,15 @@ def _place(shared, names: list[str]):
     return place
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and the ids if asked for)."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cached_words: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and the ids if asked for).
+
+    ``cached_words`` (CACHED_WORDS if not given) are remembered by a worker, some 200 bytes each.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = PIECES + ", ids binary" * with_ids
     with Scratch(spark, "pack") as scratch:
-        cut = docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), PIECES + ", task long, rank long" + ", ids binary" * with_ids)
+        cut = docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end_id, with_ids, cached_words), PIECES + ", task long, rank long" + ", ids binary" * with_ids)
         pieces = scratch.keep(cut, "pieces")
         counts = scratch.table(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
         histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
