@@ -23,6 +23,10 @@ from tallyloom.llm.tables import read
 from tallyloom.session import ship_code
 
 
+#: Words whose ids a worker remembers while packing: it outlives the stage, and other stages share the workers.
+CACHED_WORDS = 150_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language.
 
@@ -57,7 +61,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places; a null or empty text is a piece that holds only the end id; repeated rows are pieces of their own."""
     import public_tokenizers
 
-    return pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, cached_words=CACHED_WORDS)
 
 
 STAGES = [
