@@ -125,7 +125,8 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool, cached_words: in
         encoder, task = _encoder(path, cached_words), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         close = np.array([end_id], "<u4").tobytes()
-        for batch in chain.from_iterable(map(parts_of, batches)):
+        # Where memory is shared with other stages, rows pass in smaller parts too.
+        for batch in batches if cached_words is None else chain.from_iterable(map(parts_of, batches)):
             cols: list[list] = [[] for _ in range(8)]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 ids += close
