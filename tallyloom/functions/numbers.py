@@ -74,6 +74,16 @@ def round_exact(value: Column, digits: int) -> Column:
     return F.call_function("format_number", value, F.lit(pattern)).cast("double")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounding as SQL engines on doubles do it: scaled, to the nearest whole number (halves away from 0), and scaled back.
+
+    ``F.round`` rounds the shortest decimal form of a double, so that 951.3 / 18,
+    just below 52.85, goes down there and up here.
+    """
+    scaled = value * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / F.lit(10.0**digits)).otherwise(value)
+
+
 def local_number(value: Column, digits: int = 0) -> Column:
     """Points between thousands and a decimal comma; a dash where there is no number."""
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))

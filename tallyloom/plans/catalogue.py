@@ -42,7 +42,7 @@ def query(sql: str | None = None, day: str | None = None):
 
 
 def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: num.rounded(F.col(c), digits) for c in columns})
 
 
 def _fitting(spark, sf):
@@ -196,7 +196,7 @@ days as (select distinct cast(l_shipdate as date) as d from lineitem)
 select days.d, known.v as index_value from days asof left join known on days.d >= known.known_on""", day="d")
 def j8_asof_published_index(spark, sf):
     month = F.to_date(F.date_trunc("month", "o_orderdate"))
-    index = an.table(spark, sf, "orders").groupBy(month.alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    index = an.table(spark, sf, "orders").groupBy(month.alias("month")).agg(num.rounded(F.avg("o_totalprice"), 4).alias("value"))
     days = an.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
     return covariates.as_of(days, covariates.published(index))
 
@@ -877,7 +877,7 @@ def a19_import_counters(spark, sf):
 @query("""select l_orderkey, l_linenumber from lineitem where l_quantity > 0 and not (l_extendedprice / l_quantity > 0 and abs(round(l_extendedprice / l_quantity, 1) - l_extendedprice / l_quantity) <= 0.011)""")
 def a19_inconsistent_cells(spark, sf):
     unit = F.try_divide("l_extendedprice", "l_quantity")
-    cells = an.table(spark, sf, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price_lista"), F.col("l_quantity").alias("normalized_quantity"), F.round(unit, 1).alias("price"))
+    cells = an.table(spark, sf, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price_lista"), F.col("l_quantity").alias("normalized_quantity"), num.rounded(unit, 1).alias("price"))
     return audit.inconsistent_cells(cells).select("l_orderkey", "l_linenumber")
 
 
@@ -973,7 +973,7 @@ def m7_verified_contents(spark, sf):
         "p_partkey", F.col("p_retailprice").alias("price_lista"), F.col("p_size").cast("double").alias("cantidad_presentacion"), F.expr(_UNITS).alias("unidad_presentacion"),
         F.expr(_DESCRIPTIONS).alias("descripcion"), F.lit("kg").alias("unit"), (F.col("p_partkey") % 11 == 0).alias("identity_conflict"),
     )
-    made = daily.verified_contents(rows).withColumn("price", F.round(F.when(F.col("price").isNotNull(), num.positive_number(F.col("price_lista")) / F.col("normalized_quantity")), 1))
+    made = daily.verified_contents(rows).withColumn("price", num.rounded(F.when(F.col("price").isNotNull(), num.positive_number(F.col("price_lista")) / F.col("normalized_quantity")), 1))
     return _round(made.select("p_partkey", "normalized_quantity", "unit_name", "price_basis", "price"), "normalized_quantity", digits=9)
 
 
@@ -1045,7 +1045,7 @@ select d, a.v as ipim_index, blue as fx_blue, oficial as fx_oficial, null::doubl
 def s13_s14_covariate_table(spark, sf):
     orders = an.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), F.when(F.col("o_orderkey") % 2 == 0, "Blue").otherwise("Oficial").alias("source"), F.col("o_totalprice").alias("value_sell"))
     rates = orders.where(F.dayofmonth("d") < 12).groupBy("d", "source").agg(F.max("value_sell").alias("value_sell"))
-    index = orders.groupBy(F.to_date(F.date_trunc("month", "d")).alias("month")).agg(F.round(F.avg("value_sell"), 4).alias("value"))
+    index = orders.groupBy(F.to_date(F.date_trunc("month", "d")).alias("month")).agg(num.rounded(F.avg("value_sell"), 4).alias("value"))
     return _round(runs.covariate_table(orders.select("d"), rates, index), "fx_gap", "fx_volatility")
 
 
