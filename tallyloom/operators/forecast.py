@@ -39,7 +39,7 @@ def next_day(panel: DataFrame) -> DataFrame:
     end = panel.agg(F.max("d").alias("end"))
     made = made.crossJoin(F.broadcast(end)).where((F.col("d") == F.col("end")) & (F.col("n") >= MIN_HISTORY) & (F.col("pf") != 0))
     pred = F.col("pf") + F.col("drift")
-    delta = (pred - F.col("pf")) / F.abs("pf") * 100
+    delta = F.col("drift") / F.abs("pf") * 100  # not by way of pred, whose last bits are lost again
     return made.select("series", F.col("d").alias("as_of"), direction(delta, MOVE_PCT, NAMES).alias("dir"), delta.alias("delta_pct"), pred.alias("pred"), F.col("pf").alias("last"), confidence(F.col("drift"), F.col("vol"), F.col("pf")).alias("conf"))
 
 
