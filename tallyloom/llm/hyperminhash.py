@@ -19,9 +19,9 @@ Links are found in two rounds, so that large groups never become all pairs:
    as the others fill blocks.
 
 A band's group of more than HOT members is dealt once more by FINER bands, each of
-ROWS further registers, and so are groups that are hot still, up to LEVELS times;
-only the first round looks at the hot group itself.  Two texts of similarity 0.8
-that meet in hot groups alone share no finer band with probability 1e-5 a level.
+ROWS further registers, and so are groups that are hot still, up to LEVELS times.
+That joins most of a hot group's components cheaply; then the second round goes
+over the hot groups themselves, so that no pair is left to the finer bands alone.
 
 A pair is ruled out by its sizes or by the collision-corrected estimate of its
 registers, five standard errors below the threshold; every other pair is decided
@@ -56,6 +56,8 @@ BANDS, ROWS = 42, 6
 HOT, FINER, LEVELS = 4096, 8, 3
 #: Rows of one side of a block when registers are compared, and bytes of sets when full sets are.
 BLOCK, SET_BYTES = 256, 1_000_000
+#: The same rows in hot groups, where smaller blocks would be copied too often.
+HOT_BLOCK = 2048
 #: Bytes of rows that a task holds at a time, besides those of one pair of blocks.
 HELD_BYTES = 16_000_000
 SEED = 77
@@ -288,7 +290,8 @@ def _across(key: str, percent: int, exact: bool):
                 left, right = [], []
                 for k in range(j - i):  # one row against the rest of its group
                     others = np.flatnonzero((root[i + k + 1 : j] != root[i + k]) & ((block[i + k + 1 : j] != block[i + k]) | one)) + k + 1
-                    if len(others):
+                    if len(others):  # sizes first: they are cheaper than registers
+                        others = others[100 * np.minimum(size[i + k], size[i + others]) >= percent * np.maximum(size[i + k], size[i + others])]
                         others = others[may_reach(regs[i + k], regs[i + others], size[i + k], size[i + others], percent)]
                     if exact and len(others):
                         shared = _shared(sets, k, others)
@@ -330,13 +333,13 @@ class _Search:
         self.reps = scratch.table(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     def candidates(self) -> DataFrame:
-        """Members of bands' groups of two or more: band, node, the group's smallest node, and whether pairs are sought inside it."""
+        """Members of bands' groups of two or more: band, node, the group's smallest node, and whether pairs are sought inside it at once, or later (``hot``)."""
         spread, found = self.reps.select("node", F.explode("bands").alias("band")), None
         for level in range(LEVELS + 1):
             groups = spread.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
             groups = self.scratch.table(groups, "groups")
             inside = (F.col("n") <= HOT) | F.lit(level == LEVELS)
-            members = self.scratch.table(spread.join(groups, "band").select("band", "node", "leader", inside.alias("inside")), "members")
+            members = self.scratch.table(spread.join(groups, "band").select("band", "node", "leader", inside.alias("inside"), (~inside & F.lit(level == 0)).alias("hot")), "members")
             found = members if found is None else found.unionByName(members)
             if level == LEVELS or groups.where(F.col("n") > HOT).isEmpty():
                 return found
@@ -389,13 +392,13 @@ class _Search:
         dealt = dealt.repartition(self.n, key, "low", "high").sortWithinPartitions(key, "low", "high", "node")
         return self.scratch.table(dealt.mapInArrow(_across(key, self.percent, exact), "a long, b long"), "across")
 
-    def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links between components, confirmed on full sets."""
+    def across(self, members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+        """Links between components of the members' groups, confirmed on full sets."""
         about = self.reps.select("node", "n_shingles", "regs")
         roots = roots.select(F.col("id").alias("node"), "root")
-        placed = members.where("inside").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = self.scratch.table(placed.select("band", "node", "root", F.lit(1).alias("weight")), "placed")
-        likely = self._compared(self._blocks(placed, "band", BLOCK).join(about, "node"), "band", False)
+        likely = self._compared(self._blocks(placed, "band", block).join(about, "node"), "band", False)
         family = components(self.scratch, likely)
         family = family.select(F.col("id").alias("node"), F.col("root").alias("family")).union(family.select("root", "root").distinct())
         family = self.scratch.table(family, "families")
@@ -415,9 +418,13 @@ def _linked(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> tupl
     first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = search.links(search.likely(first))
     roots = components(scratch, links)
-    more = search.across(members, roots)
-    if not more.isEmpty():
-        roots = components(scratch, roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
+    for part, block in (("inside", BLOCK), ("hot", HOT_BLOCK)):  # finer groups lie within hot ones, which then have fewer components
+        groups = members.where(part)
+        if part == "hot" and groups.isEmpty():
+            break
+        more = search.across(groups, roots, block)
+        if not more.isEmpty():
+            roots = components(scratch, roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     nodes = search.reps.select("key", "node", "doc_id").join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
     return search, scratch.table(nodes.withColumn("root", F.coalesce("root", "node")), "nodes")
 
