@@ -56,21 +56,25 @@ class Day(StatefulProcessor):
         self._told = handle.getValueState("told", "version long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        changed = not self._told.exists()
+        best: dict[int, tuple[int, bool]] = {}  # messages to the state are for what the rows come to, not for rows
         for batch in rows:
             batch = batch[batch.outcome.isin([IMPORTED, REJECTED]) & batch.revision.notna()]
-            for revision, outcome, finished in zip(batch.revision, batch.outcome, batch.finished_at, strict=True):
-                found = (-1 if pd.isna(finished) else int(finished), outcome == IMPORTED)
-                at = (int(revision),)
-                held = self._last.getValue(at) if self._last.containsKey(at) else None
-                if held is None or found > (held[1], held[0]):
-                    self._last.updateValue(at, (found[1], found[0]))
-                    changed = True
+            ranks = 2 * batch.finished_at.fillna(-1).astype("int64") + (batch.outcome == IMPORTED)
+            for revision, rank in ranks.groupby(batch.revision.astype("int64")).max().items():
+                found = (int(rank) // 2, bool(rank % 2))
+                best[int(revision)] = max(found, best.get(int(revision), found))
+        version = self._told.get()
+        changed = version is None
+        last = {k[0]: (v[1], v[0]) for k, v in self._last.iterator()}
+        for revision, found in best.items():
+            if revision not in last or found > last[revision]:
+                last[revision] = found
+                self._last.updateValue((revision,), (found[1], found[0]))
+                changed = True
         if not changed:
             return
-        version = (self._told.get()[0] if self._told.exists() else 0) + 1
+        version = (version[0] if version else 0) + 1
         self._told.update((version,))
-        last = {k[0]: (v[1], v[0]) for k, v in self._last.iterator()}
         taken = sorted((finished, r) for r, (finished, ok) in last.items() if ok)
         status = "revised" if len(taken) > 1 else "imported" if taken else "failed" if last else "to do"
         rejected = sorted(r for r, (_, ok) in last.items() if not ok)
