@@ -75,13 +75,21 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHOP_HEAD = "id_comercio|id_bandera|id_sucursal|sucursales_localidad\n"
 PRODUCT_HEAD = "id_comercio|id_bandera|id_sucursal|id_producto|productos_precio_lista\n"
 FRAME = 1 << 16
+#: Lines of an archive, about: one task sorts and writes it.
+ARCHIVE_LINES = 500_000
 
 
 def feed_archives(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
-    """An archive a chain, written by tasks: a ZIP of its banners' ZIPs (``zip``), or a TAR of their files in Zstandard frames (``tar.zst``)."""
+    """Archives of a chain, written by tasks: ZIPs of its banners' ZIPs (``zip``), or TARs of their files in Zstandard frames (``tar.zst``).
+
+    A chain has as many as its lines fill, so a task's share doesn't grow with the table.
+    """
     ship_code(spark)
     folder = shared_folder(spark, "archives")
-    lines = table(spark, sf_dir, "lineitem").select(
+    lineitem = table(spark, sf_dir, "lineitem")
+    parts = 1 + lineitem.count() // (4 * ARCHIVE_LINES)
+    lines = lineitem.select(
+        F.pmod(F.hash("l_orderkey", "l_linenumber"), F.lit(parts)).cast("string").alias("part"),
         (F.col("l_suppkey") % 4).cast("string").alias("chain"), (F.col("l_linenumber") % 3).cast("string").alias("banner"), (F.col("l_orderkey") % 50).cast("string").alias("branch"),
         F.concat_ws("|", F.col("l_suppkey") % 4, F.col("l_linenumber") % 3, F.col("l_orderkey") % 50, F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("l_quantity").cast("int")).alias("line"),
     )
@@ -89,17 +97,17 @@ def feed_archives(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(target, exist_ok=True)
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("chain", "banner", "branch", "line")), strict=True))
-        for chain, of_chain in groupby(rows, lambda r: r[0]):
-            final = f"{target}/{chain}.{kind}"
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("chain", "banner", "branch", "line", "part")), strict=True))
+        for (chain, part), of_chain in groupby(rows, lambda r: (r[0], r[4])):
+            final = f"{target}/{chain}-{part}.{kind}"
             partial = f"{final}.{os.getpid()}.partial"
             with open(partial, "wb") as file:
                 (_write_zip if kind == "zip" else _write_frames)(file, of_chain)
             os.replace(partial, final)
             yield pa.RecordBatch.from_pydict({"path": [final]})
 
-    spread = lines.repartition(4, "chain").sortWithinPartitions("chain", "banner", "branch")
-    return sorted(r["path"] for r in spread.mapInArrow(write, "path string").collect())  # one a chain
+    spread = lines.repartition(4 * parts, "chain", "part").sortWithinPartitions("chain", "part", "banner", "branch")
+    return sorted(r["path"] for r in spread.mapInArrow(write, "path string").collect())  # one an archive
 
 
 def _shop_files(of_banner: Iterator[tuple]) -> Iterator[tuple[str, IO[bytes], int]]:
@@ -107,7 +115,7 @@ def _shop_files(of_banner: Iterator[tuple]) -> Iterator[tuple[str, IO[bytes], in
     shops: dict[str, None] = {}
     with tempfile.TemporaryFile() as products:
         products.write(PRODUCT_HEAD.encode())
-        for chain, banner, branch, line in of_banner:
+        for chain, banner, branch, line, _ in of_banner:
             shops[f"{chain}|{banner}|{branch}|{'Rosario' if int(branch) % 7 == 0 else 'Lejos'}\n"] = None
             products.write(f"{line}\n".encode())
         text = (SHOP_HEAD + "".join(shops)).encode()
