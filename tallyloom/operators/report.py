@@ -5,6 +5,7 @@ from __future__ import annotations
 from html import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import money
 
@@ -27,7 +28,7 @@ def hero(totals: DataFrame) -> str:
 
     ``totals`` has chain, label, total, items_found: one row a chain.
     """
-    rows = totals.withColumn("shown", money("total")).collect()
+    rows = totals.withColumn("shown", money(F.col("total"))).collect()
     even = len({r["items_found"] for r in rows}) <= 1
     rows.sort(key=lambda r: (r["total"], r["chain"]) if even else r["chain"])
     notice = "" if even else f'<p class="notice">{NOT_COMPARABLE}</p>'
