@@ -15,6 +15,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import bpe_transducer, chat_format, embedding_lsh, exact_dedup, gru, hyperminhash, language_hdc, language_model, packing, quality_gam, warc
@@ -460,6 +462,52 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(spark, df.limit(0)).count() == 0
 
 
+def test_chat_digest_reads_the_written_examples(spark, monkeypatch):
+    expand, wrong = chat_format.expand, lambda text: F.regexp_replace(text, "kind", "mean")
+    df = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "assistant", "yes"), (1, 2, "assistant", "no"), (1, 3, "user", "bye"), (2, 0, "user", "kind")], "conv_id long, turn long, role string, text string")
+    assert all(r["contexts_match"] for r in chat_format.digest(spark, df).collect())
+    monkeypatch.setattr(chat_format, "expand", lambda stream, **kw: (e := expand(stream, **kw)).withColumn("text", F.when(e.example == 1, wrong(e.text)).otherwise(e.text)))
+    assert {r["conv_id"]: r["contexts_match"] for r in chat_format.digest(spark, df).collect()} == {1: False, 2: True}
+
+
+@pytest.mark.parametrize("piece, held, part", [(40, 150, 300), (1, 60, 60), (100, 1 << 20, 200), (1 << 20, 90, 1 << 20)])
+def test_chat_examples_in_parts_and_pieces(spark, monkeypatch, piece, held, part):
+    for name, size in (("PIECE_CHARS", piece), ("HELD_CHARS", held), ("PART_CHARS", part)):
+        monkeypatch.setattr(chat_format, name, size)
+    rng = random.Random(piece)
+    turns = {c: [(rng.choice(["user", "assistant"]), "é#" * rng.randint(0, 12)) for _ in range(rng.randint(1, 25))] for c in range(12)}
+    turns |= {None: [("assistant", "a")] * 20, 12: [("user", "u" * 30)] * 20, 13: [("assistant", "x" * 200), ("user", "y" * 200), ("assistant", "z")], 14: [("assistant", "x")] + [("user", "y" * 30)] * 20}
+    df = spark.createDataFrame([(c, i, *t) for c, own in turns.items() for i, t in enumerate(own)], "conv_id long, turn long, role string, text string")
+    cloudpickle.register_pickle_by_value(chat_format)  # else workers import it with its own limits
+    try:
+        rows = chat_format.expand(chat_format.format_conversations(df), rest=True).collect()
+        got = {r["conv_id"]: r for r in chat_format.digest(spark, df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(chat_format)
+    texts = {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        before = texts.setdefault((r["conv_id"], r["example"]), [])
+        assert r["piece"] == len(before) and len(r["text"]) < piece + 250
+        before.append(r)
+    want = {}
+    for c, own in turns.items():
+        stream = ["".join(chat_format.format_turn(*t)[0] for t in own[:i]) for i in range(len(own) + 1)]
+        at = [i for i, t in enumerate(own) if t[0] == "assistant"]
+        want |= {(c, k): stream[i + 1] for k, i in enumerate(at)}
+        done = at[-1] + 1 if at else 0
+        if done < len(own):
+            want[c, None] = stream[-1][len(stream[done]) :]
+        for k, i in enumerate(at):
+            *_, last = texts[c, k]
+            assert chat_format.unescape(want[c, k][last["loss_start"] : last["loss_end"]]) == own[i][1]
+        said, loss = "".join(f"{r}\n{t}\n" for r, t in own), "".join(own[i][1] for i in at)
+        r = got[c]
+        assert r["contexts_match"] and (r["n_turns"], r["loss_chars"], r["formatted_chars"], r["n_examples"]) == (len(own), len(loss), len(stream[-1]), len(at))
+        assert r["context_chars"] == sum(len(stream[i]) for i in at)
+        assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert {k: "".join(r["text"] for r in v) for k, v in texts.items()} == want
+
+
 @pytest.mark.parametrize("text", ["", "###", "####", "######", "\\", "\\\\###", "</turn>", "\\</turn>\\", "\n</turn>\n", "#\\##"])
 def test_chat_escapes_are_reversible(text):
     formatted, begin, end = chat_format.format_turn("user", text)
