@@ -71,7 +71,12 @@ def class_of(symbols: np.ndarray) -> np.ndarray:
 
 def _is_safe(p: dict[str, np.ndarray], kind: str) -> bool:
     """Whether no logit can leave the safe range; states lie between -1 and 1."""
-    return float((np.abs(p[f"{kind}_out"]).sum(axis=1) + np.abs(p[f"{kind}_bias"][:, 0])).max()) < SAFE
+    return _margin(p, kind) > 0
+
+
+def _margin(p: dict[str, np.ndarray], kind: str) -> float:
+    """How far the largest possible logit is below SAFE."""
+    return SAFE - float((np.abs(p[f"{kind}_out"]).sum(axis=1) + np.abs(p[f"{kind}_bias"][:, 0])).max())
 
 
 def _exp(logits: np.ndarray, safe: bool) -> np.ndarray:
@@ -92,21 +97,25 @@ def _words_by_class(symbols: np.ndarray, classes: np.ndarray, use: np.ndarray) -
 
 
 class _Steps:
-    """The network over a block of steps, keeping what back-propagation needs."""
+    """The network over a block of steps, keeping the states and, where it trains, what back-propagation needs."""
 
-    def __init__(self, p: dict[str, np.ndarray], symbols: np.ndarray):
+    def __init__(self, p: dict[str, np.ndarray], symbols: np.ndarray, trains: bool = True):
         steps, width = symbols.shape
+        self.trains = trains
         self.p, self.shape, size = p, symbols.shape, (HIDDEN, steps, width)
         self.given = p["inputs"].take(symbols.ravel(), axis=1).reshape(3 * HIDDEN, steps, width)
         self.given[: 2 * HIDDEN] += p["recur_bias"][: 2 * HIDDEN, :, None]
-        self.gates = np.empty((2 * HIDDEN, steps, width), p["recur"].dtype)
-        self.before, self.inner, self.new, self.states = (np.empty(size, p["recur"].dtype) for _ in range(4))
+        self.states = np.empty(size, p["recur"].dtype)
+        if trains:
+            self.gates = np.empty((2 * HIDDEN, steps, width), p["recur"].dtype)
+            self.before, self.inner, self.new = (np.empty(size, p["recur"].dtype) for _ in range(3))
 
     def run(self, t: int, h: np.ndarray) -> np.ndarray:
         """Step t of the first columns, from their state; returns their next state."""
         n, p = h.shape[1], self.p
         a = p["recur"] @ h
-        gates = self.given[: 2 * HIDDEN, t, :n] + a[: 2 * HIDDEN]
+        gates = a[: 2 * HIDDEN]
+        gates += self.given[: 2 * HIDDEN, t, :n]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
@@ -119,8 +128,10 @@ class _Steps:
         state = h - new
         state *= gates[:HIDDEN]
         state += new
-        for held, now in ((self.before, h), (self.gates, gates), (self.inner, inner), (self.new, new), (self.states, state)):
-            held[:, t, :n] = now
+        self.states[:, t, :n] = state
+        if self.trains:
+            for held, now in ((self.before, h), (self.gates, gates), (self.inner, inner), (self.new, new)):
+                held[:, t, :n] = now
         return state
 
 
@@ -170,7 +181,7 @@ def _score_group(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) ->
             begin = 0 if at else 1
             block[begin : begin + len(part), k] = part
         running = np.searchsorted(-lengths, -(at + np.arange(steps)), side="left")
-        net = _Steps(p, block[:-1])
+        net = _Steps(p, block[:-1], trains=False)
         for t, n in enumerate(running.tolist()):
             h = net.run(t, h[:, :n])
         there = np.arange(live) < running[:, None]
@@ -188,6 +199,19 @@ class Trainer:
         self.squares = np.full(SIZE, 1e-4, np.float32) if squares is None else squares.astype(np.float32).copy()
         self.p, self.s, self.rate = unpack(self.flat), unpack(self.squares), np.float32(rate)
         self.seen = 0
+        self.sure = {"class": 0, "word": 0}
+
+    def _safe(self, kind: str) -> bool:
+        """Whether no logit can leave the safe range, looked up only when updates may have used up the margin.
+
+        An Adagrad step moves a weight by the rate at most.
+        """
+        if self.sure[kind] > 0:
+            self.sure[kind] -= 1
+            return True
+        margin = _margin(self.p, kind)
+        self.sure[kind] = max(0, int(margin / (self.rate * (HIDDEN + 1)) - 0.01))
+        return margin > 0
 
     def _update(self, name: str, gradient: np.ndarray, at=...) -> None:
         s = gradient * gradient
@@ -224,14 +248,14 @@ class Trainer:
         p, classes, columns = self.p, class_of(goal), np.arange(len(goal))
         d = p["class_out"] @ states
         d += p["class_bias"]
-        _exp(d, _is_safe(p, "class"))
+        _exp(d, self._safe("class"))
         d *= share / d.sum(axis=0)
         d[classes, columns] -= share
         if not use.all():
             d *= use
         back = p["class_out"].T @ d
         order, parts = _words_by_class(goal, classes, use & (goal < HEAD))
-        own, wanted, own_back, safe = states.take(order, axis=1), goal[order] % CLASS, np.empty((HIDDEN, len(order)), np.float32), _is_safe(p, "word")
+        own, wanted, own_back, safe = states.take(order, axis=1), goal[order] % CLASS, np.empty((HIDDEN, len(order)), np.float32), self._safe("word")
         for words, at in parts:
             weights, mine = p["word_out"][words], own[:, at]
             e = weights @ mine
@@ -258,31 +282,31 @@ class Trainer:
         by_new *= closed
         by_reset = net.inner * r
         by_reset *= 1 - r
-        given = np.empty((3 * HIDDEN, steps, width), np.float32)  # gradients of what the inputs gave
-        carried = np.empty((HIDDEN, steps, width), np.float32)  # and of the state's part of the new state
+        # Gradients of what the inputs gave, and of the state's part of the new state.
+        made = np.empty((4 * HIDDEN, steps, width), np.float32)
+        a = np.empty((3 * HIDDEN, width), np.float32)
         dh = np.zeros((HIDDEN, width), np.float32)
         turned = np.ascontiguousarray(p["recur"].T)
         for t in range(steps - 1, -1, -1):
             dh += back[:, t]
-            a = np.empty((3 * HIDDEN, width), np.float32)
             np.multiply(dh, by_gate[:, t], out=a[:HIDDEN])
-            new = dh * by_new[:, t]
+            new = np.multiply(dh, by_new[:, t], out=made[2 * HIDDEN : 3 * HIDDEN, t])
             np.multiply(new, by_reset[:, t], out=a[HIDDEN : 2 * HIDDEN])
             np.multiply(new, r[:, t], out=a[2 * HIDDEN :])
-            given[: 2 * HIDDEN, t], given[2 * HIDDEN :, t], carried[:, t] = a[: 2 * HIDDEN], new, a[2 * HIDDEN :]
+            made[: 2 * HIDDEN, t], made[3 * HIDDEN :, t] = a[: 2 * HIDDEN], a[2 * HIDDEN :]
             dh *= z[:, t]
             dh += turned @ a
             if begins[t]:
                 dh = np.where(starts[t], np.float32(0), dh)
-        flat = given.reshape(3 * HIDDEN, -1)
-        by_state = np.concatenate((flat[: 2 * HIDDEN], carried.reshape(HIDDEN, -1)))
+        flat = made.reshape(4 * HIDDEN, -1)
+        parts, before = (flat[: 2 * HIDDEN], flat[3 * HIDDEN :]), net.before.reshape(HIDDEN, -1).T
         symbols = inputs.ravel()
         order = np.argsort(symbols, kind="stable")
         found = symbols[order]
         first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        self._update("inputs", np.add.reduceat(flat.take(order, axis=1), first, axis=1), (slice(None), found[first]))
-        self._update("recur", by_state @ net.before.reshape(HIDDEN, -1).T)
-        self._update("recur_bias", by_state.sum(axis=1, keepdims=True))
+        self._update("inputs", np.add.reduceat(flat[: 3 * HIDDEN].take(order, axis=1), first, axis=1), (slice(None), found[first]))
+        self._update("recur", np.concatenate([x @ before for x in parts]))
+        self._update("recur_bias", np.concatenate([x.sum(axis=1, keepdims=True) for x in parts]))
 
     def train(self, texts: Sequence[np.ndarray], end: int, lanes: int = LANES) -> None:
         """One pass over texts of symbols, each ending with ``end``; every text goes whole to the shortest lane."""

@@ -21,12 +21,12 @@ from as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +43,8 @@ LONG = 2048
 #: Bytes of stored symbols that a task scores together.
 HELD_BYTES = 8_000_000
 DISCOUNT = 0.6
-#: Distinct words a task counts before it hands them on.
-HELD_WORDS = 200_000
+#: Bytes of texts that a task splits into words together; a longer text is split alone.
+SPLIT_BYTES = 8_000_000
 SLICE = 1024
 END = b""
 
@@ -56,20 +56,30 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def words_by_text(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of many texts, one after another and without the ends, and the number of each word's text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string()).fill_null("")))
+    words, lengths = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False)
+    there = pc.not_equal(words, "")  # white space around a text leaves empty ones
+    at = np.repeat(np.arange(len(lengths)), lengths)[there.to_numpy(zero_copy_only=False)]
+    return words.filter(there).cast(pa.binary()), at
 
-    def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-        counts.clear()
-        return batch
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text"):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > HELD_WORDS:
-                yield flush()
-    yield flush()
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SPLIT_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        counted = words_by_text(batch.column("text"))[0].value_counts()
+        words, numbers = (pa.concat_arrays([counted.field(i), more]) for i, more in enumerate((pa.array([END], pa.binary()), pa.array([batch.num_rows], pa.int64()))))
+        yield pa.RecordBatch.from_arrays([words, numbers], ["word", "c"])
 
 
 @dataclass
@@ -91,13 +101,17 @@ class Vocabulary:
         self._symbol = np.array([i if i < self.heads else gru.HEAD + self.suffixes.get(w[-2:], 0) for i, w in enumerate(self.words)], np.int32)
         self.end = self._index[END]
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def tails(self, words: pa.Array) -> np.ndarray:
+        """The tail class of each word."""
+        suffixes = pa.array(list(self.suffixes), pa.binary())
+        found = pc.index_in(pc.binary_slice(words, -2), suffixes).fill_null(-1).to_numpy()
+        return np.array([*self.suffixes.values(), 0], np.int32)[found]
+
+    def symbols(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The network's symbol of each word, and its place in ``words`` (or -1)."""
-        find, suffix = self._index.get, self.suffixes.get
-        index = np.array([find(w, -1) for w in words], np.int32)
-        out = self._symbol[index]
-        for i in np.flatnonzero(index < 0).tolist():
-            out[i] = gru.HEAD + suffix(words[i][-2:], 0)
+        index = pc.index_in(words, pa.array(self.words, pa.binary())).fill_null(-1).to_numpy()
+        out, other = self._symbol[index], np.flatnonzero(index < 0)
+        out[other] = gru.HEAD + self.tails(words.take(pa.array(other)))
         return out, index
 
     def symbol_counts(self) -> np.ndarray:
@@ -155,22 +169,27 @@ def _prepare_rows(shared):
         log_counts, log_mass = np.log10(v.counts + 0.1), np.log10(np.maximum(v.mass, 1e-9))
         inner = np.log10(np.maximum(v.counts - DISCOUNT, 1e-9))
         log_mass[v.mass <= 0] = 0
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(5)]
-            rare: list[Counter] = []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                symbols, index = v.symbols(words)
-                known, tail = index[index >= 0], symbols >= gru.HEAD
-                within = inner[index[tail & (index >= 0)]].sum() - log_mass[symbols[tail] - gru.HEAD].sum()
-                rare.append(Counter(words[i] for i in np.flatnonzero(index < 0).tolist()))
-                for c, x in zip(columns, (len(words), int((v.counts[known] > 0).sum()), float(log_counts[known].sum()), float(within), symbols.astype("<i2").tobytes()), strict=True):
-                    c.append(x)
-            words = [w for r in rare for w in r]
-            listed = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([v.suffixes.get(w[-2:], 0) for w in words], pa.int32()), pa.array([n for r in rare for n in r.values()], pa.int32())], ["word", "tail", "n"])
-            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        for batch in _slices(batches):
+            n = batch.num_rows
+            words, at = words_by_text(batch.column("text"))
+            symbols, index = v.symbols(words)
+            known, tail = index >= 0, symbols >= gru.HEAD
+            lengths = np.bincount(at, minlength=n) + 1
+            laid = np.full(len(words) + n, v.end, "<i2")  # every text with its end
+            laid[np.arange(len(words)) + at] = symbols
+            bounds = np.concatenate(([0], np.cumsum(lengths)))
+            base = np.bincount(at[known], log_counts[index[known]], n) + log_counts[v.end]
+            within = np.bincount(at[known & tail], inner[index[known & tail]], n) - np.bincount(at[tail], log_mass[symbols[tail] - gru.HEAD], n)
+            seen = np.bincount(at[known], v.counts[index[known]] > 0, n).astype(np.int64) + int(v.counts[v.end] > 0)
+            # Rarer words, counted by text.
+            coded = words.take(pa.array(np.flatnonzero(~known))).dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pairs, numbers = np.unique(at[~known] * kinds + coded.indices.to_numpy(), return_counts=True)
+            of = pairs % kinds
+            listed = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(of)), pa.array(v.tails(coded.dictionary)[of], pa.int32()), pa.array(numbers, pa.int32())], ["word", "tail", "n"])
+            offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * kinds), pa.int32())
+            stored = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(laid)])
+            made = [pa.array(lengths, pa.int64()), pa.array(seen), pa.array(base), pa.array(within.astype(np.float64)), stored]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made, pa.ListArray.from_arrays(offsets, listed)], ["row", "doc_id", "n_tokens", "known", "base", "inner", "symbols", "rare"])
 
     return prepare

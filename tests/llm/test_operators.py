@@ -745,6 +745,36 @@ def test_base_scores_match_brute_force(spark, monkeypatch):
     assert test and sum(r["score"] for r in test) > sum(r["base_score"] for r in test)
 
 
+def test_words_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(language_model, "SPLIT_BYTES", 30)
+    texts = [*ODD, " a", "b ", "\x00 x\x1cy\x1d\x1e\x1f z\x85    Q", "A É ß\tİ\n\v\f\rk", "ÀB c\u2003d", *(prose(i, 3) for i in range(20))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got, counts = [], Counter()
+    for part in language_model._slices([batch, batch.slice(0, 0)]):
+        assert part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column("text").to_pylist()) <= 30
+        words, at = language_model.words_by_text(part.column("text"))
+        own = [[] for _ in range(part.num_rows)]
+        for w, i in zip(words.to_pylist(), at.tolist(), strict=True):
+            own[i].append(w)
+        got += [[*w, b""] for w in own]
+    assert got == [language_model.words_of(t) for t in texts]
+    for part in language_model._count_rows([batch]):
+        for w, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
+            counts[w] += c
+    assert counts == Counter(w for t in texts for w in language_model.words_of(t))
+
+
+def test_training_is_sure_of_its_margin_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    trainer, asked = gru.Trainer(gru.fresh(rng.integers(1, 50, gru.HEAD + gru.TAIL))), []
+    margin = gru._margin
+    monkeypatch.setattr(gru, "_margin", lambda p, kind: asked.append(kind) or margin(p, kind))
+    safe = trainer._safe
+    monkeypatch.setattr(trainer, "_safe", lambda kind: (s := safe(kind)) and margin(trainer.p, kind) > 0 or not s or pytest.fail("not safe"))
+    trainer.train([np.append(rng.integers(1, gru.HEAD, 400), 0).astype(np.int16) for _ in range(8)], 0, 2)
+    assert 2 <= len(asked) < 2 * 8 * 401 / 2 / gru.WINDOW
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.score_documents(spark, documents(spark, [])).count() == 0
     (only,) = language_model.score_documents(spark, documents(spark, [(None, None)])).collect()
