@@ -6,6 +6,7 @@ columns whose names clash with the operators' own.
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from decimal import Decimal
@@ -916,6 +917,62 @@ def test_network_trains_on_windows_without_frequent_words():
     assert trainer.seen == 40 and np.isfinite(trainer.flat).all()
 
 
+def test_windows_write_into_kept_arrays():
+    """Once the arrays are there, a window takes little new memory: it is neither asked for again nor copied between layouts."""
+    rng = np.random.default_rng(2)
+    trainer, h = gru.Trainer(gru.fresh(rng.integers(1, 50, gru.HEAD + gru.TAIL))), np.zeros((gru.HIDDEN, gru.LANES), np.float32)
+    symbols = rng.integers(0, gru.HEAD + gru.TAIL, (gru.WINDOW + 1, gru.LANES)).astype(np.int16)
+    inputs, targets = symbols[:-1], symbols[1:]
+    h = trainer.window(h, inputs, targets, None, 0)
+    tracemalloc.start()
+    trainer.window(h, inputs, targets, None, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < inputs.size * 3 * gru.HIDDEN * 4 * 2
+
+
+@pytest.mark.parametrize("ends", (False, True))
+def test_window_moves_weights_as_a_plain_run_says(ends):
+    """Gradients match differences of the loss weight by weight, also where lanes have ended and most classes have no word."""
+    rng = np.random.default_rng(4)
+    flat = gru.fresh(rng.integers(1, 50, gru.HEAD + gru.TAIL))
+    symbols = rng.integers(1, 70, (6, 5)).astype(np.int16)
+    symbols[3, 2], symbols[2, 4] = gru.HEAD + 5, 0
+    live = np.ones((5, 5), bool)
+    if ends:
+        live[2:, 3] = live[4:, 1] = False
+    start = rng.uniform(-0.5, 0.5, (gru.HIDDEN, 5)).astype(np.float32)
+    trainer = gru.Trainer(flat, np.full(gru.SIZE, 1e8, np.float32), rate=100.0)
+    last = trainer.window(start, symbols[:-1], symbols[1:], live if ends else None, 0)
+    gradient = 100 * (flat.astype(np.float64) - trainer.flat)
+
+    def loss(weights, states=None):
+        p, h, total = gru.unpack(weights), [start[:, k].astype(float) for k in range(5)], 0.0
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        n = gru.HIDDEN
+        for t in range(5):
+            for k in range(5):
+                before = h[k] * (symbols[t, k] != 0)
+                a, x = p["recur"] @ before + p["recur_bias"][:, 0], p["inputs"][:, symbols[t, k]]
+                z, r = sigmoid(x[:n] + a[:n]), sigmoid(x[n : 2 * n] + a[n : 2 * n])
+                h[k] = (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :]) + z * before
+                if live[t, k]:
+                    total -= plain_log(p, h[k], symbols[t + 1, k])
+        if states is not None:
+            states += h
+        return total / live.sum()
+
+    states = []
+    wide = flat.astype(np.float64)
+    loss(wide, states)
+    assert np.array(states).T == pytest.approx(last, abs=1e-5) and trainer.seen == live.sum()
+    tried = rng.choice(np.flatnonzero(gradient), 40, replace=False)
+    for i in tried:
+        step = np.zeros(gru.SIZE)
+        step[i] = 1e-4
+        assert (loss(wide + step) - loss(wide - step)) / 2e-4 == pytest.approx(gradient[i], rel=0.01, abs=2e-5), i
+
+
 def test_network_probabilities_sum_to_one():
     p = gru.unpack(gru.fresh(np.arange(gru.HEAD + gru.TAIL)))
     state = np.full((gru.HIDDEN, 1), 0.3, np.float32)
